@@ -158,13 +158,15 @@ def pct_rank_sql(p: str, rel: str, key: str = "SK_ID_CURR") -> str:
             f"/ count({p}) OVER () END AS {p}_pct FROM {rel}")
 
 
-def auc_sql(rel: str, y: str, p: str, group: str | None = None) -> str:
+def auc_sql(rel: str, y: str, p: str, group: str | None = None, digits: int | None = 6) -> str:
     """Exact AUC (average-tie ranks) of <p> against <y> per <group>."""
     g = f"PARTITION BY {group}" if group else ""
     gsel = f"{group}, " if group else ""
-    return f"""SELECT {gsel}round((sum(CASE WHEN {y} = 1 THEN r END)
-        - count_if({y} = 1) * (count_if({y} = 1) + 1) / 2.0)
-        / (count_if({y} = 1) * count_if({y} = 0)), 6) AS auc,
+    auc = (f"(sum(CASE WHEN {y} = 1 THEN r END) - count_if({y} = 1) * (count_if({y} = 1) + 1) / 2.0)"
+           f" / (count_if({y} = 1) * count_if({y} = 0))")
+    if digits is not None:
+        auc = f"round({auc}, {digits})"
+    return f"""SELECT {gsel}{auc} AS auc,
       count_if({y} = 1) AS n_pos, count_if({y} = 0) AS n_neg
     FROM (SELECT *, rank() OVER ({g} ORDER BY {p})
                  + (count(*) OVER ({g}{',' if group else 'PARTITION BY'} {p}) - 1) / 2.0 AS r
@@ -265,3 +267,105 @@ ORACLE = {
         auc_sql("s", "TARGET", "pred_ext2", "fold"),
         FOLDS + ", s AS (SELECT SK_ID_CURR, TARGET, fold, COALESCE(EXT_SOURCE_2, 0.5) AS pred_ext2 FROM folds)"),
 }
+
+# ------------------------------------------------------------------ stacking, relational half
+
+SCORES = """
+oof AS (SELECT SK_ID_CURR, TARGET, COALESCE(EXT_SOURCE_1, 0.5) AS pred_ext1,
+               COALESCE(EXT_SOURCE_2, 0.5) AS pred_ext2, COALESCE(EXT_SOURCE_3, 0.5) AS pred_ext3 FROM train),
+tst AS (SELECT SK_ID_CURR, COALESCE(EXT_SOURCE_1, 0.5) AS pred_ext1,
+               COALESCE(EXT_SOURCE_2, 0.5) AS pred_ext2, COALESCE(EXT_SOURCE_3, 0.5) AS pred_ext3 FROM test)
+"""
+
+PREDS = ["pred_ext1", "pred_ext2", "pred_ext3"]
+META = PREDS + [f"{p}_{s}" for p in PREDS for s in ("logit", "rank")]
+FIXED_WEIGHTS = [0.5, 1.0, 0.8, 0.1, -0.2, 0.3, 0.4, 0.2, -0.1]
+FIXED_INTERCEPT = -0.7
+
+
+def logit_sql(p: str) -> str:
+    q = f"(CASE WHEN {p} < 1e-7 THEN 1e-7 WHEN {p} > 1 - 1e-7 THEN 1 - 1e-7 ELSE {p} END)"
+    return f"ln({q} / (1 - {q}))"
+
+
+def meta_cte(src: str, name: str, label: bool) -> str:
+    ranks = ", ".join(
+        f"(rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0) / count(*) OVER () AS {p}_rank"
+        for p in PREDS)
+    logits = ", ".join(f"{logit_sql(p)} AS {p}_logit" for p in PREDS)
+    return f"{name} AS (SELECT SK_ID_CURR, {'TARGET, ' if label else ''}{', '.join(PREDS)}, {logits}, {ranks} FROM {src})"
+
+
+def lin_sql() -> str:
+    terms = " + ".join(f"{m} * {w}" for m, w in zip(META, FIXED_WEIGHTS))
+    return f"({FIXED_INTERCEPT} + {terms})"
+
+
+LIN_SUB = SCORES + "," + meta_cte("tst", "tmeta", False) + f", sub AS (SELECT SK_ID_CURR, {lin_sql()} AS TARGET FROM tmeta)"
+
+ORACLE.update({
+    "join_oof": with_applicants("SELECT * FROM oof", SCORES),
+    "join_test_scores": with_applicants("SELECT * FROM tst", SCORES),
+    "meta_features": with_applicants(
+        "SELECT SK_ID_CURR, TARGET, " + ", ".join(rnd(m) for m in META) + " FROM meta",
+        SCORES + "," + meta_cte("oof", "meta", True)),
+    "sigmoid_score": with_applicants(
+        f"SELECT SK_ID_CURR, round(1 / (1 + exp(-{lin_sql()})), 6) AS score FROM tmeta",
+        SCORES + "," + meta_cte("tst", "tmeta", False)),
+    "linear_score": with_applicants(
+        f"SELECT SK_ID_CURR, round({lin_sql()}, 6) AS score FROM tmeta",
+        SCORES + "," + meta_cte("tst", "tmeta", False)),
+    "hard_class": with_applicants(
+        f"SELECT SK_ID_CURR, CASE WHEN 1 / (1 + exp(-{lin_sql()})) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM tmeta",
+        SCORES + "," + meta_cte("tst", "tmeta", False)),
+    "stack_apply": with_applicants(
+        f"SELECT SK_ID_CURR, round(1 / (1 + exp(-{lin_sql()})), 6) AS TARGET FROM tmeta",
+        SCORES + "," + meta_cte("tst", "tmeta", False)),
+    "gram_matrix": with_applicants(
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS a, '{b}' AS b, round(sum((m.{a} - mu.m_{a}) * (m.{b} - mu.m_{b})) / count(*), 6) AS cov "
+            f"FROM meta m, mu"
+            for i, a in enumerate(META + ["TARGET"]) for b in (META + ["TARGET"])[i:]),
+        SCORES + "," + meta_cte("oof", "meta", True)
+        + ", mu AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in META + ["TARGET"]) + " FROM meta)"),
+    "validate_submission": with_applicants(
+        "SELECT count_if(s.k IS NOT NULL) AS rows, count_if(s.k IS NULL) AS missing_keys, "
+        "count_if(t.SK_ID_CURR IS NULL) AS extra_keys, "
+        "count_if(s.k IS NOT NULL) - count(DISTINCT s.k) AS duplicate_keys, "
+        "count_if(s.k IS NOT NULL AND (s.v IS NULL OR isnan(s.v))) AS null_scores, "
+        "count_if(s.k IS NOT NULL AND (s.v < 0 OR s.v > 1)) AS out_of_range, 0 AS extra_columns, "
+        "(count_if(s.k IS NULL) + count_if(t.SK_ID_CURR IS NULL) + count_if(s.k IS NOT NULL) - count(DISTINCT s.k) "
+        " + count_if(s.k IS NOT NULL AND (s.v IS NULL OR isnan(s.v))) + count_if(s.k IS NOT NULL AND (s.v < 0 OR s.v > 1))) = 0 AS valid "
+        "FROM (SELECT DISTINCT SK_ID_CURR FROM test) t FULL OUTER JOIN (SELECT SK_ID_CURR AS k, TARGET AS v FROM sub) s "
+        "ON t.SK_ID_CURR = s.k", LIN_SUB),
+    "evaluate_scores": with_applicants(
+        "SELECT n_pos + n_neg AS matched, auc FROM (" + auc_sql("ev", "TRUE_TARGET", "TARGET") + ")",
+        LIN_SUB + ", ev AS (SELECT a.SK_ID_CURR, a.TARGET AS TRUE_TARGET, s.TARGET FROM applicants a "
+        "JOIN sub s ON s.SK_ID_CURR = a.SK_ID_CURR WHERE ((a.SK_ID_CURR*48271) % 65537) % 6 = 5)"),
+    "score_profile": with_applicants(
+        "SELECT count(TARGET) AS count, round(avg(TARGET), 6) AS mean, round(stddev_samp(TARGET), 6) AS std, "
+        "round(min(TARGET), 6) AS min, round(quantile_cont(TARGET, 0.25), 6) AS p25, "
+        "round(quantile_cont(TARGET, 0.5), 6) AS p50, round(quantile_cont(TARGET, 0.75), 6) AS p75, "
+        "round(max(TARGET), 6) AS max, count_if(TARGET IS NULL OR isnan(TARGET)) AS n_nan, "
+        "count_if(abs(TARGET) = 'inf'::DOUBLE) AS n_inf FROM sub", LIN_SUB),
+    "fold_summary": with_applicants(
+        "SELECT round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc, "
+        "round(min(auc), 6) AS min_auc, round(max(auc), 6) AS max_auc FROM fa",
+        FOLDS + ", s AS (SELECT SK_ID_CURR, TARGET, fold, COALESCE(EXT_SOURCE_2, 0.5) AS pred_ext2 FROM folds), "
+        "fa AS (SELECT fold, (sum(CASE WHEN TARGET = 1 THEN r END) - count_if(TARGET = 1) * (count_if(TARGET = 1) + 1) / 2.0) "
+        "/ (count_if(TARGET = 1) * count_if(TARGET = 0)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY pred_ext2) "
+        "+ (count(*) OVER (PARTITION BY fold, pred_ext2) - 1) / 2.0 AS r FROM s) GROUP BY fold)"),
+    "fold_mean_score": with_applicants(
+        "SELECT SK_ID_CURR, round((" + " + ".join(
+            f"1 / (1 + exp(-({logit_sql('p')} * {w})))" for w in [1.0, 0.8, 1.2])
+        + ") / 3, 6) AS pred_mean FROM (SELECT SK_ID_CURR, COALESCE(EXT_SOURCE_2, 0.5) AS p FROM test)"),
+    "topk": with_applicants(
+        "SELECT SK_ID_CURR, round(TARGET, 6) AS TARGET FROM sub ORDER BY TARGET DESC, SK_ID_CURR LIMIT 20", LIN_SUB),
+    "best_trial": with_applicants(
+        "SELECT trial, round(auc, 6) AS auc FROM (" + " UNION ALL ".join(
+            f"SELECT '{p}' AS trial, auc FROM ({auc_sql('oof', 'TARGET', p, digits=None)})" for p in PREDS)
+        + ") ORDER BY auc DESC, trial DESC LIMIT 1", SCORES),
+    "calibrated_scores": with_applicants(
+        "SELECT SK_ID_CURR, round(0.3 * TARGET + 0.7 * (CAST(('0x' || substr(md5(CAST(SK_ID_CURR AS VARCHAR) || '|42'), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496.0), 6) AS TARGET "
+        "FROM applicants WHERE ((SK_ID_CURR*48271) % 65537) % 6 = 5"),
+})

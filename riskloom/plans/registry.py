@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
 from ..functions import columns as fx
-from ..operators import encoding, features, folds, impute, metrics, ordering
+from ..operators import encoding, features, folds, impute, metrics, ordering, search, stacking, submission
 from ..sources import applicants as src
 
 R = 6  # rounding digits for S~ columns
@@ -203,6 +203,148 @@ def q_roc_auc_by_fold(spark, sf_dir):
     return t.select("fold", rnd("auc", "auc"), "n_pos", "n_neg")
 
 
+# ------------------------------------------------------------------ stacking, relational half
+
+# Fixed weights of a hand-set stacker used by the scoring checks:
+# (pred_ext1, pred_ext2, pred_ext3, then logit and rank per score), intercept.
+FIXED_WEIGHTS = [0.5, 1.0, 0.8, 0.1, -0.2, 0.3, 0.4, 0.2, -0.1]
+FIXED_INTERCEPT = -0.7
+
+
+def _oof_tables(spark, sf_dir):
+    train, _ = _frames(spark, sf_dir)
+    return list(fixture_scores(train).values())
+
+
+def _test_tables(spark, sf_dir):
+    _, test = _frames(spark, sf_dir)
+    return list(fixture_scores(test, label=False).values())
+
+
+def q_join_oof(spark, sf_dir):
+    return stacking.join_score_tables(_oof_tables(spark, sf_dir))
+
+
+def q_join_test_scores(spark, sf_dir):
+    return stacking.join_score_tables(_test_tables(spark, sf_dir), label=None)
+
+
+def q_meta_features(spark, sf_dir):
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
+    preds = list(FIXTURE_SCORES)
+    meta = stacking.meta_features(oof, preds)
+    return meta.select(KEY, LABEL, *[rnd(c, c) for c in stacking.meta_feature_names(preds)])
+
+
+def _fixed_state(kind):
+    return stacking.StackerState(kind, stacking.meta_feature_names(list(FIXTURE_SCORES)),
+                                 FIXED_WEIGHTS, FIXED_INTERCEPT)
+
+
+def _test_meta(spark, sf_dir):
+    merged = stacking.join_score_tables(_test_tables(spark, sf_dir), label=None)
+    return stacking.meta_features(merged, list(FIXTURE_SCORES))
+
+
+def q_sigmoid_score(spark, sf_dir):
+    return _test_meta(spark, sf_dir).select(KEY, rnd(_fixed_state("logreg").score(), "score"))
+
+
+def q_linear_score(spark, sf_dir):
+    return _test_meta(spark, sf_dir).select(KEY, rnd(_fixed_state("bayes").score(), "score"))
+
+
+def q_hard_class(spark, sf_dir):
+    return _test_meta(spark, sf_dir).select(
+        KEY, stacking.hard_class(_fixed_state("logreg").score()).alias("prediction"))
+
+
+def q_stack_apply(spark, sf_dir):
+    sub = stacking.apply_stacker(_test_tables(spark, sf_dir), _fixed_state("logreg"))
+    return sub.select(KEY, rnd(LABEL, LABEL))
+
+
+def q_gram_matrix(spark, sf_dir):
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
+    preds = list(FIXTURE_SCORES)
+    meta = stacking.meta_features(oof, preds)
+    feats = stacking.meta_feature_names(preds)
+    st = stacking.gram_stats(meta, feats, LABEL)
+    g = st["groups"][None]
+    n, sv, c = g["n"], g["s"], g["c"]
+    names = feats + [LABEL]
+    rows = [(names[i], names[j], float((c[i, j] - sv[i] * sv[j] / n) / n))
+            for i in range(len(names)) for j in range(i, len(names))]
+    return spark.createDataFrame(rows, "a string, b string, cov double").select("a", "b", rnd("cov", "cov"))
+
+
+def _linear_submission(spark, sf_dir):
+    return stacking.apply_stacker(_test_tables(spark, sf_dir), _fixed_state("bayes"))
+
+
+def q_validate_submission(spark, sf_dir):
+    _, test = _frames(spark, sf_dir)
+    return submission.validate_submission(_linear_submission(spark, sf_dir), test.select(KEY))
+
+
+def q_evaluate_scores(spark, sf_dir):
+    truth = src.truth_table(_apps(spark, sf_dir))
+    ev = metrics.evaluate_scores(truth, _linear_submission(spark, sf_dir))
+    return ev.select("matched", rnd("auc", "auc"))
+
+
+def q_score_profile(spark, sf_dir):
+    sub = _linear_submission(spark, sf_dir)
+    prof = metrics.score_profile(sub, LABEL)
+    return prof.select("count", *[rnd(c, c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]],
+                       "n_nan", "n_inf")
+
+
+def q_fold_summary(spark, sf_dir):
+    train, _ = _frames(spark, sf_dir)
+    s = fixture_scores(train, ["pred_ext2"])["pred_ext2"]
+    fa = metrics.auc_by_fold(folds.make_stratified_folds(s), LABEL, "pred_ext2")
+    summ = metrics.fold_summary(fa, "auc", "_auc")
+    return summ.select(*[rnd(c, c) for c in ["mean_auc", "std_auc", "min_auc", "max_auc"]])
+
+
+# Fixed per-fold slopes of the fold-mean check (three "fold models").
+FOLD_SLOPES = [1.0, 0.8, 1.2]
+
+
+def q_fold_mean_score(spark, sf_dir):
+    _, test = _frames(spark, sf_dir)
+    s = fixture_scores(test, ["pred_ext2"], label=False)["pred_ext2"]
+    per_fold = [fx.sigmoid(fx.logit("pred_ext2") * F.lit(w)) for w in FOLD_SLOPES]
+    return s.select(KEY, rnd(sum(per_fold, F.lit(0.0)) / len(per_fold), "pred_mean"))
+
+
+def q_topk(spark, sf_dir):
+    sub = _linear_submission(spark, sf_dir)
+    return top_k(sub, LABEL, 20, KEY).select(KEY, rnd(LABEL, LABEL))
+
+
+def top_k(df, col, k, tiebreak):
+    """the k largest values (ties by key) -- the limit is the feature."""
+    return df.orderBy(F.col(col).desc(), F.col(tiebreak).asc()).limit(k)
+
+
+def q_best_trial(spark, sf_dir):
+    """F5 over a trials table: one trial per fixture score profile."""
+    train, _ = _frames(spark, sf_dir)
+    tables = fixture_scores(train)
+    trials = None
+    for name, t in tables.items():
+        a = ordering.roc_auc_table(t, LABEL, name, tiebreak=KEY).select(F.lit(name).alias("trial"), "auc")
+        trials = a if trials is None else trials.unionByName(a)
+    return search.best_trial(trials, "trial", "auc").select("trial", rnd("auc", "auc"))
+
+
+def q_calibrated_scores(spark, sf_dir):
+    truth = src.truth_table(_apps(spark, sf_dir))
+    return submission.blended_scores(truth, 0.3).select(KEY, rnd(LABEL, LABEL))
+
+
 QUERIES = {
     "scan_applicants": q_scan_applicants,
     "scan_pruned": q_scan_pruned,
@@ -228,4 +370,20 @@ QUERIES = {
     "pct_rank": q_pct_rank,
     "roc_auc": q_roc_auc,
     "roc_auc_by_fold": q_roc_auc_by_fold,
+    "join_oof": q_join_oof,
+    "join_test_scores": q_join_test_scores,
+    "meta_features": q_meta_features,
+    "sigmoid_score": q_sigmoid_score,
+    "linear_score": q_linear_score,
+    "hard_class": q_hard_class,
+    "stack_apply": q_stack_apply,
+    "gram_matrix": q_gram_matrix,
+    "validate_submission": q_validate_submission,
+    "evaluate_scores": q_evaluate_scores,
+    "score_profile": q_score_profile,
+    "fold_summary": q_fold_summary,
+    "fold_mean_score": q_fold_mean_score,
+    "topk": q_topk,
+    "best_trial": q_best_trial,
+    "calibrated_scores": q_calibrated_scores,
 }
