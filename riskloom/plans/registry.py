@@ -345,6 +345,137 @@ def q_calibrated_scores(spark, sf_dir):
     return submission.blended_scores(truth, 0.3).select(KEY, rnd(LABEL, LABEL))
 
 
+# ------------------------------------------------------------------ learners (rows-only checks)
+
+TREES, FOLDS = 10, 3   # test-size settings: <= 10 trees, <= 3 folds
+
+
+def _prepared(spark, sf_dir):
+    from .training import prepare
+    train, test = _frames(spark, sf_dir)
+    return prepare(train, test)
+
+
+def _cross(spark, sf_dir, spec, version):
+    from ..operators.crossfit import cross_fit
+    prep = _prepared(spark, sf_dir)
+    res = cross_fit(spec, prep.train, prep.test, prep.features.names, prep.features.categorical,
+                    fold_cfg=folds.FoldConfig(n_splits=FOLDS), version=version)
+    return res
+
+
+def q_cross_fit_gbt(spark, sf_dir):
+    from ..operators import learners
+    return _cross(spark, sf_dir, learners.lgbm_profile(TREES), "lgbm_v1").oof
+
+
+def q_cross_fit_gbt_rows(spark, sf_dir):
+    from ..operators import learners
+    return _cross(spark, sf_dir, learners.xgb_profile(TREES), "xgb_v1").oof
+
+
+def q_cross_fit_gbt_cat(spark, sf_dir):
+    from ..operators import learners
+    return _cross(spark, sf_dir, learners.catboost_profile(TREES), "cat_v1").test
+
+
+def q_cross_fit_mlp(spark, sf_dir):
+    from ..operators import learners
+    return _cross(spark, sf_dir, learners.mlp_profile(30), "mlp_v1").oof
+
+
+def q_oof_union(spark, sf_dir):
+    from ..operators import learners
+    return _cross(spark, sf_dir, learners.logreg_profile(50), "logreg_v1").oof
+
+
+def q_leaderboard(spark, sf_dir):
+    """H5 re-aimed: the same folds for {LR, RF, GBT}; one row per model."""
+    from ..operators import learners
+    from ..operators.crossfit import cross_fit
+    prep = _prepared(spark, sf_dir)
+    cfg = folds.FoldConfig(n_splits=FOLDS)
+    fold_ids = folds.make_stratified_folds(prep.train.select(KEY, LABEL), LABEL, cfg).persist()
+    rows = []
+    for name, spec in (("logreg", learners.logreg_profile(50)), ("rf", learners.rf_profile(TREES)),
+                       ("gbt", learners.gbt_profile(TREES))):
+        r = cross_fit(spec, prep.train, prep.test, prep.features.names, prep.features.categorical,
+                      fold_cfg=cfg, version=name, folds_df=fold_ids)
+        m = r.metrics
+        rows.append((name, m["mean_auc"], m["std_auc"], m["min_auc"], m["max_auc"]))
+        r.release()
+    return spark.createDataFrame(rows, "model string, mean_auc double, std_auc double, "
+                                       "min_auc double, max_auc double").orderBy(F.col("mean_auc").desc())
+
+
+def _stack(spark, sf_dir, kind):
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
+    oof_meta, m, state = stacking.train_stacking_model(oof, stacker_type=kind,
+                                                       fold_cfg=folds.FoldConfig(n_splits=FOLDS))
+    return oof_meta
+
+
+def q_stack_fit_bayes(spark, sf_dir):
+    return _stack(spark, sf_dir, "bayes")
+
+
+def q_stack_fit_logreg(spark, sf_dir):
+    return _stack(spark, sf_dir, "logreg")
+
+
+def q_drift_auc(spark, sf_dir):
+    from ..operators import drift
+    from .training import prepare
+    train, test = src.applicant_frames(spark, sf_dir, drift=True)
+    prep = prepare(train, test)
+    auc, imp = drift.adversarial_validation(prep.train, prep.test, prep.features.names)
+    return drift.top_features(imp, 20).select("feature", "importance", F.lit(auc).alias("drift_auc"))
+
+
+def q_search_gbt(spark, sf_dir):
+    prep = _prepared(spark, sf_dir)
+    return search.random_search(prep.train, prep.features.names, prep.features.categorical, "lgbm",
+                                n_trials=2, trees=TREES, folds=FOLDS)
+
+
+def q_search_gbt_cat(spark, sf_dir):
+    prep = _prepared(spark, sf_dir)
+    return search.random_search(prep.train, prep.features.names, prep.features.categorical, "cat",
+                                n_trials=2, trees=TREES, folds=FOLDS)
+
+
+def _scratch(spark, name):
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+def q_run_summary(spark, sf_dir):
+    """I3 over runs written by this query: one per fixture score profile."""
+    from ..operators import report
+    train, _ = _frames(spark, sf_dir)
+    d = _scratch(spark, "runs")
+    for name, t in fixture_scores(train).items():
+        f = folds.make_stratified_folds(t, cfg=folds.FoldConfig(n_splits=FOLDS))
+        m = metrics.run_metrics(metrics.auc_by_fold(f, LABEL, name))
+        report.write_metrics(spark, d, name, m, {"score": name})
+    summ = report.run_summary(spark, d)
+    report.write_summary(summ, d)
+    return summ
+
+
+def q_scan_scores(spark, sf_dir):
+    """A3/A4: score tables written, listed (mlp excluded, sorted), checked, joined."""
+    from ..sources import scores as score_io
+    d = _scratch(spark, "oof")
+    for t in _oof_tables(spark, sf_dir):
+        score_io.write_score_table(t, d, [c for c in t.columns if c.startswith("pred_")][0].replace("pred_", "", 1))
+    decoy = _oof_tables(spark, sf_dir)[0].withColumnRenamed("pred_ext1", "pred_mlp_v1")
+    score_io.write_score_table(decoy, d, "mlp_v1")
+    tables = score_io.scan_score_tables(spark, d, "oof")
+    return stacking.join_score_tables(tables)
+
+
 QUERIES = {
     "scan_applicants": q_scan_applicants,
     "scan_pruned": q_scan_pruned,
@@ -386,4 +517,17 @@ QUERIES = {
     "topk": q_topk,
     "best_trial": q_best_trial,
     "calibrated_scores": q_calibrated_scores,
+    "cross_fit_gbt": q_cross_fit_gbt,
+    "cross_fit_gbt_rows": q_cross_fit_gbt_rows,
+    "cross_fit_gbt_cat": q_cross_fit_gbt_cat,
+    "cross_fit_mlp": q_cross_fit_mlp,
+    "oof_union": q_oof_union,
+    "leaderboard": q_leaderboard,
+    "stack_fit_bayes": q_stack_fit_bayes,
+    "stack_fit_logreg": q_stack_fit_logreg,
+    "drift_auc": q_drift_auc,
+    "search_gbt": q_search_gbt,
+    "search_gbt_cat": q_search_gbt_cat,
+    "run_summary": q_run_summary,
+    "scan_scores": q_scan_scores,
 }
