@@ -174,6 +174,23 @@ def fit_features(df: DataFrame, spec: FeatureSpec | None = None, method: str = "
     return FeatureState({b: edges[s] for b, s in spec.quantile_bins.items() if s in edges})
 
 
+def fit_features_and_medians(df: DataFrame, spec: FeatureSpec | None = None,
+                             method: str = "auto") -> tuple[FeatureState, dict]:
+    """One exact-quantile pass over every numeric feature of ``df`` (train):
+    quintile edges for the bin sources and medians for imputation come from
+    the same sorted values (probabilities 0, .2, .4, .5, .6, .8, 1)."""
+    spec = spec or FeatureSpec()
+    mat, fs = build_features(df, FeatureState({}), spec)
+    probs = sorted(set(QUANTILE_PROBS) | {0.5})
+    tb = spec.key if spec.key in mat.columns else None
+    q = exact_quantiles(mat, fs.numeric, probs, method=method, tiebreak=tb)
+    at = {p: i for i, p in enumerate(probs)}
+    edges = {b: dedupe_edges([q[src][at[p]] for p in QUANTILE_PROBS])
+             for b, src in spec.quantile_bins.items() if src in q}
+    medians = {c: (v[at[0.5]] if v[at[0.5]] is not None else 0.0) for c, v in q.items()}
+    return FeatureState(edges), medians
+
+
 def build_features(df: DataFrame, state: FeatureState | None = None,
                    spec: FeatureSpec | None = None, keep: tuple = ()) -> tuple[DataFrame, FeatureSet]:
     """Sentinel -> row features -> bins -> one select of

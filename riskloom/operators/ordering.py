@@ -38,13 +38,16 @@ MAX_OFFSET_ROWS = 1_000_000
 class Numbered:
     df: DataFrame          # input columns + the row-number column
     total: int             # number of rows numbered
+    counts: list = None    # (pid, *count_by, n) rows of the offsets pass
 
 
 def global_row_number(df: DataFrame, order: Sequence, out: str = "_rn",
-                      num_partitions: int | None = None) -> Numbered:
+                      num_partitions: int | None = None, count_by: Sequence[str] = ()) -> Numbered:
     """1-based position of each row in the order ``order`` (ascending, NULLs first).
 
     Equal order values get distinct, arbitrary but fixed positions.
+    ``count_by`` adds low-cardinality columns to the per-partition counts
+    (returned in ``counts``) so callers get group sizes from the same pass.
     """
     spark = df.sparkSession
     n = num_partitions or default_parallelism(spark)
@@ -54,21 +57,34 @@ def global_row_number(df: DataFrame, order: Sequence, out: str = "_rn",
                 .withColumn("_mid", F.monotonically_increasing_id()))
     staged = reliable_checkpoint(staged)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
-    counts = sorted((r[0], r[1]) for r in
-                    staged.groupBy(pid.alias("_pid")).count().collect())
-    if len(counts) > MAX_OFFSET_ROWS:
-        raise RuntimeError(f"{len(counts)} range partitions; offsets table too large")
+    rows = [tuple(r) for r in staged.groupBy(pid.alias("_pid"), *count_by).count().collect()]
+    if len(rows) > MAX_OFFSET_ROWS:
+        raise RuntimeError(f"{len(rows)} partition counts; offsets table too large")
+    per_pid: dict[int, int] = {}
+    for r in rows:
+        per_pid[int(r[0])] = per_pid.get(int(r[0]), 0) + int(r[-1])
     offsets, running = [], 0
-    for p, c in counts:
-        offsets.append((int(p), running))
-        running += int(c)
+    for p in sorted(per_pid):
+        offsets.append((p, running))
+        running += per_pid[p]
     if not offsets:
-        return Numbered(staged.drop("_mid").withColumn(out, F.lit(None).cast("long")), 0)
+        return Numbered(staged.drop("_mid").withColumn(out, F.lit(None).cast("long")), 0, rows)
     off_df = spark.createDataFrame(offsets, "_pid long, _off long")
     numbered = (staged.join(F.broadcast(off_df), pid == F.col("_pid"))
                 .withColumn(out, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)) + 1)
                 .drop("_mid", "_pid", "_off"))
-    return Numbered(numbered, running)
+    return Numbered(numbered, running, rows)
+
+
+def pct_rank_table(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
+                   num_partitions: int | None = None) -> DataFrame:
+    """(_rv, out): percent rank of every distinct non-NULL value of ``value``."""
+    order = [value] + ([tiebreak] if tiebreak else [])
+    nn = df.where(F.col(value).isNotNull()).select(*order)
+    numbered = global_row_number(nn, order, "_rn", num_partitions)
+    total = float(max(numbered.total, 1))
+    return (numbered.df.groupBy(F.col(value).alias("_rv"))
+            .agg(((F.min("_rn") + F.max("_rn")) / 2.0 / total).alias(out)))
 
 
 def pct_rank(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
@@ -80,14 +96,8 @@ def pct_rank(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
     A hot value is one row on the small side of that join; AQE splits the
     skewed partition on the large side.
     """
-    order = [value] + ([tiebreak] if tiebreak else [])
-    nn = df.where(F.col(value).isNotNull()).select(*order)
-    numbered = global_row_number(nn, order, "_rn", num_partitions)
-    if numbered.total == 0:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    ranks = (numbered.df.groupBy(F.col(value).alias("_rv"))
-             .agg(((F.min("_rn") + F.max("_rn")) / 2.0 / float(numbered.total)).alias(out)))
-    return (df.join(ranks, F.col(value) == F.col("_rv"), "left").drop("_rv"))
+    ranks = pct_rank_table(df, value, out, tiebreak, num_partitions)
+    return df.join(ranks, F.col(value) == F.col("_rv"), "left").drop("_rv")
 
 
 def roc_auc_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
@@ -141,78 +151,89 @@ def _interpolate(lo_v: float, hi_v: float, frac: float) -> float:
     return lo_v if frac == 0 or lo_v == hi_v else lo_v + (hi_v - lo_v) * frac
 
 
+def _long_values(df: DataFrame, cols: list[str], spread=None) -> DataFrame:
+    """(_c, _v[, _t]) rows: column index, value as double, spreading tiebreak."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
+                      for i, c in enumerate(cols)])
+    extra = [spread.alias("_t")] if spread is not None else []
+    out = ["_p._c", "_p._v"] + (["_t"] if extra else [])
+    return (df.select(F.explode(pairs).alias("_p"), *extra).select(*out)
+              .where(F.col("_v").isNotNull()))
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     method: str = "auto", tiebreak: str | None = None,
                     num_partitions: int | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles per column (NULLs skipped).
 
-    ``method``: ``percentile`` (built-in, bounded distinct counts),
-    ``distributed`` (global row numbers over a long table), or ``auto``,
-    which measures approximate distinct counts first and picks per column.
-    Returns a small dict (state), all-NULL columns give NULLs.
+    The columns are stacked into one long (column, value) table, so every
+    column is its own group and no task holds more than one column.
+    ``method``: ``percentile`` (built-in, grouped by column: one task merges
+    one column's value->count map, fine for bounded distinct counts),
+    ``distributed`` (global row numbers over range partitions, any size),
+    or ``auto``: approximate distinct counts per column decide.
+    Returns a small dict (state); all-NULL columns give NULLs.
     """
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
+    long = _long_values(df, cols)
     small, large = [], []
     if method == "percentile":
-        small = cols
+        small = list(range(len(cols)))
     elif method == "distributed":
-        large = cols
+        large = list(range(len(cols)))
     else:
-        est = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+        est = {r[0]: r[1] for r in long.groupBy("_c").agg(F.approx_count_distinct("_v")).collect()}
         budget = PERCENTILE_MAX_DISTINCT_TOTAL
-        for c in cols:
-            d = est[c] or 0
+        for i in range(len(cols)):
+            d = est.get(i, 0)
             if d <= PERCENTILE_MAX_DISTINCT_PER_COL and d <= budget:
-                small.append(c)
+                small.append(i)
                 budget -= d
             else:
-                large.append(c)
-    result: dict[str, list[float | None]] = {}
+                large.append(i)
+    result = {c: [None] * len(probs) for c in cols}
     if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs]))
-                       .alias(c) for c in small]).first()
-        for c in small:
-            v = row[c]
-            result[c] = [None] * len(probs) if v is None else [float(x) for x in v]
+        rows = (long.where(F.col("_c").isin(small)).groupBy("_c")
+                .agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q")).collect())
+        for r in rows:
+            result[cols[r["_c"]]] = [float(x) for x in r["_q"]]
     if large:
-        result.update(_distributed_quantiles(df, large, probs, tiebreak, num_partitions))
-    return {c: result[c] for c in cols}
+        spread = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
+        sub = _long_values(df, cols, spread).where(F.col("_c").isin(large))
+        result.update(_distributed_quantiles(sub, cols, probs, num_partitions))
+    return result
 
 
-def _distributed_quantiles(df, cols, probs, tiebreak, num_partitions):
-    spread = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
-    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
-                      for i, c in enumerate(cols)])
-    long = (df.select(F.explode(pairs).alias("_p"), spread.alias("_t"))
-              .select("_p._c", "_p._v", "_t").where(F.col("_v").isNotNull()))
-    numbered = global_row_number(long, ["_c", "_v", "_t"], "_rn", num_partitions)
-    sizes = {r["_c"]: r["count"] for r in numbered.df.groupBy("_c").count().collect()}
-    wanted, start = [], 1
+def _distributed_quantiles(long: DataFrame, cols, probs, num_partitions):
+    numbered = global_row_number(long, ["_c", "_v", "_t"], "_rn", num_partitions, count_by=["_c"])
+    sizes: dict[int, int] = {}
+    for r in numbered.counts:
+        sizes[r[1]] = sizes.get(r[1], 0) + r[2]
+
+    def positions(n, start):
+        for p in probs:
+            h = (n - 1) * p
+            yield p, start + int(h), start + min(int(h) + 1, n - 1), h - int(h)
+
+    wanted, start = set(), 1
     for i in range(len(cols)):
         n = sizes.get(i, 0)
-        for p in probs:
-            if n:
-                h = (n - 1) * p
-                wanted += [(i, start + int(h)), (i, start + min(int(h) + 1, n - 1))]
+        if n:
+            for _, lo, hi, _ in positions(n, start):
+                wanted |= {lo, hi}
         start += n
-    out = {c: [None] * len(probs) for c in cols}
+    out = {}
     if not wanted:
         return out
-    want_df = F.broadcast(df.sparkSession.createDataFrame(sorted(set(wanted)), "_wc int, _wrn long"))
-    got = {(r["_c"], r["_rn"]): r["_v"] for r in
-           numbered.df.join(want_df, F.col("_rn") == F.col("_wrn")).select("_c", "_rn", "_v").collect()}
+    want_df = F.broadcast(long.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "_wrn long"))
+    got = {r["_rn"]: r["_v"] for r in
+           numbered.df.join(want_df, F.col("_rn") == F.col("_wrn")).select("_rn", "_v").collect()}
     start = 1
     for i, c in enumerate(cols):
         n = sizes.get(i, 0)
         if n:
-            vals = []
-            for p in probs:
-                h = (n - 1) * p
-                lo = start + int(h)
-                hi = start + min(int(h) + 1, n - 1)
-                vals.append(_interpolate(got[(i, lo)], got[(i, hi)], h - int(h)))
-            out[c] = vals
+            out[c] = [_interpolate(got[lo], got[hi], frac) for _, lo, hi, frac in positions(n, start)]
         start += n
     return out

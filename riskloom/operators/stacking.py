@@ -16,7 +16,7 @@ from .. import KEY, LABEL
 from ..functions import columns as fx
 from .folds import FoldConfig, make_stratified_folds, require_columns
 from .metrics import auc_by_fold, run_metrics
-from .ordering import pct_rank
+from .ordering import pct_rank_table
 
 
 # ------------------------------------------------------------------ joins
@@ -69,9 +69,12 @@ def meta_features(df: DataFrame, pred_cols: list[str], key: str = KEY, eps: floa
     Ranks depend on the whole batch: OOF ranks come from the OOF table, test
     ranks from the test table (single-row scoring is undefined).
     """
+    tb = key if key in df.columns else None
     out = df
     for c in pred_cols:
-        out = pct_rank(out, c, f"{c}_rank", tiebreak=key if key in df.columns else None)
+        # every rank is numbered from the input columns, not from the previous join
+        ranks = pct_rank_table(df, c, f"{c}_rank", tiebreak=tb)
+        out = out.join(ranks, F.col(c) == F.col("_rv"), "left").drop("_rv")
     head = [c for c in df.columns if c not in pred_cols]
     cols = [F.col(c) for c in head] + [F.col(c) for c in pred_cols]
     for c in pred_cols:
@@ -176,11 +179,15 @@ def _fit_bayes_from_stats(stats, exclude=None):
     return [float(c) for c in coef], float(ym - xm @ coef)
 
 
-def _fit_logreg(df: DataFrame, feats: list[str], label: str):
+def _fit_logreg(df: DataFrame, feats: list[str], label: str, n: int | None = None,
+                assembled: bool = False):
+    """L2 logistic fit equal to C=1 with a free intercept: Spark's objective is
+    mean loss + reg/2 |w|^2, so reg = 1/n (n = rows fitted)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    n = df.count()
-    vec = VectorAssembler(inputCols=feats, outputCol="_x").transform(df).select("_x", F.col(label).cast("double").alias("_y"))
+    n = n if n is not None else df.count()
+    vec = df if assembled else VectorAssembler(inputCols=feats, outputCol="_x").transform(df).select(
+        "_x", F.col(label).cast("double").alias("_y"))
     m = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / max(n, 1),
                            elasticNetParam=0.0, standardization=False, fitIntercept=True).fit(vec)
     return [float(c) for c in m.coefficients], float(m.intercept)
@@ -195,6 +202,7 @@ def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
     Bayesian ridge reads one grouped Gram pass for all folds and the final
     fit. Returns (oof_meta DataFrame, metrics dict, StackerState)."""
     fold_cfg = fold_cfg or FoldConfig()
+    oof = oof.persist()
     preds = score_columns(oof, key, label)
     meta = meta_features(oof, preds, key, eps)
     feats = meta_feature_names(preds)
@@ -207,9 +215,18 @@ def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
             fold_models.append(_fit_bayes_from_stats(stats, exclude=f))
         coef, b = _fit_bayes_from_stats(stats)
     elif stacker_type == "logreg":
-        for f in range(k):
-            fold_models.append(_fit_logreg(with_folds.where(F.col("fold") != f), feats, label))
-        coef, b = _fit_logreg(with_folds, feats, label)
+        from concurrent.futures import ThreadPoolExecutor
+        from pyspark.ml.feature import VectorAssembler
+        vec = (VectorAssembler(inputCols=feats, outputCol="_x").transform(with_folds)
+               .select("fold", "_x", F.col(label).cast("double").alias("_y")).persist())
+        sizes = {r[0]: r[1] for r in vec.groupBy("fold").count().collect()}   # k rows
+        total = sum(sizes.values())
+        jobs = [(vec.where(F.col("fold") != f), total - sizes.get(f, 0)) for f in range(k)]
+        jobs.append((vec, total))
+        with ThreadPoolExecutor(max_workers=min(len(jobs), 4)) as pool:
+            fits = list(pool.map(lambda j: _fit_logreg(j[0], feats, label, j[1], True), jobs))
+        vec.unpersist()
+        fold_models, (coef, b) = fits[:k], fits[k]
     else:
         raise ValueError(f"unknown stacker type {stacker_type!r}")
     state = StackerState(stacker_type, feats, coef, b, fold_models)

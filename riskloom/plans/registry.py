@@ -107,12 +107,10 @@ def q_quantile_bins(spark, sf_dir):
 
 def imputed_matrices(spark, sf_dir, method="auto"):
     """Train/test matrices: bins fitted on train, medians fitted on train."""
+    from .training import prepare
     train, test = _frames(spark, sf_dir)
-    state = features.fit_features(train, method=method)
-    mtrain, fs = features.build_features(train, state)
-    mtest, _ = features.build_features(test, state)
-    med = impute.fit_medians(mtrain, fs.numeric, method=method, tiebreak=KEY)
-    return impute.apply_medians(mtrain, med), impute.apply_medians(mtest, med), fs
+    prep = prepare(train, test, method=method)
+    return prep.train, prep.test, prep.features
 
 
 def q_feature_matrix(spark, sf_dir):
