@@ -40,17 +40,20 @@ def make_stratified_folds(df: DataFrame, label: str = LABEL, cfg: FoldConfig | N
     cfg = cfg or FoldConfig()
     require_columns(df, [label, key])
     k = cfg.n_splits
-    classes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    if None in classes:
-        raise ValueError(f"label {label!r} has NULL values")
-    if not classes or max(classes.values()) < k:
-        raise ValueError(f"n_splits={k} exceeds the size of every class: {classes}")
     order = [F.col(label)]
     if cfg.shuffle:
         order.append(shuffle_key(key, cfg.random_state))
     order.append(F.col(key))
-    numbered = global_row_number(df, order, "_rn").df
-    return numbered.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+    # class sizes come from the numbering's own per-partition counts
+    numbered = global_row_number(df, order, "_rn", count_by=[label])
+    classes: dict = {}
+    for r in numbered.counts:
+        classes[r[1]] = classes.get(r[1], 0) + r[2]
+    if None in classes:
+        raise ValueError(f"label {label!r} has NULL values")
+    if not classes or max(classes.values()) < k:
+        raise ValueError(f"n_splits={k} exceeds the size of every class: {classes}")
+    return numbered.df.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
 
 
 def fold_split(df: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
