@@ -26,6 +26,7 @@ HEADLINE = [
     "stack_fit_logreg",    # H8: Spark LogisticRegression per fold
     "validate_submission", # L1: key contract via one full outer join
     "cross_fit_gbt",       # H1/H2: GBT 10 trees x 3 folds + OOF + test
+    "drift_auc_in_sample", # H10: one GBT 10 trees depth 5 on all 150k rows (sizing probe)
 ]
 
 

@@ -430,6 +430,16 @@ def q_drift_auc(spark, sf_dir):
     return drift.top_features(imp, 20).select("feature", "importance", F.lit(auc).alias("drift_auc"))
 
 
+def q_drift_auc_in_sample(spark, sf_dir):
+    """H10 parity mode: one GBT (10 trees, depth 5) on train + test, scored in-sample."""
+    from ..operators import drift
+    from .training import prepare
+    train, test = src.applicant_frames(spark, sf_dir, drift=True)
+    prep = prepare(train, test)
+    auc, imp = drift.adversarial_validation(prep.train, prep.test, prep.features.names, mode="in_sample")
+    return drift.top_features(imp, 20).select("feature", "importance", F.lit(auc).alias("drift_auc"))
+
+
 def q_search_gbt(spark, sf_dir):
     prep = _prepared(spark, sf_dir)
     return search.random_search(prep.train, prep.features.names, prep.features.categorical, "lgbm",
@@ -524,6 +534,7 @@ QUERIES = {
     "stack_fit_bayes": q_stack_fit_bayes,
     "stack_fit_logreg": q_stack_fit_logreg,
     "drift_auc": q_drift_auc,
+    "drift_auc_in_sample": q_drift_auc_in_sample,
     "search_gbt": q_search_gbt,
     "search_gbt_cat": q_search_gbt_cat,
     "run_summary": q_run_summary,

@@ -102,3 +102,20 @@ def test_no_single_partition_in_rank_and_auc_plans(spark):
         plan = "\n".join(lines)
         assert "Window" not in plan or "SinglePartition" not in plan
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_hot_value_spreads_over_partitions(spark):
+    """A third of the rows share one score: the key tie-break keeps the range
+    partitions balanced, and rank / AUC stay exact."""
+    rows = [(i, i % 2, 0.5 if i % 3 == 0 else (i % 97) / 97.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, y int, p double")
+    n = ordering.global_row_number(df, ["p", "k"], "rn", num_partitions=8)
+    sizes = [r[-1] for r in n.counts]
+    assert max(sizes) < 0.2 * 3000
+    ys, ps = [r[1] for r in rows], [r[2] for r in rows]
+    assert ordering.roc_auc(df, "y", "p", "k") == pytest.approx(brute_auc(ys, ps))
+    ranked = {r.k: r.r for r in ordering.pct_rank(df, "p", "r", "k").collect()}
+    hot = sorted(ranked[i] for i in range(0, 3000, 3))
+    assert hot[0] == hot[-1]                                   # one rank for the tie group
+    below = sum(1 for p in ps if p < 0.5)
+    assert hot[0] == pytest.approx((below + (1000 + 1) / 2) / 3000)
