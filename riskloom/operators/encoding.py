@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .ordering import global_row_number
+from .ordering import BROADCAST_MAX_ROWS, global_row_number
 
 # Fixed value: the token that stands for a missing category.
 MISSING_TOKEN = "__MISSING__"
@@ -27,29 +27,55 @@ def _token(c: str):
     return F.coalesce(F.col(c), F.lit(MISSING_TOKEN))
 
 
-def fit_label_encoders(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Mapping table (column, token, code) for every string column."""
+class Encoders:
+    """Fitted encoders: the mapping table plus the token count per column
+    (known from the numbering pass, so the apply side can size its joins)."""
+
+    def __init__(self, mapping: DataFrame, sizes: dict):
+        self.mapping, self.sizes = mapping, sizes
+
+    def collect(self):  # convenience for small mappings in tests
+        return self.mapping.collect()
+
+
+def fit_label_encoders(df: DataFrame, cols: list[str] | None = None) -> Encoders:
+    """Mapping (column, token, code) for every string column: sorted distinct
+    tokens, codes from the distributed row number (no single-task sort)."""
     cols = string_columns(df) if cols is None else cols
     if not cols:
-        return df.sparkSession.createDataFrame([], "column string, token string, code int")
+        return Encoders(df.sparkSession.createDataFrame([], "column string, token string, code int"), {})
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _token(c).alias("token")) for c in cols])
     distinct = df.select(F.explode(pairs).alias("p")).select("p.column", "p.token").distinct()
-    numbered = global_row_number(distinct, ["column", "token"], "_rn").df
-    starts = numbered.groupBy("column").agg(F.min("_rn").alias("_start"))
-    return (numbered.join(F.broadcast(starts), "column")
-            .select("column", "token", (F.col("_rn") - F.col("_start")).cast("int").alias("code")))
+    numbered = global_row_number(distinct, ["column", "token"], "_rn", count_by=["column"])
+    sizes: dict = {}
+    for r in numbered.counts:
+        sizes[r[1]] = sizes.get(r[1], 0) + r[2]
+    starts, s = {}, 1
+    for c in sorted(sizes):                      # columns are numbered in name order
+        starts[c] = s
+        s += sizes[c]
+    start_df = df.sparkSession.createDataFrame(sorted(starts.items()), "column string, _start long")
+    mapping = (numbered.df.join(F.broadcast(start_df), "column")   # one row per column
+               .select("column", "token", (F.col("_rn") - F.col("_start")).cast("int").alias("code")))
+    return Encoders(mapping, sizes)
 
 
-def apply_label_encoders(df: DataFrame, mapping: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def apply_label_encoders(df: DataFrame, enc, cols: list[str] | None = None) -> DataFrame:
     """Replace each encoded string column by its int32 code (-1 if unseen).
-    Columns absent from ``df`` are skipped."""
+    Columns absent from ``df`` are skipped. A column's mapping is broadcast
+    when its token count is proven small, else shuffle-joined."""
+    if not isinstance(enc, Encoders):
+        enc = Encoders(enc, {})
+    mapping = enc.mapping
     if cols is None:
-        cols = [r[0] for r in mapping.select("column").distinct().collect()]
+        cols = sorted(enc.sizes) if enc.sizes else [r[0] for r in mapping.select("column").distinct().collect()]
     cols = [c for c in cols if c in df.columns]
     out = df
     for c in cols:
         m = mapping.where(F.col("column") == c).select(
             F.col("token").alias(f"_tok_{c}"), F.col("code").alias(f"_code_{c}"))
+        if enc.sizes.get(c, BROADCAST_MAX_ROWS + 1) <= BROADCAST_MAX_ROWS:
+            m = F.broadcast(m)
         out = out.join(m, _token(c) == F.col(f"_tok_{c}"), "left")
     return out.select(*[F.coalesce(F.col(f"_code_{c}"), F.lit(-1)).cast("int").alias(c)
                         if c in cols else F.col(c) for c in df.columns])

@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import col_of
 from ..session import default_parallelism, reliable_checkpoint
 
+# Side tables whose row count is proven at or below this are broadcast
+# (value -> rank maps, encoder mappings); larger ones are shuffle-joined.
+BROADCAST_MAX_ROWS = 1_000_000
+
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 # Offsets are one row per range partition; beyond this the layout is wrong.
@@ -78,13 +82,19 @@ def global_row_number(df: DataFrame, order: Sequence, out: str = "_rn",
 
 def pct_rank_table(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
                    num_partitions: int | None = None) -> DataFrame:
-    """(_rv, out): percent rank of every distinct non-NULL value of ``value``."""
+    """(_rv, out): percent rank of every distinct non-NULL value of ``value``.
+
+    The numbering pass counts the rows, an upper bound of the distinct
+    values: at or below ``BROADCAST_MAX_ROWS`` the table is marked for
+    broadcast, above it the join-back is a shuffle join (AQE splits a hot
+    value's partition)."""
     order = [value] + ([tiebreak] if tiebreak else [])
     nn = df.where(F.col(value).isNotNull()).select(*order)
     numbered = global_row_number(nn, order, "_rn", num_partitions)
     total = float(max(numbered.total, 1))
-    return (numbered.df.groupBy(F.col(value).alias("_rv"))
-            .agg(((F.min("_rn") + F.max("_rn")) / 2.0 / total).alias(out)))
+    ranks = (numbered.df.groupBy(F.col(value).alias("_rv"))
+             .agg(((F.min("_rn") + F.max("_rn")) / 2.0 / total).alias(out)))
+    return F.broadcast(ranks) if numbered.total <= BROADCAST_MAX_ROWS else ranks
 
 
 def pct_rank(df: DataFrame, value: str, out: str, tiebreak: str | None = None,

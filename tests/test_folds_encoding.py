@@ -8,6 +8,7 @@ def test_label_encoder_sorted_missing_unknown(spark):
     fit = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
     mapping = encoding.fit_label_encoders(fit)
     got = {r.token: r.code for r in mapping.collect()}
+    assert mapping.sizes == {"c": 3}
     assert got == {"__MISSING__": 0, "a": 1, "b": 2}
     apply = spark.createDataFrame([(1, "a"), (2, "b"), (3, "zz"), (4, None)], "k long, c string")
     out = encoding.apply_label_encoders(apply, mapping)
