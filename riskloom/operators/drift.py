@@ -52,13 +52,12 @@ def adversarial_validation(train_mat: DataFrame, test_mat: DataFrame, features:
             key, "IS_TEST", F.col("probability").alias("_prob"))
         from pyspark.ml.functions import vector_to_array
         scored = scored.select(key, "IS_TEST", vector_to_array("_prob")[1].alias("_s"))
-        auc = roc_auc_table(scored, "IS_TEST", "_s", tiebreak=key, check_nulls=False).first()["auc"]
+        auc = roc_auc_table(scored, "IS_TEST", "_s", tiebreak=key).first()["auc"]
         imp = model.featureImportances
     elif mode == "oof":
         res = cross_fit(spec, both, both.limit(0), features, label="IS_TEST", key=key,
                         fold_cfg=fold_cfg or FoldConfig(n_splits=3), version="drift")
-        auc = roc_auc_table(res.oof, "IS_TEST", res.score_col, tiebreak=key,
-                            check_nulls=False).first()["auc"]
+        auc = roc_auc_table(res.oof, "IS_TEST", res.score_col, tiebreak=key).first()["auc"]
         vals = [m.featureImportances.toArray() for m in res.models]
         imp = [sum(v[i] for v in vals) / len(vals) for i in range(len(features))]
         res.release()

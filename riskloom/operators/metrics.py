@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
-from .ordering import roc_auc_table
+from .ordering import check_no_null_scores, roc_auc_table
 
 
 def class_balance(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -38,8 +38,12 @@ def auc_by_fold(oof: DataFrame, label: str, score: str, fold_col: str = "fold",
 
 def run_metrics(fold_auc: DataFrame) -> dict:
     """JSON-ready metrics {fold_auc, mean_auc, std_auc, min_auc, max_auc};
-    the per-fold table has k rows, so this is state-sized."""
+    the per-fold table has k rows, so this is state-sized. Raises on NULL scores."""
+    fold_auc = fold_auc.persist()
+    if "n_null" in fold_auc.columns:
+        check_no_null_scores(fold_auc.select("n_null").collect())
     row = fold_summary(fold_auc, "auc", "_auc").first()
+    fold_auc.unpersist()
     return {"fold_auc": list(row["fold_auc"]), "mean_auc": row["mean_auc"],
             "std_auc": row["std_auc"], "min_auc": row["min_auc"], "max_auc": row["max_auc"]}
 
@@ -69,4 +73,4 @@ def evaluate_scores(truth: DataFrame, submission: DataFrame, key: str = KEY,
     if merged.isEmpty():
         raise ValueError("no matching keys between truth and submission")
     auc = roc_auc_table(merged, "TRUE_TARGET", "_score", (), tiebreak=key)
-    return auc.select((F.col("n_pos") + F.col("n_neg")).alias("matched"), "auc")
+    return auc.select((F.col("n_pos") + F.col("n_neg") + F.col("n_null")).alias("matched"), "auc")

@@ -111,42 +111,90 @@ def pct_rank(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
 
 
 def roc_auc_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
-                  tiebreak: str | None = None, check_nulls: bool = True,
+                  tiebreak: str | None = None,
                   num_partitions: int | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count one half) per group; one row per group.
 
     AUC = (sum over positives of their average-tie rank - P(P+1)/2) / (P N),
     with ranks taken inside each group. Only per-value and per-group
     aggregates follow the numbering; nothing is joined back. NULL when a
-    group has one class.
+    group has one class. NULL scores are counted (``n_null``) in the same
+    aggregation and make the group's AUC NULL; the scalar :func:`roc_auc`
+    raises on them (no extra scan for the check).
     """
-    if check_nulls and not df.where(F.col(score).isNull()).isEmpty():
-        raise ValueError(f"score column {score!r} has NULL values")
     g = list(group_cols)
     order = g + [score] + ([tiebreak] if tiebreak else [])
-    base = df.select(*set(order + [label]))
+    base = df.select(*dict.fromkeys(order + [label]))
     numbered = global_row_number(base, order, "_rn", num_partitions).df
     pos = F.when(F.col(label) == 1, 1).otherwise(0)
     per_value = (numbered.groupBy(*g, score)
                  .agg(F.min("_rn").alias("_lo"), F.max("_rn").alias("_hi"),
                       F.sum(pos).alias("_pos"), F.count(F.lit(1)).alias("_cnt")))
+    is_null = F.col(score).isNull()
     per_group = (per_value.groupBy(*g)
-                 .agg(F.sum(F.col("_pos") * (F.col("_lo") + F.col("_hi")) / 2.0).alias("_s"),
-                      F.min("_lo").alias("_start"),
-                      F.sum("_pos").cast("double").alias("n_pos"),
-                      (F.sum("_cnt") - F.sum("_pos")).cast("double").alias("n_neg")))
+                 .agg(F.sum(F.when(~is_null, F.col("_pos") * (F.col("_lo") + F.col("_hi")) / 2.0)).alias("_s"),
+                      F.min(F.when(~is_null, F.col("_lo"))).alias("_start"),
+                      F.sum(F.when(~is_null, F.col("_pos"))).cast("double").alias("n_pos"),
+                      F.sum(F.when(~is_null, F.col("_cnt") - F.col("_pos"))).cast("double").alias("n_neg"),
+                      F.sum(F.when(is_null, F.col("_cnt")).otherwise(0)).alias("n_null")))
     auc = F.try_divide(
         F.col("_s") - (F.col("_start") - 1) * F.col("n_pos")
         - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0,
         F.col("n_pos") * F.col("n_neg"))
-    return per_group.select(*g, auc.alias("auc"), F.col("n_pos").cast("long").alias("n_pos"),
-                            F.col("n_neg").cast("long").alias("n_neg"))
+    return per_group.select(*g, F.when(F.col("n_null") == 0, auc).alias("auc"),
+                            F.coalesce(F.col("n_pos"), F.lit(0.0)).cast("long").alias("n_pos"),
+                            F.coalesce(F.col("n_neg"), F.lit(0.0)).cast("long").alias("n_neg"),
+                            F.col("n_null").cast("long").alias("n_null"))
+
+
+def check_no_null_scores(rows, score: str = "score") -> None:
+    bad = sum(r["n_null"] for r in rows)
+    if bad:
+        raise ValueError(f"score column {score!r} has {bad} NULL values")
 
 
 def roc_auc(df: DataFrame, label: str, score: str, tiebreak: str | None = None) -> float | None:
     """Scalar AUC for driver-side use (fold metrics, search objectives)."""
     row = roc_auc_table(df, label, score, (), tiebreak).first()
-    return None if row is None else row["auc"]
+    if row is None:
+        return None
+    check_no_null_scores([row], score)
+    return row["auc"]
+
+
+def pct_rank_many(df: DataFrame, cols: Sequence[str], suffix: str = "_rank",
+                  tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Percent ranks of several columns from ONE numbering pass.
+
+    Values of all columns are stacked as (column, value, tiebreak) and
+    numbered once; each column's ranks are positions minus the column's
+    start (known from the per-partition counts), joined back per column."""
+    cols = list(cols)
+    if not cols:
+        return df
+    spread = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
+    long = _long_values(df, cols, spread)
+    numbered = global_row_number(long, ["_c", "_v", "_t"], "_rn", num_partitions, count_by=["_c"])
+    sizes: dict = {}
+    for r in numbered.counts:
+        sizes[r[1]] = sizes.get(r[1], 0) + r[2]
+    starts, s = [], 0
+    for i in range(len(cols)):
+        starts.append((i, s, float(max(sizes.get(i, 0), 1))))
+        s += sizes.get(i, 0)
+    bounds = F.broadcast(df.sparkSession.createDataFrame(starts, "_bc int, _off long, _n double"))
+    ranks = (numbered.df.join(bounds, F.col("_c") == F.col("_bc"))       # one row per column
+             .groupBy("_c", "_v")
+             .agg(((F.min("_rn") + F.max("_rn")) / 2.0 - F.first("_off")).alias("_mid"),
+                  F.first("_n").alias("_n"))
+             .select("_c", "_v", (F.col("_mid") / F.col("_n")).alias("_r")))
+    out = df
+    for i, c in enumerate(cols):
+        r = ranks.where(F.col("_c") == i).select(F.col("_v").alias(f"_rv{i}"), F.col("_r").alias(f"{c}{suffix}"))
+        if sizes.get(i, 0) <= BROADCAST_MAX_ROWS:
+            r = F.broadcast(r)
+        out = out.join(r, F.col(c).cast("double") == F.col(f"_rv{i}"), "left").drop(f"_rv{i}")
+    return out
 
 
 # ---------------------------------------------------------------- quantiles

@@ -63,7 +63,7 @@ def calibrated_scores(truth: DataFrame, target_auc: float, key: str = KEY, label
     auc = None
     for _ in range(steps):
         scored = base.select(key, label, (F.lit(alpha) * F.col(label) + F.lit(1 - alpha) * F.col("_u")).alias("_s"))
-        auc = roc_auc_table(scored, label, "_s", tiebreak=key, check_nulls=False).first()["auc"]
+        auc = roc_auc_table(scored, label, "_s", tiebreak=key).first()["auc"]
         if auc < target_auc:
             lo = alpha
         else:
