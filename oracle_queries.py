@@ -369,3 +369,23 @@ ORACLE.update({
         "SELECT SK_ID_CURR, round(0.3 * TARGET + 0.7 * (CAST(('0x' || substr(md5(CAST(SK_ID_CURR AS VARCHAR) || '|42'), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496.0), 6) AS TARGET "
         "FROM applicants WHERE ((SK_ID_CURR*48271) % 65537) % 6 = 5"),
 })
+
+
+FOLDS3 = """
+folds3 AS (SELECT *, CAST((row_number() OVER (ORDER BY TARGET,
+    md5(CAST(SK_ID_CURR AS VARCHAR) || '|42'), SK_ID_CURR) - 1) % 3 AS INTEGER) AS fold FROM oof)
+"""
+
+
+def _run_row(p: str) -> str:
+    fa = auc_sql("folds3", "TARGET", p, "fold", digits=None)
+    return (f"SELECT '{p}' AS run, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc, "
+            f"round(min(auc), 6) AS min_auc, round(max(auc), 6) AS max_auc, CAST(NULL AS VARCHAR) AS config, "
+            f"'{{\"score\": \"{p}\"}}' AS params FROM ({fa})")
+
+
+ORACLE.update({
+    # the written, listed (mlp excluded) and re-read score tables, joined
+    "scan_scores": with_applicants("SELECT * FROM oof", SCORES),
+    "run_summary": with_applicants(" UNION ALL ".join(_run_row(p) for p in PREDS), SCORES + "," + FOLDS3),
+})

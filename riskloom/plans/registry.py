@@ -469,7 +469,8 @@ def q_run_summary(spark, sf_dir):
         report.write_metrics(spark, d, name, m, {"score": name})
     summ = report.run_summary(spark, d)
     report.write_summary(summ, d)
-    return summ
+    return summ.select("run", *[rnd(c, c) for c in ("mean_auc", "std_auc", "min_auc", "max_auc")],
+                       "config", "params")
 
 
 def q_scan_scores(spark, sf_dir):
