@@ -48,19 +48,26 @@ def run_metrics(fold_auc: DataFrame) -> dict:
             "std_auc": row["std_auc"], "min_auc": row["min_auc"], "max_auc": row["max_auc"]}
 
 
-def score_profile(df: DataFrame, score: str) -> DataFrame:
-    """describe() of a score column plus NaN and Inf counts (exact percentiles)."""
+def score_profile(df: DataFrame, score: str, key: str | None = None) -> DataFrame:
+    """describe() of a score column plus NaN and Inf counts.
+
+    Moments and counts are one aggregate; the quartiles are exact and come
+    from the size-guarded quantile operator (a continuous score has about as
+    many distinct values as rows, so the built-in ``percentile`` in a global
+    aggregate would merge them all in one task)."""
+    from .ordering import exact_quantiles
     s = F.col(score).cast("double")
     finite = F.when(~F.isnan(s), s)
+    clean = df.select(*([key] if key else []), finite.alias("_f"))
+    q = exact_quantiles(clean, ["_f"], [0.25, 0.5, 0.75], tiebreak=key)["_f"]
     return df.agg(
         F.count(finite).alias("count"), F.avg(finite).alias("mean"),
         F.stddev_samp(finite).alias("std"), F.min(finite).alias("min"),
-        F.percentile(finite, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
         F.max(finite).alias("max"),
         F.count_if(s.isNull() | F.isnan(s)).alias("n_nan"),
         F.count_if(F.abs(s) == F.lit(float("inf"))).alias("n_inf"),
-    ).select("count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-             F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max", "n_nan", "n_inf")
+    ).select("count", "mean", "std", "min", *[F.lit(v).cast("double").alias(n) for v, n in
+                                              zip(q, ("p25", "p50", "p75"))], "max", "n_nan", "n_inf")
 
 
 def evaluate_scores(truth: DataFrame, submission: DataFrame, key: str = KEY,

@@ -38,6 +38,17 @@ _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 MAX_OFFSET_ROWS = 1_000_000
 
 
+MAX_RANGE_PARTITIONS = 100_000
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a numbering pass: at least the shuffle partition count,
+    and at least the input's own partition count (a file scan splits by
+    ``spark.sql.files.maxPartitionBytes``, so this grows with the data)."""
+    return max(1, min(MAX_RANGE_PARTITIONS,
+                      max(default_parallelism(df.sparkSession), df.rdd.getNumPartitions())))
+
+
 @dataclass
 class Numbered:
     df: DataFrame          # input columns + the row-number column
@@ -54,7 +65,7 @@ def global_row_number(df: DataFrame, order: Sequence, out: str = "_rn",
     (returned in ``counts``) so callers get group sizes from the same pass.
     """
     spark = df.sparkSession
-    n = num_partitions or default_parallelism(spark)
+    n = num_partitions or range_partitions(df)
     order_cols = [col_of(c) for c in order]
     staged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)

@@ -293,7 +293,7 @@ def q_evaluate_scores(spark, sf_dir):
 
 def q_score_profile(spark, sf_dir):
     sub = _linear_submission(spark, sf_dir)
-    prof = metrics.score_profile(sub, LABEL)
+    prof = metrics.score_profile(sub, LABEL, KEY)
     return prof.select("count", *[rnd(c, c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]],
                        "n_nan", "n_inf")
 
