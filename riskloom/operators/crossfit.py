@@ -46,24 +46,30 @@ class CrossFitResult:
             d.unpersist()
 
 
-def _feature_exprs(feats, cats, arity, scale):
-    """Columns entering the vector: scaled numerics, +1-shifted nominal bins."""
+def _feature_exprs(feats, cats, arity, scale, float32=False):
+    """Columns entering the vector: scaled numerics, +1-shifted nominal bins;
+    ``float32`` rounds the scaled values to single precision first."""
     out = []
     for c in feats:
         if c in cats:
             meta = {"ml_attr": {"type": "nominal", "name": c,
                                 "vals": [str(i) for i in range(arity[c])]}}
             out.append((F.col(c) + 1).cast("double").alias(c, metadata=meta))
-        elif scale is not None:
+            continue
+        if scale is not None:
             m, s = scale[c]
-            out.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s if s else 1.0)).alias(c))
+            e = (F.col(c).cast("double") - F.lit(m)) / F.lit(s if s else 1.0)
         else:
-            out.append(F.col(c).cast("double").alias(c))
+            e = F.col(c).cast("double")
+        if float32:
+            e = e.cast("float").cast("double")
+        out.append(e.alias(c))
     return out
 
 
-def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: str) -> DataFrame:
-    staged = df.select(*keep, *_feature_exprs(feats, cats, arity, scale))
+def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: str,
+               float32: bool = False) -> DataFrame:
+    staged = df.select(*keep, *_feature_exprs(feats, cats, arity, scale, float32))
     return VectorAssembler(inputCols=list(feats), outputCol=out).transform(staged).select(*keep, out)
 
 
@@ -94,13 +100,14 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
 
     shared = None
     if not spec.standardize:
-        shared = _vectorise(base, keep, feats, cats, arity, None, "_x").persist(StorageLevel.MEMORY_AND_DISK)
+        shared = _vectorise(base, keep, feats, cats, arity, None, "_x", spec.float32) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
 
     def fold_matrix(f):
         if shared is not None:
             return shared, None
         scale = fit_standardizer(base.where(F.col("fold") != f), [c for c in feats if c not in cats])
-        return _vectorise(base, keep, feats, cats, arity, scale, "_x"), scale
+        return _vectorise(base, keep, feats, cats, arity, scale, "_x", spec.float32), scale
 
     def fit(f):
         mat, scale = fold_matrix(f)
@@ -119,7 +126,8 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     # OOF: each fold scored by the model that did not see it (disjoint keys).
     parts = []
     for f, (model, scale) in enumerate(fitted):
-        mat = shared if shared is not None else _vectorise(base, keep, feats, cats, arity, scale, "_x")
+        mat = shared if shared is not None else _vectorise(base, keep, feats, cats, arity, scale, "_x",
+                                                           spec.float32)
         scored = model.transform(mat.where(F.col("fold") == f))
         parts.append(scored.select(key, label, "fold", vector_to_array("probability")[1].alias(score_col)))
     oof = reduce(lambda a, b: a.unionByName(b), parts)
@@ -130,7 +138,7 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     for f, (model, scale) in enumerate(fitted):
         vec = f"_x{f}"
         staged = t.select("*", *[e.alias(f"_{f}_{e_name}") for e, e_name in
-                                 zip(_feature_exprs(feats, cats, arity, scale), feats)])
+                                 zip(_feature_exprs(feats, cats, arity, scale, spec.float32), feats)])
         assembled = VectorAssembler(inputCols=[f"_{f}_{c}" for c in feats], outputCol=vec).transform(staged)
         m = model.copy()
         m.setFeaturesCol(vec).setProbabilityCol(f"_prob{f}").setRawPredictionCol(f"_raw{f}") \

@@ -71,5 +71,12 @@ def test_artifacts_round_trip_and_inference(spark):
     written = spark.read.option("header", True).csv(os.path.join(d, "submission"))
     assert written.count() == test.count()
     assert written.where((F.col("TARGET").cast("double") < 0) | (F.col("TARGET").cast("double") > 1)).count() == 0
+    # fold models reload and score the same rows identically
+    from pyspark.ml.classification import GBTClassificationModel
+    m0 = GBTClassificationModel.load(os.path.join(d, "models", "lgbm_v1_fold0"))
+    assert m0.numFeatures == res.base["lgbm"].models[0].numFeatures
+    assert m0.featureImportances == res.base["lgbm"].models[0].featureImportances
+    runs = report.run_summary(spark, os.path.join(d, "metrics")).collect()
+    assert "stack_bayes" in {r.run for r in runs}
     export_features(prep, os.path.join(d, "features"))
     assert spark.read.parquet(os.path.join(d, "features", "features_train")).count() == train.count()
