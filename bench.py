@@ -38,7 +38,7 @@ def main():
     # warm-up on the smallest tables (JVM JIT, codegen caches); not timed
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
-        for name in ("feature_matrix", "roc_auc_by_fold", "meta_features"):
+        for name in ("feature_matrix", "roc_auc_by_fold", "meta_features", "cross_fit_gbt"):
             QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for name in only:

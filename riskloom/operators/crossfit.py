@@ -67,6 +67,24 @@ def _feature_exprs(feats, cats, arity, scale, float32=False):
     return out
 
 
+def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
+    """Persist ``df`` for iterative learners and make sure every core gets a
+    slice. The partition count of a materialised cache is exact (AQE may
+    have coalesced a small input into one partition); only below the
+    cluster's default parallelism is it hash-repartitioned on the key (and
+    sorted, so a rerun sees the same rows in the same order). A large input
+    never pays this extra shuffle."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    spread = df.repartition(target, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    df.unpersist()
+    return spread
+
+
 def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: str,
                float32: bool = False) -> DataFrame:
     staged = df.select(*keep, *_feature_exprs(feats, cats, arity, scale, float32))
@@ -93,7 +111,7 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     else:
         base = train.select(key, label, *feats).join(folds_df.select(key, "fold"), key)
     extra = [class_weight(label, spec.positive_weight).alias("_w")] if spec.positive_weight else []
-    base = base.select("*", F.col(label).cast("double").alias("_y"), *extra).persist(StorageLevel.MEMORY_AND_DISK)
+    base = ensure_parallel(base.select("*", F.col(label).cast("double").alias("_y"), *extra), key)
     arity = nominal(base, cats)
     keep = [key, label, "fold", "_y"] + (["_w"] if extra else [])
     n_feat = len(feats)

@@ -39,14 +39,14 @@ def adversarial_validation(train_mat: DataFrame, test_mat: DataFrame, features:
                            key: str = KEY, spec: LearnerSpec | None = None, mode: str = "oof",
                            fold_cfg: FoldConfig | None = None) -> tuple[float, DataFrame]:
     """Returns (drift AUC, importances sorted descending)."""
-    from .crossfit import _vectorise, cross_fit
+    from .crossfit import _vectorise, cross_fit, ensure_parallel
     spec = spec or gbt_profile(trees=10, depth=5)
     cols = [key, *features]
     both = union_train_test(train_mat.select(*cols), test_mat.select(*cols))
     spark = both.sparkSession
     if mode == "in_sample":
         base = both.select("*", F.col("IS_TEST").cast("double").alias("_y"))
-        mat = _vectorise(base, [key, "IS_TEST", "_y"], features, [], {}, None, "_x")
+        mat = ensure_parallel(_vectorise(base, [key, "IS_TEST", "_y"], features, [], {}, None, "_x"), key)
         model = spec.estimator("_x", "_y", len(features)).fit(mat)
         scored = model.transform(mat).select(
             key, "IS_TEST", F.col("probability").alias("_prob"))
@@ -54,6 +54,7 @@ def adversarial_validation(train_mat: DataFrame, test_mat: DataFrame, features:
         scored = scored.select(key, "IS_TEST", vector_to_array("_prob")[1].alias("_s"))
         auc = roc_auc_table(scored, "IS_TEST", "_s", tiebreak=key).first()["auc"]
         imp = model.featureImportances
+        mat.unpersist()
     elif mode == "oof":
         res = cross_fit(spec, both, both.limit(0), features, label="IS_TEST", key=key,
                         fold_cfg=fold_cfg or FoldConfig(n_splits=3), version="drift")
