@@ -88,3 +88,18 @@ def test_feature_matrix_on_fixture(spark):
     assert all(v == 0 for v in nulls)                          # imputed: no NULL left
     assert prep.features.categorical == ["AGE_BIN", "INCOME_BIN", "EXT_SOURCE_MEAN_BIN"]
     assert "SK_ID_CURR" not in prep.features.names and "TARGET" not in prep.features.names
+
+
+def test_preview_and_refit_option(spark):
+    from riskloom.plans.training import prepare, preview
+    from riskloom.sources.applicants import applicant_frames
+    from tests.conftest import SF
+    train, test = applicant_frames(spark, SF)
+    p = preview(prepare(train, test), n=5, names=25)
+    assert p["train_rows"] == train.count() and p["test_rows"] == test.count()
+    assert len(p["first_names"]) == 25 and p["head"].count() == 5
+    keys = [r.SK_ID_CURR for r in p["head"].collect()]
+    assert keys == sorted(keys)
+    refit = prepare(train, test, refit_bins_on_test=True)
+    codes = {r[0] for r in refit.test.select("INCOME_BIN").distinct().collect()}
+    assert codes <= {0, 1, 2, 3, 4, -1} and len(codes) >= 4     # test gets its own quintiles
