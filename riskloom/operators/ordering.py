@@ -42,11 +42,13 @@ MAX_RANGE_PARTITIONS = 100_000
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Partitions for a numbering pass: at least the shuffle partition count,
-    and at least the input's own partition count (a file scan splits by
-    ``spark.sql.files.maxPartitionBytes``, so this grows with the data)."""
-    return max(1, min(MAX_RANGE_PARTITIONS,
-                      max(default_parallelism(df.sparkSession), df.rdd.getNumPartitions())))
+    """Range partitions of a numbering pass: ``riskloom.ordering.partitions``
+    when the session sets it, else ``spark.sql.shuffle.partitions`` (which a
+    cluster job sizes to its data). Read from configuration only: asking the
+    DataFrame for its partition count would run its shuffle stages under AQE."""
+    conf = df.sparkSession.conf.get("riskloom.ordering.partitions", None)
+    n = int(conf) if conf else default_parallelism(df.sparkSession)
+    return max(1, min(MAX_RANGE_PARTITIONS, n))
 
 
 @dataclass
