@@ -178,13 +178,14 @@ def _fit_bayes_from_stats(stats, exclude=None):
 def _fit_logreg(df: DataFrame, feats: list[str], label: str, n: int | None = None,
                 assembled: bool = False):
     """L2 logistic fit equal to C=1 with a free intercept: Spark's objective is
-    mean loss + reg/2 |w|^2, so reg = 1/n (n = rows fitted)."""
+    mean loss + reg/2 |w|^2, so reg = 1/n (n = rows fitted); tolerance 1e-4, at most
+    1000 iterations, as the original stacker was configured."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     n = n if n is not None else df.count()
     vec = df if assembled else VectorAssembler(inputCols=feats, outputCol="_x").transform(df).select(
         "_x", F.col(label).cast("double").alias("_y"))
-    m = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / max(n, 1),
+    m = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, tol=1e-4, regParam=1.0 / max(n, 1),
                            elasticNetParam=0.0, standardization=False, fitIntercept=True).fit(vec)
     return [float(c) for c in m.coefficients], float(m.intercept)
 
