@@ -44,3 +44,22 @@ def test_folds_errors(spark):
     # a class smaller than k is allowed
     ok = spark.createDataFrame([(i, 1 if i < 2 else 0) for i in range(30)], "SK_ID_CURR long, TARGET int")
     assert folds.make_stratified_folds(ok, cfg=folds.FoldConfig(n_splits=5)).count() == 30
+
+
+def test_shuffle_join_paths_give_same_results(spark, monkeypatch):
+    """Above the proven-size bound the rank table and encoder mappings are
+    shuffle-joined; results must not change."""
+    from riskloom.operators import ordering
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else float(i % 5), ["x", "y", None][i % 3])
+                                for i in range(60)], "k long, v double, c string")
+    small = {r.k: r.r for r in ordering.pct_rank(df, "v", "r", "k").collect()}
+    enc_small = encoding.apply_label_encoders(df, encoding.fit_label_encoders(df, ["c"]), ["c"]).collect()
+    monkeypatch.setattr(ordering, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(encoding, "BROADCAST_MAX_ROWS", 0)
+    ranked = ordering.pct_rank(df, "v", "r", "k")
+    ranked.collect()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or "BroadcastHashJoin" in plan
+    assert {r.k: r.r for r in ranked.collect()} == small
+    enc = encoding.apply_label_encoders(df, encoding.fit_label_encoders(df, ["c"]), ["c"])
+    assert sorted(map(tuple, enc.collect())) == sorted(map(tuple, enc_small))
