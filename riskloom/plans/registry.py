@@ -394,14 +394,20 @@ def q_leaderboard(spark, sf_dir):
     prep = _prepared(spark, sf_dir)
     cfg = folds.FoldConfig(n_splits=FOLDS)
     fold_ids = folds.make_stratified_folds(prep.train.select(KEY, LABEL), LABEL, cfg).persist()
-    rows = []
-    for name, spec in (("logreg", learners.logreg_profile(50)), ("rf", learners.rf_profile(TREES)),
-                       ("gbt", learners.gbt_profile(TREES))):
+    specs = (("logreg", learners.logreg_profile(50)), ("rf", learners.rf_profile(TREES)),
+             ("gbt", learners.gbt_profile(TREES)))
+
+    def fit(item):
+        name, spec = item
         r = cross_fit(spec, prep.train, prep.test, prep.features.names, prep.features.categorical,
                       fold_cfg=cfg, version=name, folds_df=fold_ids)
         m = r.metrics
-        rows.append((name, m["mean_auc"], m["std_auc"], m["min_auc"], m["max_auc"]))
         r.release()
+        return name, m["mean_auc"], m["std_auc"], m["min_auc"], m["max_auc"]
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(specs)) as pool:   # independent learners
+        rows = list(pool.map(fit, specs))
     return spark.createDataFrame(rows, "model string, mean_auc double, std_auc double, "
                                        "min_auc double, max_auc double").orderBy(F.col("mean_auc").desc())
 
