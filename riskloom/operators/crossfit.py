@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
-from .folds import FoldConfig, make_stratified_folds, require_columns
+from .folds import FoldConfig, assign_folds, require_columns
 from .impute import fit_standardizer
 from .learners import LearnerSpec, class_weight, nominal
 from .metrics import auc_by_fold, run_metrics
@@ -107,7 +107,7 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     feats = list(features)
     k = fold_cfg.n_splits
     if folds_df is None:
-        base = make_stratified_folds(train.select(key, label, *feats), label, fold_cfg, key)
+        base = assign_folds(train.select(key, label, *feats), label, fold_cfg, key)
     else:
         base = train.select(key, label, *feats).join(folds_df.select(key, "fold"), key)
     extra = [class_weight(label, spec.positive_weight).alias("_w")] if spec.positive_weight else []

@@ -56,6 +56,17 @@ def make_stratified_folds(df: DataFrame, label: str = LABEL, cfg: FoldConfig | N
     return numbered.df.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
 
 
+def assign_folds(df: DataFrame, label: str = LABEL, cfg: FoldConfig | None = None,
+                 key: str = KEY, out: str = "fold") -> DataFrame:
+    """Fold column for a wide table: only (key, label) goes through the
+    numbering pass (and its checkpoint); the fold is joined back on the key,
+    so the wide rows cross one ordinary shuffle instead of being written to
+    the checkpoint folder."""
+    require_columns(df, [label, key])
+    ids = make_stratified_folds(df.select(key, label), label, cfg, key, out).select(key, out)
+    return df.join(ids, key, "inner")
+
+
 def fold_split(df: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
     """(train, valid) of fold ``fold``: ``fold != k`` / ``fold == k``."""
     require_columns(df, [fold_col])

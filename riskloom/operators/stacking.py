@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
 from ..functions import columns as fx
-from .folds import FoldConfig, make_stratified_folds, require_columns
+from .folds import FoldConfig, assign_folds, require_columns
 from .metrics import auc_by_fold, run_metrics
 from .ordering import pct_rank_many
 
@@ -203,7 +203,7 @@ def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
     preds = score_columns(oof, key, label)
     meta = meta_features(oof, preds, key, eps)
     feats = meta_feature_names(preds)
-    with_folds = make_stratified_folds(meta, label, fold_cfg, key).persist()
+    with_folds = assign_folds(meta, label, fold_cfg, key).persist()
     k = fold_cfg.n_splits
     fold_models = []
     if stacker_type == "bayes":
