@@ -389,3 +389,24 @@ ORACLE.update({
     "scan_scores": with_applicants("SELECT * FROM oof", SCORES),
     "run_summary": with_applicants(" UNION ALL ".join(_run_row(p) for p in PREDS), SCORES + "," + FOLDS3),
 })
+
+
+def _bigint_counts(sql: str) -> str:
+    """DuckDB types count_if(...) as HUGEINT; Spark's count_if is bigint.
+    Rewrite every count_if(cond) as count(*) FILTER (WHERE cond) (BIGINT)."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 1, j + len(tok)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(f"(count(*) FILTER (WHERE {sql[j + len(tok):k - 1]}))")
+        i = k
+
+
+ORACLE = {k: _bigint_counts(v) for k, v in ORACLE.items()}
