@@ -175,6 +175,38 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     return result
 
 
+def leaderboard(specs: dict, train: DataFrame, test: DataFrame, features: list[str],
+                categorical: list[str] = (), label: str = LABEL, key: str = KEY,
+                fold_cfg: FoldConfig | None = None) -> tuple[DataFrame, CrossFitResult]:
+    """H5, re-aimed: cross-fit several learners on ONE shared fold assignment
+    (submitted concurrently) and rank them by mean out-of-fold AUC.
+
+    Returns (leaderboard table, result of the best model) -- the best
+    model's scores are true out-of-fold scores, not in-sample ones. The other
+    results are released."""
+    from .folds import make_stratified_folds
+    fold_cfg = fold_cfg or FoldConfig()
+    fold_ids = make_stratified_folds(train.select(key, label), label, fold_cfg, key).persist()
+
+    def fit(item):
+        name, spec = item
+        return name, cross_fit(spec, train, test, features, categorical, label, key, fold_cfg,
+                               version=name, folds_df=fold_ids)
+
+    with ThreadPoolExecutor(max_workers=max(1, len(specs))) as pool:
+        results = dict(pool.map(fit, specs.items()))
+    rows = [(n, r.metrics["mean_auc"], r.metrics["std_auc"], r.metrics["min_auc"], r.metrics["max_auc"])
+            for n, r in results.items()]
+    best = max(rows, key=lambda r: (r[1] if r[1] is not None else -1.0, r[0]))[0]
+    for n, r in results.items():
+        if n != best:
+            r.release()
+    table = train.sparkSession.createDataFrame(
+        rows, "model string, mean_auc double, std_auc double, min_auc double, max_auc double") \
+        .orderBy(F.col("mean_auc").desc(), F.col("model"))
+    return table, results[best]
+
+
 def write_artifacts(res: CrossFitResult, artifacts_dir: str) -> None:
     """OOF and test score tables, metrics JSON, fold models."""
     v = res.version

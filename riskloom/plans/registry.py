@@ -390,26 +390,14 @@ def q_oof_union(spark, sf_dir):
 def q_leaderboard(spark, sf_dir):
     """H5 re-aimed: the same folds for {LR, RF, GBT}; one row per model."""
     from ..operators import learners
-    from ..operators.crossfit import cross_fit
+    from ..operators.crossfit import leaderboard
     prep = _prepared(spark, sf_dir)
-    cfg = folds.FoldConfig(n_splits=FOLDS)
-    fold_ids = folds.make_stratified_folds(prep.train.select(KEY, LABEL), LABEL, cfg).persist()
-    specs = (("logreg", learners.logreg_profile(50)), ("rf", learners.rf_profile(TREES)),
-             ("gbt", learners.gbt_profile(TREES)))
-
-    def fit(item):
-        name, spec = item
-        r = cross_fit(spec, prep.train, prep.test, prep.features.names, prep.features.categorical,
-                      fold_cfg=cfg, version=name, folds_df=fold_ids)
-        m = r.metrics
-        r.release()
-        return name, m["mean_auc"], m["std_auc"], m["min_auc"], m["max_auc"]
-
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=len(specs)) as pool:   # independent learners
-        rows = list(pool.map(fit, specs))
-    return spark.createDataFrame(rows, "model string, mean_auc double, std_auc double, "
-                                       "min_auc double, max_auc double").orderBy(F.col("mean_auc").desc())
+    specs = {"logreg": learners.logreg_profile(50), "rf": learners.rf_profile(TREES),
+             "gbt": learners.gbt_profile(TREES)}
+    table, best = leaderboard(specs, prep.train, prep.test, prep.features.names,
+                              prep.features.categorical, fold_cfg=folds.FoldConfig(n_splits=FOLDS))
+    best.release()
+    return table
 
 
 def _stack(spark, sf_dir, kind):
