@@ -34,10 +34,9 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-# Offsets are one row per range partition; beyond this the layout is wrong.
+# Per-partition counts (x small count_by groups) reaching the driver; the
+# broadcast offsets table is one row per partition, at most MAX_RANGE_PARTITIONS.
 MAX_OFFSET_ROWS = 1_000_000
-
-
 MAX_RANGE_PARTITIONS = 100_000
 
 
