@@ -15,7 +15,7 @@ from riskloom.plans.registry import QUERIES  # noqa: E402
 from riskloom.session import build_session  # noqa: E402
 
 NAMES = ["scan_applicants", "feature_matrix", "pct_rank", "roc_auc_by_fold", "join_oof",
-         "meta_features", "validate_submission", "gram_matrix", "label_encode"]
+         "meta_features", "validate_submission", "gram_matrix", "label_encode", "cross_fit_gbt_cat"]
 
 
 def main():
