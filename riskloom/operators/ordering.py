@@ -92,21 +92,52 @@ def global_row_number(df: DataFrame, order: Sequence, out: str = "_rn",
     return Numbered(numbered, running, rows)
 
 
-def pct_rank_table(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
-                   num_partitions: int | None = None) -> DataFrame:
-    """(_rv, out): percent rank of every distinct non-NULL value of ``value``.
+def attach_by_value(df: DataFrame, table: DataFrame, value, key_col: str, cols: Sequence[str],
+                    rows: int, hot_rows: int) -> DataFrame:
+    """Left-join ``table`` (one row per distinct value, with a ``_cnt`` tie
+    count) onto ``df`` on ``value == table[key_col]``.
+
+    * ``rows`` (distinct values) <= BROADCAST_MAX_ROWS: broadcast, df is not
+      shuffled at all.
+    * otherwise values held by more than ``hot_rows`` rows are split off:
+      their table rows (at most total / hot_rows of them, collected as state)
+      are broadcast to the df rows carrying them, and only the remaining rows
+      take the shuffle join -- a value on a third of the rows never lands in
+      one reducer.
+    """
+    value = col_of(value)
+    keep = [key_col, *cols]
+    if rows <= BROADCAST_MAX_ROWS:
+        return df.join(F.broadcast(table.select(*keep)), value == F.col(key_col), "left").drop(key_col)
+    hot = [r[0] for r in table.where(F.col("_cnt") > hot_rows).select(key_col).collect()]
+    if not hot:
+        return df.join(table.select(*keep), value == F.col(key_col), "left").drop(key_col)
+    is_hot = value.isin(hot)
+    hot_part = df.where(is_hot).join(F.broadcast(table.where(F.col(key_col).isin(hot)).select(*keep)),
+                                     value == F.col(key_col), "left")
+    cold_part = df.where(~is_hot | value.isNull()).join(table.where(~F.col(key_col).isin(hot)).select(*keep),
+                                                        value == F.col(key_col), "left")
+    return hot_part.unionByName(cold_part).drop(key_col)
+
+
+def _hot_threshold(total: int, partitions: int) -> int:
+    """A value is hot when it holds more than half a range partition's rows."""
+    return max(1, total // (2 * max(partitions, 1)))
+
 
-    The numbering pass counts the rows, an upper bound of the distinct
-    values: at or below ``BROADCAST_MAX_ROWS`` the table is marked for
-    broadcast, above it the join-back is a shuffle join (AQE splits a hot
-    value's partition)."""
+def pct_rank_table(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
+                   num_partitions: int | None = None) -> tuple[DataFrame, int, int]:
+    """(_rv, out, _cnt): percent rank and tie count of every distinct non-NULL
+    value, plus (rows numbered, hot threshold) for :func:`attach_by_value`."""
     order = [value] + ([tiebreak] if tiebreak else [])
     nn = df.where(F.col(value).isNotNull()).select(*order)
-    numbered = global_row_number(nn, order, "_rn", num_partitions)
+    n = num_partitions or range_partitions(df)
+    numbered = global_row_number(nn, order, "_rn", n)
     total = float(max(numbered.total, 1))
     ranks = (numbered.df.groupBy(F.col(value).alias("_rv"))
-             .agg(((F.min("_rn") + F.max("_rn")) / 2.0 / total).alias(out)))
-    return F.broadcast(ranks) if numbered.total <= BROADCAST_MAX_ROWS else ranks
+             .agg(((F.min("_rn") + F.max("_rn")) / 2.0 / total).alias(out),
+                  (F.max("_rn") - F.min("_rn") + 1).alias("_cnt")))
+    return ranks, numbered.total, _hot_threshold(numbered.total, n)
 
 
 def pct_rank(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
@@ -114,12 +145,12 @@ def pct_rank(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
     """Average-tie rank divided by the non-NULL count; NULL stays NULL.
 
     Rows are numbered over (value, tiebreak); each distinct value's rank is
-    the mid point of its first and last position, joined back on the value.
-    A hot value is one row on the small side of that join; AQE splits the
-    skewed partition on the large side.
+    the mid point of its first and last position, attached back on the value
+    (broadcast when the value count is proven small, else a shuffle join
+    with hot values split off and broadcast).
     """
-    ranks = pct_rank_table(df, value, out, tiebreak, num_partitions)
-    return df.join(ranks, F.col(value) == F.col("_rv"), "left").drop("_rv")
+    ranks, total, hot = pct_rank_table(df, value, out, tiebreak, num_partitions)
+    return attach_by_value(df, ranks, F.col(value), "_rv", [out], total, hot)
 
 
 def roc_auc_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
@@ -198,14 +229,16 @@ def pct_rank_many(df: DataFrame, cols: Sequence[str], suffix: str = "_rank",
     ranks = (numbered.df.join(bounds, F.col("_c") == F.col("_bc"))       # one row per column
              .groupBy("_c", "_v")
              .agg(((F.min("_rn") + F.max("_rn")) / 2.0 - F.first("_off")).alias("_mid"),
-                  F.first("_n").alias("_n"))
-             .select("_c", "_v", (F.col("_mid") / F.col("_n")).alias("_r")))
+                  F.first("_n").alias("_n"), (F.max("_rn") - F.min("_rn") + 1).alias("_cnt"))
+             .select("_c", "_v", (F.col("_mid") / F.col("_n")).alias("_r"), "_cnt"))
+    n_parts = num_partitions or range_partitions(df)
     out = df
     for i, c in enumerate(cols):
-        r = ranks.where(F.col("_c") == i).select(F.col("_v").alias(f"_rv{i}"), F.col("_r").alias(f"{c}{suffix}"))
-        if sizes.get(i, 0) <= BROADCAST_MAX_ROWS:
-            r = F.broadcast(r)
-        out = out.join(r, F.col(c).cast("double") == F.col(f"_rv{i}"), "left").drop(f"_rv{i}")
+        r = ranks.where(F.col("_c") == i).select(F.col("_v").alias(f"_rv{i}"),
+                                                 F.col("_r").alias(f"{c}{suffix}"), "_cnt")
+        n_i = sizes.get(i, 0)
+        out = attach_by_value(out, r, F.col(c).cast("double"), f"_rv{i}", [f"{c}{suffix}"],
+                              n_i, _hot_threshold(n_i, n_parts))
     return out
 
 

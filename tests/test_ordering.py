@@ -119,3 +119,18 @@ def test_hot_value_spreads_over_partitions(spark):
     assert hot[0] == hot[-1]                                   # one rank for the tie group
     below = sum(1 for p in ps if p < 0.5)
     assert hot[0] == pytest.approx((below + (1000 + 1) / 2) / 3000)
+
+
+def test_hot_value_split_join_matches_broadcast(spark, monkeypatch):
+    """Above the broadcast bound, hot values are split off and broadcast and the
+    rest is shuffle-joined; ranks must equal the all-broadcast result."""
+    rows = [(i, 0.5 if i % 3 == 0 else (None if i % 11 == 0 else (i % 97) / 97.0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, p double")
+    want = {r.k: r.r for r in ordering.pct_rank(df, "p", "r", "k", num_partitions=8).collect()}
+    monkeypatch.setattr(ordering, "BROADCAST_MAX_ROWS", 0)
+    got = ordering.pct_rank(df, "p", "r", "k", num_partitions=8)
+    got_rows = {r.k: r.r for r in got.collect()}
+    assert got_rows == want and len(got_rows) == 3000
+    multi = ordering.pct_rank_many(df.withColumn("q", F.col("p") * 2), ["p", "q"], "_rank", "k", 8)
+    m = {r.k: (r.p_rank, r.q_rank) for r in multi.collect()}
+    assert all(m[k][0] == want[k] and m[k][1] == want[k] for k in want)
