@@ -55,7 +55,6 @@ def test_shuffle_join_paths_give_same_results(spark, monkeypatch):
     small = {r.k: r.r for r in ordering.pct_rank(df, "v", "r", "k").collect()}
     enc_small = encoding.apply_label_encoders(df, encoding.fit_label_encoders(df, ["c"]), ["c"]).collect()
     monkeypatch.setattr(ordering, "BROADCAST_MAX_ROWS", 0)
-    monkeypatch.setattr(encoding, "BROADCAST_MAX_ROWS", 0)
     ranked = ordering.pct_rank(df, "v", "r", "k")
     ranked.collect()
     plan = ranked._jdf.queryExecution().executedPlan().toString()
