@@ -80,3 +80,19 @@ def test_artifacts_round_trip_and_inference(spark):
     assert "stack_bayes" in {r.run for r in runs}
     export_features(prep, os.path.join(d, "features"))
     assert spark.read.parquet(os.path.join(d, "features", "features_train")).count() == train.count()
+
+
+def test_best_trial_and_write_best(spark):
+    from riskloom.operators import search
+    trials = spark.createDataFrame([(0, '{"depth": 4}', 0.70, 0.01), (1, '{"depth": 6}', 0.80, 0.02),
+                                    (2, '{"depth": 5}', 0.75, 0.03)],
+                                   "trial int, params string, mean_auc double, std_auc double")
+    b = search.best_trial(trials).first()
+    assert (b.trial, b.mean_auc) == (1, 0.80)
+    d = tempfile.mkdtemp(prefix="riskloom-best-")
+    assert search.write_best(trials, d, "lgbm") == {"depth": 6}
+    r = report.run_summary(spark, d).first()
+    assert r.run == "lgbm_best" and r.config == "lgbm" and r.mean_auc == 0.80
+    import random
+    draw = search.draw(search.CAT_SPACE, random.Random(1))
+    assert 4 <= draw["depth"] <= 8 and 0.01 <= draw["learning_rate"] <= 0.2
