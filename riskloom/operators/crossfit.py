@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .. import KEY, LABEL
 from .folds import FoldConfig, assign_folds, require_columns
 from .impute import fit_standardizer
-from .learners import LearnerSpec, class_weight, nominal
+from .learners import LearnerSpec, class_weight
 from .metrics import auc_by_fold, run_metrics
 
 
@@ -67,22 +67,23 @@ def _feature_exprs(feats, cats, arity, scale, float32=False):
     return out
 
 
-def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
+def ensure_parallel(df: DataFrame, key: str, aggs=()) -> DataFrame | tuple:
     """Persist ``df`` for iterative learners and make sure every core gets a
     slice. The partition count of a materialised cache is exact (AQE may
     have coalesced a small input into one partition); only below the
     cluster's default parallelism is it hash-repartitioned on the key (and
     sorted, so a rerun sees the same rows in the same order). A large input
-    never pays this extra shuffle."""
+    never pays this extra shuffle. ``aggs`` ride on the materialising pass;
+    when given, (df, row of aggs) is returned."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    spread = df.repartition(target, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
-    spread.count()
-    df.unpersist()
-    return spread
+    if df.rdd.getNumPartitions() < target:
+        spread = df.repartition(target, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+        spread.count()
+        df.unpersist()
+        df = spread
+    return (df, row) if aggs else df
 
 
 def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: str,
@@ -111,8 +112,10 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     else:
         base = train.select(key, label, *feats).join(folds_df.select(key, "fold"), key)
     extra = [class_weight(label, spec.positive_weight).alias("_w")] if spec.positive_weight else []
-    base = ensure_parallel(base.select("*", F.col(label).cast("double").alias("_y"), *extra), key)
-    arity = nominal(base, cats)
+    # the materialising pass also yields each bin's arity (codes -1..m -> m+2 values)
+    base, row = ensure_parallel(base.select("*", F.col(label).cast("double").alias("_y"), *extra), key,
+                                [F.max(c).alias(c) for c in cats] or [F.lit(0).alias("_none")])
+    arity = {c: int(row[c] if row[c] is not None else -1) + 2 for c in cats}
     keep = [key, label, "fold", "_y"] + (["_w"] if extra else [])
     n_feat = len(feats)
 
