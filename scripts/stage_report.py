@@ -60,6 +60,26 @@ def summarise(path: str) -> dict:
     return {sid: (names.get(sid, "?"), jobs_of.get(sid, "?"), t) for sid, t in stages.items()}
 
 
+def hot_value_scenario(spark, sf):
+    """Percent rank of a score that puts one value on a third of the applicants,
+    through the broadcast path and through the split/shuffle path."""
+    from pyspark.sql import functions as F
+    from riskloom.operators import ordering
+    from riskloom.sources.applicants import applicant_fixture
+    apps = applicant_fixture(spark, sf).select(
+        "SK_ID_CURR", F.when(F.col("SK_ID_CURR") % 3 == 0, F.lit(0.5))
+        .otherwise(F.col("EXT_SOURCE_2")).alias("hot_score"))
+    spark.sparkContext.setLocalProperty("riskloom.query", "hot pct_rank (broadcast)")
+    ordering.pct_rank(apps, "hot_score", "r", "SK_ID_CURR").write.format("noop").mode("overwrite").save()
+    bound = ordering.BROADCAST_MAX_ROWS
+    ordering.BROADCAST_MAX_ROWS = 0
+    try:
+        spark.sparkContext.setLocalProperty("riskloom.query", "hot pct_rank (split + shuffle)")
+        ordering.pct_rank(apps, "hot_score", "r", "SK_ID_CURR").write.format("noop").mode("overwrite").save()
+    finally:
+        ordering.BROADCAST_MAX_ROWS = bound
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     names = sys.argv[2:] or DEFAULT
@@ -70,6 +90,7 @@ def main():
     for name in names:
         spark.sparkContext.setLocalProperty("riskloom.query", name)
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+    hot_value_scenario(spark, sf)
     spark.stop()
     log = glob.glob(os.path.join(log_dir, "*"))[0]
     rows = summarise(log)
@@ -83,7 +104,10 @@ def main():
            "AQE sizing, not a funnel: at cluster scale file splits and shuffle sizes give",
            "thousands of tasks). The stages whose balance this design controls are the",
            "range-partitioned numbering passes (`checkpoint`): 8 tasks with max/median records",
-           "close to 1, including the tie-heavy score columns.", "",
+           "close to 1, including the tie-heavy score columns. The `hot pct_rank` rows rank a",
+           "score with one value on a third of the 150,000 applicants: the numbering stays",
+           "balanced, and with the broadcast bound forced to 0 the hot value is split off to",
+           "a broadcast so no reducer of the shuffle join receives it.", "",
            "| query | stage | operation | tasks | ms max / median | records max / median |",
            "| --- | --- | --- | --- | --- | --- |"]
     for sid in sorted(rows):
