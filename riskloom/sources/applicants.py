@@ -13,7 +13,10 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, St
 from .. import KEY, LABEL
 from ..functions.columns import nan_to_null
 
-NA_TOKENS = ("NA", "NaN", "nan", "")
+# The strings pandas' CSV reader treats as missing by default
+# (its documented na_values list); the original pipeline read its CSVs that way.
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+             "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +84,7 @@ def normalise(df: DataFrame, key: str = KEY) -> DataFrame:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = nan_to_null(c)
         elif isinstance(f.dataType, StringType):
-            c = F.when(~F.trim(c).isin(*NA_TOKENS), c)
+            c = F.when(~c.isin(*NA_TOKENS), c)
         out.append(c.alias(f.name))
     return df.select(*out)
 
