@@ -89,6 +89,22 @@ def normalise(df: DataFrame, key: str = KEY) -> DataFrame:
     return df.select(*out)
 
 
+def numeric_strings_to_double(df: DataFrame) -> DataFrame:
+    """Without a schema, a numeric column holding a missing-value string is
+    inferred as string. After NA strings became NULL, cast every string column
+    whose remaining values all parse as numbers to double (one aggregate pass
+    over the string columns)."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    if not cols:
+        return df
+    row = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(f"b_{i}")
+                   for i, c in enumerate(cols)],
+                 *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+    numeric = {c for i, c in enumerate(cols) if row[f"b_{i}"] == 0 and row[f"n_{i}"] > 0}
+    return df.select(*[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c)
+                       for c in df.columns])
+
+
 def load_train_test(spark: SparkSession, train_path: str, test_path: str, fmt: str = "csv",
                     schema: StructType | None = None, label: str = LABEL,
                     key: str = KEY) -> tuple[DataFrame, DataFrame]:
@@ -108,6 +124,8 @@ def load_train_test(spark: SparkSession, train_path: str, test_path: str, fmt: s
     if schema is not None:
         test_schema = StructType([f for f in schema.fields if f.name != label])
     test = normalise(read(test_path, test_schema), key)
+    if schema is None:
+        train = numeric_strings_to_double(train)
     if key not in train.columns or key not in test.columns:
         raise ValueError(f"key column {key!r} missing")
     if label not in train.columns:

@@ -18,12 +18,17 @@ def test_load_train_test_csv_na_and_types(spark):
     _write(os.path.join(d, "train.csv"),
            "SK_ID_CURR,TARGET,AMT_CREDIT,NAME\n1,0,10.5,a\n2,1,NA,NA\n3,0,NaN,b\n6,1,1.0,N/A\n7,0,2.0,null\n")
     _write(os.path.join(d, "test.csv"), "SK_ID_CURR,AMT_CREDIT,NAME\n4,7,a\n5,NA,c\n")
+    _write(os.path.join(d, "train2.csv"),
+           "SK_ID_CURR,TARGET,AMT_GOODS_PRICE,NAME\n1,0,N/A,a\n2,1,3.5,b\n3,0,null,c\n")
     train, test = load_train_test(spark, os.path.join(d, "train.csv"), os.path.join(d, "test.csv"))
     t = {r.SK_ID_CURR: r for r in train.collect()}
     assert t[2].AMT_CREDIT is None and t[3].AMT_CREDIT is None and t[2].NAME is None
     assert t[6].NAME is None and t[7].NAME is None and t[1].NAME == "a"
     assert dict(test.dtypes)["AMT_CREDIT"] == dict(train.dtypes)["AMT_CREDIT"] == "double"
     assert "TARGET" not in test.columns
+    tr2, te2 = load_train_test(spark, os.path.join(d, "train2.csv"), os.path.join(d, "test.csv"))
+    assert dict(tr2.dtypes)["AMT_GOODS_PRICE"] == "double" and dict(tr2.dtypes)["NAME"] == "string"
+    assert sorted(r[0] for r in tr2.select("AMT_GOODS_PRICE").collect() if r[0] is not None) == [3.5]
     with pytest.raises(ValueError):
         load_train_test(spark, os.path.join(d, "test.csv"), os.path.join(d, "test.csv"))
 
