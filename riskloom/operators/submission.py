@@ -18,7 +18,8 @@ def validate_submission(sub: DataFrame, test_keys: DataFrame, key: str = KEY,
     extra_cols = len([c for c in sub.columns if c not in (key, score)])
     if key not in sub.columns or score not in sub.columns:
         raise ValueError(f"submission needs columns {key!r} and {score!r}")
-    keys = test_keys.select(key, F.lit(True).alias("_in_test")).distinct()
+    # distinct on the key alone, flag added after: the join reuses that partitioning
+    keys = test_keys.select(key).distinct().select(key, F.lit(True).alias("_in_test"))
     s = F.col(score).cast("double")
     # one row per submitted key before any join: a key repeated on a third
     # of the rows is combined map-side instead of landing in one reducer
