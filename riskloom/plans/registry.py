@@ -467,6 +467,35 @@ def q_run_summary(spark, sf_dir):
                        "config", "params")
 
 
+def q_model_round_trip(spark, sf_dir):
+    """Fold models saved to the shared folder, loaded back, and the test
+    rows scored by the loaded models (mean over folds)."""
+    import os
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from ..operators import learners
+    from ..operators.crossfit import cross_fit
+    prep = _prepared(spark, sf_dir)
+    res = cross_fit(learners.gbt_profile(TREES, 4), prep.train, prep.test, prep.features.names,
+                    fold_cfg=folds.FoldConfig(n_splits=FOLDS), version="rt")
+    d = _scratch(spark, "models")
+    paths = []
+    for f, m in enumerate(res.models):
+        paths.append(os.path.join(d, f"rt_fold{f}"))
+        m.write().overwrite().save(paths[-1])
+    res.release()
+    vec = VectorAssembler(inputCols=prep.features.names, outputCol="_x").transform(
+        prep.test.select(KEY, *[F.col(c).cast("double") for c in prep.features.names]))
+    cols = []
+    for f, p in enumerate(paths):
+        m = GBTClassificationModel.load(p)
+        m.setProbabilityCol(f"_prob{f}").setRawPredictionCol(f"_raw{f}").setPredictionCol(f"_pred{f}")
+        vec = m.transform(vec)
+        cols.append(vector_to_array(f"_prob{f}")[1])
+    return vec.select(KEY, (sum(cols, F.lit(0.0)) / len(cols)).alias("pred_rt"))
+
+
 def q_scan_scores(spark, sf_dir):
     """A3/A4: score tables written, listed (mlp excluded, sorted), checked, joined."""
     from ..sources import scores as score_io
@@ -534,4 +563,5 @@ QUERIES = {
     "search_gbt_cat": q_search_gbt_cat,
     "run_summary": q_run_summary,
     "scan_scores": q_scan_scores,
+    "model_round_trip": q_model_round_trip,
 }
