@@ -162,12 +162,12 @@ def auc_sql(rel: str, y: str, p: str, group: str | None = None, digits: int | No
     """Exact AUC (average-tie ranks) of <p> against <y> per <group>."""
     g = f"PARTITION BY {group}" if group else ""
     gsel = f"{group}, " if group else ""
-    auc = (f"(sum(CASE WHEN {y} = 1 THEN r END) - count_if({y} = 1) * (count_if({y} = 1) + 1) / 2.0)"
-           f" / (count_if({y} = 1) * count_if({y} = 0))")
+    auc = (f"(sum(CASE WHEN {y} = 1 THEN r END) - (count(*) FILTER (WHERE {y} = 1)) * ((count(*) FILTER (WHERE {y} = 1)) + 1) / 2.0)"
+           f" / ((count(*) FILTER (WHERE {y} = 1)) * (count(*) FILTER (WHERE {y} = 0)))")
     if digits is not None:
         auc = f"round({auc}, {digits})"
     return f"""SELECT {gsel}{auc} AS auc,
-      count_if({y} = 1) AS n_pos, count_if({y} = 0) AS n_neg
+      (count(*) FILTER (WHERE {y} = 1)) AS n_pos, (count(*) FILTER (WHERE {y} = 0)) AS n_neg
     FROM (SELECT *, rank() OVER ({g} ORDER BY {p})
                  + (count(*) OVER ({g}{',' if group else 'PARTITION BY'} {p}) - 1) / 2.0 AS r
           FROM {rel}) {'GROUP BY ' + group if group else ''}"""
@@ -240,8 +240,8 @@ ORACLE = {
             ["AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"])
         + " FROM train)"),
     "class_balance": with_applicants(
-        "SELECT count_if(TARGET = 1) AS n_pos, count_if(TARGET = 0) AS n_neg, "
-        "CAST(count_if(TARGET = 0) AS DOUBLE) / NULLIF(count_if(TARGET = 1), 0) AS neg_pos_ratio FROM train"),
+        "SELECT (count(*) FILTER (WHERE TARGET = 1)) AS n_pos, (count(*) FILTER (WHERE TARGET = 0)) AS n_neg, "
+        "CAST((count(*) FILTER (WHERE TARGET = 0)) AS DOUBLE) / NULLIF((count(*) FILTER (WHERE TARGET = 1)), 0) AS neg_pos_ratio FROM train"),
     "standardize": with_applicants(
         "SELECT SK_ID_CURR, " + ", ".join(
             f"round((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1 ELSE s_{c} END, 6) AS {c}"
@@ -329,13 +329,13 @@ ORACLE.update({
         SCORES + "," + meta_cte("oof", "meta", True)
         + ", mu AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in META + ["TARGET"]) + " FROM meta)"),
     "validate_submission": with_applicants(
-        "SELECT count_if(s.k IS NOT NULL) AS rows, count_if(s.k IS NULL) AS missing_keys, "
-        "count_if(t.SK_ID_CURR IS NULL) AS extra_keys, "
-        "count_if(s.k IS NOT NULL) - count(DISTINCT s.k) AS duplicate_keys, "
-        "count_if(s.k IS NOT NULL AND (s.v IS NULL OR isnan(s.v))) AS null_scores, "
-        "count_if(s.k IS NOT NULL AND (s.v < 0 OR s.v > 1)) AS out_of_range, 0 AS extra_columns, "
-        "(count_if(s.k IS NULL) + count_if(t.SK_ID_CURR IS NULL) + count_if(s.k IS NOT NULL) - count(DISTINCT s.k) "
-        " + count_if(s.k IS NOT NULL AND (s.v IS NULL OR isnan(s.v))) + count_if(s.k IS NOT NULL AND (s.v < 0 OR s.v > 1))) = 0 AS valid "
+        "SELECT (count(*) FILTER (WHERE s.k IS NOT NULL)) AS rows, (count(*) FILTER (WHERE s.k IS NULL)) AS missing_keys, "
+        "(count(*) FILTER (WHERE t.SK_ID_CURR IS NULL)) AS extra_keys, "
+        "(count(*) FILTER (WHERE s.k IS NOT NULL)) - count(DISTINCT s.k) AS duplicate_keys, "
+        "(count(*) FILTER (WHERE s.k IS NOT NULL AND (s.v IS NULL OR isnan(s.v)))) AS null_scores, "
+        "(count(*) FILTER (WHERE s.k IS NOT NULL AND (s.v < 0 OR s.v > 1))) AS out_of_range, 0 AS extra_columns, "
+        "((count(*) FILTER (WHERE s.k IS NULL)) + (count(*) FILTER (WHERE t.SK_ID_CURR IS NULL)) + (count(*) FILTER (WHERE s.k IS NOT NULL)) - count(DISTINCT s.k) "
+        " + (count(*) FILTER (WHERE s.k IS NOT NULL AND (s.v IS NULL OR isnan(s.v)))) + (count(*) FILTER (WHERE s.k IS NOT NULL AND (s.v < 0 OR s.v > 1)))) = 0 AS valid "
         "FROM (SELECT DISTINCT SK_ID_CURR FROM test) t FULL OUTER JOIN (SELECT SK_ID_CURR AS k, TARGET AS v FROM sub) s "
         "ON t.SK_ID_CURR = s.k", LIN_SUB),
     "evaluate_scores": with_applicants(
@@ -346,14 +346,14 @@ ORACLE.update({
         "SELECT count(TARGET) AS count, round(avg(TARGET), 6) AS mean, round(stddev_samp(TARGET), 6) AS std, "
         "round(min(TARGET), 6) AS min, round(quantile_cont(TARGET, 0.25), 6) AS p25, "
         "round(quantile_cont(TARGET, 0.5), 6) AS p50, round(quantile_cont(TARGET, 0.75), 6) AS p75, "
-        "round(max(TARGET), 6) AS max, count_if(TARGET IS NULL OR isnan(TARGET)) AS n_nan, "
-        "count_if(abs(TARGET) = 'inf'::DOUBLE) AS n_inf FROM sub", LIN_SUB),
+        "round(max(TARGET), 6) AS max, (count(*) FILTER (WHERE TARGET IS NULL OR isnan(TARGET))) AS n_nan, "
+        "(count(*) FILTER (WHERE abs(TARGET) = 'inf'::DOUBLE)) AS n_inf FROM sub", LIN_SUB),
     "fold_summary": with_applicants(
         "SELECT round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc, "
         "round(min(auc), 6) AS min_auc, round(max(auc), 6) AS max_auc FROM fa",
         FOLDS + ", s AS (SELECT SK_ID_CURR, TARGET, fold, COALESCE(EXT_SOURCE_2, 0.5) AS pred_ext2 FROM folds), "
-        "fa AS (SELECT fold, (sum(CASE WHEN TARGET = 1 THEN r END) - count_if(TARGET = 1) * (count_if(TARGET = 1) + 1) / 2.0) "
-        "/ (count_if(TARGET = 1) * count_if(TARGET = 0)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY pred_ext2) "
+        "fa AS (SELECT fold, (sum(CASE WHEN TARGET = 1 THEN r END) - (count(*) FILTER (WHERE TARGET = 1)) * ((count(*) FILTER (WHERE TARGET = 1)) + 1) / 2.0) "
+        "/ ((count(*) FILTER (WHERE TARGET = 1)) * (count(*) FILTER (WHERE TARGET = 0))) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY pred_ext2) "
         "+ (count(*) OVER (PARTITION BY fold, pred_ext2) - 1) / 2.0 AS r FROM s) GROUP BY fold)"),
     "fold_mean_score": with_applicants(
         "SELECT SK_ID_CURR, round((" + " + ".join(
@@ -391,22 +391,5 @@ ORACLE.update({
 })
 
 
-def _bigint_counts(sql: str) -> str:
-    """DuckDB types count_if(...) as HUGEINT; Spark's count_if is bigint.
-    Rewrite every count_if(cond) as count(*) FILTER (WHERE cond) (BIGINT)."""
-    out, i, tok = [], 0, "count_if("
-    while True:
-        j = sql.find(tok, i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        out.append(sql[i:j])
-        depth, k = 1, j + len(tok)
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[k], 0)
-            k += 1
-        out.append(f"(count(*) FILTER (WHERE {sql[j + len(tok):k - 1]}))")
-        i = k
-
-
-ORACLE = {k: _bigint_counts(v) for k, v in ORACLE.items()}
+# Counts are written as count(*) FILTER (WHERE ...): DuckDB types that BIGINT,
+# like Spark's count_if (DuckDB's own count_if is HUGEINT).
