@@ -1,7 +1,9 @@
 """DuckDB SQL twins of the registered queries (the correctness oracle).
 
 Every statement reads the driver's tables (registered as views). The
-applicant fixture and its split are CTEs shared by all statements.
+applicant fixture and its split are CTEs shared by all statements. Counts
+are written as ``count(*) FILTER (WHERE ...)``: DuckDB types that BIGINT,
+like Spark's ``count_if`` (DuckDB's own ``count_if`` is HUGEINT).
 """
 
 from __future__ import annotations
@@ -389,7 +391,3 @@ ORACLE.update({
     "scan_scores": with_applicants("SELECT * FROM oof", SCORES),
     "run_summary": with_applicants(" UNION ALL ".join(_run_row(p) for p in PREDS), SCORES + "," + FOLDS3),
 })
-
-
-# Counts are written as count(*) FILTER (WHERE ...): DuckDB types that BIGINT,
-# like Spark's count_if (DuckDB's own count_if is HUGEINT).
