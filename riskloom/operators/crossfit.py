@@ -46,21 +46,25 @@ class CrossFitResult:
             d.unpersist()
 
 
-def _feature_exprs(feats, cats, arity, scale, float32=False):
-    """Columns entering the vector: scaled numerics, +1-shifted nominal bins;
-    ``float32`` rounds the scaled values to single precision first."""
+def _feature_exprs(feats, cats, arity, scale, float32=False, medians=None):
+    """Columns entering the vector: (per-fold imputed,) scaled numerics,
+    +1-shifted nominal bins; ``float32`` rounds the values to single precision."""
     out = []
+    medians = medians or {}
     for c in feats:
         if c in cats:
             meta = {"ml_attr": {"type": "nominal", "name": c,
                                 "vals": [str(i) for i in range(arity[c])]}}
             out.append((F.col(c) + 1).cast("double").alias(c, metadata=meta))
             continue
+        raw = F.col(c).cast("double")
+        if c in medians:
+            raw = F.coalesce(raw, F.lit(float(medians[c])))
         if scale is not None:
             m, s = scale[c]
-            e = (F.col(c).cast("double") - F.lit(m)) / F.lit(s if s else 1.0)
+            e = (raw - F.lit(m)) / F.lit(s if s else 1.0)
         else:
-            e = F.col(c).cast("double")
+            e = raw
         if float32:
             e = e.cast("float").cast("double")
         out.append(e.alias(c))
@@ -87,8 +91,8 @@ def ensure_parallel(df: DataFrame, key: str, aggs=()) -> DataFrame | tuple:
 
 
 def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: str,
-               float32: bool = False) -> DataFrame:
-    staged = df.select(*keep, *_feature_exprs(feats, cats, arity, scale, float32))
+               float32: bool = False, medians=None) -> DataFrame:
+    staged = df.select(*keep, *_feature_exprs(feats, cats, arity, scale, float32, medians))
     return VectorAssembler(inputCols=list(feats), outputCol=out).transform(staged).select(*keep, out)
 
 
@@ -96,11 +100,16 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
               categorical: list[str] = (), label: str = LABEL, key: str = KEY,
               fold_cfg: FoldConfig | None = None, version: str = "model",
               artifacts_dir: str | None = None, threads: int = 3,
-              folds_df: DataFrame | None = None) -> CrossFitResult:
+              folds_df: DataFrame | None = None,
+              fold_impute: list[str] | None = None) -> CrossFitResult:
     """Cross-fit ``spec`` on ``train``; score OOF rows and ``test``.
 
     ``folds_df`` (key, fold) reuses an existing fold assignment so that all
-    learners of a run share it."""
+    learners of a run share it. ``fold_impute`` lists columns whose medians
+    are fitted on each fold's training rows only (no validation rows leak in)
+    and applied to that fold's validation and test scoring; by default the
+    input is expected imputed already, as the original pipeline did once
+    before the folds."""
     fold_cfg = fold_cfg or FoldConfig()
     require_columns(train, [key, label, *features])
     require_columns(test, [key, *features])
@@ -120,35 +129,44 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     n_feat = len(feats)
 
     shared = None
-    if not spec.standardize:
+    if not spec.standardize and not fold_impute:
         shared = _vectorise(base, keep, feats, cats, arity, None, "_x", spec.float32) \
             .persist(StorageLevel.MEMORY_AND_DISK)
 
     def fold_matrix(f):
         if shared is not None:
-            return shared, None
-        scale = fit_standardizer(base.where(F.col("fold") != f), [c for c in feats if c not in cats])
-        return _vectorise(base, keep, feats, cats, arity, scale, "_x", spec.float32), scale
+            return shared, None, None
+        fold_train = base.where(F.col("fold") != f)
+        med = None
+        if fold_impute:
+            from .impute import fit_medians
+            med = fit_medians(fold_train, list(fold_impute), tiebreak=key)
+            fold_train = fold_train.select(*[F.coalesce(F.col(c), F.lit(float(med[c]))).alias(c)
+                                             if c in med else F.col(c) for c in fold_train.columns])
+        scale = None
+        if spec.standardize:
+            scale = fit_standardizer(fold_train, [c for c in feats if c not in cats])
+        return _vectorise(base, keep, feats, cats, arity, scale, "_x", spec.float32, med), scale, med
 
     def fit(f):
-        mat, scale = fold_matrix(f)
+        mat, scale, med = fold_matrix(f)
         est = spec.estimator("_x", "_y", n_feat)
         if spec.validation_stop:
             data = mat.withColumn("_is_valid", F.col("fold") == f)
         else:
             data = mat.where(F.col("fold") != f)
-        return est.fit(data), scale
+        return est.fit(data), scale, med
 
     with ThreadPoolExecutor(max_workers=max(1, min(threads, k))) as pool:
         fitted = list(pool.map(fit, range(k)))
-    models = [m for m, _ in fitted]
+    models = [m for m, _, _ in fitted]
     score_col = f"pred_{version}"
 
     # OOF: each fold scored by the model that did not see it (disjoint keys).
     parts = []
-    for f, (model, scale) in enumerate(fitted):
+    for f, (model, scale, med) in enumerate(fitted):
         mat = shared if shared is not None else _vectorise(base, keep, feats, cats, arity, scale, "_x",
-                                                           spec.float32)
+                                                           spec.float32, med)
         scored = model.transform(mat.where(F.col("fold") == f))
         parts.append(scored.select(key, label, "fold", vector_to_array("probability")[1].alias(score_col)))
     oof = reduce(lambda a, b: a.unionByName(b), parts)
@@ -156,10 +174,10 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     # Test: k models applied in one projection chain, averaged per row.
     t = test.select(key, *feats)
     pcols = []
-    for f, (model, scale) in enumerate(fitted):
+    for f, (model, scale, med) in enumerate(fitted):
         vec = f"_x{f}"
         staged = t.select("*", *[e.alias(f"_{f}_{e_name}") for e, e_name in
-                                 zip(_feature_exprs(feats, cats, arity, scale, spec.float32), feats)])
+                                 zip(_feature_exprs(feats, cats, arity, scale, spec.float32, med), feats)])
         assembled = VectorAssembler(inputCols=[f"_{f}_{c}" for c in feats], outputCol=vec).transform(staged)
         m = model.copy()
         m.setFeaturesCol(vec).setProbabilityCol(f"_prob{f}").setRawPredictionCol(f"_raw{f}") \

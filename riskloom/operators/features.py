@@ -203,10 +203,12 @@ def build_features(df: DataFrame, state: FeatureState | None = None,
         state = fit_features(df, spec)
     pre = sentinel_to_null(df, spec.days_employed, spec.sentinel)
     exprs, skipped = derived_expressions(pre.columns, spec)
-    reserved = {spec.key, spec.label}
+    # bins are an explicit list: a source column that merely ends in _BIN stays
+    # a numeric feature; only names the pipeline derives replace source columns
+    derived_names = set(exprs) | {"AGE_BIN", *spec.quantile_bins}
+    reserved = {spec.key, spec.label} | derived_names
     source_numeric = [f.name for f in pre.schema.fields
-                      if isinstance(f.dataType, (NumericType, BooleanType))
-                      and f.name not in reserved and not f.name.endswith("_BIN")]
+                      if isinstance(f.dataType, (NumericType, BooleanType)) and f.name not in reserved]
     bins: dict[str, Column] = {}
     if "AGE_YEARS" in exprs:
         bins["AGE_BIN"] = age_bin(exprs["AGE_YEARS"])
