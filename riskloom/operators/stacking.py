@@ -238,10 +238,10 @@ def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
 
 
 def apply_stacker(test_tables: list[DataFrame], state: StackerState, key: str = KEY,
-                  out: str = LABEL, eps: float = 1e-7) -> DataFrame:
+                  out: str = LABEL, eps: float = 1e-7, check_counts: bool = False) -> DataFrame:
     """H9: join test score tables, meta-features on the test batch, column
     check, score. Output (key, TARGET)."""
-    merged = join_score_tables(test_tables, key, None)
+    merged = join_score_tables(test_tables, key, None, check_counts)
     preds = score_columns(merged, key, None)
     meta = meta_features(merged, preds, key, eps)
     missing = set(state.features) - set(meta.columns)
