@@ -31,7 +31,7 @@ def fold_summary(fold_auc: DataFrame, value: str = "auc", prefix: str = "") -> D
 
 def auc_by_fold(oof: DataFrame, label: str, score: str, fold_col: str = "fold",
                 key: str | None = KEY) -> DataFrame:
-    """Per-fold AUC in one job over the OOF table (fold, auc, n_pos, n_neg)."""
+    """Per-fold AUC in one job over the OOF table (fold, auc, n_pos, n_neg, n_null)."""
     t = roc_auc_table(oof, label, score, [fold_col], tiebreak=key if key in oof.columns else None)
     return t.withColumnRenamed(fold_col, "fold") if fold_col != "fold" else t
 
