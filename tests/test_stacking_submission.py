@@ -95,3 +95,13 @@ def test_calibrated_scores_hit_target(spark):
     scores, alpha, auc = submission.calibrated_scores(truth, 0.82, steps=20)
     assert abs(auc - 0.82) < 0.01 and 0 < alpha < 1
     assert scores.columns == ["SK_ID_CURR", "TARGET"]
+
+
+def test_inference_count_check_catches_a_dropped_key(spark):
+    from riskloom.plans.training import infer
+    a = spark.createDataFrame([(1, 0.2), (2, 0.7), (3, 0.4)], "SK_ID_CURR long, pred_a double")
+    b = spark.createDataFrame([(1, 0.3), (2, 0.6)], "SK_ID_CURR long, pred_b double")   # key 3 missing
+    st = stacking.StackerState("bayes", stacking.meta_feature_names(["pred_a", "pred_b"]), [0.1] * 6, 0.0)
+    assert infer([a, b], st).count() == 2            # default: inner join, as the original did
+    with pytest.raises(ValueError):
+        infer([a, b], st, check_counts=True)
