@@ -102,3 +102,17 @@ def test_best_trial_and_write_best(spark):
     import random
     draw = search.draw(search.CAT_SPACE, random.Random(1))
     assert 4 <= draw["depth"] <= 8 and 0.01 <= draw["learning_rate"] <= 0.2
+
+
+def test_train_result_release_keeps_outputs_valid(spark):
+    from riskloom.plans.training import infer, prepare, train_all
+    from riskloom.sources.applicants import applicant_frames
+    from tests.conftest import SF
+    train, test = applicant_frames(spark, SF)
+    prep = prepare(train, test)
+    res = train_all(prep, models=("xgb",), trees=2, folds=2)
+    before = dict(infer([r.test for r in res.base.values()], res.stacker).collect())
+    res.release()
+    prep.release()
+    after = dict(infer([r.test for r in res.base.values()], res.stacker).collect())
+    assert before.keys() == after.keys() and all(abs(before[k] - after[k]) < 1e-12 for k in before)
