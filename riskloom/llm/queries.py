@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from riskloom.llm import quality_rules, url_filter
+from riskloom.llm import mixing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filters": url_filter.op4_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_pii": pii.op9_pii,
 }
 
 #: DuckDB SQL over the driver's tables, where SQL expresses the operator's whole result.
