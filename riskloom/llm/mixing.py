@@ -130,7 +130,7 @@ def decide(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     rest = reliable_checkpoint(on_source(filled_in, state.select("source", "cut"), n).filter(top >= F.col("cut"))
                                .groupBy("source", "key").agg(F.sum("size").alias("words")))
     picks = None
-    for _ in range(FILL_ROUNDS):
+    for k in range(FILL_ROUNDS):
         room, free = state.select("source", "left"), rest
         if picks is not None:
             used = picks.groupBy("source").agg(F.sum("words").alias("used"))
@@ -138,7 +138,8 @@ def decide(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
             taken = picks.select(F.col("source").alias("_source"), F.col("key").alias("_key"))
             free = rest.join(small(taken, n * FILL_ROUNDS), F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key")), "left_anti")
         near = F.struct(F.abs(F.col("words") - F.col("left")).alias("off"), "words", "key")
-        best = (on_source(free, room, n).filter(F.col("words") < 2 * F.col("left"))      # nearer with it than without
+        best = (on_source(free, room, n)      # the last one may pass the target if that is nearer
+                .filter(F.col("words") <= F.col("left") * (1 if k < FILL_ROUNDS - 1 else 2))
                 .groupBy("source").agg(F.min(near).alias("p")).select("source", "p.words", "p.key"))
         picks = reliable_checkpoint(best if picks is None else picks.unionByName(best))
     return on_source(table.drop("left"), state.select("source", "cut"), n), picks, n

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from riskloom.llm import mixing, pii, quality_rules, url_filter
+from riskloom.llm import language_id, mixing, pii, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op4_url_filters": url_filter.op4_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
 }
