@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskloom.llm import language_id, mixing, packing, pii, quality_classifier, quality_rules, url_filter
+from riskloom.llm import language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
     "op4_url_filters": url_filter.op4_url_filters,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_minhash": minhash.op6_minhash,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,

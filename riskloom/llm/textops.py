@@ -66,13 +66,14 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offs - offs[0], valid
 
 
-def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, most: int = CHUNK_BYTES, most_texts: int = 1 << 15) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of texts of at most ``most`` bytes together (one text at least)."""
     n, i = len(offs) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + most_texts)
+        yield i, j
+        i = j
 
 
 def per_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
