@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, url_filter
+from riskloom.llm import language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, url_filter, vector_dedup
 
 QUERIES = {
+    "op1_vector_dedup": vector_dedup.op1_vector_dedup,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
     "op4_url_filters": url_filter.op4_url_filters,
