@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, url_filter, vector_dedup
+from riskloom.llm import language_id, licences, minhash, mixing, packing, pii, quality_classifier, quality_rules, url_filter, vector_dedup
 
 QUERIES = {
     "op1_vector_dedup": vector_dedup.op1_vector_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
+    "op10_licences": licences.op10_licences,
 }
 
 #: DuckDB SQL over the driver's tables, where SQL expresses the operator's whole result.
