@@ -8,10 +8,11 @@ l <- l - (S * exp(l) - T) / (S * exp(l)) of all sources run side by side on Spar
 and each document's rate is exp(l) of its source, at most ``cap``.
 
 Rates become whole copies: every document gets floor(rate); of the rest, documents
-in the order of a hash get one more copy as long as the source's target allows it.
+in the order of a hash get one more copy as long as the source's target allows it
+(first the few that are large for their source, so that the others even them out).
 The cut is found by summing words per hash digit, 12 bits at a time, so no source
-is ever sorted or held by one task, and what is left is filled by the best-fitting
-single documents, ``FILL_ROUNDS`` times.
+is ever sorted or held by one task, and what is left is filled by one more copy of the
+best-fitting single documents, ``FILL_ROUNDS`` times.
 
 Defined results: null text has size 0 and takes 0 words; a null source is a source
 of its own, ordered last; sources without words have target 0; an empty table gives
@@ -34,6 +35,8 @@ NEWTON_STEPS = 64
 DIGIT_BITS = 12
 DIGITS = 2
 FILL_ROUNDS = 4
+GIANT = 50                 # a document of more than 1 / GIANT of its source is decided before the others
+PICKS = GIANT + FILL_ROUNDS
 BROADCAST_ROWS = 50_000     # rows of at most a name and eight numbers
 
 
@@ -88,6 +91,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[
     return [words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("key")]
 
 
+def ordinary() -> Column:
+    return F.col("size") * GIANT <= F.col("source_size")
+
+
 def small(table: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table whose counted rows are few; else let the join shuffle."""
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
@@ -107,13 +114,23 @@ def decide(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     whole = F.floor("rate")
     table = reliable_checkpoint(table.withColumn("whole", whole).withColumn("left", F.col("target") - whole * F.col("source_size")))
     n = table.count()
-    filled_in = base.filter("size > 0")
-
-    # the hash value up to which each source's words are used up, 12 bits at a time
-    state = table.select("source", "left", F.lit(0).cast("long").alias("cut"))
+    filled_in = on_source(base.filter("size > 0"), table.select("source", "source_size", "whole", "left"), n)
+
+    # documents of more than 1 / GIANT of their source, fewer than GIANT a source: their part of the words, by hash
+    order = Window.partitionBy("source").orderBy("key")
+    part = F.col("left") / F.col("source_size") * F.sum("size").over(Window.partitionBy("source"))
+    picks = (filled_in.filter(~ordinary()).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("part", part).filter((F.col("upto") - F.col("size") / 2 <= F.col("part")) & (F.col("upto") <= F.col("left")))
+             .groupBy("source", "key").agg(F.sum("size").alias("words")))
+    picks = reliable_checkpoint(picks)
+    rows = filled_in.filter(ordinary())
+
+    # the hash value up to which the rest of each source's words are used up, 12 bits at a time
+    state = on_source(table.select("source", "left"), picks.groupBy("source").agg(F.sum("words").alias("used")), n, "left").select(
+        "source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.lit(0).cast("long").alias("cut"))
     top = F.lit(0).cast("long")
     for level in range(DIGITS):
-        here = on_source(filled_in, state, n).filter(top == F.col("cut"))
+        here = on_source(rows.drop("left"), state, n).filter(top == F.col("cut"))
         top = F.shiftrightunsigned("key", 64 - DIGIT_BITS * (level + 1))
         sums = here.groupBy("source", top.alias("top")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("top"))      # 2^12 rows a source at most
@@ -126,33 +143,35 @@ def decide(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
             .select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"),
                     F.coalesce("at", F.shiftleft("cut", DIGIT_BITS)).alias("cut")))
 
-    # what is left goes to the best-fitting documents beyond the cut; rows of one key stand or fall together
-    rest = reliable_checkpoint(on_source(filled_in, state.select("source", "cut"), n).filter(top >= F.col("cut"))
+    # what is left goes to the best-fitting documents that may have one more copy; rows of one key stand or fall together
+    below = ordinary() & (top < F.col("cut"))
+    rest = reliable_checkpoint(on_source(filled_in.drop("left"), state.select("source", "cut"), n)
+                               .filter(F.col("whole") + below.cast("int") < int(cap))
                                .groupBy("source", "key").agg(F.sum("size").alias("words")))
-    picks = None
+    giants = picks.groupBy("source").agg(F.sum("words").alias("before"))
+    start = reliable_checkpoint(on_source(state, giants, n, "left").select("source", (F.col("left") + F.coalesce("before", F.lit(0))).alias("left")))
     for k in range(FILL_ROUNDS):
-        room, free = state.select("source", "left"), rest
-        if picks is not None:
-            used = picks.groupBy("source").agg(F.sum("words").alias("used"))
-            room = on_source(room, used, n, "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
-            taken = picks.select(F.col("source").alias("_source"), F.col("key").alias("_key"))
-            free = rest.join(small(taken, n * FILL_ROUNDS), F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key")), "left_anti")
+        used = picks.groupBy("source").agg(F.sum("words").alias("used"))
+        room = on_source(start, used, n, "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+        taken = picks.select(F.col("source").alias("_source"), F.col("key").alias("_key"))
+        free = rest.join(small(taken, n * PICKS), F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key")), "left_anti")
         near = F.struct(F.abs(F.col("words") - F.col("left")).alias("off"), "words", "key")
         best = (on_source(free, room, n)      # the last one may pass the target if that is nearer
                 .filter(F.col("words") <= F.col("left") * (1 if k < FILL_ROUNDS - 1 else 2))
-                .groupBy("source").agg(F.min(near).alias("p")).select("source", "p.words", "p.key"))
-        picks = reliable_checkpoint(best if picks is None else picks.unionByName(best))
+                .groupBy("source").agg(F.min(near).alias("p")).select("source", "p.key", "p.words"))
+        picks = reliable_checkpoint(picks.unionByName(best))
     return on_source(table.drop("left"), state.select("source", "cut"), n), picks, n
 
 
 def with_copies(rows: DataFrame, decided: tuple[DataFrame, DataFrame, int], cap: float = CAP) -> DataFrame:
     """Adds source_size, target, rate and copies to rows that have source, size and key."""
     table, picks, n = decided
-    chosen = small(picks.select(F.col("source").alias("_source"), F.col("key").alias("_key"), F.lit(True).alias("_pick")), n * FILL_ROUNDS)
+    chosen = small(picks.select(F.col("source").alias("_source"), F.col("key").alias("_key"), F.lit(True).alias("_pick")), n * PICKS)
     both = (on_source(rows, table, n, "left")
             .join(chosen, F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key")), "left"))
-    more = (F.shiftrightunsigned("key", 64 - DIGIT_BITS * DIGITS) < F.col("cut")) | F.coalesce("_pick", F.lit(False))
-    copies = F.when(F.col("size") > 0, F.least(F.col("whole") + more.cast("int"), F.lit(int(cap)))).otherwise(0)
+    below = ordinary() & (F.shiftrightunsigned("key", 64 - DIGIT_BITS * DIGITS) < F.col("cut"))
+    total = F.col("whole") + below.cast("int") + F.coalesce("_pick", F.lit(False)).cast("int")
+    copies = F.when(F.col("size") > 0, F.least(total, F.lit(int(cap)))).otherwise(0)
     return both.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("_source", "_key", "_pick", "whole", "cut", "weight", "rank")
 
 
