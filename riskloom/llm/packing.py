@@ -5,12 +5,13 @@ sequence. Lengths are integers up to the capacity, so the whole packing problem
 a histogram of at most ``capacity`` counts, whatever the corpus:
 
 1. Linear grouping: pieces above ``LARGE`` of the capacity, longest first, fall into
-   ``GROUPS`` groups of equal cardinality, each rounded up to its longest length.
+   groups of equal cardinality, each rounded up to its longest length.
 2. The few-size problem is solved by column generation: a linear program over
    configurations, new ones priced by a knapsack.
 3. Actual lengths replace the rounded ones, group by group.
 4. What is left, the small pieces above all, is placed best-fit, longest first, into
    the tightest sequence that holds it.
+5. Steps 1 to 4 run for each number of groups in ``GROUPS``; the fewest sequences win.
 
 The plan is a list of runs (length, ranks, first sequence, offset). On Spark, pieces
 get their rank within their length from per-partition counters plus offsets, so a
@@ -25,7 +26,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -42,26 +42,34 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 CAPACITY = 4096
 END_ID = 1
 LARGE = 1 / 8
-GROUPS = 24
+GROUPS = (24, 64, 0)        # numbers of groups tried; 0: best-fit alone; the fewest sequences win
 UNIT = 8                    # knapsack prices configurations in units of this many tokens
-CACHE_PARTS = 500_000
+KNOWN_RUNS = 1_000_000
 
 
 # ---------------------------------------------------------------- tokens
 
-class CachedTokenizer:
-    """Ids of texts as bytes of unsigned 32-bit integers.
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    t = np.zeros(256, bool)
+    for low, high in ranges:
+        t[low:high + 1] = True
+    return t
 
-    The tokenizer's rules never join characters across white space, so a text's ids are
-    those of its blank-separated parts in order. Parts recur, so each is looked up; an
-    unknown one of plain Latin characters is split further into the tokenizer's own runs
-    of letters, digits and marks, and only runs never met go to the tokenizer, many in
-    one call (a run's last token carries the end-of-word mark). All else is tokenised as
-    it is: other scripts by part, texts with the four separators that Python but not the
-    tokenizer takes for white space whole."""
 
-    RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+LETTER, DIGIT = _bytes((65, 90), (97, 122)), _bytes((48, 57))
+MARK = _bytes((0x21, 0x7E)) & ~LETTER & ~DIGIT & ~_bytes((0x27, 0x27))
+ODD = np.uint64(0x5851F42D4C957F2D)
+
+
+class RunTokenizer:
+    """Ids of many texts at once, every run of characters asked of the tokenizer only once.
+
+    The tokenizer's rules never join characters across blanks, and within a word they cut
+    runs of letters, single digits and runs of marks. Runs are found on the UTF-8 bytes,
+    lower-cased (ASCII and the Latin letters of U+00C0-U+00FF) and looked up by hash; new
+    ones go to the tokenizer many in one call (a run's last token carries the end-of-word
+    mark). A word with anything else in it (an apostrophe, a control character, another
+    script) is looked up and tokenised as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,49 +79,93 @@ class CachedTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: set[str]) -> None:
-        plain = {p: self.RUN.findall(p.lower()) for p in new if self.PLAIN.fullmatch(p)}
-        unknown = list({r for found in plain.values() for r in found} - self.runs.keys())
-        for k in range(0, len(unknown), 4096):
-            some = unknown[k:k + 4096]
-            ids = self._encode(" ".join(some))
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) == len(some):
-                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.runs.update((r, raw[at[i]:at[i + 1]]) for i, r in enumerate(some))
-            else:                                    # a run without an end mark: ask one by one
-                self.runs.update((r, self._encode(r).tobytes()) for r in some)
-        for p, found in plain.items():
-            self.parts[p] = b"".join([self.runs[r] for r in found])
-        for p in new - plain.keys():
-            self.parts[p] = self._encode(p).tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        here = set().union(*split)
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {p: self.parts[p] for p in here if p in self.parts}
-        if len(self.runs) > CACHE_PARTS:
-            self.runs = {}
-        self._learn(here - self.parts.keys())
-        get = self.parts.__getitem__
-        return [self._encode(t).tobytes() if ODD_SPACE.search(t) else b"".join(map(get, s))
-                for t, s in zip(texts, split, strict=True)]
-
-
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-_tokenizers: dict[str, CachedTokenizer] = {}      # one per worker process: the parts it has met stay known
-
-
-def tokenizer_at(path: str) -> CachedTokenizer:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1 << 16, np.int64)             # run k holds pool[at[k]:at[k + 1]]
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray, hashes: list[int]) -> None:
+        n, used = len(self.known), int(self.at[len(self.known)])
+        while used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(lengths) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.pool[used:used + len(ids)] = ids
+        self.at[n + 1:n + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+
+    def learn(self, runs: list[str], hashes: list[int], odd: bool) -> None:
+        for k in range(0, len(runs), 4096):
+            some, names = runs[k:k + 4096], hashes[k:k + 4096]
+            if not odd:
+                ids = self.encode(" ".join(some))
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(some):
+                    self.add(ids, np.diff(ends, prepend=0), names)
+                    continue
+            each = [self.encode(r) for r in some]
+            self.add(np.concatenate(each), np.array([len(e) for e in each]), names)
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets by text)."""
+        n, texts = len(data), len(offs) - 1
+        inside = ~tx.IS_SPACE[data]
+        cut = np.zeros(n + 1, bool)
+        cut[offs] = True
+        second = np.zeros(n, bool)
+        second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        low = tx.ASCII_LOWER[data]
+        low[second & (data <= 0x9E)] += 0x20
+        kind = LETTER[data] + np.uint8(2) * DIGIT[data] + np.uint8(3) * MARK[data]
+        kind[second] = 1
+        kind[:-1][second[1:]] = 1
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1] | cut[1:n]
+        word = np.flatnonzero(begin)
+        if not len(word):
+            return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
+        strange = np.add.reduceat((inside & (kind == 0)).astype(np.int32), word) > 0
+        if strange.any():
+            stretch = np.repeat(strange, np.add.reduceat(inside.astype(np.int32), word))
+            kind[np.flatnonzero(inside)[stretch]] = 4
+        begin[1:] |= inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        start = np.flatnonzero(begin)
+        last = inside
+        last[:-1] &= begin[1:] | ~inside[1:] | cut[1:n]
+        end = np.flatnonzero(last) + 1
+        h = tx.span_hash(tx.prefix_sums(low), start, end)
+        h[kind[start] == 4] ^= ODD
+        unique, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) + len(unique) > KNOWN_RUNS:
+            self.forget()
+        names = unique.tolist()
+        new = [k for k, name in enumerate(names) if name not in self.known]
+        if new:
+            where = first[new]
+            for odd in (False, True):
+                pick = [k for k, w in zip(new, (kind[start[where]] == 4).tolist(), strict=True) if w == odd]
+                source = data if odd else low
+                runs = [source[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[first[pick]].tolist(), end[first[pick]].tolist(), strict=True)]
+                self.learn(runs, [names[k] for k in pick], odd)
+        code = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[which]
+        size = self.at[code + 1] - self.at[code]
+        upto = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        ids = self.pool[np.repeat(self.at[code] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(start, offs)]
+
+
+_tokenizers: dict[str, RunTokenizer] = {}      # one per worker process: the runs it has met stay known
+
+
+def tokenizer_at(path: str) -> RunTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
+        _tokenizers[path] = RunTokenizer(path)
     return _tokenizers[path]
 
 
@@ -131,9 +183,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
             data, offs, _ = tx.utf8(b.column(1))
             for i, j in tx.chunks(offs):
                 rows, out, ids = [], [[] for _ in types], []
-                texts = [data[offs[k]:offs[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)]
-                for k, raw in zip(range(i, j), tok.ids(texts), strict=True):
-                    raw += end
+                o = offs[i:j + 1]
+                flat, to = tok.ids(data[o[0]:o[-1]], o - o[0])
+                flat, to = flat.astype("<u4").tobytes(), (4 * to).tolist()
+                for k in range(i, j):
+                    raw = flat[to[k - i]:to[k - i + 1]] + end
                     for p, at in enumerate(range(0, len(raw), 4 * capacity)):
                         one = raw[at:at + 4 * capacity]
                         n = len(one) // 4
@@ -218,11 +272,15 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that hold every piece once."""
+    return min((grouped_plan(counts, capacity, g) for g in GROUPS), key=lambda classes: sum(n for _, n in classes))
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, cardinalities: int) -> list[tuple[tuple[int, ...], int]]:
     counts = {k: v for k, v in counts.items() if v}
     done: list[tuple[tuple[int, ...], int]] = []
     if counts.get(capacity):
         done.append(((capacity,), counts.pop(capacity)))
-    large = {k: v for k, v in counts.items() if k > LARGE * capacity}
+    large = {k: v for k, v in counts.items() if cardinalities and k > LARGE * capacity}
     rest: dict[int, int] = defaultdict(int, {k: v for k, v in counts.items() if k not in large})
     open_: dict[int, list[list]] = defaultdict(list)            # room -> [[lengths, sequences], ...]
     keys: list[int] = []                                        # rooms in use, sorted
@@ -236,7 +294,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             insort(keys, room)
         open_[room].append([lengths, n])
 
-    groups = group_linear(large, GROUPS)
+    groups = group_linear(large, cardinalities)
     use = configurations([g[0][0] for g in groups], [sum(n for _, n in g) for g in groups], capacity) if groups else []
     for config, times in use:
         parts = [(k, int(a)) for k, a in enumerate(config) if a]
