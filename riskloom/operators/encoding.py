@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .ordering import _hot_threshold, attach_by_value, global_row_number, range_partitions
+from .ordering import global_row_number, range_partitions
 
 # Fixed value: the token that stands for a missing category.
 MISSING_TOKEN = "__MISSING__"
@@ -28,28 +28,22 @@ def _token(c: str):
 
 
 class Encoders:
-    """Fitted encoders: the mapping table (column, token, code, _cnt), the
-    token count per column (from the numbering pass) and the fit rows, so
-    the apply side can size its joins and split off hot tokens."""
+    """Fitted encoders: the mapping table (column, token, code) and the encoded columns."""
 
-    def __init__(self, mapping: DataFrame, sizes: dict, rows: int = 0, partitions: int = 1):
-        self.mapping, self.sizes, self.rows, self.partitions = mapping, sizes, rows, partitions
-
-    def collect(self):  # convenience for small mappings in tests
-        return self.mapping.collect()
+    def __init__(self, mapping: DataFrame, columns: list[str]):
+        self.mapping, self.columns = mapping, list(columns)
 
 
 def fit_label_encoders(df: DataFrame, cols: list[str] | None = None) -> Encoders:
     """Mapping (column, token, code) for every string column: sorted distinct
-    tokens, codes from the distributed row number (no single-task sort).
-    Token frequencies ride along (``_cnt``) to find hot tokens at apply time."""
+    tokens, codes from the distributed row number (no single-task sort)."""
     cols = string_columns(df) if cols is None else cols
     if not cols:
         return Encoders(df.sparkSession.createDataFrame(
-            [], "column string, token string, code int, _cnt long"), {})
+            [], "column string, token string, code int"), [])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _token(c).alias("token")) for c in cols])
     tokens = (df.select(F.explode(pairs).alias("p")).select("p.column", "p.token")
-              .groupBy("column", "token").agg(F.count(F.lit(1)).alias("_cnt")))
+              .distinct())
     parts = range_partitions(df)
     numbered = global_row_number(tokens, ["column", "token"], "_rn", parts, count_by=["column"])
     sizes: dict = {}
@@ -61,28 +55,19 @@ def fit_label_encoders(df: DataFrame, cols: list[str] | None = None) -> Encoders
         s += sizes[c]
     start_df = df.sparkSession.createDataFrame(sorted(starts.items()), "column string, _start long")
     mapping = (numbered.df.join(F.broadcast(start_df), "column")   # one row per column
-               .select("column", "token", (F.col("_rn") - F.col("_start")).cast("int").alias("code"), "_cnt"))
-    return Encoders(mapping, sizes, df.count(), parts)
+               .select("column", "token", (F.col("_rn") - F.col("_start")).cast("int").alias("code")))
+    return Encoders(mapping, cols)
 
 
-def apply_label_encoders(df: DataFrame, enc, cols: list[str] | None = None) -> DataFrame:
+def apply_label_encoders(df: DataFrame, enc: Encoders, cols: list[str] | None = None) -> DataFrame:
     """Replace each encoded string column by its int32 code (-1 if unseen).
-    Columns absent from ``df`` are skipped. A column's mapping is broadcast
-    when its token count is proven small; otherwise it is shuffle-joined with
-    the hot tokens (frequent in the fit data) split off to a broadcast."""
-    if not isinstance(enc, Encoders):
-        enc = Encoders(enc, {})
-    mapping = enc.mapping
-    if "_cnt" not in mapping.columns:
-        mapping = mapping.withColumn("_cnt", F.lit(0).cast("long"))
-    if cols is None:
-        cols = sorted(enc.sizes) if enc.sizes else [r[0] for r in mapping.select("column").distinct().collect()]
-    cols = [c for c in cols if c in df.columns]
+    Columns absent from ``df`` are skipped. One left join per column on the
+    token: Spark broadcasts a mapping it measures as small, else AQE splits the
+    partitions of frequent tokens."""
+    cols = [c for c in (enc.columns if cols is None else cols) if c in df.columns]
     out = df
     for c in cols:
-        m = mapping.where(F.col("column") == c).select(
-            F.col("token").alias(f"_tok_{c}"), F.col("code").alias(f"_code_{c}"), "_cnt")
-        out = attach_by_value(out, m, _token(c), f"_tok_{c}", [f"_code_{c}"],
-                              enc.sizes.get(c, 1 << 62), _hot_threshold(enc.rows, enc.partitions))
+        m = enc.mapping.where(F.col("column") == c).select(F.col("token").alias(f"_tok_{c}"), F.col("code").alias(f"_code_{c}"))
+        out = out.join(m, _token(c) == F.col(f"_tok_{c}"), "left")
     return out.select(*[F.coalesce(F.col(f"_code_{c}"), F.lit(-1)).cast("int").alias(c)
                         if c in cols else F.col(c) for c in df.columns])

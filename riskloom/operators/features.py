@@ -153,13 +153,12 @@ def dedupe_edges(values) -> list:
     return sorted(set(out))
 
 
-def fit_quantile_edges(df: DataFrame, cols: list[str], probs=QUANTILE_PROBS,
-                       method: str = "auto", tiebreak: str | None = None) -> dict:
-    q = exact_quantiles(df, cols, probs, method=method, tiebreak=tiebreak)
+def fit_quantile_edges(df: DataFrame, cols: list[str], probs=QUANTILE_PROBS, tiebreak: str | None = None) -> dict:
+    q = exact_quantiles(df, cols, probs, tiebreak=tiebreak)
     return {c: dedupe_edges(v) for c, v in q.items()}
 
 
-def fit_features(df: DataFrame, spec: FeatureSpec | None = None, method: str = "auto") -> FeatureState:
+def fit_features(df: DataFrame, spec: FeatureSpec | None = None) -> FeatureState:
     """Fit the quintile edges on ``df`` (train). Sources of the bins are the
     row-local features, computed lazily inside the same aggregation."""
     spec = spec or FeatureSpec()
@@ -170,12 +169,11 @@ def fit_features(df: DataFrame, spec: FeatureSpec | None = None, method: str = "
         return FeatureState({})
     tb = spec.key if spec.key in df.columns else None
     src_df = pre.select(*([F.col(tb)] if tb else []), *[exprs[s].alias(s) for s in srcs])
-    edges = fit_quantile_edges(src_df, srcs, method=method, tiebreak=tb)
+    edges = fit_quantile_edges(src_df, srcs, tiebreak=tb)
     return FeatureState({b: edges[s] for b, s in spec.quantile_bins.items() if s in edges})
 
 
-def fit_features_and_medians(df: DataFrame, spec: FeatureSpec | None = None,
-                             method: str = "auto") -> tuple[FeatureState, dict]:
+def fit_features_and_medians(df: DataFrame, spec: FeatureSpec | None = None) -> tuple[FeatureState, dict]:
     """One exact-quantile pass over every numeric feature of ``df`` (train):
     quintile edges for the bin sources and medians for imputation come from
     the same sorted values (probabilities 0, .2, .4, .5, .6, .8, 1)."""
@@ -183,7 +181,7 @@ def fit_features_and_medians(df: DataFrame, spec: FeatureSpec | None = None,
     mat, fs = build_features(df, FeatureState({}), spec)
     probs = sorted(set(QUANTILE_PROBS) | {0.5})
     tb = spec.key if spec.key in mat.columns else None
-    q = exact_quantiles(mat, fs.numeric, probs, method=method, tiebreak=tb)
+    q = exact_quantiles(mat, fs.numeric, probs, tiebreak=tb)
     at = {p: i for i, p in enumerate(probs)}
     edges = {b: dedupe_edges([q[src][at[p]] for p in QUANTILE_PROBS])
              for b, src in spec.quantile_bins.items() if src in q}

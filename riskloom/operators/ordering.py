@@ -10,8 +10,10 @@ whole table lands in one task. Instead:
 3. write the tagged table to the shared checkpoint folder so every later job
    sees the same partitions (a lost executor cannot reshuffle it);
 4. count rows per partition (one row per partition reaches the driver),
-   turn the counts into running offsets and broadcast them back (their
-   size is bounded by the partition count, checked below).
+   turn the counts into running offsets and broadcast them back.
+
+Ranks, AUC and quantiles sum equal values first, so only distinct values are
+ordered and ties of any size are one row.
 
 Ties should be broken by a spreading column (the row key) so that a value
 held by a third of the rows still splits over many range partitions.
@@ -22,32 +24,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_of
 from ..session import default_parallelism, reliable_checkpoint
 
-# Side tables whose row count is proven at or below this are broadcast
-# (value -> rank maps, encoder mappings); larger ones are shuffle-joined.
-BROADCAST_MAX_ROWS = 1_000_000
-
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-# Per-partition counts (x small count_by groups) reaching the driver; the
-# broadcast offsets table is one row per partition, at most MAX_RANGE_PARTITIONS.
-MAX_OFFSET_ROWS = 1_000_000
-MAX_RANGE_PARTITIONS = 100_000
 
 
 def range_partitions(df: DataFrame) -> int:
     """Range partitions of a numbering pass: ``riskloom.ordering.partitions``
     when the session sets it, else ``spark.sql.shuffle.partitions`` (which a
     cluster job sizes to its data). Read from configuration only: asking the
-    DataFrame for its partition count would run its shuffle stages under AQE."""
+    DataFrame for its partition count would run its shuffle stages under AQE.
+    The offsets that reach the driver are one row per partition."""
     conf = df.sparkSession.conf.get("riskloom.ordering.partitions", None)
-    n = int(conf) if conf else default_parallelism(df.sparkSession)
-    return max(1, min(MAX_RANGE_PARTITIONS, n))
+    return max(1, int(conf) if conf else default_parallelism(df.sparkSession))
 
 
 @dataclass
@@ -74,8 +68,6 @@ def global_row_number(df: DataFrame, order: Sequence, out: str = "_rn",
     staged = reliable_checkpoint(staged)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     rows = [tuple(r) for r in staged.groupBy(pid.alias("_pid"), *count_by).count().collect()]
-    if len(rows) > MAX_OFFSET_ROWS:
-        raise RuntimeError(f"{len(rows)} partition counts; offsets table too large")
     per_pid: dict[int, int] = {}
     for r in rows:
         per_pid[int(r[0])] = per_pid.get(int(r[0]), 0) + int(r[-1])
@@ -92,94 +84,102 @@ def global_row_number(df: DataFrame, order: Sequence, out: str = "_rn",
     return Numbered(numbered, running, rows)
 
 
-def attach_by_value(df: DataFrame, table: DataFrame, value, key_col: str, cols: Sequence[str],
-                    rows: int, hot_rows: int) -> DataFrame:
-    """Left-join ``table`` (one row per distinct value, with a ``_cnt`` tie
-    count) onto ``df`` on ``value == table[key_col]``.
-
-    * ``rows`` (distinct values) <= BROADCAST_MAX_ROWS: broadcast, df is not
-      shuffled at all.
-    * otherwise values held by more than ``hot_rows`` rows are split off:
-      their table rows (at most total / hot_rows of them, collected as state)
-      are broadcast to the df rows carrying them, and only the remaining rows
-      take the shuffle join -- a value on a third of the rows never lands in
-      one reducer.
-    """
-    value = col_of(value)
-    keep = [key_col, *cols]
-    if rows <= BROADCAST_MAX_ROWS:
-        return df.join(F.broadcast(table.select(*keep)), value == F.col(key_col), "left").drop(key_col)
-    hot = [r[0] for r in table.where(F.col("_cnt") > hot_rows).select(key_col).collect()]
-    if not hot:
-        return df.join(table.select(*keep), value == F.col(key_col), "left").drop(key_col)
-    is_hot = value.isin(hot)
-    hot_part = df.where(is_hot).join(F.broadcast(table.where(F.col(key_col).isin(hot)).select(*keep)),
-                                     value == F.col(key_col), "left")
-    cold_part = df.where(~is_hot | value.isNull()).join(table.where(~F.col(key_col).isin(hot)).select(*keep),
-                                                        value == F.col(key_col), "left")
-    return hot_part.unionByName(cold_part).drop(key_col)
-
-
-def _hot_threshold(total: int, partitions: int) -> int:
-    """A value is hot when it holds more than half a range partition's rows."""
-    return max(1, total // (2 * max(partitions, 1)))
-
-
-def pct_rank_table(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
-                   num_partitions: int | None = None) -> tuple[DataFrame, int, int]:
-    """(_rv, out, _cnt): percent rank and tie count of every distinct non-NULL
-    value, plus (rows numbered, hot threshold) for :func:`attach_by_value`."""
-    order = [value] + ([tiebreak] if tiebreak else [])
-    nn = df.where(F.col(value).isNotNull()).select(*order)
+def weighted_positions(df: DataFrame, order: Sequence[str], weight: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """``_lo`` and ``_hi``: first and last 1-based position of each row in the
+    order ``order`` when a row stands for ``weight`` equal rows. Ties were
+    summed before the range shuffle, so a value of any frequency is one row."""
     n = num_partitions or range_partitions(df)
-    numbered = global_row_number(nn, order, "_rn", n)
-    total = float(max(numbered.total, 1))
-    ranks = (numbered.df.groupBy(F.col(value).alias("_rv"))
-             .agg(((F.min("_rn") + F.max("_rn")) / 2.0 / total).alias(out),
-                  (F.max("_rn") - F.min("_rn") + 1).alias("_cnt")))
-    return ranks, numbered.total, _hot_threshold(numbered.total, n)
+    staged = reliable_checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                                 .withColumn("_mid", F.monotonically_increasing_id()))
+    pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
+    sums = sorted((int(r[0]), int(r[1])) for r in
+                  staged.groupBy(pid.alias("_pid")).agg(F.sum(weight)).collect())   # one row per partition
+    offsets, running = [], 0
+    for p, w in sums:
+        offsets.append((p, running))
+        running += w
+    off = F.broadcast(df.sparkSession.createDataFrame(offsets, "_pid long, _off long"))
+    upto = F.sum(weight).over(Window.partitionBy("_pid").orderBy("_mid")
+                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (staged.withColumn("_pid", pid).join(off, "_pid").withColumn("_hi", F.col("_off") + upto)
+            .withColumn("_lo", F.col("_hi") - F.col(weight) + 1).drop("_mid", "_pid", "_off"))
+
+
+# ---------------------------------------------------------------- percent rank
+
+def _long_values(df: DataFrame, cols: Sequence, *keep) -> DataFrame:
+    """(_c, _v, *keep) rows of the non-NULL values: column index, value as double."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), col_of(c).cast("double").alias("_v"))
+                      for i, c in enumerate(cols)])
+    return (df.select(F.explode(pairs).alias("_p"), *keep).select("_p._c", "_p._v", *keep)
+              .where(F.col("_v").isNotNull()))
+
+
+def _ranked(df: DataFrame, outs: dict[str, str], key: str | None, num_partitions: int | None) -> DataFrame:
+    """Percent ranks ``out -> source column``: equal values are summed, the distinct
+    values are placed in order, one join on (column, value) gives every cell its
+    rank (AQE splits a value held by many rows), one pivot and one join on the key
+    bring the ranks home. The plan has the same size for any number of columns."""
+    own = key is None
+    if own:
+        key = "_row"
+        df = reliable_checkpoint(df.withColumn(key, F.monotonically_increasing_id()))
+    long = _long_values(df, list(outs.values()), key)
+    counts = long.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = weighted_positions(counts, ["_c", "_v"], "_n", num_partitions)
+    sizes = {r[0]: r[1] for r in placed.groupBy("_c").agg(F.sum("_n")).collect()}      # one row per column
+    starts, s = [], 0
+    for i in range(len(outs)):
+        starts.append((i, s, float(max(sizes.get(i, 0), 1))))
+        s += sizes.get(i, 0)
+    bounds = F.broadcast(df.sparkSession.createDataFrame(starts, "_c int, _start long, _size double"))
+    ranks = placed.join(bounds, "_c").select(
+        "_c", "_v", (((F.col("_lo") + F.col("_hi")) / 2.0 - F.col("_start")) / F.col("_size")).alias("_r"))
+    cells = long.join(ranks, ["_c", "_v"])
+    wide = cells.groupBy(key).agg(*[F.max(F.when(F.col("_c") == i, F.col("_r"))).alias(f"_r{i}") for i in range(len(outs))])
+    out = df.join(wide, key, "left").select(*df.columns, *[F.col(f"_r{i}").alias(o) for i, o in enumerate(outs)])
+    return out.drop(key) if own else out
 
 
 def pct_rank(df: DataFrame, value: str, out: str, tiebreak: str | None = None,
              num_partitions: int | None = None) -> DataFrame:
     """Average-tie rank divided by the non-NULL count; NULL stays NULL.
+    ``tiebreak`` is the row key (unique); without one a row id is written."""
+    return _ranked(df, {out: value}, tiebreak, num_partitions)
 
-    Rows are numbered over (value, tiebreak); each distinct value's rank is
-    the mid point of its first and last position, attached back on the value
-    (broadcast when the value count is proven small, else a shuffle join
-    with hot values split off and broadcast).
-    """
-    ranks, total, hot = pct_rank_table(df, value, out, tiebreak, num_partitions)
-    return attach_by_value(df, ranks, F.col(value), "_rv", [out], total, hot)
+
+def pct_rank_many(df: DataFrame, cols: Sequence[str], suffix: str = "_rank",
+                  tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Percent ranks ``<col><suffix>`` of several columns from one ordering pass."""
+    return _ranked(df, {f"{c}{suffix}": c for c in cols}, tiebreak, num_partitions) if cols else df
 
 
+# ---------------------------------------------------------------- exact AUC
+
 def roc_auc_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
-                  tiebreak: str | None = None,
-                  num_partitions: int | None = None) -> DataFrame:
+                  tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count one half) per group; one row per group.
 
     AUC = (sum over positives of their average-tie rank - P(P+1)/2) / (P N),
-    with ranks taken inside each group. Only per-value and per-group
-    aggregates follow the numbering; nothing is joined back. NULL when a
-    group has one class. NULL scores are counted (``n_null``) in the same
-    aggregation and make the group's AUC NULL; the scalar :func:`roc_auc`
-    raises on them (no extra scan for the check).
+    with ranks taken inside each group. Rows are first summed to (group, score)
+    -> (positives, rows); only distinct scores are ordered. NULL when a group
+    has one class. Rows with a NULL or NaN score or a NULL label are counted
+    (``n_null``) in the same aggregation and make the group's AUC NULL; the
+    scalar :func:`roc_auc` raises on them. ``tiebreak`` is not needed any more.
     """
     g = list(group_cols)
-    order = g + [score] + ([tiebreak] if tiebreak else [])
-    base = df.select(*dict.fromkeys(order + [label]))
-    numbered = global_row_number(base, order, "_rn", num_partitions).df
-    pos = F.when(F.col(label) == 1, 1).otherwise(0)
-    per_value = (numbered.groupBy(*g, score)
-                 .agg(F.min("_rn").alias("_lo"), F.max("_rn").alias("_hi"),
-                      F.sum(pos).alias("_pos"), F.count(F.lit(1)).alias("_cnt")))
-    is_null = F.col(score).isNull()
-    per_group = (per_value.groupBy(*g)
-                 .agg(F.sum(F.when(~is_null, F.col("_pos") * (F.col("_lo") + F.col("_hi")) / 2.0)).alias("_s"),
-                      F.min(F.when(~is_null, F.col("_lo"))).alias("_start"),
-                      F.sum(F.when(~is_null, F.col("_pos"))).cast("double").alias("n_pos"),
-                      F.sum(F.when(~is_null, F.col("_cnt") - F.col("_pos"))).cast("double").alias("n_neg"),
-                      F.sum(F.when(is_null, F.col("_cnt")).otherwise(0)).alias("n_null")))
+    bad = F.col(score).isNull() | F.isnan(F.col(score).cast("double")) | F.col(label).isNull()
+    rows = df.select(*g, F.when(~bad, F.col(score)).alias("_v"), F.when(F.col(label) == 1, 1).otherwise(0).alias("_p"))
+    per_value = rows.groupBy(*g, "_v").agg(F.sum("_p").alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
+    placed = weighted_positions(per_value, [*g, "_v"], "_cnt", num_partitions)
+    is_bad = F.col("_v").isNull()
+    per_group = (placed.groupBy(*g)
+                 .agg(F.sum(F.when(~is_bad, F.col("_pos") * (F.col("_lo") + F.col("_hi")) / 2.0)).alias("_s"),
+                      F.min(F.when(~is_bad, F.col("_lo"))).alias("_start"),
+                      F.sum(F.when(~is_bad, F.col("_pos"))).cast("double").alias("n_pos"),
+                      F.sum(F.when(~is_bad, F.col("_cnt") - F.col("_pos"))).cast("double").alias("n_neg"),
+                      F.sum(F.when(is_bad, F.col("_cnt")).otherwise(0)).alias("n_null")))
     auc = F.try_divide(
         F.col("_s") - (F.col("_start") - 1) * F.col("n_pos")
         - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0,
@@ -191,152 +191,104 @@ def roc_auc_table(df: DataFrame, label: str, score: str, group_cols: Sequence[st
 
 
 def check_no_null_scores(rows, score: str = "score") -> None:
-    bad = sum(r["n_null"] for r in rows)
+    bad = sum(r["n_null"] or 0 for r in rows)
     if bad:
-        raise ValueError(f"score column {score!r} has {bad} NULL values")
+        raise ValueError(f"{bad} rows have a NULL label or a NULL or NaN {score!r}")
 
 
 def roc_auc(df: DataFrame, label: str, score: str, tiebreak: str | None = None) -> float | None:
     """Scalar AUC for driver-side use (fold metrics, search objectives)."""
-    row = roc_auc_table(df, label, score, (), tiebreak).first()
+    row = roc_auc_table(df, label, score).first()
     if row is None:
         return None
     check_no_null_scores([row], score)
     return row["auc"]
 
 
-def pct_rank_many(df: DataFrame, cols: Sequence[str], suffix: str = "_rank",
-                  tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Percent ranks of several columns from ONE numbering pass.
-
-    Values of all columns are stacked as (column, value, tiebreak) and
-    numbered once; each column's ranks are positions minus the column's
-    start (known from the per-partition counts), joined back per column."""
-    cols = list(cols)
-    if not cols:
-        return df
-    spread = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
-    long = _long_values(df, cols, spread)
-    numbered = global_row_number(long, ["_c", "_v", "_t"], "_rn", num_partitions, count_by=["_c"])
-    sizes: dict = {}
-    for r in numbered.counts:
-        sizes[r[1]] = sizes.get(r[1], 0) + r[2]
-    starts, s = [], 0
-    for i in range(len(cols)):
-        starts.append((i, s, float(max(sizes.get(i, 0), 1))))
-        s += sizes.get(i, 0)
-    bounds = F.broadcast(df.sparkSession.createDataFrame(starts, "_bc int, _off long, _n double"))
-    ranks = (numbered.df.join(bounds, F.col("_c") == F.col("_bc"))       # one row per column
-             .groupBy("_c", "_v")
-             .agg(((F.min("_rn") + F.max("_rn")) / 2.0 - F.first("_off")).alias("_mid"),
-                  F.first("_n").alias("_n"), (F.max("_rn") - F.min("_rn") + 1).alias("_cnt"))
-             .select("_c", "_v", (F.col("_mid") / F.col("_n")).alias("_r"), "_cnt"))
-    n_parts = num_partitions or range_partitions(df)
-    out = df
-    for i, c in enumerate(cols):
-        r = ranks.where(F.col("_c") == i).select(F.col("_v").alias(f"_rv{i}"),
-                                                 F.col("_r").alias(f"{c}{suffix}"), "_cnt")
-        n_i = sizes.get(i, 0)
-        out = attach_by_value(out, r, F.col(c).cast("double"), f"_rv{i}", [f"{c}{suffix}"],
-                              n_i, _hot_threshold(n_i, n_parts))
-    return out
-
-
 # ---------------------------------------------------------------- quantiles
 
-# Above these sizes the built-in ``percentile`` (one value->count map per
-# group merged in a single task) is replaced by the distributed path.
-PERCENTILE_MAX_DISTINCT_PER_COL = 1_000_000
-PERCENTILE_MAX_DISTINCT_TOTAL = 5_000_000
+BRACKET_ACCURACY = 10_000     # percentile_approx is within rows / this of the asked rank
+BRACKET_MARGIN = 4.0          # brackets are this many such errors wide to either side
 
 
-def _interpolate(lo_v: float, hi_v: float, frac: float) -> float:
-    return lo_v if frac == 0 or lo_v == hi_v else lo_v + (hi_v - lo_v) * frac
-
-
-def _long_values(df: DataFrame, cols: list[str], spread=None) -> DataFrame:
-    """(_c, _v[, _t]) rows: column index, value as double, spreading tiebreak."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
-                      for i, c in enumerate(cols)])
-    extra = [spread.alias("_t")] if spread is not None else []
-    out = ["_p._c", "_p._v"] + (["_t"] if extra else [])
-    return (df.select(F.explode(pairs).alias("_p"), *extra).select(*out)
-              .where(F.col("_v").isNotNull()))
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    tiebreak: str | None = None, num_partitions: int | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles per column (NULLs skipped), one
+    algorithm at every size:
 
+    1. one pass of ``percentile_approx`` brackets every wanted rank of every column;
+    2. one pass counts the rows below and inside each bracket (a bracket that missed
+       its rank is widened and counted again);
+    3. only the values inside the brackets -- a few ten-thousandths of the rows -- are
+       summed by value and placed in order, and the order statistics are read off.
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    method: str = "auto", tiebreak: str | None = None,
-                    num_partitions: int | None = None) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles per column (NULLs skipped).
-
-    The columns are stacked into one long (column, value) table, so every
-    column is its own group and no task holds more than one column.
-    ``method``: ``percentile`` (built-in, grouped by column: one task merges
-    one column's value->count map, fine for bounded distinct counts),
-    ``distributed`` (global row numbers over range partitions, any size),
-    or ``auto``: approximate distinct counts per column decide.
-    Returns a small dict (state); all-NULL columns give NULLs.
-    """
+    Returns a small dict (state); all-NULL columns give NULLs."""
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
-    long = _long_values(df, cols)
-    small, large = [], []
-    if method == "percentile":
-        small = list(range(len(cols)))
-    elif method == "distributed":
-        large = list(range(len(cols)))
-    else:
-        est = {r[0]: r[1] for r in long.groupBy("_c").agg(F.approx_count_distinct("_v")).collect()}
-        budget = PERCENTILE_MAX_DISTINCT_TOTAL
-        for i in range(len(cols)):
-            d = est.get(i, 0)
-            if d <= PERCENTILE_MAX_DISTINCT_PER_COL and d <= budget:
-                small.append(i)
-                budget -= d
-            else:
-                large.append(i)
-    result = {c: [None] * len(probs) for c in cols}
-    if small:
-        rows = (long.where(F.col("_c").isin(small)).groupBy("_c")
-                .agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q")).collect())
-        for r in rows:
-            result[cols[r["_c"]]] = [float(x) for x in r["_q"]]
-    if large:
-        spread = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
-        sub = _long_values(df, cols, spread).where(F.col("_c").isin(large))
-        result.update(_distributed_quantiles(sub, cols, probs, num_partitions))
-    return result
-
-
-def _distributed_quantiles(long: DataFrame, cols, probs, num_partitions):
-    numbered = global_row_number(long, ["_c", "_v", "_t"], "_rn", num_partitions, count_by=["_c"])
-    sizes: dict[int, int] = {}
-    for r in numbered.counts:
-        sizes[r[1]] = sizes.get(r[1], 0) + r[2]
-
-    def positions(n, start):
-        for p in probs:
-            h = (n - 1) * p
-            yield p, start + int(h), start + min(int(h) + 1, n - 1), h - int(h)
-
-    wanted, start = set(), 1
-    for i in range(len(cols)):
-        n = sizes.get(i, 0)
-        if n:
-            for _, lo, hi, _ in positions(n, start):
-                wanted |= {lo, hi}
-        start += n
+    x = [F.col(c).cast("double") for c in cols]
+    sizes = df.agg(*[F.count(v) for v in x]).first()
+    ranks = {i: sorted({r for p in probs for r in (int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1))})
+             for i, n in enumerate(sizes) if n}
+    found: dict[tuple[int, int], float] = {}
+    margin = BRACKET_MARGIN
+    while True:
+        todo = {i: [r for r in rs if (i, r) not in found] for i, rs in ranks.items()}
+        todo = {i: rs for i, rs in todo.items() if rs}
+        if not todo:
+            break
+        found.update(_order_statistics(df, x, sizes, todo, margin, num_partitions))
+        margin *= 8
     out = {}
-    if not wanted:
-        return out
-    want_df = F.broadcast(long.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "_wrn long"))
-    got = {r["_rn"]: r["_v"] for r in
-           numbered.df.join(want_df, F.col("_rn") == F.col("_wrn")).select("_rn", "_v").collect()}
-    start = 1
     for i, c in enumerate(cols):
-        n = sizes.get(i, 0)
-        if n:
-            out[c] = [_interpolate(got[lo], got[hi], frac) for _, lo, hi, frac in positions(n, start)]
-        start += n
+        out[c] = []
+        for p in probs:
+            if i not in ranks:
+                out[c].append(None)
+                continue
+            at = (sizes[i] - 1) * p
+            low = int(at)
+            high = min(low + 1, sizes[i] - 1)
+            a, b = found[i, low], found[i, high]
+            out[c].append(a if at == low or a == b else (low + 1 - at) * a + (at - low) * b)
     return out
+
+
+def _order_statistics(df, x, sizes, todo, margin, num_partitions) -> dict[tuple[int, int], float]:
+    """(column, rank from 0) -> value for the ranks that their brackets hold."""
+    def shares(i):
+        n = max(1, sizes[i] - 1)
+        return [[max(0.0, r / n - margin / BRACKET_ACCURACY), min(1.0, r / n + margin / BRACKET_ACCURACY)] for r in todo[i]]
+
+    order = list(todo)
+    row = df.agg(*[F.percentile_approx(x[i], F.array(*[F.lit(s) for two in shares(i) for s in two]), BRACKET_ACCURACY)
+                   for i in order]).first()
+    brackets: dict[int, list[list[float]]] = {}
+    for k, i in enumerate(order):
+        spans = sorted([row[k][2 * j], row[k][2 * j + 1]] for j in range(len(todo[i])))
+        merged = [list(spans[0])]
+        for low, high in spans[1:]:                       # overlapping brackets are one
+            if low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        brackets[i] = merged
+    flat = [(i, low, high) for i in order for low, high in brackets[i]]
+    # NaN sorts above every number, as in the ordering itself
+    below = df.agg(*[F.count_if(x[i] < F.lit(low)) for i, low, _ in flat]).first()
+    inside = [F.when(F.coalesce(sum((((x[i] >= F.lit(low)) & (x[i] <= F.lit(high))).cast("int") for j, low, high in flat if j == i),
+                                    F.lit(0)), F.lit(0)) > 0, x[i]) for i in order]
+    counts = _long_values(df, inside).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = weighted_positions(counts, ["_c", "_v"], "_n", num_partitions)
+    # rows of earlier columns and brackets precede a bracket's rows in the placement
+    held = [F.sum(F.when((F.col("_c") == order.index(i)) & F.col("_v").between(low, high), F.col("_n"))) for i, low, high in flat]
+    held = [n or 0 for n in placed.agg(*held).first()]
+    wanted, start = [], 0
+    for (i, _, _), under, n in zip(flat, below, held):
+        wanted += [(start + r - under + 1, i, r) for r in todo[i] if under <= r < under + n]
+        start += n
+    if not wanted:
+        return {}
+    want = F.broadcast(df.sparkSession.createDataFrame(wanted, "_at long, _i int, _rank long"))   # two rows a quantile
+    got = placed.join(want, (F.col("_lo") <= F.col("_at")) & (F.col("_at") <= F.col("_hi"))).select("_i", "_rank", "_v").collect()
+    return {(r["_i"], r["_rank"]): r["_v"] for r in got}

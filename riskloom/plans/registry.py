@@ -105,11 +105,11 @@ def q_quantile_bins(spark, sf_dir):
     return mat.select(KEY, "INCOME_BIN", "EXT_SOURCE_MEAN_BIN")
 
 
-def imputed_matrices(spark, sf_dir, method="auto"):
+def imputed_matrices(spark, sf_dir):
     """Train/test matrices: bins fitted on train, medians fitted on train."""
     from .training import prepare
     train, test = _frames(spark, sf_dir)
-    prep = prepare(train, test, method=method)
+    prep = prepare(train, test)
     return prep.train, prep.test, prep.features
 
 
