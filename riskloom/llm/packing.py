@@ -44,7 +44,7 @@ END_ID = 1
 LARGE = 1 / 8
 GROUPS = (24, 64, 0)        # numbers of groups tried; 0: best-fit alone; the fewest sequences win
 UNIT = 8                    # knapsack prices configurations in units of this many tokens
-KNOWN_RUNS = 1_000_000
+KNOWN_RUNS = 600_000
 
 
 # ---------------------------------------------------------------- tokens

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # texts handled in one numpy call; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # texts handled in one numpy call; a longer text is a chunk of its own
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
