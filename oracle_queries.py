@@ -108,10 +108,9 @@ def age_bin_sql(x: str) -> str:
 
 
 def qbin_sql(x: str, edges: str) -> str:
-    """Right-closed code against a sorted list of distinct edges."""
-    return (f"CASE WHEN len({edges}) < 2 OR {x} IS NULL OR {x} < {edges}[1] "
-            f"OR {x} > {edges}[len({edges})] THEN NULL "
-            f"ELSE greatest(len(list_filter({edges}, lambda e: e < {x})) - 1, 0) END")
+    """Right-closed code against a sorted list of distinct edges, outer bins open."""
+    return (f"CASE WHEN len({edges}) < 2 OR {x} IS NULL THEN NULL "
+            f"ELSE least(greatest(len(list_filter({edges}, lambda e: e < {x})) - 1, 0), len({edges}) - 2) END")
 
 
 EDGES_CTE = """
@@ -219,6 +218,9 @@ ORACLE = {
     "feature_matrix": with_applicants(
         "SELECT SK_ID_CURR, TARGET, " + ", ".join(rnd(c) for c in NUMERIC)
         + ", AGE_BIN, INCOME_BIN, EXT_SOURCE_MEAN_BIN FROM mat_train", matrix_ctes()),
+    "feature_matrix_test": with_applicants(
+        "SELECT SK_ID_CURR, " + ", ".join(rnd(c) for c in NUMERIC)
+        + ", AGE_BIN, INCOME_BIN, EXT_SOURCE_MEAN_BIN FROM mat_test", matrix_ctes()),
     "feature_preview": with_applicants(
         "SELECT SK_ID_CURR, TARGET, " + ", ".join(rnd(c) for c in NUMERIC)
         + ", AGE_BIN, INCOME_BIN, EXT_SOURCE_MEAN_BIN FROM mat_train ORDER BY SK_ID_CURR LIMIT 5",
@@ -379,15 +381,44 @@ folds3 AS (SELECT *, CAST((row_number() OVER (ORDER BY TARGET,
 """
 
 
-def _run_row(p: str) -> str:
+def _run_row(run: str, p: str) -> str:
     fa = auc_sql("folds3", "TARGET", p, "fold", digits=None)
-    return (f"SELECT '{p}' AS run, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc, "
-            f"round(min(auc), 6) AS min_auc, round(max(auc), 6) AS max_auc, CAST(NULL AS VARCHAR) AS config, "
+    return (f"SELECT '{run}' AS run, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc, "
+            f"round(min(auc), 6) AS min_auc, round(max(auc), 6) AS max_auc, '{run.split('_')[0]}' AS config, "
             f"'{{\"score\": \"{p}\"}}' AS params FROM ({fa})")
 
 
+RUNS = {"lgbm_ext1": "pred_ext1", "xgb_ext2": "pred_ext2", "cat_ext3": "pred_ext3"}
+
+# What a cross-fit promises of its scores: every train key once in its fold, every test key once.
+CROSS_FIT = ("SELECT SK_ID_CURR, TARGET, fold, 'oof' AS part, true AS in_range FROM folds3 UNION ALL "
+             "SELECT SK_ID_CURR, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), 'test', true FROM test")
+STACKED = "SELECT SK_ID_CURR, TARGET, fold, true AS in_range FROM folds3"
+N_FEATURES = len(NUMERIC) + 3
+DRIFT = (f"SELECT CAST({N_FEATURES} AS BIGINT) AS n_features, CAST(1.0 AS DOUBLE) AS importance_sum, "
+         "true AS drifting_column_found, true AS drift_seen")
+TRIALS = "SELECT CAST(i AS INTEGER) AS trial, true AS in_space, true AS learned FROM range(2) t(i)"
+
 ORACLE.update({
     # the written, listed (mlp excluded) and re-read score tables, joined
     "scan_scores": with_applicants("SELECT * FROM oof", SCORES),
-    "run_summary": with_applicants(" UNION ALL ".join(_run_row(p) for p in PREDS), SCORES + "," + FOLDS3),
+    "scan_test_scores": with_applicants("SELECT * FROM tst", SCORES),
+    "run_summary": with_applicants(" UNION ALL ".join(_run_row(r, p) for r, p in RUNS.items()), SCORES + "," + FOLDS3),
+    "load_csv": with_applicants("SELECT * REPLACE (CASE WHEN ((SK_ID_CURR*48271) % 65537) % 6 = 5 THEN NULL ELSE TARGET END AS TARGET) "
+                                "FROM applicants"),
+    "submission_round_trip": with_applicants(
+        "SELECT SK_ID_CURR, round(least(greatest(TARGET, 0.0), 1.0), 6) AS TARGET FROM sub", LIN_SUB),
+    "calibrated_target": with_applicants("SELECT count(*) AS matched, true AS reached, true AS rescored, true AS alpha_ok FROM test"),
+    # contracts of fitted models
+    **{q: with_applicants(CROSS_FIT, SCORES + "," + FOLDS3)
+       for q in ("cross_fit_gbt", "cross_fit_gbt_rows", "cross_fit_gbt_cat", "cross_fit_mlp", "oof_union")},
+    **{q: with_applicants(STACKED, SCORES + "," + FOLDS3) for q in ("stack_fit_bayes", "stack_fit_logreg")},
+    "stack_gradient": "SELECT unnest([" + ", ".join(f"'{w}'" for w in ["intercept", *META]) + "]) AS weight, CAST(0.0 AS DOUBLE) AS slope",
+    "stack_residual": "SELECT 'intercept' AS weight, CAST(0.0 AS DOUBLE) AS slope",
+    "leaderboard": "SELECT unnest(['gbt', 'logreg', 'rf']) AS model, true AS low_ok, true AS high_ok, true AS best_rescored",
+    "drift_auc": DRIFT,
+    "drift_auc_in_sample": DRIFT,
+    "search_gbt": TRIALS,
+    "search_gbt_cat": TRIALS,
+    "model_round_trip": with_applicants("SELECT SK_ID_CURR, true AS same FROM test"),
 })

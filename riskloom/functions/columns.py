@@ -63,20 +63,23 @@ def row_std(cols: Sequence) -> Column:
     return F.when(n >= 2, F.sqrt(ss / (n - 1).cast("double")))
 
 
-def right_closed_code(x, edges: Sequence[float]) -> Column:
+def right_closed_code(x, edges: Sequence[float], open_ends: bool = False) -> Column:
     """Integer code of the interval ``(e_i, e_{i+1}]`` holding ``x``.
 
     The lowest edge is included in bin 0; values outside ``[e_0, e_m]``
-    and inputs with fewer than two distinct edges give NULL.
+    and inputs with fewer than two distinct edges give NULL. With
+    ``open_ends`` the first and last bin reach to infinity, so that values a
+    fit never saw fall into the nearest bin and only NULL gives NULL.
     """
     x = col_of(x)
     edges = list(edges)
     if len(edges) < 2:
         return F.lit(None).cast("int")
-    expr = F.when(x.isNull() | (x < F.lit(edges[0])) | (x > F.lit(edges[-1])), F.lit(None))
-    for i, e in enumerate(edges[1:]):
+    outside = (x < F.lit(edges[0])) | (x > F.lit(edges[-1]))
+    expr = F.when(x.isNull() if open_ends else x.isNull() | outside, F.lit(None))
+    for i, e in enumerate(edges[1:-1] if open_ends else edges[1:]):
         expr = expr.when(x <= F.lit(e), F.lit(i))
-    return expr.cast("int")
+    return (expr.otherwise(F.lit(len(edges) - 2)) if open_ends else expr).cast("int")
 
 
 def clip_probability(p, eps: float = 1e-7) -> Column:

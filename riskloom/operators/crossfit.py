@@ -17,11 +17,11 @@ from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
+from ..functions.columns import positive_probability
 from .folds import FoldConfig, assign_folds, require_columns
 from .impute import fit_standardizer
 from .learners import LearnerSpec, class_weight
@@ -36,6 +36,9 @@ class CrossFitResult:
     models: list
     version: str
     _cached: list
+    key: str = KEY
+    label: str = LABEL
+    bundle: dict = None     # all a scorer needs beside the fold models: columns, arity, scalers, medians
 
     @property
     def score_col(self) -> str:
@@ -45,6 +48,13 @@ class CrossFitResult:
         for d in self._cached:
             d.unpersist()
 
+    def rename(self, version: str) -> None:
+        """The same result under another version name."""
+        old, self.version = self.score_col, version
+        self.oof = self.oof.withColumnRenamed(old, self.score_col)
+        self.test = self.test.withColumnRenamed(old, self.score_col)
+        self.bundle = self.bundle | {"version": version}
+
 
 def _feature_exprs(feats, cats, arity, scale, float32=False, medians=None):
     """Columns entering the vector: (per-fold imputed,) scaled numerics,
@@ -71,23 +81,26 @@ def _feature_exprs(feats, cats, arity, scale, float32=False, medians=None):
     return out
 
 
-def ensure_parallel(df: DataFrame, key: str, aggs=()) -> DataFrame | tuple:
-    """Persist ``df`` for iterative learners and make sure every core gets a
-    slice. The partition count of a materialised cache is exact (AQE may
-    have coalesced a small input into one partition); only below the
-    cluster's default parallelism is it hash-repartitioned on the key (and
-    sorted, so a rerun sees the same rows in the same order). A large input
-    never pays this extra shuffle. ``aggs`` ride on the materialising pass;
-    when given, (df, row of aggs) is returned."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        spread = df.repartition(target, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
-        spread.count()
-        df.unpersist()
-        df = spread
-    return (df, row) if aggs else df
+#: Rows of a learner matrix per partition; the session's ``riskloom.learner.partitions`` overrides the rule.
+ROWS_PER_PARTITION = 250_000
+MIN_PARTITIONS = 8
+
+
+def learner_partitions(spark, rows: int) -> int:
+    """Partitions of a learner matrix: from the session's setting, else from the
+    number of rows. Row sampling inside learners depends on the partitions, so the
+    rule never looks at the cores: a model is the same on any cluster."""
+    conf = spark.conf.get("riskloom.learner.partitions", None)
+    return int(conf) if conf else max(MIN_PARTITIONS, -(-rows // ROWS_PER_PARTITION))
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` hashed on the key into its learner partitions, sorted, and cached
+    (materialised): a rerun sees the same rows in the same order."""
+    out = (df.repartition(learner_partitions(df.sparkSession, rows), key).sortWithinPartitions(key)
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    out.count()
+    return out
 
 
 def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: str,
@@ -96,6 +109,25 @@ def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: s
     return VectorAssembler(inputCols=list(feats), outputCol=out).transform(staged).select(*keep, out)
 
 
+def score_rows(rows: DataFrame, key: str, models: list, feats, cats, arity, float32: bool, scales, medians,
+               out: str) -> DataFrame:
+    """(key, out): the fold models' mean class-1 probability of each row (D6), one
+    projection chain, nothing joined. Used by cross-fitting and by saved models."""
+    t = rows
+    pcols = []
+    for f, (model, scale, med) in enumerate(zip(models, scales, medians)):
+        vec = f"_x{f}"
+        staged = t.select("*", *[e.alias(f"_{f}_{e_name}") for e, e_name in
+                                 zip(_feature_exprs(feats, cats, arity, scale, float32, med), feats)])
+        assembled = VectorAssembler(inputCols=[f"_{f}_{c}" for c in feats], outputCol=vec).transform(staged)
+        m = model.copy()
+        m.setFeaturesCol(vec).setProbabilityCol(f"_prob{f}").setRawPredictionCol(f"_raw{f}") \
+            .setPredictionCol(f"_pred{f}")
+        t = m.transform(assembled).select(*t.columns, positive_probability(f"_prob{f}").alias(f"_p{f}"))
+        pcols.append(f"_p{f}")
+    return t.select(key, (sum((F.col(c) for c in pcols), F.lit(0.0)) / float(len(models))).alias(out))
+
+
 def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: list[str],
               categorical: list[str] = (), label: str = LABEL, key: str = KEY,
               fold_cfg: FoldConfig | None = None, version: str = "model",
@@ -121,17 +153,20 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     else:
         base = train.select(key, label, *feats).join(folds_df.select(key, "fold"), key)
     extra = [class_weight(label, spec.positive_weight).alias("_w")] if spec.positive_weight else []
-    # the materialising pass also yields each bin's arity (codes -1..m -> m+2 values)
-    base, row = ensure_parallel(base.select("*", F.col(label).cast("double").alias("_y"), *extra), key,
-                                [F.max(c).alias(c) for c in cats] or [F.lit(0).alias("_none")])
+    # one pass counts the rows and yields each bin's arity (codes -1..m -> m+2 values)
+    raw = base.select("*", F.col(label).cast("double").alias("_y"), *extra).persist(StorageLevel.MEMORY_AND_DISK)
+    row = raw.agg(F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in cats]).first()
     arity = {c: int(row[c] if row[c] is not None else -1) + 2 for c in cats}
     keep = [key, label, "fold", "_y"] + (["_w"] if extra else [])
     n_feat = len(feats)
 
-    shared = None
+    # exactly one matrix stays cached: vectors, or columns when each fold prepares its own
+    shared, base = None, None
     if not spec.standardize and not fold_impute:
-        shared = _vectorise(base, keep, feats, cats, arity, None, "_x", spec.float32) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        shared = dealt(_vectorise(raw, keep, feats, cats, arity, None, "_x", spec.float32), key, row["_rows"])
+    else:
+        base = dealt(raw, key, row["_rows"])
+    raw.unpersist()
 
     def fold_matrix(f):
         if shared is not None:
@@ -150,12 +185,7 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
 
     def fit(f):
         mat, scale, med = fold_matrix(f)
-        est = spec.estimator("_x", "_y", n_feat)
-        if spec.validation_stop:
-            data = mat.withColumn("_is_valid", F.col("fold") == f)
-        else:
-            data = mat.where(F.col("fold") != f)
-        return est.fit(data), scale, med
+        return spec.fit("_x", "_y", n_feat, mat.where(F.col("fold") != f), mat.where(F.col("fold") == f)), scale, med
 
     with ThreadPoolExecutor(max_workers=max(1, min(threads, k))) as pool:
         fitted = list(pool.map(fit, range(k)))
@@ -168,29 +198,20 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
         mat = shared if shared is not None else _vectorise(base, keep, feats, cats, arity, scale, "_x",
                                                            spec.float32, med)
         scored = model.transform(mat.where(F.col("fold") == f))
-        parts.append(scored.select(key, label, "fold", vector_to_array("probability")[1].alias(score_col)))
-    oof = reduce(lambda a, b: a.unionByName(b), parts)
+        parts.append(scored.select(key, label, "fold", positive_probability("probability").alias(score_col)))
+    # the narrow table is read by the metrics, the sinks and the stacker: scored once
+    oof = reduce(lambda a, b: a.unionByName(b), parts).persist(StorageLevel.MEMORY_AND_DISK)
 
-    # Test: k models applied in one projection chain, averaged per row.
-    t = test.select(key, *feats)
-    pcols = []
-    for f, (model, scale, med) in enumerate(fitted):
-        vec = f"_x{f}"
-        staged = t.select("*", *[e.alias(f"_{f}_{e_name}") for e, e_name in
-                                 zip(_feature_exprs(feats, cats, arity, scale, spec.float32, med), feats)])
-        assembled = VectorAssembler(inputCols=[f"_{f}_{c}" for c in feats], outputCol=vec).transform(staged)
-        m = model.copy()
-        m.setFeaturesCol(vec).setProbabilityCol(f"_prob{f}").setRawPredictionCol(f"_raw{f}") \
-            .setPredictionCol(f"_pred{f}")
-        t = m.transform(assembled).select(*t.columns, vector_to_array(f"_prob{f}")[1].alias(f"_p{f}"))
-        t = t.select(*[c for c in t.columns if not c.startswith(f"_{f}_")])
-        pcols.append(f"_p{f}")
-    test_scores = t.select(key, (sum((F.col(c) for c in pcols), F.lit(0.0)) / float(k)).alias(score_col))
+    test_scores = score_rows(test.select(key, *feats), key, models, feats, cats, arity, spec.float32,
+                             [s for _, s, _ in fitted], [m for _, _, m in fitted], score_col)
 
     fold_auc = auc_by_fold(oof, label, score_col)
     metrics = run_metrics(fold_auc)
+    bundle = {"version": version, "kind": spec.kind, "features": feats, "categorical": cats, "arity": arity,
+              "float32": spec.float32, "params": {k: v for k, v in spec.params.items()},
+              "scale": [s for _, s, _ in fitted], "medians": [m for _, _, m in fitted]}
     result = CrossFitResult(oof, test_scores, metrics, models, version,
-                            [d for d in (base, shared) if d is not None])
+                            [d for d in (base, shared, oof) if d is not None], key, label, bundle)
     if artifacts_dir:
         write_artifacts(result, artifacts_dir)
     return result
@@ -198,16 +219,20 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
 
 def leaderboard(specs: dict, train: DataFrame, test: DataFrame, features: list[str],
                 categorical: list[str] = (), label: str = LABEL, key: str = KEY,
-                fold_cfg: FoldConfig | None = None) -> tuple[DataFrame, CrossFitResult]:
+                fold_cfg: FoldConfig | None = None, artifacts_dir: str | None = None,
+                folds_df: DataFrame | None = None, version: str | None = None) -> tuple[DataFrame, CrossFitResult]:
     """H5, re-aimed: cross-fit several learners on ONE shared fold assignment
-    (submitted concurrently) and rank them by mean out-of-fold AUC.
+    (submitted concurrently) and rank them by mean out-of-fold AUC. With
+    ``artifacts_dir`` the best model's OOF and test scores, metrics and models are
+    written under ``version`` (default: the model's name).
 
     Returns (leaderboard table, result of the best model) -- the best
     model's scores are true out-of-fold scores, not in-sample ones. The other
     results are released."""
     from .folds import make_stratified_folds
     fold_cfg = fold_cfg or FoldConfig()
-    fold_ids = make_stratified_folds(train.select(key, label), label, fold_cfg, key).persist()
+    fold_ids = folds_df if folds_df is not None else \
+        make_stratified_folds(train.select(key, label), label, fold_cfg, key).persist()
 
     def fit(item):
         name, spec = item
@@ -222,20 +247,45 @@ def leaderboard(specs: dict, train: DataFrame, test: DataFrame, features: list[s
     for n, r in results.items():
         if n != best:
             r.release()
+    if folds_df is None:
+        fold_ids.unpersist()
+    if version:
+        results[best].rename(version)
+    if artifacts_dir:
+        write_artifacts(results[best], artifacts_dir)
     table = train.sparkSession.createDataFrame(
         rows, "model string, mean_auc double, std_auc double, min_auc double, max_auc double") \
         .orderBy(F.col("mean_auc").desc(), F.col("model"))
     return table, results[best]
 
 
+MODEL_CLASSES = {"gbt": "GBTClassificationModel", "rf": "RandomForestClassificationModel",
+                 "logreg": "LogisticRegressionModel", "mlp": "MultilayerPerceptronClassificationModel"}
+
+
 def write_artifacts(res: CrossFitResult, artifacts_dir: str) -> None:
-    """OOF and test score tables, metrics JSON, fold models."""
+    """OOF and test score tables, run metrics, fold models and
+    the bundle that turns a feature matrix into each model's input."""
+    from .report import write_metrics
     v = res.version
-    res.oof.select(KEY, LABEL, res.score_col).write.mode("overwrite").parquet(
+    res.oof.select(res.key, res.label, res.score_col).write.mode("overwrite").parquet(
         os.path.join(artifacts_dir, "oof", f"oof_{v}"))
     res.test.write.mode("overwrite").parquet(os.path.join(artifacts_dir, "predictions", f"pred_{v}_test"))
     spark = res.oof.sparkSession
-    spark.createDataFrame([(json.dumps(res.metrics),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(artifacts_dir, "metrics", f"run_{v}"))
+    write_metrics(spark, os.path.join(artifacts_dir, "metrics"), v, res.metrics, res.bundle["params"])
     for f, m in enumerate(res.models):
         m.write().overwrite().save(os.path.join(artifacts_dir, "models", f"{v}_fold{f}"))
+    spark.createDataFrame([(json.dumps(res.bundle | {"folds": len(res.models)}),)], "bundle string").coalesce(1) \
+        .write.mode("overwrite").json(os.path.join(artifacts_dir, "models", f"{v}_bundle"))
+
+
+def score_saved(matrix: DataFrame, artifacts_dir: str, version: str, key: str = KEY) -> DataFrame:
+    """(key, pred_<version>) of a feature matrix from the saved fold models alone."""
+    from pyspark.ml import classification
+    spark = matrix.sparkSession
+    models_dir = os.path.join(artifacts_dir, "models")
+    b = json.loads(spark.read.json(os.path.join(models_dir, f"{version}_bundle")).first()["bundle"])
+    load = getattr(classification, MODEL_CLASSES[b["kind"]]).load
+    models = [load(os.path.join(models_dir, f"{version}_fold{f}")) for f in range(b["folds"])]
+    return score_rows(matrix.select(key, *b["features"]), key, models, b["features"], b["categorical"], b["arity"],
+                      b["float32"], b["scale"], b["medians"], f"pred_{version}")

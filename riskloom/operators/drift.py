@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEY
+from ..functions.columns import positive_probability
 from .folds import FoldConfig
-from .learners import LearnerSpec, gbt_profile
+from .learners import LearnerSpec, drift_profile
 from .ordering import roc_auc_table
 
 
@@ -39,19 +40,16 @@ def adversarial_validation(train_mat: DataFrame, test_mat: DataFrame, features:
                            key: str = KEY, spec: LearnerSpec | None = None, mode: str = "oof",
                            fold_cfg: FoldConfig | None = None) -> tuple[float, DataFrame]:
     """Returns (drift AUC, importances sorted descending)."""
-    from .crossfit import _vectorise, cross_fit, ensure_parallel
-    spec = spec or gbt_profile(trees=10, depth=5)
+    from .crossfit import _vectorise, cross_fit, dealt
+    spec = spec or drift_profile()
     cols = [key, *features]
     both = union_train_test(train_mat.select(*cols), test_mat.select(*cols))
     spark = both.sparkSession
     if mode == "in_sample":
         base = both.select("*", F.col("IS_TEST").cast("double").alias("_y"))
-        mat = ensure_parallel(_vectorise(base, [key, "IS_TEST", "_y"], features, [], {}, None, "_x"), key)
+        mat = dealt(_vectorise(base, [key, "IS_TEST", "_y"], features, [], {}, None, "_x"), key, both.count())
         model = spec.estimator("_x", "_y", len(features)).fit(mat)
-        scored = model.transform(mat).select(
-            key, "IS_TEST", F.col("probability").alias("_prob"))
-        from pyspark.ml.functions import vector_to_array
-        scored = scored.select(key, "IS_TEST", vector_to_array("_prob")[1].alias("_s"))
+        scored = model.transform(mat).select(key, "IS_TEST", positive_probability("probability").alias("_s"))
         auc = roc_auc_table(scored, "IS_TEST", "_s", tiebreak=key).first()["auc"]
         imp = model.featureImportances
         mat.unpersist()

@@ -214,7 +214,7 @@ def build_features(df: DataFrame, state: FeatureState | None = None,
         skipped.append("AGE_BIN")
     for b, src in spec.quantile_bins.items():
         if src in exprs and b in state.edges:
-            bins[b] = fx.right_closed_code(exprs[src], state.edges[b])
+            bins[b] = fx.right_closed_code(exprs[src], state.edges[b], open_ends=True)
         else:
             skipped.append(b)
     head = [c for c in (spec.key, spec.label) if c in pre.columns] + [c for c in keep if c in pre.columns]

@@ -11,6 +11,9 @@ from .. import KEY, LABEL
 from .ordering import global_row_number
 
 
+MAX_CLASSES = 100
+
+
 @dataclass
 class FoldConfig:
     n_splits: int = 5
@@ -44,15 +47,15 @@ def make_stratified_folds(df: DataFrame, label: str = LABEL, cfg: FoldConfig | N
     if cfg.shuffle:
         order.append(shuffle_key(key, cfg.random_state))
     order.append(F.col(key))
-    # class sizes come from the numbering's own per-partition counts
-    numbered = global_row_number(df, order, "_rn", count_by=[label])
-    classes: dict = {}
-    for r in numbered.counts:
-        classes[r[1]] = classes.get(r[1], 0) + r[2]
+    # a label has few values; more than that is refused before anything is numbered
+    classes = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).limit(MAX_CLASSES + 1).collect()}
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"label {label!r} has more than {MAX_CLASSES} values")
     if None in classes:
         raise ValueError(f"label {label!r} has NULL values")
     if not classes or max(classes.values()) < k:
         raise ValueError(f"n_splits={k} exceeds the size of every class: {classes}")
+    numbered = global_row_number(df, order, "_rn")
     return numbered.df.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
 
 

@@ -32,7 +32,7 @@ def fold_summary(fold_auc: DataFrame, value: str = "auc", prefix: str = "") -> D
 def auc_by_fold(oof: DataFrame, label: str, score: str, fold_col: str = "fold",
                 key: str | None = KEY) -> DataFrame:
     """Per-fold AUC in one job over the OOF table (fold, auc, n_pos, n_neg, n_null)."""
-    t = roc_auc_table(oof, label, score, [fold_col], tiebreak=key if key in oof.columns else None)
+    t = roc_auc_table(oof, label, score, [fold_col])
     return t.withColumnRenamed(fold_col, "fold") if fold_col != "fold" else t
 
 
@@ -77,7 +77,8 @@ def evaluate_scores(truth: DataFrame, submission: DataFrame, key: str = KEY,
     t = truth.select(key, F.col(label).alias("TRUE_TARGET"))
     s = submission.select(key, F.col(score).alias("_score"))
     merged = t.join(s, key, "inner")
-    if merged.isEmpty():
+    row = roc_auc_table(merged, "TRUE_TARGET", "_score").first()      # the join runs once
+    matched = row["n_pos"] + row["n_neg"] + (row["n_null"] or 0)
+    if not matched:
         raise ValueError("no matching keys between truth and submission")
-    auc = roc_auc_table(merged, "TRUE_TARGET", "_score", (), tiebreak=key)
-    return auc.select((F.col("n_pos") + F.col("n_neg") + F.col("n_null")).alias("matched"), "auc")
+    return truth.sparkSession.createDataFrame([(matched, row["auc"])], "matched long, auc double")

@@ -26,13 +26,13 @@ def score_columns(df: DataFrame, key: str = KEY, label: str | None = LABEL) -> l
 
 
 def join_score_tables(tables: list[DataFrame], key: str = KEY, label: str | None = LABEL,
-                      check_counts: bool = False) -> DataFrame:
+                      check_counts: bool = True) -> DataFrame:
     """Inner join of N score tables on the key; the label comes from the first.
 
     Every join is on the same key, so each input is shuffled once and the
     sort-merge joins reuse that partitioning. Score names must be unique.
-    With ``check_counts`` a dropped key (an inner join silently losing rows)
-    raises.
+    With ``check_counts`` every key must be in every table exactly once (one
+    grouped pass over the keys); a missing or repeated key raises.
     """
     tables = list(tables)
     if not tables:
@@ -48,9 +48,13 @@ def join_score_tables(tables: list[DataFrame], key: str = KEY, label: str | None
     merged = reduce(lambda a, b: a.join(b.select(key, *score_columns(b, key, label)), key, "inner"),
                     tables[1:], first)
     if check_counts:
-        n0, n = first.count(), merged.count()
-        if n != n0:
-            raise ValueError(f"score join kept {n} of {n0} keys")
+        keys = reduce(DataFrame.unionByName, [t.select(key, F.lit(i).alias("_t")) for i, t in enumerate(tables)])
+        per_key = keys.groupBy(key).agg(*[F.count_if(F.col("_t") == i).alias(f"n{i}") for i in range(len(tables))])
+        bad = per_key.agg(*[F.count_if(F.col(f"n{i}") == 0) for i in range(len(tables))],
+                          *[F.count_if(F.col(f"n{i}") > 1) for i in range(len(tables))]).first()
+        if any(bad):
+            n = len(tables)
+            raise ValueError(f"score tables lack keys {list(bad[:n])} and repeat keys {list(bad[n:])}, by table")
     return merged
 
 
@@ -175,19 +179,58 @@ def _fit_bayes_from_stats(stats, exclude=None):
     return [float(c) for c in coef], float(ym - xm @ coef)
 
 
-def _fit_logreg(df: DataFrame, feats: list[str], label: str, n: int | None = None,
-                assembled: bool = False):
-    """L2 logistic fit equal to C=1 with a free intercept: Spark's objective is
-    mean loss + reg/2 |w|^2, so reg = 1/n (n = rows fitted); tolerance 1e-4, at most
-    1000 iterations, as the original stacker was configured."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    n = n if n is not None else df.count()
-    vec = df if assembled else VectorAssembler(inputCols=feats, outputCol="_x").transform(df).select(
-        "_x", F.col(label).cast("double").alias("_y"))
-    m = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, tol=1e-4, regParam=1.0 / max(n, 1),
-                           elasticNetParam=0.0, standardization=False, fitIntercept=True).fit(vec)
-    return [float(c) for c in m.coefficients], float(m.intercept)
+NEWTON_STEPS = 50
+NEWTON_TOLERANCE = 1e-10
+
+
+def _fit_logregs(df: DataFrame, feats: list[str], label: str, k: int) -> list[tuple[list[float], float]]:
+    """k fold models (each without its fold) and the model of all rows: L2 logistic
+    fits equal to C=1 with a free intercept, all by the same Newton steps. Each step is
+    one grouped aggregate over the rows: gradient and Hessian of the summed loss for
+    every model, (d+1)(d+4)/2 numbers a model on the driver. Steps are halved while
+    the loss grows and end when no gradient entry per row exceeds the tolerance."""
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in feats]).first()
+    mu = np.array([means[c] for c in feats], dtype=float)
+    d = len(feats) + 1
+    rows = df.select("fold", F.col(label).cast("double").alias("_y"), F.lit(1.0).alias("_x0"),
+                     *[(F.col(c).cast("double") - F.lit(float(m))).alias(f"_x{i + 1}") for i, (c, m) in enumerate(zip(feats, mu))])
+    model = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k)), lambda m: m != F.col("fold"))).alias("_m")
+    rows = rows.select("*", model)
+    x = [F.col(f"_x{i}") for i in range(d)]
+
+    def sums(w):
+        """Loss, gradient and Hessian of every model at its weights, penalty included."""
+        z = sum((F.element_at(F.array(*[F.lit(float(w[m][i])) for m in range(k + 1)]), F.col("_m") + 1) * x[i] for i in range(d)), F.lit(0.0))
+        loss = F.greatest(F.col("_z"), F.lit(0.0)) - F.col("_y") * F.col("_z") + F.log1p(F.exp(-F.abs("_z")))
+        p = F.when(F.col("_z") >= 0, 1 / (1 + F.exp(-F.abs("_z")))).otherwise(1 - 1 / (1 + F.exp(-F.abs("_z"))))
+        staged = rows.withColumn("_z", z).withColumn("_p", p).withColumn("_v", F.col("_p") * (1 - F.col("_p")))
+        aggs = [F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss")]
+        aggs += [F.sum((F.col("_p") - F.col("_y")) * x[i]).alias(f"g{i}") for i in range(d)]
+        aggs += [F.sum(F.col("_v") * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
+        ridge = np.diag([0.0] + [1.0] * (d - 1))
+        out = {}
+        for r in staged.groupBy("_m").agg(*aggs).collect():                 # k + 1 rows
+            g = np.array([r[f"g{i}"] for i in range(d)])
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+            wm = np.array(w[r["_m"]])
+            out[r["_m"]] = (r["loss"] + wm @ ridge @ wm / 2, g + ridge @ wm, h + ridge, r["n"])
+        return out
+
+    w = [np.zeros(d) for _ in range(k + 1)]
+    now = sums(w)
+    scale = {m: 1.0 for m in now}
+    for _ in range(NEWTON_STEPS):
+        if all(np.abs(g).max() <= NEWTON_TOLERANCE * n for _, g, _, n in now.values()):
+            break
+        step = {m: np.linalg.solve(h + 1e-12 * np.eye(d), g) for m, (_, g, h, _) in now.items()}
+        tried = [w[m] - scale[m] * step[m] if m in step else w[m] for m in range(k + 1)]
+        then = sums(tried)
+        for m in now:
+            if then[m][0] <= now[m][0] + 1e-9 * abs(now[m][0]):
+                w[m], now[m], scale[m] = tried[m], then[m], min(1.0, 2 * scale[m])
+            else:
+                scale[m] /= 2
+    return [([float(c) for c in v[1:]], float(v[0] - v[1:] @ mu)) for v in w]
 
 
 def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
@@ -212,17 +255,7 @@ def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
             fold_models.append(_fit_bayes_from_stats(stats, exclude=f))
         coef, b = _fit_bayes_from_stats(stats)
     elif stacker_type == "logreg":
-        from concurrent.futures import ThreadPoolExecutor
-        from pyspark.ml.feature import VectorAssembler
-        vec = (VectorAssembler(inputCols=feats, outputCol="_x").transform(with_folds)
-               .select("fold", "_x", F.col(label).cast("double").alias("_y")).persist())
-        sizes = {r[0]: r[1] for r in vec.groupBy("fold").count().collect()}   # k rows
-        total = sum(sizes.values())
-        jobs = [(vec.where(F.col("fold") != f), total - sizes.get(f, 0)) for f in range(k)]
-        jobs.append((vec, total))
-        with ThreadPoolExecutor(max_workers=min(len(jobs), 4)) as pool:
-            fits = list(pool.map(lambda j: _fit_logreg(j[0], feats, label, j[1], True), jobs))
-        vec.unpersist()
+        fits = _fit_logregs(with_folds, feats, label, k)
         fold_models, (coef, b) = fits[:k], fits[k]
     else:
         raise ValueError(f"unknown stacker type {stacker_type!r}")
@@ -231,22 +264,22 @@ def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
     for f, (c, bb) in enumerate(fold_models):
         s = StackerState(stacker_type, feats, c, bb).score()
         expr = F.when(F.col("fold") == f, s) if expr is None else expr.when(F.col("fold") == f, s)
-    oof_meta = with_folds.select(key, label, "fold", expr.alias("pred_stack"))
-    fold_auc = auc_by_fold(oof_meta, label, "pred_stack")
-    metrics = run_metrics(fold_auc)
+    # the narrow meta scores are kept for the caller; the wide tables are released
+    oof_meta = with_folds.select(key, label, "fold", expr.alias("pred_stack")).persist()
+    metrics = run_metrics(auc_by_fold(oof_meta, label, "pred_stack"))
+    with_folds.unpersist()
+    oof.unpersist()
     return oof_meta, metrics, state
 
 
 def apply_stacker(test_tables: list[DataFrame], state: StackerState, key: str = KEY,
-                  out: str = LABEL, eps: float = 1e-7, check_counts: bool = False) -> DataFrame:
+                  out: str = LABEL, eps: float = 1e-7, check_counts: bool = True) -> DataFrame:
     """H9: join test score tables, meta-features on the test batch, column
     check, score. Output (key, TARGET)."""
     merged = join_score_tables(test_tables, key, None, check_counts)
     preds = score_columns(merged, key, None)
     meta = meta_features(merged, preds, key, eps)
-    missing = set(state.features) - set(meta.columns)
-    if missing:
-        raise ValueError(f"missing meta features in test set: {sorted(missing)}")
+    require_columns(meta, state.features)
     return meta.select(key, state.score().alias(out))
 
 

@@ -118,6 +118,11 @@ def q_feature_matrix(spark, sf_dir):
     return mtrain.select(KEY, LABEL, *[rnd(c, c) for c in fs.numeric], *fs.categorical)
 
 
+def q_feature_matrix_test(spark, sf_dir):
+    _, mtest, fs = imputed_matrices(spark, sf_dir)
+    return mtest.select(KEY, *[rnd(c, c) for c in fs.numeric], *fs.categorical)
+
+
 def q_feature_preview(spark, sf_dir):
     return q_feature_matrix(spark, sf_dir).orderBy(KEY).limit(5)
 
@@ -345,7 +350,8 @@ def q_calibrated_scores(spark, sf_dir):
 
 # ------------------------------------------------------------------ learners (rows-only checks)
 
-TREES, FOLDS = 10, 3   # test-size settings: <= 10 trees, <= 3 folds
+# Test-size settings, passed wherever a learner is fitted here; the library's defaults are the original ones.
+TREES, FOLDS, BINS, TRIALS = 10, 3, 32, 2
 
 
 def _prepared(spark, sf_dir):
@@ -354,96 +360,153 @@ def _prepared(spark, sf_dir):
     return prepare(train, test)
 
 
+def _in_range(score):
+    return F.col(score).isNotNull() & F.col(score).between(0.0, 1.0)
+
+
 def _cross(spark, sf_dir, spec, version):
+    """Fit and score; what SQL can check of the scores: every train key once in its
+    fold, every test key once, all of them probabilities."""
     from ..operators.crossfit import cross_fit
     prep = _prepared(spark, sf_dir)
     res = cross_fit(spec, prep.train, prep.test, prep.features.names, prep.features.categorical,
                     fold_cfg=folds.FoldConfig(n_splits=FOLDS), version=version)
-    return res
+    oof = res.oof.select(KEY, LABEL, "fold", F.lit("oof").alias("part"), _in_range(res.score_col).alias("in_range"))
+    test = res.test.select(KEY, F.lit(None).cast("int").alias(LABEL), F.lit(None).cast("int").alias("fold"),
+                           F.lit("test").alias("part"), _in_range(res.score_col).alias("in_range"))
+    return oof.unionByName(test)
 
 
 def q_cross_fit_gbt(spark, sf_dir):
     from ..operators import learners
-    return _cross(spark, sf_dir, learners.lgbm_profile(TREES), "lgbm_v1").oof
+    return _cross(spark, sf_dir, learners.lgbm_profile(TREES, max_bins=BINS), "lgbm_v1")
 
 
 def q_cross_fit_gbt_rows(spark, sf_dir):
     from ..operators import learners
-    return _cross(spark, sf_dir, learners.xgb_profile(TREES), "xgb_v1").oof
+    return _cross(spark, sf_dir, learners.xgb_profile(TREES, max_bins=BINS), "xgb_v1")
 
 
 def q_cross_fit_gbt_cat(spark, sf_dir):
     from ..operators import learners
-    return _cross(spark, sf_dir, learners.catboost_profile(TREES), "cat_v1").test
+    return _cross(spark, sf_dir, learners.catboost_profile(TREES, max_bins=BINS), "cat_v1")
 
 
 def q_cross_fit_mlp(spark, sf_dir):
     from ..operators import learners
-    return _cross(spark, sf_dir, learners.mlp_profile(30), "mlp_v1").oof
+    return _cross(spark, sf_dir, learners.mlp_profile(30), "mlp_v1")
 
 
 def q_oof_union(spark, sf_dir):
     from ..operators import learners
-    return _cross(spark, sf_dir, learners.logreg_profile(50), "logreg_v1").oof
+    return _cross(spark, sf_dir, learners.logreg_profile(50), "logreg_v1")
+
+
+def _same(a, b):
+    return a is not None and b is not None and abs(a - b) < 1e-9
 
 
 def q_leaderboard(spark, sf_dir):
-    """H5 re-aimed: the same folds for {LR, RF, GBT}; one row per model."""
+    """H5 re-aimed: the same folds for {LR, RF, GBT}; per model whether its figures are
+    ordered, and whether the best model's stored scores give its reported AUC again."""
     from ..operators import learners
     from ..operators.crossfit import leaderboard
     prep = _prepared(spark, sf_dir)
-    specs = {"logreg": learners.logreg_profile(50), "rf": learners.rf_profile(TREES),
-             "gbt": learners.gbt_profile(TREES)}
+    specs = {"logreg": learners.logreg_profile(50), "rf": learners.rf_profile(TREES, max_bins=BINS),
+             "gbt": learners.gbt_profile(TREES, max_bins=BINS)}
     table, best = leaderboard(specs, prep.train, prep.test, prep.features.names,
                               prep.features.categorical, fold_cfg=folds.FoldConfig(n_splits=FOLDS))
+    again = metrics.run_metrics(metrics.auc_by_fold(best.oof, LABEL, best.score_col))["mean_auc"]
+    rows = table.collect()                                                    # one row per model
+    found = rows[0].model == best.version and _same(rows[0].mean_auc, again)
     best.release()
-    return table
+    return table.select("model", F.col("min_auc").between(0.0, F.col("mean_auc")).alias("low_ok"),
+                        F.col("max_auc").between(F.col("mean_auc"), F.lit(1.0)).alias("high_ok"),
+                        F.lit(found).alias("best_rescored"))
 
 
 def _stack(spark, sf_dir, kind):
     oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
-    oof_meta, m, state = stacking.train_stacking_model(oof, stacker_type=kind,
-                                                       fold_cfg=folds.FoldConfig(n_splits=FOLDS))
-    return oof_meta
+    return stacking.train_stacking_model(oof, stacker_type=kind, fold_cfg=folds.FoldConfig(n_splits=FOLDS))
+
+
+def _stack_rows(spark, sf_dir, kind):
+    oof_meta, _, _ = _stack(spark, sf_dir, kind)
+    return oof_meta.select(KEY, LABEL, "fold", F.col("pred_stack").between(-1.0, 2.0).alias("in_range"))
 
 
 def q_stack_fit_bayes(spark, sf_dir):
-    return _stack(spark, sf_dir, "bayes")
+    return _stack_rows(spark, sf_dir, "bayes")
 
 
 def q_stack_fit_logreg(spark, sf_dir):
-    return _stack(spark, sf_dir, "logreg")
+    return _stack_rows(spark, sf_dir, "logreg")
 
 
-def q_drift_auc(spark, sf_dir):
-    from ..operators import drift
+def _stack_optimum(spark, sf_dir, kind, penalty):
+    """Derivative of the fitted loss by each weight, a row: zero at the optimum."""
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
+    preds = list(FIXTURE_SCORES)
+    _, _, state = stacking.train_stacking_model(oof, stacker_type=kind, fold_cfg=folds.FoldConfig(n_splits=FOLDS))
+    meta = stacking.meta_features(oof, preds).withColumn("_r", state.score() - F.col(LABEL))
+    weights = {"intercept": (F.lit(1.0), 0.0)} | ({f: (F.col(f), w) for f, w in zip(state.features, state.coef)} if penalty else {})
+    row = meta.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_r") * x).alias(f) for f, (x, _) in weights.items()]).first()
+    rows = [(f, (row[f] + w) / row["n"]) for f, (_, w) in weights.items()]
+    return spark.createDataFrame(rows, "weight string, slope double").select(
+        "weight", (F.round("slope", R) + F.lit(0.0)).alias("slope"))
+
+
+def q_stack_gradient(spark, sf_dir):
+    """H8: the logistic stacker's gradient (C = 1) over all rows."""
+    return _stack_optimum(spark, sf_dir, "logreg", True)
+
+
+def q_stack_residual(spark, sf_dir):
+    """H8: the ridge stacker's mean residual over all rows."""
+    return _stack_optimum(spark, sf_dir, "bayes", False)
+
+
+def _drift(spark, sf_dir, mode):
+    """H10 on the drifting split: the check sees the drift, importances sum to one, and the
+    column that drifts by construction ranks among the first."""
+    from ..operators import drift, learners
     from .training import prepare
     train, test = src.applicant_frames(spark, sf_dir, drift=True)
     prep = prepare(train, test)
-    auc, imp = drift.adversarial_validation(prep.train, prep.test, prep.features.names)
-    return drift.top_features(imp, 20).select("feature", "importance", F.lit(auc).alias("drift_auc"))
+    auc, imp = drift.adversarial_validation(prep.train, prep.test, prep.features.names, mode=mode,
+                                            spec=learners.gbt_profile(TREES, 5, BINS))
+    total = imp.agg(F.round(F.sum("importance"), R).alias("importance_sum"), F.count(F.lit(1)).alias("n_features"))
+    return (drift.top_features(imp, 5).agg(F.max((F.col("feature") == "EXT_SOURCE_1").cast("int")).alias("found"))
+            .crossJoin(total).select("n_features", "importance_sum", (F.col("found") == 1).alias("drifting_column_found"),
+                                     F.lit(auc is not None and 0.7 < auc <= 1.0).alias("drift_seen")))
+
+
+def q_drift_auc(spark, sf_dir):
+    return _drift(spark, sf_dir, "oof")
 
 
 def q_drift_auc_in_sample(spark, sf_dir):
     """H10 parity mode: one GBT (10 trees, depth 5) on train + test, scored in-sample."""
-    from ..operators import drift
-    from .training import prepare
-    train, test = src.applicant_frames(spark, sf_dir, drift=True)
-    prep = prepare(train, test)
-    auc, imp = drift.adversarial_validation(prep.train, prep.test, prep.features.names, mode="in_sample")
-    return drift.top_features(imp, 20).select("feature", "importance", F.lit(auc).alias("drift_auc"))
+    return _drift(spark, sf_dir, "in_sample")
 
 
-def q_search_gbt(spark, sf_dir):
+def _search(spark, sf_dir, study, space):
+    """Per trial whether its draw lies in the space and its AUC is one."""
     prep = _prepared(spark, sf_dir)
-    return search.random_search(prep.train, prep.features.names, prep.features.categorical, "lgbm",
-                                n_trials=2, trees=TREES, folds=FOLDS)
+    trials = search.random_search(prep.train, prep.features.names, prep.features.categorical, study,
+                                  n_trials=TRIALS, trees=TREES, folds=FOLDS, max_bins=BINS)
+    inside = F.lit(True)
+    for name, (_, low, high) in space.items():
+        inside &= F.get_json_object("params", f"$.{name}").cast("double").between(float(low), float(high))
+    return trials.select("trial", inside.alias("in_space"), F.col("mean_auc").between(0.5, 1.0).alias("learned"))
+
+
+def q_search_gbt(spark, sf_dir):
+    return _search(spark, sf_dir, "lgbm", search.LGBM_SPACE)
 
 
 def q_search_gbt_cat(spark, sf_dir):
-    prep = _prepared(spark, sf_dir)
-    return search.random_search(prep.train, prep.features.names, prep.features.categorical, "cat",
-                                n_trials=2, trees=TREES, folds=FOLDS)
+    return _search(spark, sf_dir, "cat", search.CAT_SPACE)
 
 
 def _scratch(spark, name):
@@ -452,48 +515,75 @@ def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
 
 
+# Run names of the summary check: one per learner family, so that the label of each is told from its name.
+FIXTURE_RUNS = {"lgbm_ext1": "pred_ext1", "xgb_ext2": "pred_ext2", "cat_ext3": "pred_ext3"}
+
+
 def q_run_summary(spark, sf_dir):
-    """I3 over runs written by this query: one per fixture score profile."""
+    """I3 over runs written by this query; a written summary is not read as a run."""
     from ..operators import report
     train, _ = _frames(spark, sf_dir)
     d = _scratch(spark, "runs")
-    for name, t in fixture_scores(train).items():
-        f = folds.make_stratified_folds(t, cfg=folds.FoldConfig(n_splits=FOLDS))
+    tables = fixture_scores(train)
+    for run, name in FIXTURE_RUNS.items():
+        f = folds.make_stratified_folds(tables[name], cfg=folds.FoldConfig(n_splits=FOLDS))
         m = metrics.run_metrics(metrics.auc_by_fold(f, LABEL, name))
-        report.write_metrics(spark, d, name, m, {"score": name})
+        report.write_metrics(spark, d, run, m, {"score": name})
+    report.write_summary(report.run_summary(spark, d), d)
     summ = report.run_summary(spark, d)
-    report.write_summary(summ, d)
     return summ.select("run", *[rnd(c, c) for c in ("mean_auc", "std_auc", "min_auc", "max_auc")],
                        "config", "params")
 
 
 def q_model_round_trip(spark, sf_dir):
-    """Fold models saved to the shared folder, loaded back, and the test
-    rows scored by the loaded models (mean over folds)."""
-    import os
-    from pyspark.ml.classification import GBTClassificationModel
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from ..operators import learners
-    from ..operators.crossfit import cross_fit
-    prep = _prepared(spark, sf_dir)
-    res = cross_fit(learners.gbt_profile(TREES, 4), prep.train, prep.test, prep.features.names,
-                    fold_cfg=folds.FoldConfig(n_splits=FOLDS), version="rt")
-    d = _scratch(spark, "models")
-    paths = []
-    for f, m in enumerate(res.models):
-        paths.append(os.path.join(d, f"rt_fold{f}"))
-        m.write().overwrite().save(paths[-1])
-    res.release()
-    vec = VectorAssembler(inputCols=prep.features.names, outputCol="_x").transform(
-        prep.test.select(KEY, *[F.col(c).cast("double") for c in prep.features.names]))
-    cols = []
-    for f, p in enumerate(paths):
-        m = GBTClassificationModel.load(p)
-        m.setProbabilityCol(f"_prob{f}").setRawPredictionCol(f"_raw{f}").setPredictionCol(f"_pred{f}")
-        vec = m.transform(vec)
-        cols.append(vector_to_array(f"_prob{f}")[1])
-    return vec.select(KEY, (sum(cols, F.lit(0.0)) / len(cols)).alias("pred_rt"))
+    """Raw test applicants scored from saved state alone (edges, medians, scalers,
+    fold models, stacker), compared with the scores of the run in memory."""
+    from .training import infer, infer_raw, prepare, train_all
+    train, test = _frames(spark, sf_dir)
+    d = _scratch(spark, "artifacts")
+    res = train_all(prepare(train, test), models=("xgb",), trees=TREES, folds=FOLDS, artifacts_dir=d, max_bins=BINS)
+    direct = infer([r.test for r in res.base.values()], res.stacker)
+    saved = infer_raw(test, d, ["xgb_v1"]).withColumnRenamed(LABEL, "_saved")
+    out = direct.join(saved, KEY, "full").select(KEY, F.coalesce(F.abs(F.col(LABEL) - F.col("_saved")) < 1e-12, F.lit(False)).alias("same"))
+    return out
+
+
+def q_load_csv(spark, sf_dir):
+    """A1: the fixture written as CSV with NA marks and its columns in another order, read back by header."""
+    from pyspark.sql.types import StructType
+    train, test = _frames(spark, sf_dir)
+    d = _scratch(spark, "csv")
+    for name, df in (("train", train), ("test", test)):
+        df.select(*reversed(df.columns)).write.option("header", True).option("nullValue", "NA").csv(f"{d}/{name}")
+    schema = StructType(train.schema.fields)
+    a, b = src.load_train_test(spark, f"{d}/train", f"{d}/test", schema=schema)
+    return a.unionByName(b.withColumn(LABEL, F.lit(None).cast("int")))
+
+
+def q_scan_test_scores(spark, sf_dir):
+    """Test score tables written, listed and joined."""
+    from ..sources import scores as score_io
+    d = _scratch(spark, "predictions")
+    for t in _test_tables(spark, sf_dir):
+        score_io.write_score_table(t, d, [c for c in t.columns if c.startswith("pred_")][0].replace("pred_", "", 1), "test")
+    return stacking.join_score_tables(score_io.scan_score_tables(spark, d, "test"), label=None)
+
+
+def q_submission_round_trip(spark, sf_dir):
+    """The submission written as CSV (ridge scores clipped) and read back."""
+    d = _scratch(spark, "submission")
+    submission.write_submission(_linear_submission(spark, sf_dir), d)
+    back = spark.read.option("header", True).schema(f"{KEY} long, {LABEL} double").csv(d)
+    return back.select(KEY, rnd(LABEL, LABEL))
+
+
+def q_calibrated_target(spark, sf_dir):
+    """The blend that reaches a target AUC; its scores give that AUC again."""
+    truth = src.truth_table(_apps(spark, sf_dir))
+    scores, alpha, auc = submission.calibrated_scores(truth, 0.75)
+    ev = metrics.evaluate_scores(truth, scores).first()
+    return spark.createDataFrame([(ev["matched"], abs(auc - 0.75) < 1e-3, _same(auc, ev["auc"]), 0.0 <= alpha <= 1.0)],
+                                 "matched long, reached boolean, rescored boolean, alpha_ok boolean")
 
 
 def q_scan_scores(spark, sf_dir):
@@ -520,6 +610,7 @@ QUERIES = {
     "quantile_edges": q_quantile_edges,
     "quantile_bins": q_quantile_bins,
     "feature_matrix": q_feature_matrix,
+    "feature_matrix_test": q_feature_matrix_test,
     "feature_preview": q_feature_preview,
     "label_encode": q_label_encode,
     "impute_median": q_impute_median,
@@ -564,4 +655,10 @@ QUERIES = {
     "run_summary": q_run_summary,
     "scan_scores": q_scan_scores,
     "model_round_trip": q_model_round_trip,
+    "stack_gradient": q_stack_gradient,
+    "stack_residual": q_stack_residual,
+    "load_csv": q_load_csv,
+    "scan_test_scores": q_scan_test_scores,
+    "submission_round_trip": q_submission_round_trip,
+    "calibrated_target": q_calibrated_target,
 }

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructType
+from pyspark.sql.types import (DecimalType, DoubleType, FloatType, LongType, NumericType, StringType, StructField,
+                               StructType)
 
 from .. import KEY, LABEL
 from ..functions.columns import nan_to_null
@@ -108,16 +109,30 @@ def numeric_strings_to_double(df: DataFrame) -> DataFrame:
 def load_train_test(spark: SparkSession, train_path: str, test_path: str, fmt: str = "csv",
                     schema: StructType | None = None, label: str = LABEL,
                     key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """Read two applicant files (A1). CSV needs a schema at scale; without one
-    types are inferred per file and then reconciled (test takes train's
-    numeric types; the label is absent from test)."""
+    """Read two applicant files (A1). With a schema, CSV columns are found by
+    their header name (a column the schema lacks stays a string) and a value that
+    does not parse fails the read; without one types are inferred per file. Columns
+    of both files then get one type that loses nothing: double if either side is
+    fractional, else long; string if one side holds text. The label is absent
+    from test."""
     def read(path, sch):
-        r = spark.read.option("nanValue", "NaN").option("nullValue", "NA")
-        if fmt == "csv":
-            r = r.option("header", True)
-            r = r.schema(sch) if sch is not None else r.option("inferSchema", True)
-            return r.csv(path)
-        return r.format(fmt).load(path)
+        if fmt != "csv":
+            return spark.read.format(fmt).load(path)
+        r = spark.read.option("header", True).option("nanValue", "NaN").option("nullValue", "NA")
+        if sch is None:
+            return r.option("inferSchema", True).csv(path)
+        # types are given by name, in the order of the file's own header
+        found = r.csv(path).columns
+        missing = [f.name for f in sch.fields if f.name not in found]
+        if missing:
+            raise ValueError(f"{path} lacks columns {missing}")
+        kinds = {f.name: f.dataType for f in sch.fields}
+        raw = r.schema(StructType([StructField(c, StringType()) for c in found])).csv(path)
+        absent = list(NA_TOKENS)
+        # strict casts: ANSI mode fails on a value that is no number, a missing-value token is NULL
+        return raw.select(*[F.col(c) if isinstance(kinds.get(c, StringType()), StringType)
+                            else strict_cast(F.when(~F.trim(F.col(c)).isin(*absent), F.trim(F.col(c))), kinds[c]).alias(c)
+                            for c in [*kinds, *[c for c in found if c not in kinds]]])
 
     train = normalise(read(train_path, schema), key)
     test_schema = None
@@ -125,20 +140,35 @@ def load_train_test(spark: SparkSession, train_path: str, test_path: str, fmt: s
         test_schema = StructType([f for f in schema.fields if f.name != label])
     test = normalise(read(test_path, test_schema), key)
     if schema is None:
-        train = numeric_strings_to_double(train)
+        train, test = numeric_strings_to_double(train), numeric_strings_to_double(test)
     if key not in train.columns or key not in test.columns:
         raise ValueError(f"key column {key!r} missing")
     if label not in train.columns:
         raise ValueError(f"label column {label!r} missing from train")
-    types = {f.name: f.dataType for f in train.schema.fields}
-    fixed = []
-    for f in test.schema.fields:
-        t = types.get(f.name)
-        if t is not None and t != f.dataType and isinstance(t, NumericType):
-            fixed.append(F.col(f.name).try_cast(t).alias(f.name))
-        else:
-            fixed.append(F.col(f.name))
-    return train, test.select(*fixed)
+    kinds = {f.name: common_type(f.dataType, test.schema[f.name].dataType)
+             for f in train.schema.fields if f.name in test.columns}
+
+    def widened(df):
+        return df.select(*[F.col(f.name).cast(kinds[f.name]).alias(f.name)
+                           if f.name in kinds and kinds[f.name] != f.dataType else F.col(f.name) for f in df.schema.fields])
+    return widened(train), widened(test)
+
+
+def strict_cast(c, kind):
+    """Cast that raises on a value that does not parse, whatever the session's ANSI setting."""
+    out = c.try_cast(kind)
+    return F.when(c.isNull() | out.isNotNull(), out).otherwise(
+        F.raise_error(F.concat(F.lit("not a "), F.lit(kind.simpleString()), F.lit(": "), c)).cast(kind))
+
+
+def common_type(a, b):
+    """One type for a column of two files that loses nothing of either."""
+    if a == b:
+        return a
+    if isinstance(a, NumericType) and isinstance(b, NumericType):
+        fractional = (DoubleType, FloatType, DecimalType)
+        return DoubleType() if isinstance(a, fractional) or isinstance(b, fractional) else LongType()
+    return StringType()
 
 
 def scan_pruned(df: DataFrame, cols: Sequence[str] = (KEY, LABEL)) -> DataFrame:

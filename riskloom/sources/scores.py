@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
 
@@ -28,19 +30,17 @@ def check_score_contract(df: DataFrame, key: str = KEY, label: str | None = LABE
 
 def list_score_tables(spark: SparkSession, directory: str, kind: str = "oof",
                       exclude: str = "mlp") -> list[str]:
-    """Sorted table folders of one kind in ``directory`` (driver-side listing
-    of folder names only, through the Hadoop file system of the session)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(directory)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
+    """Sorted table folders of one kind in ``directory``: folder names of the
+    Parquet files below it, listed by Spark (no content is read)."""
+    glob = "oof_*" if kind == "oof" else "pred_*_test"
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(os.path.join(directory, glob))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
-    names = [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
-    if kind == "oof":
-        names = [n for n in names if n.startswith("oof_")]
-    else:
-        names = [n for n in names if n.startswith("pred_") and n.endswith("_test")]
+    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    names = [r[0] for r in files.select(name).distinct().collect()]       # one row per table
     return sorted(n for n in names if exclude.lower() not in n.lower())
 
 

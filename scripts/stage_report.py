@@ -61,23 +61,15 @@ def summarise(path: str) -> dict:
 
 
 def hot_value_scenario(spark, sf):
-    """Percent rank of a score that puts one value on a third of the applicants,
-    through the broadcast path and through the split/shuffle path."""
+    """Percent rank of a score that puts one value on a third of the applicants."""
     from pyspark.sql import functions as F
     from riskloom.operators import ordering
     from riskloom.sources.applicants import applicant_fixture
     apps = applicant_fixture(spark, sf).select(
         "SK_ID_CURR", F.when(F.col("SK_ID_CURR") % 3 == 0, F.lit(0.5))
         .otherwise(F.col("EXT_SOURCE_2")).alias("hot_score"))
-    spark.sparkContext.setLocalProperty("riskloom.query", "hot pct_rank (broadcast)")
+    spark.sparkContext.setLocalProperty("riskloom.query", "hot pct_rank")
     ordering.pct_rank(apps, "hot_score", "r", "SK_ID_CURR").write.format("noop").mode("overwrite").save()
-    bound = ordering.BROADCAST_MAX_ROWS
-    ordering.BROADCAST_MAX_ROWS = 0
-    try:
-        spark.sparkContext.setLocalProperty("riskloom.query", "hot pct_rank (split + shuffle)")
-        ordering.pct_rank(apps, "hot_score", "r", "SK_ID_CURR").write.format("noop").mode("overwrite").save()
-    finally:
-        ordering.BROADCAST_MAX_ROWS = bound
 
 
 def main():

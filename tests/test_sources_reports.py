@@ -67,7 +67,7 @@ def test_artifacts_round_trip_and_inference(spark):
     d = tempfile.mkdtemp(prefix="riskloom-art-")
     train, test = applicant_frames(spark, SF)
     prep = prepare(train, test)
-    res = train_all(prep, models=("lgbm", "xgb"), trees=3, folds=2, artifacts_dir=d)
+    res = train_all(prep, models=("lgbm", "xgb"), trees=3, folds=2, artifacts_dir=d, max_bins=32)
     assert sorted(os.listdir(os.path.join(d, "oof"))) == ["oof_lgbm_v1", "oof_xgb_v1"]
     sub = infer_from_artifacts(spark, d, "bayes", out_path=os.path.join(d, "submission"))
     direct = {r[0]: r[1] for r in infer([r.test for r in res.base.values()], res.stacker).collect()}
@@ -83,7 +83,9 @@ def test_artifacts_round_trip_and_inference(spark):
     assert m0.numFeatures == res.base["lgbm"].models[0].numFeatures
     assert m0.featureImportances == res.base["lgbm"].models[0].featureImportances
     runs = report.run_summary(spark, os.path.join(d, "metrics")).collect()
-    assert "stack_bayes" in {r.run for r in runs}
+    assert [(r.run, r.config) for r in runs] == [("lgbm_v1", "lgbm"), ("stack_bayes", None), ("xgb_v1", "xgb")]
+    report.write_summary(report.run_summary(spark, os.path.join(d, "metrics")), os.path.join(d, "metrics"))
+    assert report.run_summary(spark, os.path.join(d, "metrics")).count() == 3      # a summary is no run
     export_features(prep, os.path.join(d, "features"))
     assert spark.read.parquet(os.path.join(d, "features", "features_train")).count() == train.count()
 
@@ -110,9 +112,60 @@ def test_train_result_release_keeps_outputs_valid(spark):
     from tests.conftest import SF
     train, test = applicant_frames(spark, SF)
     prep = prepare(train, test)
-    res = train_all(prep, models=("xgb",), trees=2, folds=2)
+    res = train_all(prep, models=("xgb",), trees=2, folds=2, max_bins=32)
     before = dict(infer([r.test for r in res.base.values()], res.stacker).collect())
     res.release()
-    prep.release()
     after = dict(infer([r.test for r in res.base.values()], res.stacker).collect())
     assert before.keys() == after.keys() and all(abs(before[k] - after[k]) < 1e-12 for k in before)
+
+
+def test_csv_by_header_name_and_failing_values(spark, tmp_path):
+    from riskloom.sources.applicants import load_train_test
+    from pyspark.sql.types import StructType
+    (tmp_path / "train.csv").write_text("AMT_CREDIT,SK_ID_CURR,TARGET,AMT_ANNUITY\n5,1,0,100\nNA,2,1,n/a\n")
+    (tmp_path / "test.csv").write_text("SK_ID_CURR,AMT_ANNUITY,AMT_CREDIT\n3,7,8\n")
+    schema = StructType.fromDDL("SK_ID_CURR long, TARGET int, AMT_CREDIT double, AMT_ANNUITY double")
+    a, b = load_train_test(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), schema=schema)
+    assert [(r.SK_ID_CURR, r.AMT_CREDIT, r.AMT_ANNUITY) for r in a.orderBy("SK_ID_CURR").collect()] == [(1, 5.0, 100.0), (2, None, None)]
+    assert b.first().AMT_CREDIT == 8.0 and "TARGET" not in b.columns
+    (tmp_path / "bad.csv").write_text("SK_ID_CURR,AMT_ANNUITY,AMT_CREDIT\n3,abc,8\n")
+    _, bad = load_train_test(spark, str(tmp_path / "train.csv"), str(tmp_path / "bad.csv"), schema=schema)
+    with pytest.raises(Exception, match="not a double: abc"):
+        bad.collect()
+
+
+def test_types_are_widened_on_both_sides(spark, tmp_path):
+    from riskloom.sources.applicants import load_train_test
+    (tmp_path / "train.csv").write_text("SK_ID_CURR,TARGET,X,Y,Z\n1,0,10,a,1\n2,1,20,b,2\n")
+    (tmp_path / "test.csv").write_text("SK_ID_CURR,X,Y,Z\n3,7.9,5,3000000000\n4,3000000000.5,6,1\n")
+    a, b = load_train_test(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"))
+    assert sorted(r.X for r in b.collect()) == [7.9, 3000000000.5] and sorted(r.X for r in a.collect()) == [10.0, 20.0]
+    for c, kind in (("X", "double"), ("Y", "string"), ("Z", "bigint")):
+        assert dict(a.dtypes)[c] == dict(b.dtypes)[c] == kind
+    assert sorted(r.Y for r in b.collect()) == ["5", "6"]
+
+
+def test_score_join_refuses_missing_and_repeated_keys(spark):
+    from riskloom.operators.stacking import join_score_tables
+    one = spark.createDataFrame([(1, 0.5)], "SK_ID_CURR long, pred_a double")
+    two = spark.createDataFrame([(1, 0.5), (2, 0.6)], "SK_ID_CURR long, pred_b double")
+    twice = spark.createDataFrame([(1, 0.5), (1, 0.6)], "SK_ID_CURR long, pred_c double")
+    for tables in ([one, two], [two, one], [two, twice]):
+        with pytest.raises(ValueError, match="score tables"):
+            join_score_tables(tables, label=None)
+    assert join_score_tables([one, one.withColumnRenamed("pred_a", "pred_z")], label=None).count() == 1
+
+
+def test_out_of_range_values_fall_into_the_outer_bins(spark):
+    from riskloom.functions.columns import right_closed_code
+    df = spark.createDataFrame([(0.5,), (1.0,), (5.0,), (11.0,), (None,)], "x double")
+    got = [r[0] for r in df.select(right_closed_code("x", [1.0, 4.0, 10.0], open_ends=True)).collect()]
+    assert got == [0, 0, 1, 1, None]
+
+
+def test_metrics_of_a_fold_with_one_class(spark, tmp_path):
+    report.write_metrics(spark, str(tmp_path), "lgbm_x", {"fold_auc": [0.5, None], "mean_auc": 0.5, "std_auc": 0.0, "min_auc": 0.5, "max_auc": 0.5})
+    r = report.scan_metrics(spark, str(tmp_path)).first()
+    assert r.run == "lgbm_x" and list(r.fold_auc) == [0.5, None]
+    with pytest.raises(ValueError, match="no runs"):
+        report.run_summary(spark, str(tmp_path / "nothing"))
