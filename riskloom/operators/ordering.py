@@ -110,10 +110,9 @@ def weighted_positions(df: DataFrame, order: Sequence[str], weight: str,
 
 def _long_values(df: DataFrame, cols: Sequence, *keep) -> DataFrame:
     """(_c, _v, *keep) rows of the non-NULL values: column index, value as double."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), col_of(c).cast("double").alias("_v"))
-                      for i, c in enumerate(cols)])
-    return (df.select(F.explode(pairs).alias("_p"), *keep).select("_p._c", "_p._v", *keep)
-              .where(F.col("_v").isNotNull()))
+    cells = [col_of(c).cast("double") for c in cols]
+    pairs = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(i).alias("_c"), v.alias("_v"))) for i, v in enumerate(cells)])
+    return df.select(F.explode(F.array_compact(pairs)).alias("_p"), *keep).select("_p._c", "_p._v", *keep)
 
 
 def _ranked(df: DataFrame, outs: dict[str, str], key: str | None, num_partitions: int | None) -> DataFrame:
@@ -217,10 +216,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     algorithm at every size:
 
     1. one pass of ``percentile_approx`` brackets every wanted rank of every column;
-    2. one pass counts the rows below and inside each bracket (a bracket that missed
-       its rank is widened and counted again);
-    3. only the values inside the brackets -- a few ten-thousandths of the rows -- are
-       summed by value and placed in order, and the order statistics are read off.
+    2. one pass counts the rows between the brackets and, inside them, sums equal values
+       (a bracket that missed its rank is widened and counted again);
+    3. the values inside the brackets -- a few ten-thousandths of the rows -- are
+       placed in order, and the order statistics are read off.
 
     Returns a small dict (state); all-NULL columns give NULLs."""
     cols, probs = list(cols), [float(p) for p in probs]
@@ -273,20 +272,24 @@ def _order_statistics(df, x, sizes, todo, margin, num_partitions) -> dict[tuple[
             else:
                 merged.append([low, high])
         brackets[i] = merged
-    flat = [(i, low, high) for i in order for low, high in brackets[i]]
-    # NaN sorts above every number, as in the ordering itself
-    below = df.agg(*[F.count_if(x[i] < F.lit(low)) for i, low, _ in flat]).first()
-    inside = [F.when(F.coalesce(sum((((x[i] >= F.lit(low)) & (x[i] <= F.lit(high))).cast("int") for j, low, high in flat if j == i),
-                                    F.lit(0)), F.lit(0)) > 0, x[i]) for i in order]
-    counts = _long_values(df, inside).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = weighted_positions(counts, ["_c", "_v"], "_n", num_partitions)
-    # rows of earlier columns and brackets precede a bracket's rows in the placement
-    held = [F.sum(F.when((F.col("_c") == order.index(i)) & F.col("_v").between(low, high), F.col("_n"))) for i, low, high in flat]
-    held = [n or 0 for n in placed.agg(*held).first()]
+    # one pass sums the rows between the brackets and, inside them, each value
+    spark = df.sparkSession
+    table = F.broadcast(spark.createDataFrame([(k, [b[0] for b in brackets[i]], [b[1] for b in brackets[i]]) for k, i in enumerate(order)],
+                                              "_c int, _lows array<double>, _highs array<double>"))      # one row per column
+    at = F.size(F.filter("_lows", lambda low: low <= F.col("_v")))            # NaN sorts above every number
+    cells = _long_values(df, [x[i] for i in order]).join(table, "_c").withColumn("_k", at)
+    held = F.when((F.col("_k") > 0) & (F.col("_v") <= F.element_at("_highs", F.greatest(F.col("_k"), F.lit(1)))), F.col("_v"))
+    counts = reliable_checkpoint(cells.select("_c", "_k", held.alias("_v")).groupBy("_c", "_k", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    sums = {(r[0], r[1], r[2]): r[3] for r in
+            counts.groupBy("_c", "_k", F.col("_v").isNotNull()).agg(F.sum("_n")).collect()}      # two rows per bracket
+    placed = weighted_positions(counts.where(F.col("_v").isNotNull()), ["_c", "_v"], "_n", num_partitions)
     wanted, start = [], 0
-    for (i, _, _), under, n in zip(flat, below, held):
-        wanted += [(start + r - under + 1, i, r) for r in todo[i] if under <= r < under + n]
-        start += n
+    for k, i in enumerate(order):
+        for j in range(len(brackets[i])):
+            under = sum(n for (c, at_, _), n in sums.items() if c == k and at_ <= j)
+            inside = sums.get((k, j + 1, True), 0)
+            wanted += [(start + r - under + 1, i, r) for r in todo[i] if under <= r < under + inside]
+            start += inside
     if not wanted:
         return {}
     want = F.broadcast(df.sparkSession.createDataFrame(wanted, "_at long, _i int, _rank long"))   # two rows a quantile
