@@ -120,3 +120,45 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op5_quality_rules(spark, sf_dir):
     return repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_cover(n: int) -> str:
+    """CTEs g<n> and c<n>: windows of n words found twice in their text, and the characters they cover."""
+    return f"""
+g{n} AS (SELECT doc, i FROM (
+  SELECT doc, i, count(*) OVER (PARTITION BY doc, g) AS times FROM (
+    SELECT doc, unnest(range(1, len(ws) - {n} + 2)) AS i,
+           list_aggregate(ws[i:i + {n - 1}], 'string_agg', chr(10)) AS g
+    FROM d WHERE len(ws) >= {n})) WHERE times > 1),
+c{n} AS (SELECT doc, count(*) AS words, sum(length(ws[p])) AS chars FROM (
+  SELECT DISTINCT g{n}.doc, g{n}.i + o AS p FROM g{n}, range({n}) r(o)) JOIN d USING (doc) GROUP BY doc)"""
+
+
+#: DuckDB twin of the query: whole texts, exact words instead of hashes.
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+l AS (
+  SELECT doc, line, length(line) AS size, row_number() OVER (PARTITION BY doc, line ORDER BY k) AS again
+  FROM (SELECT doc, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc, count(*) FILTER (WHERE again > 1) AS n_dup_lines,
+                 coalesce(sum(size) FILTER (WHERE again > 1), 0) / greatest(sum(size), 1) AS line_cov FROM l GROUP BY doc),
+{",".join(_sql_cover(n) for n in (3, *MAX_COVERAGE))},
+s AS (
+  SELECT doc, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols
+  FROM d),
+m AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(c3.words, 0) AS n_repeat_words, CAST(coalesce(line_cov, 0) AS DOUBLE) AS line_cov,
+         {", ".join(f"CAST(coalesce(c{n}.chars, 0) / greatest(word_chars, 1) AS DOUBLE) AS cov_{n}" for n in MAX_COVERAGE)}
+  FROM s LEFT JOIN lines USING (doc) LEFT JOIN c3 USING (doc) {" ".join(f"LEFT JOIN c{n} USING (doc)" for n in MAX_COVERAGE)})
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND line_cov <= {MAX_LINE_COVERAGE}
+       AND {" AND ".join(f"cov_{n} <= {v}" for n, v in MAX_COVERAGE.items())} AS kept
+FROM m
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 
 #: DuckDB SQL over the driver's tables, where SQL expresses the operator's whole result.
 ORACLE = {
+    "op1_vector_dedup": vector_dedup.OP1_SQL,
     "op4_url_filters": url_filter.OP4_SQL,
+    "op5_quality_rules": quality_rules.OP5_SQL,
 }
