@@ -63,7 +63,7 @@ def terms(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"([.;!?])\s+", "$1\n"), "\n")
+    return F.split(F.regexp_replace(text, r"([.;!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
 
 
 def template_terms(spark) -> DataFrame:
@@ -157,3 +157,51 @@ def document_path() -> Column:
 
 def op10_licences(spark, sf_dir):
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), document_path())
+
+
+_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+
+#: DuckDB twin of the query.
+OP10_SQL = rf"""
+WITH docs AS (SELECT doc_id AS id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), CAST(doc_id AS VARCHAR)) AS path, text
+              FROM documents),
+found AS (SELECT * FROM docs WHERE regexp_matches(text, '{TRIGGER}')),
+heads AS (SELECT DISTINCT id, path, unit FROM (
+  SELECT id, path, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-]+', '' || chr(10), 'g'), chr(10))) AS unit FROM found)
+  WHERE regexp_matches(unit, '{TRIGGER}')),
+units AS (SELECT unit FROM heads UNION SELECT text FROM found),
+words AS (SELECT unit, term, count(*) AS tf FROM (
+  SELECT unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM units) GROUP BY ALL),
+total AS (SELECT count(DISTINCT unit) AS n FROM words),
+templates(place, licence, text) AS (VALUES {_ROWS}),
+known AS (SELECT place, licence, term, count(*) AS tf FROM (
+  SELECT place, licence, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM templates) GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT term FROM known),
+df AS (SELECT term, count(*) AS df FROM words JOIN vocabulary USING (term) GROUP BY term),
+idf AS (SELECT term, ln((1.0 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocabulary LEFT JOIN df USING (term), total),
+mine AS (SELECT unit, term, tf * coalesce(idf, ln((1 + n) / 2.0) + 1) AS w FROM words LEFT JOIN idf USING (term), total),
+theirs AS (SELECT place, licence, term, tf * idf AS v FROM known JOIN idf USING (term)),
+size AS (SELECT place, sqrt(sum(v * v)) AS vn FROM theirs GROUP BY place),
+dots AS (SELECT unit, place, licence, round(sum(w * v / vn), 9) AS s FROM mine JOIN theirs USING (term) JOIN size USING (place) GROUP BY ALL),
+norm AS (SELECT unit, sum(w * w) AS n2 FROM mine GROUP BY unit),
+judged AS (SELECT unit, licence, round(s / sqrt(n2), 6) AS cosine FROM (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY s DESC, place) AS k FROM dots) JOIN norm USING (unit) WHERE k = 1),
+both_kinds AS (
+  SELECT id, path, 1 AS file, licence, cosine FROM found JOIN judged ON judged.unit = found.text WHERE cosine >= {FILE_COSINE}
+  UNION ALL SELECT id, path, 0, licence, cosine FROM heads JOIN judged USING (unit) WHERE cosine >= {HEADER_COSINE}),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY file DESC, cosine DESC, licence DESC) AS k FROM both_kinds) WHERE k = 1),
+granted AS (SELECT * FROM (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS up, licence, path, cosine,
+         row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY cosine DESC, path, licence) AS k
+  FROM own WHERE file = 1) WHERE k = 1),
+places AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM docs),
+steps AS (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM places),
+nearest AS (SELECT * FROM (
+  SELECT dir, granted.licence, granted.path, granted.cosine, row_number() OVER (PARTITION BY dir ORDER BY depth DESC) AS k
+  FROM steps JOIN granted ON granted.up = array_to_string(string_split(dir, '/')[1:depth], '/')) WHERE k = 1)
+SELECT d.id AS doc_id, d.path, coalesce(o.licence, n.licence) AS licence,
+       CASE WHEN o.file = 1 THEN 'file' WHEN o.file = 0 THEN 'header' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       coalesce(o.cosine, n.cosine) AS cosine, CASE WHEN o.licence IS NOT NULL THEN d.path ELSE n.path END AS licence_path
+FROM docs d LEFT JOIN own o ON o.id = d.id AND o.path = d.path
+LEFT JOIN nearest n ON n.dir = regexp_replace(d.path, '/[^/]*$', '')
+"""

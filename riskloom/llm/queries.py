@@ -22,4 +22,5 @@ ORACLE = {
     "op1_vector_dedup": vector_dedup.OP1_SQL,
     "op4_url_filters": url_filter.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op10_licences": licences.OP10_SQL,
 }
