@@ -3,10 +3,11 @@
 1. Texts with equal word sequences (A-Z folded) form classes; one document stands for each.
 2. Features are five-word shingles with TF-IDF weights (1 + ln tf) * idf. Document
    frequencies of all shingles of all documents are counted into a sketch of fixed size
-   (two rows of 2^18 counters, mean load removed). idf = ln(1 + 1 / (share + SMOOTH)) with
-   share = df / documents: flat for rare shingles, lower for boilerplate, and the same
-   function at every corpus size. The sketch errs by about (shingles a text) / 2^18 of the
-   documents, small beside SMOOTH.
+   (two rows of 2^18 counters, mean load removed). With share = df / documents,
+   idf = ln(1 + 1 / (max(share, FLOOR) + SMOOTH)): the same for all shingles of up to FLOOR
+   of the documents, so that a group of copies keeps its plain similarity, and lower for
+   boilerplate; one function at every corpus size. The sketch errs by about (shingles a
+   text) / 2^18 of the documents, far below FLOOR.
 3. BANDS * ROWS consistent weighted samples (s*, t*) per class; ROWS of them make a band
    key. At similarity 0.8 a pair misses every band with a chance of 8 in 10,000.
 4. Classes that share a band key are compared exactly by weighted Jaccard on whole texts.
@@ -36,7 +37,7 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 SHINGLE = 5
 BANDS, ROWS = 10, 3
 THRESHOLD = 0.8
-SMOOTH = 0.1
+FLOOR, SMOOTH = 0.05, 1.0
 SKETCH_BITS = 18
 SLOTS = 1 << SKETCH_BITS
 SKETCH_CHUNK = 4096              # counters that travel together
@@ -138,8 +139,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             sums[r.chunk * SKETCH_CHUNK:][:len(v)] = v
     sums = sums.reshape(2, SLOTS)
     load = (sums.sum(1, keepdims=True) - sums) / (SLOTS - 1)
-    share = np.maximum(sums - load, 1.0) / max(1, texts)
-    return np.log1p(1 / (share + SMOOTH)).astype(np.float32)
+    share = (sums - load) / max(1, texts)
+    return np.log1p(1 / (np.maximum(share, FLOOR) + SMOOTH)).astype(np.float32)
 
 
 # ---------------------------------------------------------------- samples

@@ -85,7 +85,7 @@ def test_vector_links_match_brute_force(spark, monkeypatch):
 def shingle_weights(text, df, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     grams = [tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))] if w else []
-    return {g: (1 + math.log(grams.count(g))) * math.log1p(1 / (df.get(g, 1) / n + minhash.SMOOTH)) for g in set(grams)}
+    return {g: (1 + math.log(grams.count(g))) * math.log1p(1 / (max(df.get(g, 1) / n, minhash.FLOOR) + minhash.SMOOTH)) for g in set(grams)}
 
 
 def near_fixture():
