@@ -19,7 +19,6 @@ gives an empty result; extra columns are kept by ``redact`` and ignored by ``fin
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -277,10 +276,6 @@ def spans_of(t: str, model: SpanModel, cache: dict[int, bool]) -> tuple[list[tup
     return have, sorted(have + more)
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-
-
 def find(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``base`` and ``spans``: arrays of (kind, start, end) of every document."""
     model = fit(docs, text_col) if model is None else model
@@ -353,8 +348,3 @@ def op9_pii(spark, sf_dir):
 
     return found.select("doc_id", *map(count_of, BASE_KINDS), F.sha2(text_of(F.col("base")), 256).alias("base_sha256"),
                         text_of(F.col("spans")).alias("spans"))
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    """The contract's digest of ordered spans, for callers outside Spark."""
-    return hashlib.sha256(joined(spans).encode()).hexdigest()
