@@ -182,7 +182,7 @@ folds AS (SELECT *, CAST((row_number() OVER (ORDER BY TARGET,
 ORACLE = {
     "scan_applicants": with_applicants("SELECT * FROM applicants"),
     "scan_pruned": with_applicants(
-        "SELECT SK_ID_CURR, TARGET FROM applicants WHERE ((SK_ID_CURR*48271) % 65537) % 6 = 5"),
+        "SELECT SK_ID_CURR, TARGET FROM applicants"),
     "sentinel_to_null": with_applicants(
         "SELECT SK_ID_CURR, DE AS DAYS_EMPLOYED, DAYS_EMPLOYED_ANOMALOUS FROM feat_a",
         feat_ctes("applicants", "a")),
@@ -257,8 +257,7 @@ ORACLE = {
     "round_codes": with_applicants(
         "SELECT SK_ID_CURR, CAST(round_even(EXT_SOURCE_2 * 10, 0) AS BIGINT) AS code FROM applicants"),
     "union_train_test": with_applicants(
-        "SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 6 = 5 THEN 1 ELSE 0 END AS IS_TEST, AMT_CREDIT, "
-        "DAYS_EMPLOYED FROM applicants"),
+        "SELECT * EXCLUDE (TARGET), CASE WHEN SK_ID_CURR % 6 = 5 THEN 1 ELSE 0 END AS IS_TEST FROM applicants"),
     "stratified_folds": with_applicants("SELECT SK_ID_CURR, TARGET, fold FROM folds", FOLDS),
     "fold_filter": with_applicants("SELECT SK_ID_CURR, TARGET, fold FROM folds WHERE fold != 0", FOLDS),
     "pct_rank": with_applicants(

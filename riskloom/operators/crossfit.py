@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
@@ -109,6 +109,11 @@ def _vectorise(df: DataFrame, keep: list[str], feats, cats, arity, scale, out: s
     return VectorAssembler(inputCols=list(feats), outputCol=out).transform(staged).select(*keep, out)
 
 
+def fold_mean(scores: list[Column]) -> Column:
+    """A row's test score, the mean of the fold models' scores."""
+    return sum(scores, F.lit(0.0)) / float(len(scores))
+
+
 def score_rows(rows: DataFrame, key: str, models: list, feats, cats, arity, float32: bool, scales, medians,
                out: str) -> DataFrame:
     """(key, out): the fold models' mean class-1 probability of each row (D6), one
@@ -125,7 +130,7 @@ def score_rows(rows: DataFrame, key: str, models: list, feats, cats, arity, floa
             .setPredictionCol(f"_pred{f}")
         t = m.transform(assembled).select(*t.columns, positive_probability(f"_prob{f}").alias(f"_p{f}"))
         pcols.append(f"_p{f}")
-    return t.select(key, (sum((F.col(c) for c in pcols), F.lit(0.0)) / float(len(models))).alias(out))
+    return t.select(key, fold_mean([F.col(c) for c in pcols]).alias(out))
 
 
 def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: list[str],

@@ -31,9 +31,14 @@ def importances_table(spark, features: list[str], importances) -> DataFrame:
                                  "feature string, importance double")
 
 
+def top_k(df: DataFrame, col: str, k: int, tiebreak: str) -> DataFrame:
+    """the k largest values (ties by ``tiebreak``) -- the limit is the feature."""
+    return df.orderBy(F.col(col).desc(), F.col(tiebreak).asc()).limit(k)
+
+
 def top_features(imp: DataFrame, k: int = 20) -> DataFrame:
-    """the k most important features (ties by name) -- the limit is the feature."""
-    return imp.orderBy(F.col("importance").desc(), F.col("feature").asc()).limit(k)
+    """The k most important features, ties by name."""
+    return top_k(imp, "importance", k, "feature")
 
 
 def adversarial_validation(train_mat: DataFrame, test_mat: DataFrame, features: list[str],

@@ -169,8 +169,8 @@ class StackerState:
         return StackerState(**json.loads(s))
 
     def score(self):
-        z = fx.linear_score(self.features, self.coef, self.intercept)
-        return fx.sigmoid(z) if self.kind == "logreg" else z
+        score = fx.sigmoid_score if self.kind == "logreg" else fx.linear_score
+        return score(self.features, self.coef, self.intercept)
 
 
 def _fit_bayes_from_stats(stats, exclude=None):

@@ -52,7 +52,7 @@ def q_scan_applicants(spark, sf_dir):
 
 
 def q_scan_pruned(spark, sf_dir):
-    return src.scan_pruned(src.truth_table(_apps(spark, sf_dir)))
+    return src.scan_pruned(_apps(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ row-local features
@@ -167,8 +167,7 @@ def q_round_codes(spark, sf_dir):
 def q_union_train_test(spark, sf_dir):
     from ..operators.drift import union_train_test
     train, test = src.applicant_frames(spark, sf_dir, drift=True)
-    u = union_train_test(train.drop(LABEL), test)
-    return u.select(KEY, "IS_TEST", "AMT_CREDIT", "DAYS_EMPLOYED")
+    return union_train_test(train.drop(LABEL), test)
 
 
 # ------------------------------------------------------------------ ordering
@@ -316,20 +315,17 @@ FOLD_SLOPES = [1.0, 0.8, 1.2]
 
 
 def q_fold_mean_score(spark, sf_dir):
+    from ..operators.crossfit import fold_mean
     _, test = _frames(spark, sf_dir)
     s = fixture_scores(test, ["pred_ext2"], label=False)["pred_ext2"]
     per_fold = [fx.sigmoid(fx.logit("pred_ext2") * F.lit(w)) for w in FOLD_SLOPES]
-    return s.select(KEY, rnd(sum(per_fold, F.lit(0.0)) / len(per_fold), "pred_mean"))
+    return s.select(KEY, rnd(fold_mean(per_fold), "pred_mean"))
 
 
 def q_topk(spark, sf_dir):
+    from ..operators import drift
     sub = _linear_submission(spark, sf_dir)
-    return top_k(sub, LABEL, 20, KEY).select(KEY, rnd(LABEL, LABEL))
-
-
-def top_k(df, col, k, tiebreak):
-    """the k largest values (ties by key) -- the limit is the feature."""
-    return df.orderBy(F.col(col).desc(), F.col(tiebreak).asc()).limit(k)
+    return drift.top_k(sub, LABEL, 20, KEY).select(KEY, rnd(LABEL, LABEL))
 
 
 def q_best_trial(spark, sf_dir):

@@ -79,6 +79,8 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
     return os.path.join(base, "tables", name)
 
 
