@@ -9,7 +9,9 @@ Native DataFrame expressions only.
    the corpus for the templates' terms, and terms that no template has weigh as if df were 1.
 3. A unit's licence is the template of the highest cosine, if that reaches
    ``HEADER_COSINE`` (a header) or ``FILE_COSINE`` (a whole text, or a file named like
-   one). Cosines are rounded to 6 digits before they are compared.
+   one). Cosines are rounded to 6 digits before they are compared. Whole texts are also
+   judged against the full licence texts in ``licence_texts``, with an idf of their own;
+   those of ``FULL_COSINE`` are licence files, and the higher cosine names the licence.
 4. A file without a licence of its own inherits from the nearest ancestor directory that
    holds a licence file. Directories, not files, are joined to their ancestors; files join
    their directory's row. A directory that holds a third of all files is one row there.
@@ -23,6 +25,9 @@ rows give repeated results; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+from functools import cache
+from importlib.resources import files as package_files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,7 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.6
+FULL_COSINE = 0.9           # licences of one family reach 0.7 to 0.9 of each other
 TRIGGER = r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|creative commons"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -58,6 +64,13 @@ TEMPLATES = [
 ]
 
 
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, whole licence text), by name; read on the driver from the package."""
+    found = [(f.name.removesuffix(".txt"), f) for f in package_files("riskloom.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")]
+    return [(name, f.read_text(encoding="utf-8")) for name, f in sorted(found, key=lambda x: x[0])]
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
@@ -66,16 +79,16 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.;!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
 
 
-def template_terms(spark) -> DataFrame:
+def template_terms(spark, templates: list[tuple[str, str]]) -> DataFrame:
     """(place, licence, term, tf) of the fixed templates."""
-    rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "place int, licence string, text string")
+    rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "place int, licence string, text string")
     return rows.select("place", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("place", "licence", "term").agg(F.count("*").alias("tf"))
 
 
-def judge(units: DataFrame) -> DataFrame:
+def judge(units: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     """(unit, text) of distinct units in; (unit, licence, cosine) of the best template out, if any term is shared."""
     spark = units.sparkSession
-    known = template_terms(spark)
+    known = template_terms(spark, templates)
     words = units.select("unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
     words = reliable_checkpoint(words)
     total = words.select("unit").distinct().count()
@@ -116,11 +129,18 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
                                 .select("id", "path", "text", F.sha2("text", 256).alias("unit"), named.alias("named")))
     heads = found.select("id", "path", F.explode(F.filter(F.array_distinct(sentences(F.col("text"))), lambda s: s.rlike(TRIGGER))).alias("text"))
     heads = reliable_checkpoint(heads.withColumn("unit", F.sha2("text", 256)))
-    units = heads.select("unit", "text").unionByName(found.select("unit", "text")).groupBy("unit").agg(F.first("text").alias("text"))
-    judged = reliable_checkpoint(judge(units))
-
-    whole = (found.join(judged, "unit").filter((F.col("cosine") >= FILE_COSINE) | (F.col("named") & (F.col("cosine") >= FILE_COSINE / 2)))
-             .select("id", "path", F.lit("file").alias("how"), "licence", "cosine"))
+    texts = found.groupBy("unit").agg(F.first("text").alias("text"))
+    units = heads.select("unit", "text").unionByName(texts).groupBy("unit").agg(F.first("text").alias("text"))
+    judged = reliable_checkpoint(judge(units, TEMPLATES))
+    against_full = reliable_checkpoint(judge(texts, full_texts())).select("unit", F.struct("cosine", "licence").alias("full"))
+
+    # by name alone a file is decided only where no full text is nearer
+    near = F.col("named") & (F.col("cosine") >= FILE_COSINE / 2) & (F.col("cosine") >= F.coalesce("full.cosine", F.lit(0.0)))
+    line = F.when((F.col("cosine") >= FILE_COSINE) | near, F.struct("cosine", "licence"))
+    full = F.when(F.col("full.cosine") >= FULL_COSINE, F.col("full"))
+    whole = (found.join(judged, "unit", "left").join(against_full, "unit", "left")
+             .withColumn("best", F.when(full["cosine"] >= F.coalesce(line["cosine"], F.lit(0.0)), full).otherwise(line)).filter("best IS NOT NULL")
+             .select("id", "path", F.lit("file").alias("how"), "best.licence", "best.cosine"))
     header = (heads.join(judged, "unit").filter(F.col("cosine") >= HEADER_COSINE)
               .select("id", "path", F.lit("header").alias("how"), "licence", "cosine"))
     rank = F.struct((F.col("how") == "file").cast("int").alias("file"), "cosine", F.col("licence"))
@@ -167,7 +187,8 @@ WITH docs AS (SELECT doc_id AS id, concat_ws('/', coalesce(source, 'unknown'), c
               FROM documents),
 found AS (SELECT * FROM docs WHERE regexp_matches(text, '{TRIGGER}')),
 heads AS (SELECT DISTINCT id, path, unit FROM (
-  SELECT id, path, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-]+', '' || chr(10), 'g'), chr(10))) AS unit FROM found)
+  SELECT id, path, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-
+]+', '' || chr(10), 'g'), chr(10))) AS unit FROM found)
   WHERE regexp_matches(unit, '{TRIGGER}')),
 units AS (SELECT unit FROM heads UNION SELECT text FROM found),
 words AS (SELECT unit, term, count(*) AS tf FROM (

@@ -296,6 +296,22 @@ def test_licence_lines_of_documents_are_all_found(spark):
                 assert got[r.doc_id] == name
 
 
+def test_whole_licence_texts_are_licence_files(spark):
+    texts = dict(licences.full_texts())
+    bare = texts["BSD-3-Clause"].replace("the copyright holder nor", "Example University nor").replace("Copyright (c)", "Copyright (c) 1999 The Regents of Example University.")
+    rows = [(name, f"by/{name}/text", text) for name, text in texts.items()]
+    rows += [("own BSD", "a/bsd", bare), ("no appendix", "b/x", texts["GPL-2.0"].split("END OF TERMS AND CONDITIONS")[0]), ("below", "b/c/d.txt", "plain words here"),
+             ("with name", "c/mit", texts["MIT"].replace("Copyright (c)", "Copyright (c) 2024 Some Person and the contributors of a project")),
+             ("prose", "d/LICENSE", "the terms of a contract and the copyright of the work are " * 40)]
+    df = spark.createDataFrame(rows, "doc_id string, path string, text string")
+    got = {r.doc_id: (r.licence, r.how) for r in licences.scan(df, df["path"]).collect()}
+    for name in texts:
+        assert got[name] == (name, "file"), (name, got[name])
+    assert len(texts) >= 14 and {name for name, _ in licences.TEMPLATES} - set(texts) == {"Proprietary"}
+    assert got["own BSD"] == ("BSD-3-Clause", "file") and got["no appendix"] == ("GPL-2.0", "file") and got["below"] == ("GPL-2.0", "inherited")
+    assert got["with name"] == ("MIT", "file") and got["prose"] == (None, "none")
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_keep_the_columns_and_take_effect(spark, tmp_path):
