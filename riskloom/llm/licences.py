@@ -36,7 +36,8 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.6
 FULL_COSINE = 0.9           # licences of one family reach 0.7 to 0.9 of each other
-TRIGGER = r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|creative commons"
+SQL_TRIGGER = r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|creative commons"
+TRIGGER = SQL_TRIGGER + r"|hereby granted|redistribution and use"          # every template has one of these
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
@@ -181,15 +182,15 @@ def op10_licences(spark, sf_dir):
 
 _ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
 
-#: DuckDB twin of the query.
+#: DuckDB twin of the query, without the full texts and the trigger words added since.
 OP10_SQL = rf"""
 WITH docs AS (SELECT doc_id AS id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), CAST(doc_id AS VARCHAR)) AS path, text
               FROM documents),
-found AS (SELECT * FROM docs WHERE regexp_matches(text, '{TRIGGER}')),
+found AS (SELECT * FROM docs WHERE regexp_matches(text, '{SQL_TRIGGER}')),
 heads AS (SELECT DISTINCT id, path, unit FROM (
   SELECT id, path, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-
 ]+', '' || chr(10), 'g'), chr(10))) AS unit FROM found)
-  WHERE regexp_matches(unit, '{TRIGGER}')),
+  WHERE regexp_matches(unit, '{SQL_TRIGGER}')),
 units AS (SELECT unit FROM heads UNION SELECT text FROM found),
 words AS (SELECT unit, term, count(*) AS tf FROM (
   SELECT unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM units) GROUP BY ALL),

@@ -312,6 +312,15 @@ def test_whole_licence_texts_are_licence_files(spark):
     assert got["with name"] == ("MIT", "file") and got["prose"] == (None, "none")
 
 
+def test_every_template_is_found_inside_prose(spark):
+    from conftest import prose
+    assert all(re.search(licences.TRIGGER, text) for _, text in licences.TEMPLATES)
+    rows = [(k, f"d{k}/x.txt", f"{prose(300 + k, 150)}.\n{text}\n{prose(400 + k, 150)}.") for k, (_, text) in enumerate(licences.TEMPLATES)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.how) for r in licences.scan(df, df["path"]).collect()}
+    assert got == {k: (name, "header") for k, (name, _) in enumerate(licences.TEMPLATES)}
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_keep_the_columns_and_take_effect(spark, tmp_path):
