@@ -323,12 +323,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group; all columns."""
+    """The rows of ``docs`` that stay: one document of each group; all columns. Of rows with equal id
+    and text one stays; rows without an id all stay."""
     found = near_duplicates(docs, id_col, text_col, threshold)
     gone = reliable_checkpoint(found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
     twice = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count()
     rest = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return rest.dropDuplicates([id_col]) if twice else rest
+    if not twice:
+        return rest
+    return rest.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(rest.filter(F.col(id_col).isNull()))
 
 
 def op6_minhash(spark, sf_dir):

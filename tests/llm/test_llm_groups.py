@@ -148,6 +148,15 @@ def test_near_duplicates_in_blocks_and_odd_rows(spark, odd_docs, no_docs, monkey
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.keep_one(no_docs).count() == 0
 
 
+def test_rows_without_an_id_and_texts_of_one_id_stay(spark):
+    from conftest import prose
+    a, b, c, d = (prose(500 + k, 60) for k in range(4))
+    rows = [(None, a), (None, b), (None, None), (1, c), (1, c), (2, c), (3, d), (3, a + " more words of another kind " + b)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [rows[k] for k in (0, 1, 2, 3, 6, 7)]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 def test_samples_agree_as_often_as_weighted_jaccard_says():
     rng = np.random.default_rng(2)
     idf = np.full((2, minhash.SLOTS), 1.0, np.float32)
