@@ -69,13 +69,16 @@ class RunTokenizer:
     lower-cased (ASCII and the Latin letters of U+00C0-U+00FF) and looked up by hash; new
     ones go to the tokenizer many in one call (a run's last token carries the end-of-word
     mark). A word with anything else in it (an apostrophe, a control character, another
-    script) is looked up and tokenised as a whole."""
+    script) is looked up and tokenised as a whole. A text that spells an added token (such as
+    <|endoftext|>) is tokenised whole by the plain tokenizer, which gives that token's id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.plain.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
@@ -113,6 +116,18 @@ class RunTokenizer:
 
     def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
+        flat, to = self.run_ids(data, offs)
+        raw = data.tobytes()
+        if not any(t in raw for t in self.added):
+            return flat, to
+        parts = [flat[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+        for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            if any(t in raw[a:b] for t in self.added):
+                parts[k] = np.array(self.plain.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def run_ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets by text), added tokens spelled out."""
         n, texts = len(data), len(offs) - 1
         inside = ~tx.IS_SPACE[data]
         cut = np.zeros(n + 1, bool)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -224,6 +225,18 @@ def test_packing_places_every_token(spark, odd_docs, no_docs):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in with_ids)
 
 
+def test_spelled_added_tokens_get_their_ids():
+    from tokenizers import Tokenizer
+    from riskloom.llm import textops as tx
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["plain words", "one <|endoftext|> two", "", "<|startoftext|>Ça va<|endoftext|>", "<|endoftext|", "|> split", "l'été <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>\n x"]
+    data, offs, _ = tx.utf8(pa.array(texts))
+    flat, to = packing.RunTokenizer(packing.default_tokenizer()).ids(data, offs)
+    for k, text in enumerate(texts):
+        assert flat[to[k]:to[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert 49407 in flat and 49406 in flat
+
+
 # ---------------------------------------------------------------- mixing
 
 def targets_brute(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
