@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import language_id, licences, minhash, mixing, packing, pii, quality_classifier, quality_rules, url_filter, vector_dedup
+from riskloom.llm import (
+    language_id, licences, merkle, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, spelling, url_filter,
+    vector_dedup,
+)
 
 QUERIES = {
     "op1_vector_dedup": vector_dedup.op1_vector_dedup,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
     "op10_licences": licences.op10_licences,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 #: DuckDB SQL over the driver's tables, where SQL expresses the operator's whole result.
@@ -23,4 +29,7 @@ ORACLE = {
     "op4_url_filters": url_filter.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op10_licences": licences.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op12_sharding": sharding.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
