@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import textops as tx
 from riskloom.llm.components import components
 from riskloom.llm.groups import in_groups, whole_groups
+from riskloom.operators.ordering import global_row_number
 from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 
 SHINGLE = 5
@@ -323,15 +324,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group; all columns. Of rows with equal id
-    and text one stays; rows without an id all stay."""
+    """The rows of ``docs`` that stay: one document of each group; all columns. Every row is a document of its own,
+    also where ids are null or repeat (then rows are numbered in the order of their ids): a text goes only if a near
+    copy of that very text stays."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if not ids.filter("n > 1 OR id IS NULL").limit(1).count():
+        return docs.join(_gone(docs, id_col, text_col, threshold), F.col(id_col) == F.col("_gone"), "left_anti")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = global_row_number(docs, [id_col, F.xxhash64(F.col(text_col).cast("string"))], out=row).df
+    return rows.join(_gone(rows, row, text_col, threshold), F.col(row) == F.col("_gone"), "left_anti").drop(row)
+
+
+def _gone(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     found = near_duplicates(docs, id_col, text_col, threshold)
-    gone = reliable_checkpoint(found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
-    twice = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count()
-    rest = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    if not twice:
-        return rest
-    return rest.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(rest.filter(F.col(id_col).isNull()))
+    return reliable_checkpoint(found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")))
 
 
 def op6_minhash(spark, sf_dir):
