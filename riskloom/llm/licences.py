@@ -36,11 +36,14 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.6
 FULL_COSINE = 0.9           # licences of one family reach 0.7 to 0.9 of each other
-SQL_TRIGGER = r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|creative commons"
-TRIGGER = SQL_TRIGGER + r"|hereby granted|redistribution and use"          # every template has one of these
+TRIGGER = (r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|creative commons"
+           r"|hereby granted|redistribution and use")          # every template has one of these
+HOT_SHARE = 64              # a unit with more than this part of all rows is dealt out this many times
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
+_FOLDER = package_files("riskloom.llm").joinpath("licence_texts")
+
 #: (licence, text). Fixed values.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -67,8 +70,9 @@ TEMPLATES = [
 
 @cache
 def full_texts() -> list[tuple[str, str]]:
-    """(licence, whole licence text), by name; read on the driver from the package."""
-    found = [(f.name.removesuffix(".txt"), f) for f in package_files("riskloom.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")]
+    """(licence, whole licence text), by name; read on the driver from the package. A file named ``-composed`` holds a
+    text put together from another licence of its family and the licence's own clauses."""
+    found = [(f.name.removesuffix(".txt").removesuffix("-composed"), f) for f in _FOLDER.iterdir() if f.name.endswith(".txt")]
     return [(name, f.read_text(encoding="utf-8")) for name, f in sorted(found, key=lambda x: x[0])]
 
 
@@ -86,12 +90,15 @@ def template_terms(spark, templates: list[tuple[str, str]]) -> DataFrame:
     return rows.select("place", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("place", "licence", "term").agg(F.count("*").alias("tf"))
 
 
-def judge(units: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """(unit, text) of distinct units in; (unit, licence, cosine) of the best template out, if any term is shared."""
-    spark = units.sparkSession
-    known = template_terms(spark, templates)
-    words = units.select("unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    words = reliable_checkpoint(words)
+def unit_words(units: DataFrame) -> DataFrame:
+    """(unit, whole, term, tf) of distinct units (unit, text, whole): read once, for both sets of templates."""
+    words = units.select("unit", "whole", F.explode(terms(F.col("text"))).alias("term"))
+    return reliable_checkpoint(words.groupBy("unit", "whole", "term").agg(F.count("*").alias("tf")))
+
+
+def judge(words: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """(unit, term, tf) in; (unit, licence, cosine) of the best template out, if any term is shared."""
+    known = template_terms(words.sparkSession, templates)
     total = words.select("unit").distinct().count()
     vocabulary = known.select("term").distinct()
     rare = F.log(F.lit((1 + total) / 2.0)) + 1
@@ -121,28 +128,46 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"/[^/]*$|^[^/]*$", ""), r"/+$", "")
 
 
-def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per file: id, path, licence, how (header, file, inherited or none), cosine and licence_path."""
+def spread(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """``rows`` joined to their units' verdicts. Units that hold more than one row in ``HOT_SHARE`` (so fewer than that many
+    units) are dealt out by the row's id, their verdicts repeated."""
+    total = rows.count()
+    hot = F.broadcast(reliable_checkpoint(
+        rows.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") * HOT_SHARE > max(total, HOT_SHARE * HOT_SHARE)).select("unit", F.lit(True).alias("hot"))))
+    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "path"), F.lit(HOT_SHARE))).otherwise(F.lit(0).cast("long"))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(HOT_SHARE - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = rows.join(hot, "unit", "left").withColumn("deal", deal).drop("hot")
+    right = judged.join(hot, "unit", "left").withColumn("deal", F.explode(copies)).drop("hot")
+    return left.join(right, ["unit", "deal"]).drop("deal")
+
+
+def scan(files: DataFrame, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per file: id, path, licence, how (header, file, inherited or none), cosine and licence_path. Files without
+    a path (``path`` None or null) have directories neither to license nor to inherit from."""
     ensure_checkpoint_dir(files.sparkSession)
-    rows = files.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+    path = F.lit(None).cast("string") if path is None else path.cast("string")
+    rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
     named = F.coalesce(F.regexp_extract(F.col("path"), r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     found = reliable_checkpoint(rows.filter(F.col("text").rlike(TRIGGER))
                                 .select("id", "path", "text", F.sha2("text", 256).alias("unit"), named.alias("named")))
     heads = found.select("id", "path", F.explode(F.filter(F.array_distinct(sentences(F.col("text"))), lambda s: s.rlike(TRIGGER))).alias("text"))
     heads = reliable_checkpoint(heads.withColumn("unit", F.sha2("text", 256)))
     texts = found.groupBy("unit").agg(F.first("text").alias("text"))
-    units = heads.select("unit", "text").unionByName(texts).groupBy("unit").agg(F.first("text").alias("text"))
-    judged = reliable_checkpoint(judge(units, TEMPLATES))
-    against_full = reliable_checkpoint(judge(texts, full_texts())).select("unit", F.struct("cosine", "licence").alias("full"))
+    units = (heads.select("unit", "text", F.lit(False).alias("whole")).unionByName(texts.select("unit", "text", F.lit(True).alias("whole")))
+             .groupBy("unit").agg(F.first("text").alias("text"), F.max("whole").alias("whole")))
+    words = unit_words(units)
+    judged = reliable_checkpoint(judge(words, TEMPLATES))
+    against_full = judge(words.filter("whole"), full_texts()).select("unit", F.struct("cosine", "licence").alias("full"))
+    for_texts = reliable_checkpoint(judged.join(against_full, "unit", "full").filter(f"cosine >= {FILE_COSINE / 2} OR full.cosine >= {FULL_COSINE}"))
 
     # by name alone a file is decided only where no full text is nearer
     near = F.col("named") & (F.col("cosine") >= FILE_COSINE / 2) & (F.col("cosine") >= F.coalesce("full.cosine", F.lit(0.0)))
     line = F.when((F.col("cosine") >= FILE_COSINE) | near, F.struct("cosine", "licence"))
     full = F.when(F.col("full.cosine") >= FULL_COSINE, F.col("full"))
-    whole = (found.join(judged, "unit", "left").join(against_full, "unit", "left")
+    whole = (spread(found.select("id", "path", "unit", "named"), for_texts)
              .withColumn("best", F.when(full["cosine"] >= F.coalesce(line["cosine"], F.lit(0.0)), full).otherwise(line)).filter("best IS NOT NULL")
              .select("id", "path", F.lit("file").alias("how"), "best.licence", "best.cosine"))
-    header = (heads.join(judged, "unit").filter(F.col("cosine") >= HEADER_COSINE)
+    header = (spread(heads.select("id", "path", "unit"), judged.filter(F.col("cosine") >= HEADER_COSINE))
               .select("id", "path", F.lit("header").alias("how"), "licence", "cosine"))
     rank = F.struct((F.col("how") == "file").cast("int").alias("file"), "cosine", F.col("licence"))
     own = reliable_checkpoint(whole.unionByName(header).groupBy("id", "path").agg(F.max(rank).alias("r"))
@@ -171,59 +196,59 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
                        F.when(F.col("_licence").isNotNull(), F.col("path")).otherwise(F.col("g_path")).alias("licence_path"))
 
 
-def document_path() -> Column:
-    """Where a document lies: source / language / id, as in a crawl's folders."""
-    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
-
-
 def op10_licences(spark, sf_dir):
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), document_path())
+    """Documents have no path, so none inherits: each has the licence of its own text or none."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 _ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
 
-#: DuckDB twin of the query, without the full texts and the trigger words added since.
+
+def _judge_sql(p: str, words: str, templates: str) -> str:
+    """CTEs, named with prefix ``p``, up to {p}judged (unit, licence, cosine): ``judge`` of the words in CTE ``words``."""
+    return rf"""
+{p}total AS (SELECT count(DISTINCT unit) AS n FROM {words}),
+{p}known AS (SELECT place, licence, term, count(*) AS tf FROM (
+  SELECT place, licence, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM {templates}) GROUP BY ALL),
+{p}vocabulary AS (SELECT DISTINCT term FROM {p}known),
+{p}df AS (SELECT term, count(*) AS df FROM {words} JOIN {p}vocabulary USING (term) GROUP BY term),
+{p}idf AS (SELECT term, ln((1.0 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM {p}vocabulary LEFT JOIN {p}df USING (term), {p}total),
+{p}mine AS (SELECT unit, term, tf * coalesce(idf, ln((1 + n) / 2.0) + 1) AS w FROM {words} LEFT JOIN {p}idf USING (term), {p}total),
+{p}theirs AS (SELECT place, licence, term, tf * idf AS v FROM {p}known JOIN {p}idf USING (term)),
+{p}size AS (SELECT place, sqrt(sum(v * v)) AS vn FROM {p}theirs GROUP BY place),
+{p}dots AS (SELECT unit, place, licence, round(sum(w * v / vn), 9) AS s FROM {p}mine JOIN {p}theirs USING (term) JOIN {p}size USING (place) GROUP BY ALL),
+{p}norm AS (SELECT unit, sum(w * w) AS n2 FROM {p}mine GROUP BY unit),
+{p}judged AS (SELECT unit, licence, round(s / sqrt(n2), 6) AS cosine FROM (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY s DESC, place) AS k FROM {p}dots) JOIN {p}norm USING (unit) WHERE k = 1)"""
+
+
+#: DuckDB twin of the query; the full texts are read from the package's folder.
 OP10_SQL = rf"""
-WITH docs AS (SELECT doc_id AS id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), CAST(doc_id AS VARCHAR)) AS path, text
-              FROM documents),
-found AS (SELECT * FROM docs WHERE regexp_matches(text, '{SQL_TRIGGER}')),
-heads AS (SELECT DISTINCT id, path, unit FROM (
-  SELECT id, path, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-
+WITH docs AS (SELECT doc_id AS id, text FROM documents),
+found AS (SELECT * FROM docs WHERE regexp_matches(text, '{TRIGGER}')),
+heads AS (SELECT DISTINCT id, unit FROM (
+  SELECT id, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-
 ]+', '' || chr(10), 'g'), chr(10))) AS unit FROM found)
-  WHERE regexp_matches(unit, '{SQL_TRIGGER}')),
+  WHERE regexp_matches(unit, '{TRIGGER}')),
 units AS (SELECT unit FROM heads UNION SELECT text FROM found),
-words AS (SELECT unit, term, count(*) AS tf FROM (
+words AS MATERIALIZED (SELECT unit, term, count(*) AS tf FROM (
   SELECT unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM units) GROUP BY ALL),
-total AS (SELECT count(DISTINCT unit) AS n FROM words),
+full_words AS MATERIALIZED (SELECT * FROM words WHERE unit IN (SELECT text FROM found)),
 templates(place, licence, text) AS (VALUES {_ROWS}),
-known AS (SELECT place, licence, term, count(*) AS tf FROM (
-  SELECT place, licence, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM templates) GROUP BY ALL),
-vocabulary AS (SELECT DISTINCT term FROM known),
-df AS (SELECT term, count(*) AS df FROM words JOIN vocabulary USING (term) GROUP BY term),
-idf AS (SELECT term, ln((1.0 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocabulary LEFT JOIN df USING (term), total),
-mine AS (SELECT unit, term, tf * coalesce(idf, ln((1 + n) / 2.0) + 1) AS w FROM words LEFT JOIN idf USING (term), total),
-theirs AS (SELECT place, licence, term, tf * idf AS v FROM known JOIN idf USING (term)),
-size AS (SELECT place, sqrt(sum(v * v)) AS vn FROM theirs GROUP BY place),
-dots AS (SELECT unit, place, licence, round(sum(w * v / vn), 9) AS s FROM mine JOIN theirs USING (term) JOIN size USING (place) GROUP BY ALL),
-norm AS (SELECT unit, sum(w * w) AS n2 FROM mine GROUP BY unit),
-judged AS (SELECT unit, licence, round(s / sqrt(n2), 6) AS cosine FROM (
-  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY s DESC, place) AS k FROM dots) JOIN norm USING (unit) WHERE k = 1),
+full_templates AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY name) AS place, name AS licence, text FROM (
+    SELECT regexp_extract(filename, '([^/]*?)(-composed)?\.txt$', 1) AS name, content AS text FROM read_text('{_FOLDER}/*.txt'))),{_judge_sql("line_", "words", "templates")},{_judge_sql("full_", "full_words", "full_templates")},
+files AS (
+  SELECT f.id, l.licence AS line_licence, CASE WHEN l.cosine >= {FILE_COSINE} THEN l.cosine END AS line,
+         u.licence AS full_licence, CASE WHEN u.cosine >= {FULL_COSINE} THEN u.cosine END AS full_cosine
+  FROM found f LEFT JOIN line_judged l ON l.unit = f.text LEFT JOIN full_judged u ON u.unit = f.text),
 both_kinds AS (
-  SELECT id, path, 1 AS file, licence, cosine FROM found JOIN judged ON judged.unit = found.text WHERE cosine >= {FILE_COSINE}
-  UNION ALL SELECT id, path, 0, licence, cosine FROM heads JOIN judged USING (unit) WHERE cosine >= {HEADER_COSINE}),
-own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY file DESC, cosine DESC, licence DESC) AS k FROM both_kinds) WHERE k = 1),
-granted AS (SELECT * FROM (
-  SELECT regexp_replace(path, '/[^/]*$', '') AS up, licence, path, cosine,
-         row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY cosine DESC, path, licence) AS k
-  FROM own WHERE file = 1) WHERE k = 1),
-places AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM docs),
-steps AS (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM places),
-nearest AS (SELECT * FROM (
-  SELECT dir, granted.licence, granted.path, granted.cosine, row_number() OVER (PARTITION BY dir ORDER BY depth DESC) AS k
-  FROM steps JOIN granted ON granted.up = array_to_string(string_split(dir, '/')[1:depth], '/')) WHERE k = 1)
-SELECT d.id AS doc_id, d.path, coalesce(o.licence, n.licence) AS licence,
-       CASE WHEN o.file = 1 THEN 'file' WHEN o.file = 0 THEN 'header' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
-       coalesce(o.cosine, n.cosine) AS cosine, CASE WHEN o.licence IS NOT NULL THEN d.path ELSE n.path END AS licence_path
-FROM docs d LEFT JOIN own o ON o.id = d.id AND o.path = d.path
-LEFT JOIN nearest n ON n.dir = regexp_replace(d.path, '/[^/]*$', '')
+  SELECT id, 1 AS file, CASE WHEN full_cosine >= coalesce(line, 0) THEN full_licence ELSE line_licence END AS licence,
+         CASE WHEN full_cosine >= coalesce(line, 0) THEN full_cosine ELSE line END AS cosine
+  FROM files WHERE line IS NOT NULL OR full_cosine IS NOT NULL
+  UNION ALL SELECT id, 0, licence, cosine FROM heads JOIN line_judged USING (unit) WHERE cosine >= {HEADER_COSINE}),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file DESC, cosine DESC, licence DESC) AS k FROM both_kinds) WHERE k = 1)
+SELECT d.id AS doc_id, CAST(NULL AS VARCHAR) AS path, o.licence, CASE o.file WHEN 1 THEN 'file' WHEN 0 THEN 'header' ELSE 'none' END AS how,
+       o.cosine, CAST(NULL AS VARCHAR) AS licence_path
+FROM docs d LEFT JOIN own o ON o.id IS NOT DISTINCT FROM d.id
 """
