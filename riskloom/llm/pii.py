@@ -41,7 +41,8 @@ GROUP = re.compile(r"[0-9]{12,19}(?![0-9])")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.)-])\(?[0-9]{2,5}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])")
 SPELLED_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,5}", re.I)
-SECRET = re.compile(r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{24,128}+(?![0-9A-Za-z+/_-])")
+SECRET = re.compile(r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{16,}+")
+KEY_START = re.compile(r"(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abpr]-|sk[-_](?:live|test)[-_])")     # fixed starts of issued keys
 
 #: Words whose nearness speaks for a kind. Fixed values.
 GAZETTEER = {
@@ -134,10 +135,11 @@ def pattern_of(t: str, kind: str, s: int, e: int, base: bool) -> int:
     elif kind == "phone":
         test = 1 if 9 <= len(digits) <= 15 else -1
     elif kind == "secret":
-        test = 1 if len(set(body)) >= 10 and len(digits) >= 4 else -1
+        # many different characters: digits among them vote for, a few abstain
+        test = -1 if len(set(body)) < 10 else 1 if len(digits) >= 4 else 0 if body == body.upper() else -1
     else:
         test = 1 if re.search(r"\.[A-Za-z]{2,}$", body) else 0
-    strict = (base or kind == "secret" and re.fullmatch(r"[0-9a-fA-F]{32,64}", body)
+    strict = (base or kind == "secret" and (KEY_START.match(body) or len(body) >= 32 and re.fullmatch(r"[0-9a-fA-F]+", body))
               or kind == "card" and 13 <= len(body) <= 16 and test == 1)
     votes = [int(bool(strict)), test,
              1 if any(w in GAZETTEER_SETS[kind] for w in near) else 0,
