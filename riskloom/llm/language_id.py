@@ -204,15 +204,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from (id, text, lang) rows; the caller leaves out what is held out."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                         F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    hashed = known.select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    # the languages are the model's classes: the most frequent ``rows`` of them, far more than there are
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(rows).collect()
     df, total = document_frequency(known.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1.0
     if not sizes:
         return train([], idf)
     each = rows / len(sizes)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, each / r.n)))])
-    toss = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = known.filter(toss < share[F.col("lang")])
+    least = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(r.least))])
+    toss = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # by id and text, equal rows once, and one row of every language at least
+    sample = hashed.filter((toss < share[F.col("lang")]) | (F.col("h") == least[F.col("lang")])).dropDuplicates(["lang", "h"])
 
     def run(batches):
         for b in batches:
@@ -224,7 +228,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                                               pa.array([o[1] for o in out], pa.binary())], names=["lang", "i", "c"])
 
     got = (sample.select("text", "lang").mapInArrow(run, "lang string, i binary, c binary")
-           .orderBy("lang", F.xxhash64("i", "c")).limit(2 * rows).toArrow())
+           .orderBy(F.xxhash64("i", "c"), "lang").limit(2 * rows).toArrow())
     triples = [(lang, np.frombuffer(i, np.int32), np.frombuffer(c, np.int32))
                for lang, i, c in zip(got["lang"].to_pylist(), got["i"].to_pylist(), got["c"].to_pylist(), strict=True)]
     return train([t for t in triples if len(t[1])], idf)
