@@ -33,6 +33,7 @@ HOST_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com
 BLOCK_GLOBS = ["*casino*/**", "*poker*/**", "*cheap-pills*/**", "*free-bets*/**", "*ads-track*/**",
                "*spam-farm*/**", "*adult-*/**", "*porn*/**", "*xxx*/**"]
 BATCH_URLS = 8192
+STATE_BYTES = 8 << 20    # states of the URLs that step together
 
 
 @dataclass(frozen=True)
@@ -126,13 +127,16 @@ def filter_urls(pages: DataFrame, rules: list[GlobRule] | None = None, id_col: s
     table = Automaton([rules[k].glob for k in best])
     names = pa.array([rules[k].name for k in best] + [None], pa.string())
     verdicts = pa.array([rules[k].verdict for k in best] + ["allow"], pa.string())
+    named = np.array([rules[k].name is not None for k in best], bool)[None]       # these need a path
+    step = max(64, min(BATCH_URLS, STATE_BYTES // (8 * table.words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, BATCH_URLS):
-                part = b.slice(k, BATCH_URLS)
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
                 data, offs, _ = tx.utf8(part.column(3))
                 fit = table.fits(data, offs[:-1], offs[1:])
+                fit &= ~(named & ~np.asarray(part.column(4))[:, None])
                 first = np.where(fit.any(1), fit.argmax(1), len(best))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], names.take(pa.array(first)), verdicts.take(pa.array(first))],
                                                  names=["id", "host", "path", "rule", "verdict"])
@@ -140,7 +144,9 @@ def filter_urls(pages: DataFrame, rules: list[GlobRule] | None = None, id_col: s
     kind = pages.schema[id_col].dataType.simpleString()
     urls = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("u"))
     host, path = split_url(F.col("u"))
-    keyed = urls.select("id", host.alias("host"), path.alias("path")).withColumn("canonical", F.concat(F.lit("."), "host", "path"))
+    keyed = urls.select("id", host.alias("host"), path.alias("path")).select(
+        "id", "host", "path", F.concat(F.lit("."), "host", F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path"))).alias("canonical"),
+        (F.col("path") != "").alias("has_path"))
     got = keyed.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
     return got.withColumnRenamed("id", id_col)
 
@@ -170,8 +176,7 @@ f AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
        WHEN rule IS NOT NULL THEN 'block'
-       WHEN regexp_matches(host, 'casino|poker|cheap-pills|free-bets|ads-track|spam-farm|adult-|porn|xxx')
-            AND starts_with(path, '/') THEN 'block'
+       WHEN regexp_matches(host, 'casino|poker|cheap-pills|free-bets|ads-track|spam-farm|adult-|porn|xxx') THEN 'block'
        ELSE 'allow' END AS verdict
 FROM f
 """
