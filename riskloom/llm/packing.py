@@ -8,7 +8,8 @@ a histogram of at most ``capacity`` counts, whatever the corpus:
    groups of equal cardinality, each rounded up to its longest length.
 2. The few-size problem is solved by column generation: a linear program over
    configurations, new ones priced by a knapsack.
-3. Actual lengths replace the rounded ones, group by group.
+3. Actual pieces replace the rounded ones: in each place the longest piece left that the
+   rounded length holds, in a sequence's last place the longest that the room holds.
 4. What is left, the small pieces above all, is placed best-fit, longest first, into
    the tightest sequence that holds it.
 5. Steps 1 to 4 run for each number of groups in ``GROUPS``; the fewest sequences win.
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -41,8 +42,9 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 
 CAPACITY = 4096
 END_ID = 1
-LARGE = 1 / 8
-GROUPS = (24, 64, 0)        # numbers of groups tried; 0: best-fit alone; the fewest sequences win
+LARGE = 1 / 4               # share of the capacity above which pieces are grouped
+FULL = 0.9                  # configurations whose rounded lengths fill less are left to best-fit
+GROUPS = (12, 24, 48)       # numbers of groups tried; the fewest sequences win, the first of equals
 UNIT = 8                    # knapsack prices configurations in units of this many tokens
 KNOWN_RUNS = 600_000
 
@@ -295,7 +297,7 @@ def grouped_plan(counts: dict[int, int], capacity: int, cardinalities: int) -> l
     done: list[tuple[tuple[int, ...], int]] = []
     if counts.get(capacity):
         done.append(((capacity,), counts.pop(capacity)))
-    large = {k: v for k, v in counts.items() if cardinalities and k > LARGE * capacity}
+    large = {k: v for k, v in counts.items() if k > LARGE * capacity}
     rest: dict[int, int] = defaultdict(int, {k: v for k, v in counts.items() if k not in large})
     open_: dict[int, list[list]] = defaultdict(list)            # room -> [[lengths, sequences], ...]
     keys: list[int] = []                                        # rooms in use, sorted
@@ -310,30 +312,37 @@ def grouped_plan(counts: dict[int, int], capacity: int, cardinalities: int) -> l
         open_[room].append([lengths, n])
 
     groups = group_linear(large, cardinalities)
-    use = configurations([g[0][0] for g in groups], [sum(n for _, n in g) for g in groups], capacity) if groups else []
+    tops = [g[0][0] for g in groups]
+    use = configurations(tops, [sum(n for _, n in g) for g in groups], capacity) if groups else []
+    lengths_left = sorted(large)
     for config, times in use:
-        parts = [(k, int(a)) for k, a in enumerate(config) if a]
-        while times:
-            if any(sum(n for _, n in groups[k]) < a for k, a in parts):
-                break
-            # as many alike as every group's current run can give
-            alike = min([times, *(groups[k][0][1] // a for k, a in parts)])
+        if config @ np.array(tops) < FULL * capacity:
+            continue
+        slots = [t for t, a in zip(tops, config, strict=True) for _ in range(a)]           # rounded lengths, longest first
+        while times and lengths_left:
             lengths: list[int] = []
-            for k, a in parts:
-                need = a * max(alike, 1)
-                while need:
-                    run = groups[k][0]
-                    m = min(need, run[1])
-                    lengths += [run[0]] * (a if alike else m)
-                    run[1] -= m
-                    need -= m
-                    if not run[1]:
-                        groups[k].pop(0)
-            put(tuple(lengths), max(alike, 1))
-            times -= max(alike, 1)
-    for g in groups:
-        for length, n in g:
-            rest[length] += n
+            room = capacity
+            for k, top in enumerate(slots):
+                # the longest piece left that its group's rounded length holds; in the last place, that the room holds
+                at = bisect_right(lengths_left, room if k == len(slots) - 1 else top) - 1
+                while at >= 0 and large[lengths_left[at]] <= lengths.count(lengths_left[at]):
+                    at -= 1
+                if at < 0:
+                    break
+                lengths.append(lengths_left[at])
+                room -= lengths[-1]
+            if not lengths:
+                break
+            alike = min([times, *(large[v] // lengths.count(v) for v in lengths)])         # as many alike as there are
+            put(tuple(lengths), alike)
+            times -= alike
+            for v in lengths:
+                large[v] -= alike
+            for v in set(lengths):
+                if not large[v]:
+                    lengths_left.pop(bisect_left(lengths_left, v))
+    for length in lengths_left:
+        rest[length] += large[length]
 
     for length in sorted(rest, reverse=True):
         n = rest[length]
