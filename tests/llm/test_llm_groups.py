@@ -200,7 +200,6 @@ def test_plan_holds_every_piece_once_and_is_tight():
 def test_packing_places_every_token(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.default_tokenizer())
-    plain.encode_special_tokens = True
     texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
     rows = packing.pack(odd_docs, packing.default_tokenizer()).collect()
     pieces = {}

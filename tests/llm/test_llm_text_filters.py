@@ -124,7 +124,6 @@ def test_run_tokenizer_equals_the_tokenizer():
     from tokenizers import Tokenizer
     own = packing.RunTokenizer(packing.default_tokenizer())
     plain = Tokenizer.from_file(packing.default_tokenizer())
-    plain.encode_special_tokens = True
     texts = ["", " ", "It's l'eau don’t 'tis !'s", "3.14 v2.0 A1b2 ...!!! --- \x00\x7f tail", "q\x1cz \x1f d\x85e", "日本語 ４５ 🙂🙂", "<|endoftext|> a<|startoftext|>",
              "ÀÉÎõü ÷×Ñ ß Ä̈x ǅ İstanbul ΑΣ", "e​f ﻿g x́́ ́y", "�", "a" * 3000, "one " * 3000]
     data, offs, _ = tx.utf8(pa.array(texts * 2))
