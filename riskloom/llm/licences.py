@@ -25,8 +25,9 @@ rows give repeated results; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from importlib.resources import files as package_files
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ FILE_COSINE = 0.6
 FULL_COSINE = 0.9           # licences of one family reach 0.7 to 0.9 of each other
 TRIGGER = (r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|creative commons"
            r"|hereby granted|redistribution and use")          # every template has one of these
+PLAIN_TRIGGERS = ["licen", "copyright", "rights reserved", "spdx", "public domain", "creative commons", "hereby granted",
+                  "redistribution and use"]          # every match of TRIGGER holds one of these in lower case
 HOT_SHARE = 64              # a unit with more than this part of all rows is dealt out this many times
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -148,7 +151,9 @@ def scan(files: DataFrame, path: Column | None = None, id_col: str = "doc_id", t
     path = F.lit(None).cast("string") if path is None else path.cast("string")
     rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
     named = F.coalesce(F.regexp_extract(F.col("path"), r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
-    found = reliable_checkpoint(rows.filter(F.col("text").rlike(TRIGGER))
+    # plain searches in the lower-cased text (computed once) go before the pattern
+    maybe = F.exists(F.array(F.lower("text")), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in PLAIN_TRIGGERS]))
+    found = reliable_checkpoint(rows.filter(maybe & F.col("text").rlike(TRIGGER))
                                 .select("id", "path", "text", F.sha2("text", 256).alias("unit"), named.alias("named")))
     heads = found.select("id", "path", F.explode(F.filter(F.array_distinct(sentences(F.col("text"))), lambda s: s.rlike(TRIGGER))).alias("text"))
     heads = reliable_checkpoint(heads.withColumn("unit", F.sha2("text", 256)))

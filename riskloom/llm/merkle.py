@@ -43,6 +43,7 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint, scratch
 TILE = 12           # levels that one task builds above 2^TILE consecutive nodes
 HOP = 4             # levels that one link spans
 BROADCAST_BYTES = 8 << 20
+WAY_BYTES = 4096    # of a way of at most 64 levels with its address and subroot
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 ADDRESS = ["tree", "grp", "level", "pos"]      # tree 0: inside a group; 1: over the groups
 WAY = "array<struct<l:binary,r:binary>>"       # per level the sibling to the left or to the right, or none
@@ -233,17 +234,19 @@ def climb(start: DataFrame, links: DataFrame, keep: list[str], grow: dict[str, t
 def prove(m: Manifest, keep: list[str], digest: str = "digest") -> DataFrame:
     """Per leaf the columns ``keep``, its group's ``subroot``, ``siblings`` (binary: those on its way to the root, in
     order) and ``folded``: the digest in column ``digest`` folded with them up to the root (binary)."""
-    start = m.leaves.select(F.lit(0).alias("tree"), "grp", F.lit(0).alias("level"), "pos", F.col("grp").alias("_grp"),
+    start = m.leaves.select(F.lit(0).alias("tree"), "grp", F.lit(0).alias("level"), "pos",
                             F.col(digest).alias("_digest"), *keep)
-    low = climb(start, m.low, ["_grp", *keep], {"_digest": ("_digest", folded("n.way", "c._digest")),
+    low = climb(start, m.low, keep, {"_digest": ("_digest", folded("n.way", "c._digest")),
                                                 "_siblings": ("X''", appended("n.way", "c._siblings"))})
     low = low.filter(f"tree = 1 OR level = {m.tile}")
     tops = m.tops.select(*ADDRESS, *[F.col(c).alias(f"_{c}") for c in ADDRESS])
     high = climb(tops, m.high, [f"_{c}" for c in ADDRESS], {"_way": (f"CAST(array() AS {WAY})", "concat(c._way, n.way)")})
-    high = high.filter("tree = 2").select(*[F.col(f"_{c}").alias(c) for c in ADDRESS], "_way")
-    # a tile's root has as many leaves as a tile holds, so this join has no hot key
-    return (low.join(high, ADDRESS).withColumnRenamed("_grp", "_g")
-            .join(m.groups.select(F.col("grp").alias("_g"), "subroot"), "_g")
+    ways = high.filter("tree = 2").select(*[F.col(f"_{c}").alias(c) for c in ADDRESS], "_way", F.expr("if(_tree = 1, _pos, _grp)").alias("_g"))
+    ways = ways.join(m.groups.select(F.col("grp").alias("_g"), "subroot"), "_g").drop("_g")
+    if m.tops.count() * WAY_BYTES <= BROADCAST_BYTES:
+        ways = F.broadcast(ways)
+    # else a shuffled join: a tile's root has as many leaves as a tile holds, so it has no hot key
+    return (low.join(ways, ADDRESS)
             .select(*keep, "subroot", F.expr(appended("_way", "_siblings")).alias("siblings"), F.expr(folded("_way", "_digest")).alias("folded")))
 
 
