@@ -421,3 +421,62 @@ ORACLE.update({
     "search_gbt_cat": TRIALS,
     "model_round_trip": with_applicants("SELECT SK_ID_CURR, true AS same FROM test"),
 })
+
+
+# ------------------------------------------------------------------ the booster's first tree
+
+_BOOST = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "AMT_CREDIT", "AMT_ANNUITY", "AMT_INCOME_TOTAL", "DAYS_BIRTH", "DAYS_EMPLOYED"]
+_T = "sign({0}) * greatest(abs({0}) - 0.5, 0)"                       # L1 of 0.5
+_S = "(" + _T + ") ** 2 / ({1} + 1.0)"                               # L2 of 1
+_PART = [k / 16 for k in range(1, 16)]
+
+
+def _level_sql(k: int) -> str:
+    """CTEs of one level: rows n<k> (node, codes, g, h) to totals, best splits and the rows of the next level."""
+    return f"""
+tot{k} AS MATERIALIZED (SELECT node, sum(g) AS tg, sum(h) AS th, count(*) AS tn FROM n{k} GROUP BY node),
+cell{k} AS MATERIALIZED (SELECT node, f, code, sum(g) AS g, sum(h) AS h, count(*) AS n FROM (
+  SELECT node, g, h, unnest(range({len(_BOOST)})) AS f, unnest(codes) AS code FROM n{k}) GROUP BY ALL),
+cut{k} AS (SELECT t.node, tg, th, tn, ff.f, cut, kind, coalesce(sum(c.g), 0) AS lg, coalesce(sum(c.h), 0) AS lh, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS ln
+  FROM tot{k} t CROSS JOIN (SELECT unnest(range({len(_BOOST)})) AS f) ff CROSS JOIN (SELECT unnest(range(1, 17)) AS cut) CROSS JOIN (SELECT unnest([0, 1]) AS kind)
+  LEFT JOIN cell{k} c ON c.node = t.node AND c.f = ff.f AND c.code BETWEEN kind AND cut GROUP BY ALL),
+best{k} AS MATERIALIZED (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut, kind) AS place FROM (
+    SELECT *, round({_S.format('lg', 'lh')} + {_S.format('(tg - lg)', '(th - lh)')} - {_S.format('tg', 'th')}, 6) AS gain FROM cut{k}
+    WHERE least(ln, tn - ln) >= 20 AND least(lh, th - lh) >= 1e-3) WHERE gain > 0) WHERE place = 1),
+n{k + 1} AS MATERIALIZED (SELECT n.node || CASE WHEN codes[b.f + 1] BETWEEN b.kind AND b.cut THEN 'L' ELSE 'R' END AS node, codes, g, h
+  FROM n{k} n JOIN best{k} b ON b.node = n.node)"""
+
+
+_FIRST_TREE = f"""
+boost AS (SELECT TARGET, {", ".join("CAST(" + ("NULLIF(DAYS_EMPLOYED, 365243)" if c == "DAYS_EMPLOYED" else c) + f" AS DOUBLE) AS x{k}" for k, c in enumerate(_BOOST))} FROM train),
+bedges AS (SELECT {", ".join(f"list_sort(list_distinct(quantile_cont(x{k}, {_PART}))) AS e{k}" for k in range(len(_BOOST)))} FROM boost),
+coded AS MATERIALIZED (SELECT TARGET, CASE WHEN TARGET = 1 THEN 11.0 ELSE 1.0 END AS w,
+  [{", ".join(f"CASE WHEN x{k} IS NULL THEN 0 ELSE 1 + len(list_filter(e{k}, lambda e: e < x{k})) END" for k in range(len(_BOOST)))}] AS codes FROM boost, bedges),
+prior AS (SELECT CAST(sum(w) FILTER (WHERE TARGET = 1) / sum(w) AS DOUBLE) AS p FROM coded),
+n0 AS MATERIALIZED (SELECT '' AS node, codes, w * (p - TARGET) AS g, w * p * (1 - p) AS h FROM coded, prior),
+{_level_sql(0)},
+{_level_sql(1)},
+tot2 AS (SELECT node, sum(g) AS tg, sum(h) AS th, count(*) AS tn FROM n2 GROUP BY node),
+names AS (SELECT unnest({_BOOST}) AS feature, unnest(range({len(_BOOST)})) AS f, unnest([{", ".join(f"(SELECT e{k} FROM bedges)" for k in range(len(_BOOST)))}]) AS e),
+every AS (SELECT t.*, b.f, b.cut, b.kind, b.gain FROM (SELECT * FROM tot0 UNION ALL SELECT * FROM tot1) t
+  LEFT JOIN (SELECT * FROM best0 UNION ALL SELECT * FROM best1) b ON b.node = t.node
+  UNION ALL SELECT *, NULL, NULL, NULL, NULL FROM tot2)
+"""
+
+ORACLE.update({
+    "boost_first_tree": with_applicants(
+        "SELECT node, feature, round(e[cut], 6) AS edge, kind = 0 AS missing_left, round(gain, 3) AS gain, "
+        f"round(-0.05 * {_T.format('tg')} / (th + 1.0), 6) AS value, tn AS rows FROM every LEFT JOIN names ON names.f = every.f", _FIRST_TREE),
+    "best_iteration_cut": with_applicants(
+        "SELECT SK_ID_CURR, CAST((row_number() OVER (ORDER BY y, md5(CAST(SK_ID_CURR AS VARCHAR) || '|42'), SK_ID_CURR) - 1) % 3 AS INTEGER) AS fold, "
+        "true AS same, true AS cut FROM (SELECT SK_ID_CURR, CAST(CAST(('0x' || substr(md5(CAST(SK_ID_CURR AS VARCHAR) || '|7'), 1, 13)) AS UBIGINT) AS DOUBLE) "
+        "/ 4503599627370496.0 < 0.3 AS y FROM train)"),
+    "ordered_target_stats": with_applicants(
+        "SELECT SK_ID_CURR, " + ", ".join(
+            f"(coalesce(sum(TARGET) OVER {w}, 0) + prior) / (count(*) OVER {w} + 1.0) AS {c}_TS0"
+            for c, w in ((c, f"(PARTITION BY {c} ORDER BY u, SK_ID_CURR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+                         for c in ("NAME_INCOME_TYPE", "OCCUPATION_TYPE")))
+        + " FROM (SELECT *, CAST(CAST(('0x' || substr(md5(CAST(SK_ID_CURR AS VARCHAR) || '|42'), 1, 13)) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS u, "
+        "(SELECT avg(TARGET) FROM train) AS prior FROM train)"),
+})

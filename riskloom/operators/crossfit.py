@@ -39,6 +39,7 @@ class CrossFitResult:
     key: str = KEY
     label: str = LABEL
     bundle: dict = None     # all a scorer needs beside the fold models: columns, arity, scalers, medians
+    target_stats: object = None    # fitted ordered target statistics, if the learner uses them
 
     @property
     def score_col(self) -> str:
@@ -146,7 +147,8 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     are fitted on each fold's training rows only (no validation rows leak in)
     and applied to that fold's validation and test scoring; by default the
     input is expected imputed already, as the original pipeline did once
-    before the folds."""
+    before the folds. A ``boost`` learner fits all folds in one pass and learns a
+    direction for missing values, so it takes features as they are."""
     fold_cfg = fold_cfg or FoldConfig()
     require_columns(train, [key, label, *features])
     require_columns(test, [key, *features])
@@ -157,6 +159,9 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
         base = assign_folds(train.select(key, label, *feats), label, fold_cfg, key)
     else:
         base = train.select(key, label, *feats).join(folds_df.select(key, "fold"), key)
+    if spec.kind == "boost":
+        result = _cross_fit_boosted(spec, base, test, feats, cats, label, key, k, version, artifacts_dir)
+        return result
     extra = [class_weight(label, spec.positive_weight).alias("_w")] if spec.positive_weight else []
     # one pass counts the rows and yields each bin's arity (codes -1..m -> m+2 values)
     raw = base.select("*", F.col(label).cast("double").alias("_y"), *extra).persist(StorageLevel.MEMORY_AND_DISK)
@@ -190,7 +195,7 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
 
     def fit(f):
         mat, scale, med = fold_matrix(f)
-        return spec.fit("_x", "_y", n_feat, mat.where(F.col("fold") != f), mat.where(F.col("fold") == f)), scale, med
+        return spec.estimator("_x", "_y", n_feat).fit(mat.where(F.col("fold") != f)), scale, med
 
     with ThreadPoolExecutor(max_workers=max(1, min(threads, k))) as pool:
         fitted = list(pool.map(fit, range(k)))
@@ -222,6 +227,29 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
     return result
 
 
+def _cross_fit_boosted(spec, base, test, feats, cats, label, key, k, version, artifacts_dir) -> CrossFitResult:
+    from .boosting import fit_boosted, predict
+    from .target_stats import ordered_target_stats
+    score_col = f"pred_{version}"
+    stats, only = None, {}
+    if spec.target_stats and cats:
+        own, stats = ordered_target_stats(base, cats, label, key, "fold", k, seed=spec.seed)
+        base, test = base.join(own, key), test.join(stats.apply(test, key), key)
+        only = {stats.name(c, m): m for c in range(len(cats)) for m in range(k)}
+        feats = [*feats, *only]
+    got = fit_boosted(base, feats, cats, label, key, n_folds=k, params=spec.boost_params(), best_cut=spec.validation_stop, only=only)
+    oof = got.oof.withColumnRenamed("score", score_col).persist(StorageLevel.MEMORY_AND_DISK)
+    metrics = run_metrics(auc_by_fold(oof, label, score_col))
+    got.blocks.unpersist()                                      # the narrow scores stay
+    bundle = {"version": version, "kind": spec.kind, "features": feats, "categorical": cats, "params": dict(spec.params),
+              "target_stats": stats and {"columns": stats.columns, "priors": stats.priors, "weight": stats.weight}}
+    result = CrossFitResult(oof, predict(test, got.model, score_col, key), metrics, [got.model], version, [oof], key, label, bundle)
+    result.target_stats = stats
+    if artifacts_dir:
+        write_artifacts(result, artifacts_dir)
+    return result
+
+
 def leaderboard(specs: dict, train: DataFrame, test: DataFrame, features: list[str],
                 categorical: list[str] = (), label: str = LABEL, key: str = KEY,
                 fold_cfg: FoldConfig | None = None, artifacts_dir: str | None = None,
@@ -278,7 +306,11 @@ def write_artifacts(res: CrossFitResult, artifacts_dir: str) -> None:
     res.test.write.mode("overwrite").parquet(os.path.join(artifacts_dir, "predictions", f"pred_{v}_test"))
     spark = res.oof.sparkSession
     write_metrics(spark, os.path.join(artifacts_dir, "metrics"), v, res.metrics, res.bundle["params"])
-    for f, m in enumerate(res.models):
+    if res.bundle["kind"] == "boost":
+        res.models[0].save(os.path.join(artifacts_dir, "models", f"{v}_boosted"), spark)
+        if res.target_stats:
+            res.target_stats.totals.write.mode("overwrite").parquet(os.path.join(artifacts_dir, "models", f"{v}_target_stats"))
+    for f, m in enumerate(res.models if res.bundle["kind"] != "boost" else []):
         m.write().overwrite().save(os.path.join(artifacts_dir, "models", f"{v}_fold{f}"))
     spark.createDataFrame([(json.dumps(res.bundle | {"folds": len(res.models)}),)], "bundle string").coalesce(1) \
         .write.mode("overwrite").json(os.path.join(artifacts_dir, "models", f"{v}_bundle"))
@@ -290,6 +322,13 @@ def score_saved(matrix: DataFrame, artifacts_dir: str, version: str, key: str =
     spark = matrix.sparkSession
     models_dir = os.path.join(artifacts_dir, "models")
     b = json.loads(spark.read.json(os.path.join(models_dir, f"{version}_bundle")).first()["bundle"])
+    if b["kind"] == "boost":
+        from .boosting import BoostedModel, predict
+        if b["target_stats"]:
+            from .target_stats import TargetStats
+            stats = TargetStats(totals=spark.read.parquet(os.path.join(models_dir, f"{version}_target_stats")), **b["target_stats"])
+            matrix = matrix.join(stats.apply(matrix, key), key)
+        return predict(matrix, BoostedModel.load(os.path.join(models_dir, f"{version}_boosted"), spark), f"pred_{version}", key)
     load = getattr(classification, MODEL_CLASSES[b["kind"]]).load
     models = [load(os.path.join(models_dir, f"{version}_fold{f}")) for f in range(b["folds"])]
     return score_rows(matrix.select(key, *b["features"]), key, models, b["features"], b["categorical"], b["arity"],

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import KEY
 from ..functions.columns import positive_probability
+from .boosting import fit_boosted
 from .folds import FoldConfig
 from .learners import LearnerSpec, drift_profile
 from .ordering import roc_auc_table
@@ -50,20 +51,28 @@ def adversarial_validation(train_mat: DataFrame, test_mat: DataFrame, features:
     cols = [key, *features]
     both = union_train_test(train_mat.select(*cols), test_mat.select(*cols))
     spark = both.sparkSession
-    if mode == "in_sample":
+    if spec.kind == "boost" and mode == "in_sample":
+        got = fit_boosted(both, features, label="IS_TEST", key=key, fold=None, params=spec.boost_params())
+        auc = roc_auc_table(got.oof, "IS_TEST", "score").first()["auc"]
+        imp = got.model.importances()
+        got.blocks.unpersist()
+    elif mode == "in_sample":
         base = both.select("*", F.col("IS_TEST").cast("double").alias("_y"))
         mat = dealt(_vectorise(base, [key, "IS_TEST", "_y"], features, [], {}, None, "_x"), key, both.count())
         model = spec.estimator("_x", "_y", len(features)).fit(mat)
         scored = model.transform(mat).select(key, "IS_TEST", positive_probability("probability").alias("_s"))
-        auc = roc_auc_table(scored, "IS_TEST", "_s", tiebreak=key).first()["auc"]
+        auc = roc_auc_table(scored, "IS_TEST", "_s").first()["auc"]
         imp = model.featureImportances
         mat.unpersist()
     elif mode == "oof":
         res = cross_fit(spec, both, both.limit(0), features, label="IS_TEST", key=key,
                         fold_cfg=fold_cfg or FoldConfig(n_splits=3), version="drift")
-        auc = roc_auc_table(res.oof, "IS_TEST", res.score_col, tiebreak=key).first()["auc"]
-        vals = [m.featureImportances.toArray() for m in res.models]
-        imp = [sum(v[i] for v in vals) / len(vals) for i in range(len(features))]
+        auc = roc_auc_table(res.oof, "IS_TEST", res.score_col).first()["auc"]
+        if spec.kind == "boost":
+            imp = res.models[0].importances()
+        else:
+            vals = [m.featureImportances.toArray() for m in res.models]
+            imp = [sum(v[i] for v in vals) / len(vals) for i in range(len(features))]
         res.release()
     else:
         raise ValueError(f"unknown mode {mode!r}")

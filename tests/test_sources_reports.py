@@ -78,10 +78,10 @@ def test_artifacts_round_trip_and_inference(spark):
     assert written.count() == test.count()
     assert written.where((F.col("TARGET").cast("double") < 0) | (F.col("TARGET").cast("double") > 1)).count() == 0
     # fold models reload and score the same rows identically
-    from pyspark.ml.classification import GBTClassificationModel
-    m0 = GBTClassificationModel.load(os.path.join(d, "models", "lgbm_v1_fold0"))
-    assert m0.numFeatures == res.base["lgbm"].models[0].numFeatures
-    assert m0.featureImportances == res.base["lgbm"].models[0].featureImportances
+    from riskloom.operators.boosting import BoostedModel
+    m0 = BoostedModel.load(os.path.join(d, "models", "lgbm_v1_boosted"), spark)
+    assert m0.features == res.base["lgbm"].models[0].features
+    assert m0.importances().tolist() == res.base["lgbm"].models[0].importances().tolist()
     runs = report.run_summary(spark, os.path.join(d, "metrics")).collect()
     assert [(r.run, r.config) for r in runs] == [("lgbm_v1", "lgbm"), ("stack_bayes", None), ("xgb_v1", "xgb")]
     report.write_summary(report.run_summary(spark, os.path.join(d, "metrics")), os.path.join(d, "metrics"))
