@@ -185,7 +185,7 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
         med = None
         if fold_impute:
             from .impute import fit_medians
-            med = fit_medians(fold_train, list(fold_impute), tiebreak=key)
+            med = fit_medians(fold_train, list(fold_impute))
             fold_train = fold_train.select(*[F.coalesce(F.col(c), F.lit(float(med[c]))).alias(c)
                                              if c in med else F.col(c) for c in fold_train.columns])
         scale = None

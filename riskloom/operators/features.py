@@ -153,8 +153,8 @@ def dedupe_edges(values) -> list:
     return sorted(set(out))
 
 
-def fit_quantile_edges(df: DataFrame, cols: list[str], probs=QUANTILE_PROBS, tiebreak: str | None = None) -> dict:
-    q = exact_quantiles(df, cols, probs, tiebreak=tiebreak)
+def fit_quantile_edges(df: DataFrame, cols: list[str], probs=QUANTILE_PROBS) -> dict:
+    q = exact_quantiles(df, cols, probs)
     return {c: dedupe_edges(v) for c, v in q.items()}
 
 
@@ -167,9 +167,7 @@ def fit_features(df: DataFrame, spec: FeatureSpec | None = None) -> FeatureState
     srcs = [s for s in spec.quantile_bins.values() if s in exprs]
     if not srcs:
         return FeatureState({})
-    tb = spec.key if spec.key in df.columns else None
-    src_df = pre.select(*([F.col(tb)] if tb else []), *[exprs[s].alias(s) for s in srcs])
-    edges = fit_quantile_edges(src_df, srcs, tiebreak=tb)
+    edges = fit_quantile_edges(pre.select(*[exprs[s].alias(s) for s in srcs]), srcs)
     return FeatureState({b: edges[s] for b, s in spec.quantile_bins.items() if s in edges})
 
 
@@ -180,8 +178,7 @@ def fit_features_and_medians(df: DataFrame, spec: FeatureSpec | None = None) ->
     spec = spec or FeatureSpec()
     mat, fs = build_features(df, FeatureState({}), spec)
     probs = sorted(set(QUANTILE_PROBS) | {0.5})
-    tb = spec.key if spec.key in mat.columns else None
-    q = exact_quantiles(mat, fs.numeric, probs, tiebreak=tb)
+    q = exact_quantiles(mat, fs.numeric, probs)
     at = {p: i for i, p in enumerate(probs)}
     edges = {b: dedupe_edges([q[src][at[p]] for p in QUANTILE_PROBS])
              for b, src in spec.quantile_bins.items() if src in q}

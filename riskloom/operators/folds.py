@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEY, LABEL
-from .ordering import global_row_number
+from ..functions.columns import uniform_from_key
+from .ordering import bucket_positions, global_row_number, range_partitions
 
 
 MAX_CLASSES = 100
@@ -38,15 +39,11 @@ def make_stratified_folds(df: DataFrame, label: str = LABEL, cfg: FoldConfig | N
 
     Consecutive positions inside a class cycle through the folds, so every
     class and the total split within one row per fold. The row number comes
-    from the distributed primitive: no single-partition window.
+    is a position inside (label, range of the hash): no single-partition window, one exchange.
     """
     cfg = cfg or FoldConfig()
     require_columns(df, [label, key])
     k = cfg.n_splits
-    order = [F.col(label)]
-    if cfg.shuffle:
-        order.append(shuffle_key(key, cfg.random_state))
-    order.append(F.col(key))
     # a label has few values; more than that is refused before anything is numbered
     classes = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).limit(MAX_CLASSES + 1).collect()}
     if len(classes) > MAX_CLASSES:
@@ -55,8 +52,19 @@ def make_stratified_folds(df: DataFrame, label: str = LABEL, cfg: FoldConfig | N
         raise ValueError(f"label {label!r} has NULL values")
     if not classes or max(classes.values()) < k:
         raise ValueError(f"n_splits={k} exceeds the size of every class: {classes}")
-    numbered = global_row_number(df, order, "_rn")
-    return numbered.df.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+    if not cfg.shuffle:
+        numbered = global_row_number(df, [F.col(label), F.col(key)], "_rn")
+        return numbered.df.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+    # the hash is uniform: equal ranges of its first digits are buckets of equal size in every class
+    buckets = range_partitions(df)
+    bucket = F.floor(uniform_from_key(key, cfg.random_state) * buckets).cast("int")
+    placed = bucket_positions(df, [label], bucket, [shuffle_key(key, cfg.random_state), F.col(key)])
+    first = F.lit(0).cast("long")
+    start = 0
+    for value in sorted(classes):
+        first = F.when(F.col(label) == value, F.lit(start).cast("long")).otherwise(first)
+        start += classes[value]
+    return placed.withColumn(out, ((first + F.col("_lo") - 1) % k).cast("int")).drop("_lo", "_hi")
 
 
 def assign_folds(df: DataFrame, label: str = LABEL, cfg: FoldConfig | None = None,

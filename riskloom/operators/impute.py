@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from .ordering import exact_quantiles
 
 
-def fit_medians(df: DataFrame, cols: list[str],
-                tiebreak: str | None = None) -> dict:
+def fit_medians(df: DataFrame, cols: list[str]) -> dict:
     """Exact median per column (NULLs skipped): ``[1,2,3,10,NULL] -> 2.5``.
     An all-NULL column gets 0.0 so the matrix stays complete."""
-    q = exact_quantiles(df, cols, [0.5], tiebreak=tiebreak)
+    q = exact_quantiles(df, cols, [0.5])
     return {c: (v[0] if v[0] is not None else 0.0) for c, v in q.items()}
 
 

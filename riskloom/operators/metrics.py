@@ -29,8 +29,7 @@ def fold_summary(fold_auc: DataFrame, value: str = "auc", prefix: str = "") -> D
              f"mean{prefix}", f"std{prefix}", f"min{prefix}", f"max{prefix}")
 
 
-def auc_by_fold(oof: DataFrame, label: str, score: str, fold_col: str = "fold",
-                key: str | None = KEY) -> DataFrame:
+def auc_by_fold(oof: DataFrame, label: str, score: str, fold_col: str = "fold") -> DataFrame:
     """Per-fold AUC in one job over the OOF table (fold, auc, n_pos, n_neg, n_null)."""
     t = roc_auc_table(oof, label, score, [fold_col])
     return t.withColumnRenamed(fold_col, "fold") if fold_col != "fold" else t
@@ -48,7 +47,7 @@ def run_metrics(fold_auc: DataFrame) -> dict:
             "std_auc": row["std_auc"], "min_auc": row["min_auc"], "max_auc": row["max_auc"]}
 
 
-def score_profile(df: DataFrame, score: str, key: str | None = None) -> DataFrame:
+def score_profile(df: DataFrame, score: str) -> DataFrame:
     """describe() of a score column plus NaN and Inf counts.
 
     Moments and counts are one aggregate; the quartiles are exact and come
@@ -58,8 +57,8 @@ def score_profile(df: DataFrame, score: str, key: str | None = None) -> DataFram
     from .ordering import exact_quantiles
     s = F.col(score).cast("double")
     finite = F.when(~F.isnan(s), s)
-    clean = df.select(*([key] if key else []), finite.alias("_f"))
-    q = exact_quantiles(clean, ["_f"], [0.25, 0.5, 0.75], tiebreak=key)["_f"]
+    clean = df.select(finite.alias("_f"))
+    q = exact_quantiles(clean, ["_f"], [0.25, 0.5, 0.75])["_f"]
     return df.agg(
         F.count(finite).alias("count"), F.avg(finite).alias("mean"),
         F.stddev_samp(finite).alias("std"), F.min(finite).alias("min"),

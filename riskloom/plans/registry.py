@@ -139,7 +139,7 @@ def q_label_encode(spark, sf_dir):
 def q_impute_median(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
     cols = ["AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
-    med = impute.fit_medians(train, cols, tiebreak=KEY)
+    med = impute.fit_medians(train, cols)
     return impute.apply_medians(test.select(KEY, *cols), med).select(KEY, *[rnd(c, c) for c in cols])
 
 
@@ -195,7 +195,7 @@ def q_pct_rank(spark, sf_dir):
 def q_roc_auc(spark, sf_dir):
     train, _ = _frames(spark, sf_dir)
     s = fixture_scores(train, ["pred_ext2"])["pred_ext2"]
-    t = ordering.roc_auc_table(s, LABEL, "pred_ext2", tiebreak=KEY)
+    t = ordering.roc_auc_table(s, LABEL, "pred_ext2")
     return t.select(rnd("auc", "auc"), "n_pos", "n_neg")
 
 
@@ -299,7 +299,7 @@ def q_evaluate_scores(spark, sf_dir):
 
 def q_score_profile(spark, sf_dir):
     sub = _linear_submission(spark, sf_dir)
-    prof = metrics.score_profile(sub, LABEL, KEY)
+    prof = metrics.score_profile(sub, LABEL)
     return prof.select("count", *[rnd(c, c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]],
                        "n_nan", "n_inf")
 
@@ -336,7 +336,7 @@ def q_best_trial(spark, sf_dir):
     tables = fixture_scores(train)
     trials = None
     for name, t in tables.items():
-        a = ordering.roc_auc_table(t, LABEL, name, tiebreak=KEY).select(F.lit(name).alias("trial"), "auc")
+        a = ordering.roc_auc_table(t, LABEL, name).select(F.lit(name).alias("trial"), "auc")
         trials = a if trials is None else trials.unionByName(a)
     return search.best_trial(trials, "trial", "auc").select("trial", rnd("auc", "auc"))
 
@@ -531,11 +531,10 @@ def _drift(spark, sf_dir, mode):
     """H10 on the drifting split: the check sees the drift, importances sum to one, and the
     column that drifts by construction ranks among the first."""
     from ..operators import drift, learners
-    from .training import prepare
     train, test = src.applicant_frames(spark, sf_dir, drift=True)
-    prep = prepare(train, test)
-    auc, imp = drift.adversarial_validation(prep.train, prep.test, prep.features.names, mode=mode,
-                                            spec=learners.gbt_profile(TREES, 5, BINS))
+    state = features.fit_features(train)                                  # rows are not imputed, as in the original check
+    (mtrain, fs), (mtest, _) = features.build_features(train, state), features.build_features(test, state)
+    auc, imp = drift.adversarial_validation(mtrain, mtest, fs.names, mode=mode, spec=learners.drift_profile(TREES, BINS))
     total = imp.agg(F.round(F.sum("importance"), R).alias("importance_sum"), F.count(F.lit(1)).alias("n_features"))
     return (drift.top_features(imp, 5).agg(F.max((F.col("feature") == "EXT_SOURCE_1").cast("int")).alias("found"))
             .crossJoin(total).select("n_features", "importance_sum", (F.col("found") == 1).alias("drifting_column_found"),

@@ -41,11 +41,11 @@ def test_auc_brute_force_and_symmetry(spark, rows):
     pos = [p for _, y, p in data if y == 1]
     neg = [p for _, y, p in data if y == 0]
     df = spark.createDataFrame(data or [(0, 0, 0.0)], "k long, y int, p double")
-    got = ordering.roc_auc(df, "y", "p", "k")
+    got = ordering.roc_auc(df, "y", "p")
     if not pos or not neg:
         assert got is None
         return
     want = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg) / (len(pos) * len(neg))
     assert got == pytest.approx(want)
     flipped = spark.createDataFrame([(k, y, -p) for k, y, p in data], "k long, y int, p double")
-    assert ordering.roc_auc(flipped, "y", "p", "k") == pytest.approx(1 - want)
+    assert ordering.roc_auc(flipped, "y", "p") == pytest.approx(1 - want)
