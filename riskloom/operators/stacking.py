@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,35 +187,44 @@ NEWTON_TOLERANCE = 1e-10
 def _fit_logregs(df: DataFrame, feats: list[str], label: str, k: int) -> list[tuple[list[float], float]]:
     """k fold models (each without its fold) and the model of all rows: L2 logistic
     fits equal to C=1 with a free intercept, all by the same Newton steps. Each step is
-    one grouped aggregate over the rows: gradient and Hessian of the summed loss for
-    every model, (d+1)(d+4)/2 numbers a model on the driver. Steps are halved while
-    the loss grows and end when no gradient entry per row exceeds the tolerance."""
+    one pass over the rows: a task sums loss, gradient and Hessian of every model by matrix
+    products, the sums of all tasks are added by (model, entry), and (d+1)(d+2)+2 numbers a
+    model reach the driver. Steps are halved while the loss grows and end when no gradient
+    entry per row exceeds the tolerance."""
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in feats]).first()
     mu = np.array([means[c] for c in feats], dtype=float)
     d = len(feats) + 1
-    rows = df.select("fold", F.col(label).cast("double").alias("_y"), F.lit(1.0).alias("_x0"),
-                     *[(F.col(c).cast("double") - F.lit(float(m))).alias(f"_x{i + 1}") for i, (c, m) in enumerate(zip(feats, mu))])
-    model = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k)), lambda m: m != F.col("fold"))).alias("_m")
-    rows = rows.select("*", model)
-    x = [F.col(f"_x{i}") for i in range(d)]
+    rows = df.select("fold", F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)])
+    ridge = np.diag([0.0] + [1.0] * (d - 1))
 
     def sums(w):
         """Loss, gradient and Hessian of every model at its weights, penalty included."""
-        z = sum((F.element_at(F.array(*[F.lit(float(w[m][i])) for m in range(k + 1)]), F.col("_m") + 1) * x[i] for i in range(d)), F.lit(0.0))
-        loss = F.greatest(F.col("_z"), F.lit(0.0)) - F.col("_y") * F.col("_z") + F.log1p(F.exp(-F.abs("_z")))
-        p = F.when(F.col("_z") >= 0, 1 / (1 + F.exp(-F.abs("_z")))).otherwise(1 - 1 / (1 + F.exp(-F.abs("_z"))))
-        staged = rows.withColumn("_z", z).withColumn("_p", p).withColumn("_v", F.col("_p") * (1 - F.col("_p")))
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss")]
-        aggs += [F.sum((F.col("_p") - F.col("_y")) * x[i]).alias(f"g{i}") for i in range(d)]
-        aggs += [F.sum(F.col("_v") * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
-        ridge = np.diag([0.0] + [1.0] * (d - 1))
+        def run(batches):
+            out = np.zeros((k + 1, d * d + d + 2))
+            for b in batches:
+                fold, y = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+                x = np.column_stack([np.ones(len(y)), *(b.column(2 + i).to_numpy(zero_copy_only=False) - mu[i] for i in range(d - 1))])
+                for m in range(k + 1):
+                    mine = fold != m
+                    xm, ym = x[mine], y[mine]
+                    z = xm @ w[m]
+                    e = np.exp(-np.abs(z))
+                    p = np.where(z >= 0, 1 / (1 + e), e / (1 + e))
+                    out[m, 0] += (np.maximum(z, 0) - ym * z + np.log1p(e)).sum()
+                    out[m, 1] += len(ym)
+                    out[m, 2:2 + d] += xm.T @ (p - ym)
+                    out[m, 2 + d:] += ((xm * (p * (1 - p))[:, None]).T @ xm).ravel()
+            i = np.arange(out.size)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(out.ravel())], names=["i", "v"])
+
+        flat = np.zeros((k + 1) * (d * d + d + 2))
+        for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():    # the sums of all models
+            flat[r.i] = r.v
         out = {}
-        for r in staged.groupBy("_m").agg(*aggs).collect():                 # k + 1 rows
-            g = np.array([r[f"g{i}"] for i in range(d)])
-            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-            wm = np.array(w[r["_m"]])
-            out[r["_m"]] = (r["loss"] + wm @ ridge @ wm / 2, g + ridge @ wm, h + ridge, r["n"])
-        return out
+        for m, v in enumerate(flat.reshape(k + 1, -1)):
+            wm = np.array(w[m])
+            out[m] = (v[0] + wm @ ridge @ wm / 2, v[2:2 + d] + ridge @ wm, v[2 + d:].reshape(d, d) + ridge, v[1])
+        return {m: v for m, v in out.items() if v[3]}
 
     w = [np.zeros(d) for _ in range(k + 1)]
     now = sums(w)
