@@ -25,6 +25,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,9 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 
 THRESHOLD = 0.93
 FIT_ROWS = 16_384
-ROWS_PER_LIST = 65_536          # lists grow in number with the rows, within these bounds
-LISTS = (16, 4_096)
+ROWS_OF_A_LIST = 8              # sample vectors that a list is trained on, at least
+LEAST_LISTS = 16
+PLANE_CELLS = 1 << 21           # cells (vector, list) whose planes are measured at once; a few arrays of 16 MB
 SUB_DIMS = 8
 CODEWORDS = 256
 BLOCK = 512
@@ -140,7 +142,7 @@ class Index:
     def planes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
         """Distance of each vector to the plane between its list and every other; infinite at home."""
         d2 = squares(x, self.lists)
-        apart = np.sqrt(squares(self.lists, self.lists))[home]
+        apart = np.sqrt(squares(self.lists[home], self.lists))
         mine = d2[np.arange(len(x)), home][:, None]
         out = np.where(apart > 1e-9, (d2 - mine) / (2 * np.maximum(apart, 1e-9)), 0.0)
         out[np.arange(len(x)), home] = np.inf
@@ -155,6 +157,11 @@ class Index:
         return np.sqrt(d2)
 
 
+def list_count(rows: int, sample: int) -> int:
+    """Lists grow with the square root of the rows; each is trained on ``ROWS_OF_A_LIST`` sample vectors or more."""
+    return max(LEAST_LISTS, min(4 * math.isqrt(rows), sample // ROWS_OF_A_LIST))
+
+
 def fit(reps: DataFrame, threshold: float, rows: int = FIT_ROWS) -> Index | None:
     """Quantisers from at most ``rows`` vectors; the most frequent length of the sample is indexed."""
     n = reps.count()
@@ -163,7 +170,7 @@ def fit(reps: DataFrame, threshold: float, rows: int = FIT_ROWS) -> Index | None
     if not parts:
         return None
     x = max((v for _, v in parts), key=len)
-    lists = kmeans(x, max(LISTS[0], min(LISTS[1], n // ROWS_PER_LIST)), 8, 11)
+    lists = kmeans(x, list_count(n, len(x)), 8, 11)
     r = (x - lists[nearest(x, lists)])[:8192]
     books = [kmeans(r[:, k:k + SUB_DIMS], CODEWORDS, 6, 13 + k) for k in range(0, x.shape[1], SUB_DIMS)]
     return Index(x.shape[1], lists, books, float(np.sqrt(2 - 2 * threshold)), threshold)
@@ -187,10 +194,12 @@ def indexed(reps: DataFrame, index: Index) -> DataFrame:
                 h = nearest(v, index.lists)
                 c, e = index.encode(v, h)
                 home[rows], err[rows] = h, e
-                p = index.planes(v, h)
-                for k, r in enumerate(rows.tolist()):
-                    near = np.flatnonzero(p[k] <= half)
-                    codes[r], go[r], gap[r] = c[k].tobytes(), near.astype(np.int32), p[k, near]
+                step = max(1, PLANE_CELLS // len(index.lists))
+                for at in range(0, len(rows), step):
+                    p = index.planes(v[at:at + step], h[at:at + step])
+                    for k, r in enumerate(rows[at:at + step].tolist()):
+                        near = np.flatnonzero(p[k] <= half)
+                        codes[r], go[r], gap[r] = c[at + k].tobytes(), near.astype(np.int32), p[k, near]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(home), pa.array(err), pa.array(codes, pa.binary()),
                  pa.array(go, pa.list_(pa.int32())), pa.array(gap, pa.list_(pa.float64()))],
