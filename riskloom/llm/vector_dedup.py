@@ -39,7 +39,7 @@ from riskloom.session import ensure_checkpoint_dir, reliable_checkpoint
 
 THRESHOLD = 0.93
 FIT_ROWS = 16_384
-ROWS_OF_A_LIST = 8              # sample vectors that a list is trained on, at least
+ROWS_OF_A_LIST = 32             # sample vectors that a list is trained on, at least
 LEAST_LISTS = 16
 PLANE_CELLS = 1 << 21           # cells (vector, list) whose planes are measured at once; a few arrays of 16 MB
 SUB_DIMS = 8
@@ -158,8 +158,8 @@ class Index:
 
 
 def list_count(rows: int, sample: int) -> int:
-    """Lists grow with the square root of the rows; each is trained on ``ROWS_OF_A_LIST`` sample vectors or more."""
-    return max(LEAST_LISTS, min(4 * math.isqrt(rows), sample // ROWS_OF_A_LIST))
+    """Lists grow with the square root of the rows (more lists save look-ups but cost visits); each is trained on ``ROWS_OF_A_LIST`` sample vectors or more."""
+    return max(LEAST_LISTS, min(math.isqrt(rows) // 2, sample // ROWS_OF_A_LIST))
 
 
 def fit(reps: DataFrame, threshold: float, rows: int = FIT_ROWS) -> Index | None:

@@ -75,17 +75,11 @@ def test_the_grouped_plan_reaches_the_lower_bound(spark, sf):
     assert 0 not in packing.GROUPS and sum(n for _, n in packing.plan(counts)) == least
 
 
-def test_few_pairs_of_vectors_reach_the_tables(spark):
-    """Of all pairs of one label at most 15 % meet in a list; the lists grow with the rows."""
-    from collections import Counter
-
-    from pyspark.sql import functions as F
-
+def test_lists_grow_with_the_rows_and_planes_in_steps(spark, monkeypatch):
     from riskloom.llm import vector_dedup as v
-    plain = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("rep"), "label", F.col("embedding").alias("vec"))
-    index = v.fit(plain, v.THRESHOLD)
-    rows = v.indexed(plain, index).select("label", "home", "go").collect()
-    homes, guests = Counter((r.label, r.home) for r in rows), Counter((r.label, x) for r in rows for x in r.go)
-    every = sum(n * (n - 1) / 2 for n in Counter(r.label for r in rows).values())
-    assert sum(n * (n - 1) / 2 + n * guests[k] for k, n in homes.items()) <= 0.15 * every
-    assert v.list_count(10 ** 9, v.FIT_ROWS) == v.FIT_ROWS // v.ROWS_OF_A_LIST and v.list_count(50, 50) == v.LEAST_LISTS
+    assert [v.list_count(n, min(n, v.FIT_ROWS)) for n in (0, 2000, 51_282, 10 ** 6, 10 ** 9)] == [16, 22, 113, 500, 512]
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = sorted(v.near_duplicates(df, threshold=0.5).collect())
+    monkeypatch.setattr(v, "PLANE_CELLS", 40)
+    monkeypatch.setattr(v, "LEAST_LISTS", 40)
+    assert sorted(v.near_duplicates(df, threshold=0.5).collect()) == want and any(r.n_links for r in want)
