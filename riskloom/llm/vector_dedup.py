@@ -159,7 +159,7 @@ class Index:
 
 def list_count(rows: int, sample: int) -> int:
     """Lists grow with the square root of the rows (more lists save look-ups but cost visits); each is trained on ``ROWS_OF_A_LIST`` sample vectors or more."""
-    return max(LEAST_LISTS, min(math.isqrt(rows) // 2, sample // ROWS_OF_A_LIST))
+    return max(LEAST_LISTS, min(math.isqrt(rows) // 4, sample // ROWS_OF_A_LIST))
 
 
 def fit(reps: DataFrame, threshold: float, rows: int = FIT_ROWS) -> Index | None:

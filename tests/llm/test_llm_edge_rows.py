@@ -77,9 +77,12 @@ def test_the_grouped_plan_reaches_the_lower_bound(spark, sf):
 
 def test_lists_grow_with_the_rows_and_planes_in_steps(spark, monkeypatch):
     from riskloom.llm import vector_dedup as v
-    assert [v.list_count(n, min(n, v.FIT_ROWS)) for n in (0, 2000, 51_282, 10 ** 6, 10 ** 9)] == [16, 22, 113, 500, 512]
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    want = sorted(v.near_duplicates(df, threshold=0.5).collect())
+    assert [v.list_count(n, min(n, v.FIT_ROWS)) for n in (0, 2000, 51_282, 10 ** 6, 10 ** 9)] == [16, 16, 56, 250, 512]
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(k, [x + rng.gauss(0, 0.15) for x in centres[k % 40]], k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(v.near_duplicates(df).collect())
     monkeypatch.setattr(v, "PLANE_CELLS", 40)
     monkeypatch.setattr(v, "LEAST_LISTS", 40)
-    assert sorted(v.near_duplicates(df, threshold=0.5).collect()) == want and any(r.n_links for r in want)
+    assert sorted(v.near_duplicates(df).collect()) == want and any(r.n_links for r in want)
