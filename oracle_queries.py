@@ -480,3 +480,7 @@ ORACLE.update({
         + " FROM (SELECT *, CAST(CAST(('0x' || substr(md5(CAST(SK_ID_CURR AS VARCHAR) || '|42'), 1, 13)) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS u, "
         "(SELECT avg(TARGET) FROM train) AS prior FROM train)"),
 })
+
+ORACLE["load_csv_inferred"] = with_applicants(
+    "SELECT * REPLACE (CAST(CASE WHEN ((SK_ID_CURR*48271) % 65537) % 6 = 5 THEN NULL ELSE TARGET END AS BIGINT) AS TARGET, "
+    "CAST(DAYS_BIRTH AS BIGINT) AS DAYS_BIRTH, CAST(DAYS_EMPLOYED AS BIGINT) AS DAYS_EMPLOYED) FROM applicants")

@@ -622,6 +622,17 @@ def q_load_csv(spark, sf_dir):
     return a.unionByName(b.withColumn(LABEL, F.lit(None).cast("int")))
 
 
+def q_load_csv_inferred(spark, sf_dir):
+    """A1: the fixture written as CSV without types, columns in another order, NA marks; one pass over both files infers
+    the types by header."""
+    train, test = _frames(spark, sf_dir)
+    d = _scratch(spark, "csv")
+    for name, df in (("train", train), ("test", test)):
+        df.select(*reversed(df.columns)).write.option("header", True).option("nullValue", "NA").csv(f"{d}/{name}")
+    a, b = src.load_train_test(spark, f"{d}/train", f"{d}/test")
+    return a.unionByName(b.withColumn(LABEL, F.lit(None).cast("long")))
+
+
 def q_scan_test_scores(spark, sf_dir):
     """Test score tables written, listed and joined."""
     from ..sources import scores as score_io
@@ -723,6 +734,7 @@ QUERIES = {
     "stack_gradient": q_stack_gradient,
     "stack_residual": q_stack_residual,
     "load_csv": q_load_csv,
+    "load_csv_inferred": q_load_csv_inferred,
     "scan_test_scores": q_scan_test_scores,
     "submission_round_trip": q_submission_round_trip,
     "calibrated_target": q_calibrated_target,

@@ -77,7 +77,7 @@ def applicant_frames(spark: SparkSession, sf_dir: str, drift: bool = False):
 
 # ------------------------------------------------------------------ scans
 
-def normalise(df: DataFrame, key: str = KEY) -> DataFrame:
+def normalise(df: DataFrame) -> DataFrame:
     """NaN -> NULL on floating columns, NA tokens -> NULL on strings."""
     out = []
     for f in df.schema.fields:
@@ -90,20 +90,38 @@ def normalise(df: DataFrame, key: str = KEY) -> DataFrame:
     return df.select(*out)
 
 
-def numeric_strings_to_double(df: DataFrame) -> DataFrame:
-    """Without a schema, a numeric column holding a missing-value string is
-    inferred as string. After NA strings became NULL, cast every string column
-    whose remaining values all parse as numbers to double (one aggregate pass
-    over the string columns)."""
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    if not cols:
-        return df
-    row = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(f"b_{i}")
-                   for i, c in enumerate(cols)],
-                 *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
-    numeric = {c for i, c in enumerate(cols) if row[f"b_{i}"] == 0 and row[f"n_{i}"] > 0}
-    return df.select(*[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c)
-                       for c in df.columns])
+#: The rungs of an inferred type: nothing, boolean, long, double, string.
+RUNGS = ["string", "boolean", "long", "double", "string"]
+
+
+def infer_types(*tables: DataFrame) -> dict[str, str]:
+    """One type per column name for text tables read alike, in one aggregate over all of them: each value has the lowest
+    rung it parses as, a column the highest rung of its values; booleans beside numbers are text, and so is a column
+    without values. Missing-value tokens have no rung."""
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.unionByName(t, allowMissingColumns=True)
+
+    def rung(c):
+        v = F.trim(F.col(c))
+        return (F.when(v.isNull() | (v == "") | v.isin(*NA_TOKENS), 0).when(F.lower(v).isin("true", "false"), 1)
+                .when(v.try_cast("long").isNotNull() & v.rlike("^[+-]?[0-9]+$"), 2).when(v.try_cast("double").isNotNull(), 3).otherwise(4))
+
+    row = both.agg(*[F.max(rung(c)).alias(f"r{i}") for i, c in enumerate(both.columns)],
+                   *[F.max((rung(c) == 1).cast("int")).alias(f"b{i}") for i, c in enumerate(both.columns)]).first()
+    return {c: "string" if row[f"b{i}"] and (row[f"r{i}"] or 0) > 1 else RUNGS[row[f"r{i}"] or 0] for i, c in enumerate(both.columns)}
+
+
+def load_inferred(spark: SparkSession, *paths: str) -> list[DataFrame]:
+    """CSV files with headers, columns found by name, typed alike by ``infer_types``."""
+    raw = [spark.read.option("header", True).csv(p) for p in paths]
+    kinds = infer_types(*raw)
+
+    def typed(c):
+        v = F.when(~F.trim(F.col(c)).isin("", *NA_TOKENS), F.col(c) if kinds[c] == "string" else F.trim(F.col(c)))
+        return (v if kinds[c] == "string" else v.cast(kinds[c])).alias(c)
+
+    return [r.select(*map(typed, r.columns)) for r in raw]
 
 
 def load_train_test(spark: SparkSession, train_path: str, test_path: str, fmt: str = "csv",
@@ -111,16 +129,14 @@ def load_train_test(spark: SparkSession, train_path: str, test_path: str, fmt: s
                     key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """Read two applicant files (A1). With a schema, CSV columns are found by
     their header name (a column the schema lacks stays a string) and a value that
-    does not parse fails the read; without one types are inferred per file. Columns
-    of both files then get one type that loses nothing: double if either side is
-    fractional, else long; string if one side holds text. The label is absent
-    from test."""
+    does not parse fails the read; without one types are inferred over both CSV files in
+    one pass (``infer_types``). Columns of both files get one type that loses nothing:
+    double if either side is fractional, else long; string if one side holds text. The
+    label is absent from test."""
     def read(path, sch):
         if fmt != "csv":
             return spark.read.format(fmt).load(path)
         r = spark.read.option("header", True).option("nanValue", "NaN").option("nullValue", "NA")
-        if sch is None:
-            return r.option("inferSchema", True).csv(path)
         # types are given by name, in the order of the file's own header
         found = r.csv(path).columns
         missing = [f.name for f in sch.fields if f.name not in found]
@@ -134,13 +150,11 @@ def load_train_test(spark: SparkSession, train_path: str, test_path: str, fmt: s
                             else strict_cast(F.when(~F.trim(F.col(c)).isin(*absent), F.trim(F.col(c))), kinds[c]).alias(c)
                             for c in [*kinds, *[c for c in found if c not in kinds]]])
 
-    train = normalise(read(train_path, schema), key)
-    test_schema = None
-    if schema is not None:
-        test_schema = StructType([f for f in schema.fields if f.name != label])
-    test = normalise(read(test_path, test_schema), key)
-    if schema is None:
-        train, test = numeric_strings_to_double(train), numeric_strings_to_double(test)
+    if schema is None and fmt == "csv":
+        train, test = map(normalise, load_inferred(spark, train_path, test_path))
+    else:
+        train = normalise(read(train_path, schema))
+        test = normalise(read(test_path, schema and StructType([f for f in schema.fields if f.name != label])))
     if key not in train.columns or key not in test.columns:
         raise ValueError(f"key column {key!r} missing")
     if label not in train.columns:

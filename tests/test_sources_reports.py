@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import metrics, report
+from riskloom.sources import applicants as src
 from riskloom.sources.applicants import load_train_test
 
 
@@ -169,3 +170,17 @@ def test_metrics_of_a_fold_with_one_class(spark, tmp_path):
     assert r.run == "lgbm_x" and list(r.fold_auc) == [0.5, None]
     with pytest.raises(ValueError, match="no runs"):
         report.run_summary(spark, str(tmp_path / "nothing"))
+
+
+def test_types_are_inferred_over_both_files_in_one_pass(spark, tmp_path):
+    """A value decides for both files; the columns' order differs; booleans beside numbers are text."""
+    (tmp_path / "a.csv").write_text("SK_ID_CURR,TARGET,x,flag,mix,none,big,text\n1,0,1,true,true,NA,9223372036854775807, a \n2,1, 7 ,FALSE,1,,2,NA\n")
+    (tmp_path / "b.csv").write_text("text,big,none,mix,flag,x,SK_ID_CURR\n2020-01-01,3,nan,2,,1.5e3,3\nb,9223372036854775808,NA,NA,true,NaN,4\n")
+    a, b = src.load_train_test(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+    kinds = {"SK_ID_CURR": "bigint", "x": "double", "flag": "boolean", "mix": "string", "none": "string", "big": "double", "text": "string"}
+    assert dict(b.dtypes) == kinds and dict(a.dtypes) == kinds | {"TARGET": "bigint"}
+    assert [tuple(r) for r in a.select("x", "flag", "mix", "none", "text").orderBy("x").collect()] == [(1.0, True, "true", None, " a "), (7.0, False, "1", None, None)]
+    assert [tuple(r) for r in b.select("x", "flag", "mix").orderBy("SK_ID_CURR").collect()] == [(1500.0, None, "2"), (None, True, None)]
+    raw = spark.read.option("header", True).csv(str(tmp_path / "a.csv"))
+    empty = raw.filter("1 = 0")
+    assert set(src.infer_types(empty).values()) == {"string"}
