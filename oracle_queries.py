@@ -484,3 +484,4 @@ ORACLE.update({
 ORACLE["load_csv_inferred"] = with_applicants(
     "SELECT * REPLACE (CAST(CASE WHEN ((SK_ID_CURR*48271) % 65537) % 6 = 5 THEN NULL ELSE TARGET END AS BIGINT) AS TARGET, "
     "CAST(DAYS_BIRTH AS BIGINT) AS DAYS_BIRTH, CAST(DAYS_EMPLOYED AS BIGINT) AS DAYS_EMPLOYED) FROM applicants")
+ORACLE["artifact_versions"] = with_applicants("SELECT *, 'v1' AS run, 'v3' AS torn FROM oof", SCORES)

@@ -633,6 +633,26 @@ def q_load_csv_inferred(spark, sf_dir):
     return a.unionByName(b.withColumn(LABEL, F.lit(None).cast("long")))
 
 
+def q_artifact_versions(spark, sf_dir):
+    """Of three runs the second is half-written and the third had a table appended after its commit; the loader
+    takes the first."""
+    import os
+    from ..sources import runs
+    d = _scratch(spark, "runs")
+    tables = dict(zip(FIXTURE_SCORES, _oof_tables(spark, sf_dir)))
+    for run, shift in (("v1", 0.0), ("v2", 1.0), ("v3", 2.0)):
+        w = runs.RunWriter(spark, os.path.join(d, run))
+        for name, t in tables.items():
+            if run != "v2" or name != "pred_ext3":
+                w.write(t.withColumn(name, F.col(name) + shift), name)
+        if run != "v2":
+            w.commit(list(tables))
+    tables["pred_ext1"].limit(1).write.mode("append").parquet(os.path.join(d, "v3", "pred_ext1"))
+    name, found, torn = runs.latest_run(spark, d)
+    merged = stacking.join_score_tables([found[n] for n in FIXTURE_SCORES])
+    return merged.withColumn("run", F.lit(name)).withColumn("torn", F.lit(",".join(torn)))
+
+
 def q_scan_test_scores(spark, sf_dir):
     """Test score tables written, listed and joined."""
     from ..sources import scores as score_io
@@ -735,6 +755,7 @@ QUERIES = {
     "stack_residual": q_stack_residual,
     "load_csv": q_load_csv,
     "load_csv_inferred": q_load_csv_inferred,
+    "artifact_versions": q_artifact_versions,
     "scan_test_scores": q_scan_test_scores,
     "submission_round_trip": q_submission_round_trip,
     "calibrated_target": q_calibrated_target,

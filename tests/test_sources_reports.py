@@ -184,3 +184,29 @@ def test_types_are_inferred_over_both_files_in_one_pass(spark, tmp_path):
     raw = spark.read.option("header", True).csv(str(tmp_path / "a.csv"))
     empty = raw.filter("1 = 0")
     assert set(src.infer_types(empty).values()) == {"string"}
+
+
+def test_only_whole_runs_are_loaded(spark, tmp_path):
+    from riskloom.sources import runs
+    base = str(tmp_path)
+    with pytest.raises(runs.TornRun):
+        runs.latest_run(spark, base)
+    df = spark.createDataFrame([(1, 0.5, None), (2, None, "a"), (2, None, "a")], "k long, p double, s string")
+    for name in ("r1", "r2", "r3", "r4"):
+        w = runs.RunWriter(spark, f"{base}/{name}")
+        w.write(df, "a")
+        if name != "r4":
+            w.write(df.filter("1 = 0"), "b")
+            w.commit(["a", "b"])
+    with pytest.raises(runs.TornRun):
+        runs.open_run(spark, f"{base}/r4")                                   # no manifest
+    name, tables, torn = runs.latest_run(spark, base)
+    assert (name, torn) == ("r3", []) and tables["a"].count() == 3 and tables["b"].count() == 0
+    # the same number of rows, another content; a table swapped for that of another run; rows in other files are the same
+    df.filter("k = 2").limit(1).unionByName(df.filter("k = 1")).unionByName(df.filter("k = 1")).write.mode("overwrite").parquet(f"{base}/r3/a")
+    df.write.mode("overwrite").parquet(f"{base}/r2/b")
+    df.repartition(3).write.mode("overwrite").parquet(f"{base}/r1/a")
+    name, _, torn = runs.latest_run(spark, base)
+    assert (name, torn) == ("r1", ["r3", "r2"])
+    with pytest.raises(Exception, match="(?i)exist"):
+        runs.RunWriter(spark, f"{base}/r1").write(df, "a")
