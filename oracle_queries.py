@@ -413,7 +413,8 @@ ORACLE.update({
        for q in ("cross_fit_gbt", "cross_fit_gbt_rows", "cross_fit_gbt_cat", "cross_fit_mlp", "oof_union")},
     **{q: with_applicants(STACKED, SCORES + "," + FOLDS3) for q in ("stack_fit_bayes", "stack_fit_logreg")},
     "stack_gradient": "SELECT unnest([" + ", ".join(f"'{w}'" for w in ["intercept", *META]) + "]) AS weight, CAST(0.0 AS DOUBLE) AS slope",
-    "stack_residual": "SELECT 'intercept' AS weight, CAST(0.0 AS DOUBLE) AS slope",
+    "stack_residual": "SELECT unnest([" + ", ".join(f"'{w}'" for w in ["intercept", *META, "noise precision", "weight precision"]) + "]) AS weight, "
+                      "CAST(0.0 AS DOUBLE) AS slope",
     "leaderboard": "SELECT unnest(['gbt', 'logreg', 'rf']) AS model, true AS low_ok, true AS high_ok, true AS best_rescored",
     "drift_auc": DRIFT,
     "drift_auc_in_sample": DRIFT,

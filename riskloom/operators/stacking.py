@@ -161,6 +161,8 @@ class StackerState:
     coef: list
     intercept: float
     fold_models: list = field(default_factory=list)
+    alpha: float | None = None      # bayes: precision of the noise and of the weights at the evidence's maximum
+    lam: float | None = None
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -175,9 +177,15 @@ class StackerState:
 
 
 def _fit_bayes_from_stats(stats, exclude=None):
+    """(weights, intercept) of all groups but ``exclude``."""
+    return _fit_evidence(stats, exclude)[:2]
+
+
+def _fit_evidence(stats, exclude=None):
+    """(weights, intercept, noise precision, weight precision)."""
     xtx, xty, yty, n, xm, ym = _subset(stats, exclude=exclude)
-    coef, _, _ = bayes_ridge(xtx, xty, yty, n)
-    return [float(c) for c in coef], float(ym - xm @ coef)
+    coef, alpha, lam = bayes_ridge(xtx, xty, yty, n)
+    return [float(c) for c in coef], float(ym - xm @ coef), float(alpha), float(lam)
 
 
 NEWTON_STEPS = 50
@@ -258,18 +266,18 @@ def train_stacking_model(oof: DataFrame, label: str = LABEL, key: str = KEY,
     feats = meta_feature_names(preds)
     with_folds = assign_folds(meta, label, fold_cfg, key).persist()
     k = fold_cfg.n_splits
-    fold_models = []
+    fold_models, precisions = [], []
     if stacker_type == "bayes":
         stats = gram_stats(with_folds, feats, label, "fold")
         for f in range(k):
             fold_models.append(_fit_bayes_from_stats(stats, exclude=f))
-        coef, b = _fit_bayes_from_stats(stats)
+        coef, b, *precisions = _fit_evidence(stats)
     elif stacker_type == "logreg":
         fits = _fit_logregs(with_folds, feats, label, k)
         fold_models, (coef, b) = fits[:k], fits[k]
     else:
         raise ValueError(f"unknown stacker type {stacker_type!r}")
-    state = StackerState(stacker_type, feats, coef, b, fold_models)
+    state = StackerState(stacker_type, feats, coef, b, fold_models, *precisions)
     expr = None
     for f, (c, bb) in enumerate(fold_models):
         s = StackerState(stacker_type, feats, c, bb).score()

@@ -504,27 +504,37 @@ def q_stack_fit_logreg(spark, sf_dir):
     return _stack_rows(spark, sf_dir, "logreg")
 
 
-def _stack_optimum(spark, sf_dir, kind, penalty):
+def q_stack_gradient(spark, sf_dir):
     """Derivative of the fitted loss by each weight, a row: zero at the optimum."""
     oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
     preds = list(FIXTURE_SCORES)
-    _, _, state = stacking.train_stacking_model(oof, stacker_type=kind, fold_cfg=folds.FoldConfig(n_splits=FOLDS))
+    _, _, state = stacking.train_stacking_model(oof, stacker_type="logreg", fold_cfg=folds.FoldConfig(n_splits=FOLDS))
     meta = stacking.meta_features(oof, preds).withColumn("_r", state.score() - F.col(LABEL))
-    weights = {"intercept": (F.lit(1.0), 0.0)} | ({f: (F.col(f), w) for f, w in zip(state.features, state.coef)} if penalty else {})
+    weights = {"intercept": (F.lit(1.0), 0.0)} | {f: (F.col(f), w) for f, w in zip(state.features, state.coef)}
     row = meta.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_r") * x).alias(f) for f, (x, _) in weights.items()]).first()
     rows = [(f, (row[f] + w) / row["n"]) for f, (_, w) in weights.items()]
     return spark.createDataFrame(rows, "weight string, slope double").select(
         "weight", (F.round("slope", R) + F.lit(0.0)).alias("slope"))
 
 
-def q_stack_gradient(spark, sf_dir):
-    """H8: the logistic stacker's gradient (C = 1) over all rows."""
-    return _stack_optimum(spark, sf_dir, "logreg", True)
-
-
 def q_stack_residual(spark, sf_dir):
-    """H8: the ridge stacker's mean residual over all rows."""
-    return _stack_optimum(spark, sf_dir, "bayes", False)
+    """H8: the ridge stacker over all rows: each weight's slope of the penalised squares (zero at the fit), and how far the
+    two precisions are from the fixed point of the evidence."""
+    import numpy as np
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
+    _, _, state = stacking.train_stacking_model(oof, stacker_type="bayes", fold_cfg=folds.FoldConfig(n_splits=FOLDS))
+    meta = stacking.meta_features(oof, list(FIXTURE_SCORES)).withColumn("_r", state.score() - F.col(LABEL))
+    row = meta.agg(F.count(F.lit(1)).alias("n"), F.avg("_r").alias("intercept"), F.sum(F.col("_r") * F.col("_r")).alias("rss"),
+                   *[F.covar_pop("_r", f).alias(f) for f in state.features],
+                   *[F.covar_pop(x, y).alias(f"c{i}_{j}") for i, x in enumerate(state.features) for j, y in enumerate(state.features)]).first()
+    d, n, coef = len(state.features), row["n"], np.array(state.coef)
+    eig = np.linalg.eigvalsh(n * np.array([[row[f"c{i}_{j}"] for j in range(d)] for i in range(d)])).clip(0)
+    gamma = float((state.alpha * eig / (state.lam + state.alpha * eig)).sum())
+    rows = [("intercept", row["intercept"])] + [(f, row[f] + state.lam / state.alpha * w / n) for f, w in zip(state.features, coef)]
+    rows += [("noise precision", (n - gamma) / row["rss"] / state.alpha - 1), ("weight precision", gamma / float(coef @ coef) / state.lam - 1)]
+    df = spark.createDataFrame([(k, float(v)) for k, v in rows], "weight string, slope double")
+    digits = F.when(F.col("weight").endswith("precision"), F.round("slope", 2)).otherwise(F.round("slope", R))
+    return df.select("weight", (digits + F.lit(0.0)).alias("slope"))
 
 
 def _drift(spark, sf_dir, mode):
