@@ -486,3 +486,77 @@ ORACLE["load_csv_inferred"] = with_applicants(
     "SELECT * REPLACE (CAST(CASE WHEN ((SK_ID_CURR*48271) % 65537) % 6 = 5 THEN NULL ELSE TARGET END AS BIGINT) AS TARGET, "
     "CAST(DAYS_BIRTH AS BIGINT) AS DAYS_BIRTH, CAST(DAYS_EMPLOYED AS BIGINT) AS DAYS_EMPLOYED) FROM applicants")
 ORACLE["artifact_versions"] = with_applicants("SELECT *, 'v1' AS run, 'v3' AS torn FROM oof", SCORES)
+
+
+# ------------------------------------------------------------------ greedy blend, Parzen study
+
+def _blend_sum(weights: list[str]) -> str:
+    return "0.0::DOUBLE + " + " + ".join(f"CAST({w} AS DOUBLE) * {p}" for w, p in zip(weights, PREDS))
+
+
+def _ensemble_ctes(rounds: int) -> str:
+    """Per round r: all candidates' sums (s), their AUCs (a), the pick (b) and the counts after it (w)."""
+    out = ["w0 AS MATERIALIZED (SELECT 0 AS n0, 0 AS n1, 0 AS n2)"]
+    for r in range(1, rounds + 1):
+        total = _blend_sum([f"(n{i} + (c = {i})::INT)" for i in range(3)])
+        out += [f"s{r} AS MATERIALIZED (SELECT TARGET, c, {total} AS s FROM oof, w{r - 1}, (SELECT unnest([0, 1, 2]) AS c))",
+                f"b{r} AS MATERIALIZED (SELECT c, auc FROM ({auc_sql(f's{r}', 'TARGET', 's', 'c', None)}) ORDER BY auc DESC, c LIMIT 1)",
+                f"w{r} AS MATERIALIZED (SELECT " + ", ".join(f"n{i} + (c = {i})::INT AS n{i}" for i in range(3)) + f" FROM w{r - 1}, b{r})"]
+    steps = " UNION ALL ".join(f"SELECT {r} AS round, c, auc, n0, n1, n2 FROM b{r}, w{r}" for r in range(1, rounds + 1))
+    return ",".join([*out, f"steps AS MATERIALIZED ({steps})",
+                     "held AS (SELECT round AS last, n0 / round AS v0, n1 / round AS v1, n2 / round AS v2 FROM steps ORDER BY auc DESC, round LIMIT 1)"])
+
+
+ORACLE["ensemble_selection"] = with_applicants(
+    f"SELECT CAST(round AS INTEGER) AS round, {PREDS}[c + 1] AS model, round(auc, 6) AS auc, round <= last AS held, "
+    "round([v0, v1, v2][c + 1], 6) AS weight FROM steps, held", SCORES + "," + _ensemble_ctes(6))
+ORACLE["ensemble_scores"] = with_applicants(
+    f"SELECT SK_ID_CURR, round({_blend_sum(['v0', 'v1', 'v2'])}, 6) AS pred_blend FROM tst, held", SCORES + "," + _ensemble_ctes(6))
+
+
+def _md5_unit(text: str) -> str:
+    return f"(CAST(CAST(('0x' || substr(md5({text}), 1, 13)) AS UBIGINT) AS DOUBLE) / 4503599627370496.0)"
+
+
+def _study_auc(points: str) -> str:
+    wide = "SELECT t, " + ", ".join(f"max(u) FILTER (WHERE p = '{p}') AS v{i}" for i, p in enumerate(PREDS)) + f" FROM {points} GROUP BY t"
+    return auc_sql(f"(SELECT TARGET, t, {_blend_sum(['v0', 'v1', 'v2'])} AS s FROM oof, ({wide}))", "TARGET", "s", "t", None)
+
+
+def _kernel_density(rel: str, m: int) -> str:
+    """Density at c.x of the prior and the m folded kernels of one side."""
+    z = "((c.x - ctr) / h)"
+    return (f"(1.0 + (SELECT coalesce(sum(CASE WHEN abs({z}) < 1 THEN 0.75 * (1 - {z} * {z}) / h ELSE 0 END), 0) FROM "
+            f"(SELECT h, unnest([u, -u, 2 - u]) AS ctr FROM {rel} k WHERE k.p = c.p))) / {m + 1}")
+
+
+def _parzen_ctes(startup: int, batch: int, n_trials: int, candidates: int, seed: int) -> str:
+    names = f"(SELECT unnest({PREDS}) AS p)"
+    out = [f"pts0 AS MATERIALIZED (SELECT t, p, {_md5_unit(f''' '{seed}|' || t || '|' || p ''')} AS u FROM range({startup}) r(t), {names})",
+           f"sc0 AS MATERIALIZED ({_study_auc('pts0')})"]
+    for b, at in enumerate(range(startup, n_trials, batch), 1):
+        n_good = min(25, max(1, -(-at // 4)))
+        part = lambda s: _md5_unit(f"'{seed}|' || t || '|' || j || '|' || p || '|{s}'")      # noqa: E731
+        out.append(f"gd{b} AS MATERIALIZED (SELECT t FROM sc{b - 1} ORDER BY auc DESC, t LIMIT {n_good})")
+        for side, cond, m in (("g", "IN", n_good), ("x", "NOT IN", at - n_good)):
+            w = "OVER (PARTITION BY p ORDER BY u, t)"
+            out.append(f"{side}{b} AS MATERIALIZED (SELECT p, t, u, row_number() OVER (PARTITION BY p ORDER BY t) AS i, "
+                       f"least(1.0, greatest({1.0 / min(100, m + 2)!r}, u - coalesce(lag(u) {w}, 0.0), coalesce(lead(u) {w}, 1.0) - u)) AS h "
+                       f"FROM pts{b - 1} WHERE t {cond} (SELECT t FROM gd{b}))")
+        out += [f"dr{b} AS MATERIALIZED (SELECT t, j, p, CAST(floor({part('k')} * {n_good + 1}) AS BIGINT) AS k, {part('x')} AS even, "
+                f"2 * {part('a')} - 1 AS a, 2 * {part('b')} - 1 AS b, 2 * {part('c')} - 1 AS c "
+                f"FROM range({at}, {min(n_trials, at + batch)}) r(t), range({candidates}) q(j), {names})",
+                f"cd{b} AS MATERIALIZED (SELECT t, j, p, CASE WHEN k = 0 THEN even WHEN y < 0 THEN -y WHEN y > 1 THEN 2 - y ELSE y END AS x FROM ("
+                f"SELECT d.*, g.u + g.h * CASE WHEN abs(c) >= abs(a) AND abs(c) >= abs(b) THEN b ELSE c END AS y "
+                f"FROM dr{b} d LEFT JOIN g{b} g ON g.p = d.p AND g.i = d.k))",
+                f"nw{b} AS MATERIALIZED (SELECT t, p, x AS u FROM (SELECT c.*, "
+                f"{_kernel_density(f'g{b}', n_good)} / ({_kernel_density(f'x{b}', at - n_good)}) AS ratio FROM cd{b} c) "
+                f"QUALIFY row_number() OVER (PARTITION BY t, p ORDER BY ratio DESC, j) = 1)",
+                f"pts{b} AS MATERIALIZED (SELECT * FROM pts{b - 1} UNION ALL SELECT * FROM nw{b})",
+                f"sc{b} AS MATERIALIZED (SELECT * FROM sc{b - 1} UNION ALL {_study_auc(f'nw{b}')})"]
+    return ",".join(out) + f", pts AS (SELECT * FROM pts{b}), sc AS (SELECT * FROM sc{b})"
+
+
+ORACLE["search_parzen"] = with_applicants(
+    "SELECT CAST(t AS INTEGER) AS trial, t >= 8 AS guided, " + ", ".join(f"round(max(u) FILTER (WHERE p = '{p}'), 6) AS {p}" for p in PREDS)
+    + ", round(any_value(auc), 6) AS auc FROM pts JOIN sc USING (t) GROUP BY t", SCORES + "," + _parzen_ctes(8, 4, 16, 12, 42))

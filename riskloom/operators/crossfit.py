@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import os
-from concurrent.futures import ThreadPoolExecutor
+import uuid
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .. import KEY, LABEL
 from ..functions.columns import positive_probability
@@ -40,6 +42,7 @@ class CrossFitResult:
     label: str = LABEL
     bundle: dict = None     # all a scorer needs beside the fold models: columns, arity, scalers, medians
     target_stats: object = None    # fitted ordered target statistics, if the learner uses them
+    members: dict = None           # of a blend: the results it weighs
 
     @property
     def score_col(self) -> str:
@@ -48,6 +51,8 @@ class CrossFitResult:
     def release(self) -> None:
         for d in self._cached:
             d.unpersist()
+        for m in (self.members or {}).values():
+            m.release()
 
     def rename(self, version: str) -> None:
         """The same result under another version name."""
@@ -197,8 +202,15 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
         mat, scale, med = fold_matrix(f)
         return spec.estimator("_x", "_y", n_feat).fit(mat.where(F.col("fold") != f)), scale, med
 
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, k))) as pool:
-        fitted = list(pool.map(fit, range(k)))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(threads, k))) as pool:
+            # the fits carry the caller's job tags, so that a deadline reaches them
+            fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), range(k)))
+    except Exception:                                   # cancelled or failed: nothing stays cached
+        for d in (base, shared):
+            if d is not None:
+                d.unpersist()
+        raise
     models = [m for m, _, _ in fitted]
     score_col = f"pred_{version}"
 
@@ -250,44 +262,105 @@ def _cross_fit_boosted(spec, base, test, feats, cats, label, key, k, version, ar
     return result
 
 
+def fit_until(spark, fits: dict, seconds: float | None = None) -> tuple[dict, list[str]]:
+    """Run the named functions at the same time; after ``seconds`` the Spark jobs of those still running are
+    cancelled by their tag until they end. Returns (results by name, names of the late ones). An error that is
+    not the deadline's is raised, after the others have been stopped."""
+    sc = spark.sparkContext
+    tags = {name: f"fit-{uuid.uuid4().hex}" for name in fits}
+
+    def run(name):
+        sc.addJobTag(tags[name])
+        try:
+            return fits[name]()
+        finally:
+            sc.removeJobTag(tags[name])
+
+    with ThreadPoolExecutor(max_workers=max(1, len(fits))) as pool:
+        futures = {name: pool.submit(inheritable_thread_target(spark)(run), name) for name in fits}
+        done, pending = wait(futures.values(), timeout=seconds, return_when="FIRST_EXCEPTION")
+        broken = next((f for f in done if f.exception()), None)
+        late = [name for name, f in futures.items() if f in pending]
+        while pending:                              # a fit between two jobs is caught at its next one
+            for name in late:
+                if not futures[name].done():
+                    sc.cancelJobsWithTag(tags[name])
+            pending = wait(pending, timeout=0.2).not_done
+    if broken is not None:
+        raise broken.exception()
+    for name in late:                               # ended by itself while the deadline passed
+        if futures[name].exception() is None and hasattr(futures[name].result(), "release"):
+            futures[name].result().release()
+    return {name: f.result() for name, f in futures.items() if name not in late}, late
+
+
+def blended(results: dict, rounds: int, version: str = "blend") -> CrossFitResult:
+    """The greedy blend of cross-fitted results as a result of its own: weights chosen on the out-of-fold
+    scores, the same weights on the test scores."""
+    from .ensemble import blend, select_ensemble
+    from .stacking import join_score_tables
+    names = sorted(results)
+    first = results[names[0]]
+    key, label, out = first.key, first.label, f"pred_{version}"
+    oof = join_score_tables([results[n].oof.select(key, label, results[n].score_col) for n in names], key, label) \
+        .join(first.oof.select(key, "fold"), key).persist(StorageLevel.MEMORY_AND_DISK)
+    chosen = select_ensemble(oof, [results[n].score_col for n in names], label, rounds)
+    test = join_score_tables([results[n].test for n in names], key, None)
+    scored = blend(oof, chosen.weights, out).select(key, label, "fold", out)
+    members = {n: results[n] for n in names if results[n].score_col in chosen.weights}
+    bundle = {"version": version, "kind": "blend", "params": {n: chosen.weights[r.score_col] for n, r in members.items()}}
+    return CrossFitResult(scored, blend(test, chosen.weights, out).select(key, out), run_metrics(auc_by_fold(scored, label, out)),
+                          [], version, [oof], key, label, bundle, members=members)
+
+
 def leaderboard(specs: dict, train: DataFrame, test: DataFrame, features: list[str],
                 categorical: list[str] = (), label: str = LABEL, key: str = KEY,
                 fold_cfg: FoldConfig | None = None, artifacts_dir: str | None = None,
-                folds_df: DataFrame | None = None, version: str | None = None) -> tuple[DataFrame, CrossFitResult]:
+                folds_df: DataFrame | None = None, version: str | None = None,
+                seconds: float | None = None, blend_rounds: int = 0) -> tuple[DataFrame, CrossFitResult]:
     """H5, re-aimed: cross-fit several learners on ONE shared fold assignment
     (submitted concurrently) and rank them by mean out-of-fold AUC. With
     ``artifacts_dir`` the best model's OOF and test scores, metrics and models are
     written under ``version`` (default: the model's name).
 
+    With ``seconds`` the learners that have not ended by then are cancelled; they stand
+    in the table as ``late``, without figures. With ``blend_rounds`` a greedy blend of the
+    others takes part as model ``blend``.
+
     Returns (leaderboard table, result of the best model) -- the best
     model's scores are true out-of-fold scores, not in-sample ones. The other
     results are released."""
     from .folds import make_stratified_folds
     fold_cfg = fold_cfg or FoldConfig()
+    if blend_rounds and "blend" in specs:
+        raise ValueError("a learner cannot be named 'blend' beside the blend")
+    spark = train.sparkSession
     fold_ids = folds_df if folds_df is not None else \
         make_stratified_folds(train.select(key, label), label, fold_cfg, key).persist()
 
-    def fit(item):
-        name, spec = item
-        return name, cross_fit(spec, train, test, features, categorical, label, key, fold_cfg,
-                               version=name, folds_df=fold_ids)
-
-    with ThreadPoolExecutor(max_workers=max(1, len(specs))) as pool:
-        results = dict(pool.map(fit, specs.items()))
-    rows = [(n, r.metrics["mean_auc"], r.metrics["std_auc"], r.metrics["min_auc"], r.metrics["max_auc"])
-            for n, r in results.items()]
-    best = max(rows, key=lambda r: (r[1] if r[1] is not None else -1.0, r[0]))[0]
+    def fit(name, spec):
+        return lambda: cross_fit(spec, train, test, features, categorical, label, key, fold_cfg, version=name, folds_df=fold_ids)
+
+    results, late = fit_until(spark, {n: fit(n, s) for n, s in specs.items()}, seconds)
+    if not results:
+        raise TimeoutError(f"no learner ended within {seconds} seconds: {', '.join(late)}")
+    if blend_rounds and len(results) > 1:
+        results["blend"] = blended(results, blend_rounds)
+    rows = [(n, r.metrics["mean_auc"], r.metrics["std_auc"], r.metrics["min_auc"], r.metrics["max_auc"], False)
+            for n, r in results.items()] + [(n, None, None, None, None, True) for n in late]
+    best = max(results, key=lambda n: (-1.0 if results[n].metrics["mean_auc"] is None else results[n].metrics["mean_auc"], n))
     for n, r in results.items():
-        if n != best:
-            r.release()
+        if n != best and n not in (results[best].members or {}):
+            for d in r._cached:
+                d.unpersist()
     if folds_df is None:
         fold_ids.unpersist()
     if version:
         results[best].rename(version)
     if artifacts_dir:
         write_artifacts(results[best], artifacts_dir)
-    table = train.sparkSession.createDataFrame(
-        rows, "model string, mean_auc double, std_auc double, min_auc double, max_auc double") \
+    table = spark.createDataFrame(
+        rows, "model string, mean_auc double, std_auc double, min_auc double, max_auc double, late boolean") \
         .orderBy(F.col("mean_auc").desc(), F.col("model"))
     return table, results[best]
 
@@ -310,6 +383,8 @@ def write_artifacts(res: CrossFitResult, artifacts_dir: str) -> None:
         res.models[0].save(os.path.join(artifacts_dir, "models", f"{v}_boosted"), spark)
         if res.target_stats:
             res.target_stats.totals.write.mode("overwrite").parquet(os.path.join(artifacts_dir, "models", f"{v}_target_stats"))
+    for m in (res.members or {}).values():
+        write_artifacts(m, artifacts_dir)
     for f, m in enumerate(res.models if res.bundle["kind"] != "boost" else []):
         m.write().overwrite().save(os.path.join(artifacts_dir, "models", f"{v}_fold{f}"))
     spark.createDataFrame([(json.dumps(res.bundle | {"folds": len(res.models)}),)], "bundle string").coalesce(1) \
@@ -322,6 +397,11 @@ def score_saved(matrix: DataFrame, artifacts_dir: str, version: str, key: str =
     spark = matrix.sparkSession
     models_dir = os.path.join(artifacts_dir, "models")
     b = json.loads(spark.read.json(os.path.join(models_dir, f"{version}_bundle")).first()["bundle"])
+    if b["kind"] == "blend":
+        from .ensemble import blend
+        from .stacking import join_score_tables
+        scores = join_score_tables([score_saved(matrix, artifacts_dir, n, key) for n in b["params"]], key, None)
+        return blend(scores, {f"pred_{n}": w for n, w in b["params"].items()}, f"pred_{version}").select(key, f"pred_{version}")
     if b["kind"] == "boost":
         from .boosting import BoostedModel, predict
         if b["target_stats"]:

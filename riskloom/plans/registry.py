@@ -581,6 +581,48 @@ def q_search_gbt_cat(spark, sf_dir):
     return _search(spark, sf_dir, "cat", search.CAT_SPACE)
 
 
+ENSEMBLE_ROUNDS = 6
+
+
+def q_ensemble_selection(spark, sf_dir):
+    """H5: greedy selection over the joined out-of-fold scores: the model picked in each round, the AUC of the
+    blend so far and whether the best blend holds that round."""
+    from ..operators import ensemble
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
+    found = ensemble.select_ensemble(oof, list(FIXTURE_SCORES), rounds=ENSEMBLE_ROUNDS)
+    held = [a for _, a in found.rounds].index(found.auc)
+    rows = [(i + 1, c, float(a), i <= held, float(found.weights.get(c, 0.0))) for i, (c, a) in enumerate(found.rounds)]
+    df = spark.createDataFrame(rows, "round int, model string, auc double, held boolean, weight double")
+    return df.select("round", "model", rnd("auc", "auc"), "held", rnd("weight", "weight"))
+
+
+def q_ensemble_scores(spark, sf_dir):
+    """H5: the test scores of the chosen blend."""
+    from ..operators import ensemble
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir))
+    found = ensemble.select_ensemble(oof, list(FIXTURE_SCORES), rounds=ENSEMBLE_ROUNDS)
+    test = stacking.join_score_tables(_test_tables(spark, sf_dir), label=None)
+    return ensemble.blend(test, found.weights, "pred_blend").select(KEY, rnd("pred_blend", "pred_blend"))
+
+
+# A study of three weights: trials at the start, then batches; candidates per trial and parameter.
+PARZEN = dict(startup=8, batch=4, n_trials=16, candidates=12, seed=42)
+
+
+def q_search_parzen(spark, sf_dir):
+    """A Parzen study of the weights of the three score tables; a trial's score is the exact AUC of its
+    blend over all rows, a batch of trials in one pass."""
+    from ..operators import ensemble, parzen
+    oof = stacking.join_score_tables(_oof_tables(spark, sf_dir)).persist()
+    cols = list(FIXTURE_SCORES)
+    trials = parzen.study({c: ("float", 0.0, 1.0) for c in cols},
+                          lambda items: [(a,) for a in ensemble.blend_aucs(oof, cols, [[p[c] for c in cols] for _, p in items])], **PARZEN)
+    oof.unpersist()
+    df = spark.createDataFrame([(t.number, t.guided, *[t.unit[c] for c in cols], t.score) for t in trials],
+                               "trial int, guided boolean, " + ", ".join(f"{c} double" for c in cols) + ", auc double")
+    return df.select("trial", "guided", *[rnd(c, c) for c in cols], rnd("auc", "auc"))
+
+
 def _scratch(spark, name):
     import uuid
     from ..session import scratch_path
@@ -758,6 +800,9 @@ QUERIES = {
     "drift_auc_in_sample": q_drift_auc_in_sample,
     "search_gbt": q_search_gbt,
     "search_gbt_cat": q_search_gbt_cat,
+    "search_parzen": q_search_parzen,
+    "ensemble_selection": q_ensemble_selection,
+    "ensemble_scores": q_ensemble_scores,
     "run_summary": q_run_summary,
     "scan_scores": q_scan_scores,
     "model_round_trip": q_model_round_trip,
