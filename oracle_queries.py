@@ -560,3 +560,14 @@ def _parzen_ctes(startup: int, batch: int, n_trials: int, candidates: int, seed:
 ORACLE["search_parzen"] = with_applicants(
     "SELECT CAST(t AS INTEGER) AS trial, t >= 8 AS guided, " + ", ".join(f"round(max(u) FILTER (WHERE p = '{p}'), 6) AS {p}" for p in PREDS)
     + ", round(any_value(auc), 6) AS auc FROM pts JOIN sc USING (t) GROUP BY t", SCORES + "," + _parzen_ctes(8, 4, 16, 12, 42))
+
+
+def _fold_scale(f: int, c: str) -> str:
+    return (f"SELECT CAST({f} AS INTEGER) AS fold, '{c}' AS feature, round(any_value(med), 6) AS median, round(avg(coalesce(x, med)), 3) AS mean, "
+            f"round(stddev_pop(coalesce(x, med)), 3) AS std FROM (SELECT CAST({c} AS DOUBLE) AS x, median(CAST({c} AS DOUBLE)) OVER () AS med "
+            f"FROM tf WHERE fold != {f})")
+
+
+ORACLE["fold_standardize"] = with_applicants(
+    " UNION ALL ".join(_fold_scale(f, c) for f in range(3) for c in ("AMT_CREDIT", "AMT_ANNUITY", "EXT_SOURCE_2")),
+    "tf AS (SELECT *, CAST((row_number() OVER (ORDER BY TARGET, md5(CAST(SK_ID_CURR AS VARCHAR) || '|42'), SK_ID_CURR) - 1) % 3 AS INTEGER) AS fold FROM train)")

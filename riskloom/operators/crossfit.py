@@ -25,7 +25,7 @@ from pyspark.util import inheritable_thread_target
 from .. import KEY, LABEL
 from ..functions.columns import positive_probability
 from .folds import FoldConfig, assign_folds, require_columns
-from .impute import fit_standardizer
+from .impute import fit_fold_medians, fit_fold_standardizers
 from .learners import LearnerSpec, class_weight
 from .metrics import auc_by_fold, run_metrics
 
@@ -183,20 +183,17 @@ def cross_fit(spec: LearnerSpec, train: DataFrame, test: DataFrame, features: li
         base = dealt(raw, key, row["_rows"])
     raw.unpersist()
 
+    # the folds' medians and scales come from the same passes, each from the rows outside the fold
+    medians, scales = [None] * k, [None] * k
+    if fold_impute:
+        medians = fit_fold_medians(base, list(fold_impute), "fold", k)
+    if spec.standardize:
+        scales = fit_fold_standardizers(base, [c for c in feats if c not in cats], "fold", k, medians if fold_impute else None)
+
     def fold_matrix(f):
         if shared is not None:
             return shared, None, None
-        fold_train = base.where(F.col("fold") != f)
-        med = None
-        if fold_impute:
-            from .impute import fit_medians
-            med = fit_medians(fold_train, list(fold_impute))
-            fold_train = fold_train.select(*[F.coalesce(F.col(c), F.lit(float(med[c]))).alias(c)
-                                             if c in med else F.col(c) for c in fold_train.columns])
-        scale = None
-        if spec.standardize:
-            scale = fit_standardizer(fold_train, [c for c in feats if c not in cats])
-        return _vectorise(base, keep, feats, cats, arity, scale, "_x", spec.float32, med), scale, med
+        return _vectorise(base, keep, feats, cats, arity, scales[f], "_x", spec.float32, medians[f]), scales[f], medians[f]
 
     def fit(f):
         mat, scale, med = fold_matrix(f)

@@ -155,6 +155,18 @@ def q_standardize(spark, sf_dir):
     return impute.apply_standardizer(test.select(KEY, *cols), stats).select(KEY, *[rnd(c, c) for c in cols])
 
 
+def q_fold_standardize(spark, sf_dir):
+    """Per fold the medians, means and deviations of the rows outside it, all folds in the same passes."""
+    train, _ = _frames(spark, sf_dir)
+    cols = ["AMT_CREDIT", "AMT_ANNUITY", "EXT_SOURCE_2"]
+    rows = folds.assign_folds(train.select(KEY, LABEL, *cols), LABEL, folds.FoldConfig(n_splits=FOLDS))
+    medians = impute.fit_fold_medians(rows, cols, "fold", FOLDS)
+    scales = impute.fit_fold_standardizers(rows, cols, "fold", FOLDS, medians)
+    got = [(f, c, float(medians[f][c]), *map(float, scales[f][c])) for f in range(FOLDS) for c in cols]
+    df = spark.createDataFrame(got, "fold int, feature string, median double, mean double, std double")
+    return df.select("fold", "feature", rnd("median", "median"), F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+
+
 def q_class_weight(spark, sf_dir):
     from ..operators.learners import class_weight
     train, _ = _frames(spark, sf_dir)
@@ -761,6 +773,7 @@ QUERIES = {
     "impute_median": q_impute_median,
     "class_balance": q_class_balance,
     "standardize": q_standardize,
+    "fold_standardize": q_fold_standardize,
     "class_weight": q_class_weight,
     "round_codes": q_round_codes,
     "union_train_test": q_union_train_test,

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import encoding, folds
 
@@ -56,3 +57,23 @@ def test_encoding_is_the_same_without_broadcasts(spark):
         assert sorted(map(tuple, enc.collect())) == small
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fold_statistics_equal_separate_fits(spark):
+    from riskloom.operators import impute
+    rows = [(i, i % 3, None if i % 7 == 0 else float(i * i % 101), 5.0e8 + i % 2, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, fold int, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    medians = impute.fit_fold_medians(df, cols, "fold", 3)
+    plain = impute.fit_fold_standardizers(df, cols, "fold", 3)
+    filled = impute.fit_fold_standardizers(df, cols, "fold", 3, medians)
+    for f in range(3):
+        side = df.where(F.col("fold") != f)
+        assert medians[f] == impute.fit_medians(side, cols)
+        for got, want in ((plain[f], impute.fit_standardizer(side, cols)),
+                          (filled[f], impute.fit_standardizer(impute.apply_medians(side, medians[f]), cols))):
+            for c in cols:
+                assert got[c] == pytest.approx(want[c], rel=1e-12, abs=1e-7), c
+    empty = df.limit(0)
+    assert impute.fit_fold_medians(empty, cols, "fold", 2) == [{c: 0.0 for c in cols}] * 2
+    assert impute.fit_fold_standardizers(empty, cols, "fold", 2) == [{c: (0.0, 0.0) for c in cols}] * 2
