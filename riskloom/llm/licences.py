@@ -201,9 +201,14 @@ def scan(files: DataFrame, path: Column | None = None, id_col: str = "doc_id", t
                        F.when(F.col("_licence").isNotNull(), F.col("path")).otherwise(F.col("g_path")).alias("licence_path"))
 
 
+def document_path() -> Column:
+    """Where a document lies: source / language / id, as in a crawl's folders. The tables name no other place."""
+    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
+
+
 def op10_licences(spark, sf_dir):
-    """Documents have no path, so none inherits: each has the licence of its own text or none."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Licences of the documents' own texts; the others inherit that of the nearest directory (``how`` tells which)."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), document_path())
 
 
 _ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
@@ -229,10 +234,11 @@ def _judge_sql(p: str, words: str, templates: str) -> str:
 
 #: DuckDB twin of the query; the full texts are read from the package's folder.
 OP10_SQL = rf"""
-WITH docs AS (SELECT doc_id AS id, text FROM documents),
+WITH docs AS (SELECT doc_id AS id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), CAST(doc_id AS VARCHAR)) AS path, text
+              FROM documents),
 found AS (SELECT * FROM docs WHERE regexp_matches(text, '{TRIGGER}')),
-heads AS (SELECT DISTINCT id, unit FROM (
-  SELECT id, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-
+heads AS (SELECT DISTINCT id, path, unit FROM (
+  SELECT id, path, unnest(string_split(regexp_replace(text, '([.;!?])[ 	-
 ]+', '' || chr(10), 'g'), chr(10))) AS unit FROM found)
   WHERE regexp_matches(unit, '{TRIGGER}')),
 units AS (SELECT unit FROM heads UNION SELECT text FROM found),
@@ -244,16 +250,27 @@ full_templates AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY name) AS place, name AS licence, text FROM (
     SELECT regexp_extract(filename, '([^/]*?)(-composed)?\.txt$', 1) AS name, content AS text FROM read_text('{_FOLDER}/*.txt'))),{_judge_sql("line_", "words", "templates")},{_judge_sql("full_", "full_words", "full_templates")},
 files AS (
-  SELECT f.id, l.licence AS line_licence, CASE WHEN l.cosine >= {FILE_COSINE} THEN l.cosine END AS line,
+  SELECT f.id, f.path, l.licence AS line_licence, CASE WHEN l.cosine >= {FILE_COSINE} THEN l.cosine END AS line,
          u.licence AS full_licence, CASE WHEN u.cosine >= {FULL_COSINE} THEN u.cosine END AS full_cosine
   FROM found f LEFT JOIN line_judged l ON l.unit = f.text LEFT JOIN full_judged u ON u.unit = f.text),
 both_kinds AS (
-  SELECT id, 1 AS file, CASE WHEN full_cosine >= coalesce(line, 0) THEN full_licence ELSE line_licence END AS licence,
+  SELECT id, path, 1 AS file, CASE WHEN full_cosine >= coalesce(line, 0) THEN full_licence ELSE line_licence END AS licence,
          CASE WHEN full_cosine >= coalesce(line, 0) THEN full_cosine ELSE line END AS cosine
   FROM files WHERE line IS NOT NULL OR full_cosine IS NOT NULL
-  UNION ALL SELECT id, 0, licence, cosine FROM heads JOIN line_judged USING (unit) WHERE cosine >= {HEADER_COSINE}),
-own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file DESC, cosine DESC, licence DESC) AS k FROM both_kinds) WHERE k = 1)
-SELECT d.id AS doc_id, CAST(NULL AS VARCHAR) AS path, o.licence, CASE o.file WHEN 1 THEN 'file' WHEN 0 THEN 'header' ELSE 'none' END AS how,
-       o.cosine, CAST(NULL AS VARCHAR) AS licence_path
-FROM docs d LEFT JOIN own o ON o.id IS NOT DISTINCT FROM d.id
+  UNION ALL SELECT id, path, 0, licence, cosine FROM heads JOIN line_judged USING (unit) WHERE cosine >= {HEADER_COSINE}),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY file DESC, cosine DESC, licence DESC) AS k FROM both_kinds) WHERE k = 1),
+granted AS (SELECT * FROM (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS up, licence, path, cosine,
+         row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY cosine DESC, path, licence) AS k
+  FROM own WHERE file = 1) WHERE k = 1),
+places AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM docs),
+steps AS (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM places),
+nearest AS (SELECT * FROM (
+  SELECT dir, granted.licence, granted.path, granted.cosine, row_number() OVER (PARTITION BY dir ORDER BY depth DESC) AS k
+  FROM steps JOIN granted ON granted.up = array_to_string(string_split(dir, '/')[1:depth], '/')) WHERE k = 1)
+SELECT d.id AS doc_id, d.path, coalesce(o.licence, n.licence) AS licence,
+       CASE WHEN o.file = 1 THEN 'file' WHEN o.file = 0 THEN 'header' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       coalesce(o.cosine, n.cosine) AS cosine, CASE WHEN o.licence IS NOT NULL THEN d.path ELSE n.path END AS licence_path
+FROM docs d LEFT JOIN own o ON o.id IS NOT DISTINCT FROM d.id AND o.path = d.path
+LEFT JOIN nearest n ON n.dir = regexp_replace(d.path, '/[^/]*$', '')
 """

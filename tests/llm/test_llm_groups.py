@@ -317,6 +317,24 @@ def test_licence_lines_of_documents_are_all_found(spark):
                 assert got[r.doc_id] == name
 
 
+def test_documents_inherit_in_the_query_and_its_twin(spark, tmp_path):
+    import duckdb
+    prose = "plain words about rivers and hills "
+    rows = [(1, "Released under the MIT License.", "en", "a"), (2, prose, "en", "a"), (3, prose, "de", "a"), (4, None, "en", "a"), (5, "", None, "a"),
+            (6, "All rights reserved.", None, None), (7, prose, None, None), (8, prose * 30 + ".\nLicensed under CC BY 4.0.\n" + prose * 30, "en", "a"),
+            (9, prose * 30 + ".\nLicensed under CC BY 4.0.\n" + prose * 30, "fr", "b"), (10, prose, "fr", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = licences.op10_licences(spark, str(tmp_path))
+    got = {r.doc_id: (r.licence, r.how, r.licence_path) for r in found.collect()}
+    assert got[1] == ("MIT", "file", "a/en/1") and got[8] == ("CC-BY-4.0", "header", "a/en/8")
+    assert got[2] == got[4] == ("MIT", "inherited", "a/en/1") and got[7] == ("Proprietary", "inherited", "unknown/und/6")
+    assert got[3] == got[5] == got[10] == (None, "none", None)            # no other folder's, no header's
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    twin = con.execute(f"SELECT {', '.join(found.columns)} FROM ({licences.OP10_SQL})").fetchall()
+    assert sorted(twin, key=lambda r: r[0]) == sorted((tuple(r) for r in found.collect()), key=lambda r: r[0])
+
+
 def test_whole_licence_texts_are_licence_files(spark):
     texts = dict(licences.full_texts())
     bare = texts["BSD-3-Clause"].replace("the copyright holder nor", "Example University nor").replace("Copyright (c)", "Copyright (c) 1999 The Regents of Example University.")
