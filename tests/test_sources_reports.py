@@ -210,3 +210,14 @@ def test_only_whole_runs_are_loaded(spark, tmp_path):
     assert (name, torn) == ("r1", ["r3", "r2"])
     with pytest.raises(Exception, match="(?i)exist"):
         runs.RunWriter(spark, f"{base}/r1").write(df, "a")
+
+
+def test_only_texts_that_can_be_doubles_are_cast(spark):
+    numbers = ["1.5", "-2", "+.5", "5.", "1e5", "1E-3d", "2f", "0x1.8p3", "NaN", "nan", "+inf", "-Infinity", "INF", "\t2.5", "2.5\n", "007"]
+    texts = ["1-URGENT", "4-NOT SPECIFIED", "BUILDING", "1.2.3", "e5", ".", "-", "1e", "12 5", "0x", "\u0661", "1,5", "infinite"]
+    df = spark.createDataFrame([(t,) for t in numbers + texts], "t string")
+    got = {r.t: (r.like, r.cast) for r in df.select("t", F.col("t").rlike(src.DOUBLE).alias("like"), F.col("t").try_cast("double").isNotNull().alias("cast")).collect()}
+    assert all(got[t] == (True, True) for t in numbers) and all(got[t] == (False, False) for t in texts)
+    for values, kind in ((numbers, "double"), (["1", "2"], "long"), (["1", "1.5"], "double"), (["1", "1-URGENT"], "string"), (["true", "FALSE"], "boolean"),
+                         (["true", "1"], "string"), (["NA", "", None], "string"), (["true", "NA"], "boolean"), (["true", "x"], "string")):
+        assert src.infer_types(spark.createDataFrame([(v,) for v in values], "t string")) == {"t": kind}
