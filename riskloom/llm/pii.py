@@ -235,6 +235,13 @@ IS_HINT = np.zeros(256, bool)
 IS_HINT[list(b"0123456789@([")] = True       # no candidate without one of these
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few texts: a worker holds the marks and copies of one slice, however long the texts are."""
+    for b in batches:
+        for i, j in tx.chunks(tx.utf8(b.column(column))[1]):
+            yield b.slice(i, j - i)
+
+
 def texts_of(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, str]]:
     """(row, text) of the texts that can hold a candidate."""
     data, offs, _ = tx.utf8(b.column(column))
@@ -245,7 +252,7 @@ def texts_of(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, str]]:
 def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Count the vote patterns of all documents on Spark and fit the model on the counts."""
     def run(batches):
-        for b in batches:
+        for b in portions(batches, 0):
             seen: dict[int, int] = {}
             for _, t in texts_of(b, 0):
                 base = base_spans(t)
@@ -287,7 +294,7 @@ def find(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id"
     def run(batches):
         cache: dict[int, bool] = {}
         arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in portions(batches, 1):
             base = [[] for _ in range(b.num_rows)]
             every = [[] for _ in range(b.num_rows)]
             for i, t in texts_of(b, 1):
@@ -321,7 +328,7 @@ def redact(docs: DataFrame, model: SpanModel | None = None, text_col: str = "tex
 
     def run(batches):
         cache: dict[int, bool] = {}
-        for b in batches:
+        for b in portions(batches, place):
             changed = {}
             for i, t in texts_of(b, place):
                 spans = spans_of(t, model, cache)[1]

@@ -130,3 +130,23 @@ def test_run_tokenizer_equals_the_tokenizer():
     flat, to = own.ids(data, offs)
     for k, t in enumerate(texts * 2):
         assert flat[to[k]:to[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_pii_marks_a_batch_in_portions():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from riskloom.llm import textops as tx
+    texts = [None, "", "x" * (2 * tx.CHUNK_BYTES)] + [f"mail a{k}@b.org " + "plain words " * 400 for k in range(3000)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    tracemalloc.start()
+    seen, found = [], 0
+    for part in pii.portions(iter([b]), 1):
+        seen += part.column(0).to_pylist()
+        assert part.num_rows == 1 or sum(len(t or "") for t in part.column(1).to_pylist()) <= tx.CHUNK_BYTES
+        found += sum(1 for _ in pii.texts_of(part, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == list(range(len(texts))) and found == 3000
+    assert peak < 40 * tx.CHUNK_BYTES                       # the whole batch holds 30 chunks, its marks some twenty times that
